@@ -219,12 +219,12 @@ def link_stats(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def season_calendar(seasons: DataFrame, linked: DataFrame, asof) -> DataFrame:
-    """Seasons with their bounds, number and names of periods, and whether they are on."""
+def season_calendar(seasons: DataFrame, linked: DataFrame, asof, label: str = "nom_periode") -> DataFrame:
+    """Seasons with their bounds, number and distinct names of periods, and whether they are on."""
     today = F.lit(asof).cast("date")
     per_season = linked.where(F.col("id_saison").isNotNull()).groupBy("id_saison").agg(
         F.count(F.lit(1)).alias("nb_periodes"),
-        F.array_join(F.sort_array(F.collect_set("code_base")), ", ").alias("periodes"),
+        F.array_join(F.sort_array(F.collect_set(label)), ", ").alias("periodes"),
     )
     return seasons.join(per_season, seasons.id == per_season.id_saison, "left").select(
         "id", "annee", "saison", "date_debut", "date_fin",

@@ -59,6 +59,10 @@ def kpi_totals(fact: DataFrame, windows: Windows, figures: Sequence[Figure]) ->
     """Several figures over one fact in one scan: (numero, indicateur, n0.., unite, remarque)."""
     cells = [c for i, f in enumerate(figures) for c in yearly_sums(windows, f.condition, f"f{i}_")]
     wide = _in_windows(fact, windows).where(reduce(lambda a, b: a | b, [f.condition for f in figures])).agg(*cells)
+    return _figure_rows(wide, windows, figures)
+
+
+def _figure_rows(wide: DataFrame, windows: Windows, figures: Sequence[Figure]) -> DataFrame:
     rows = [
         F.struct(
             F.lit(f.number).alias("numero"), F.lit(f.label).alias("indicateur"),
@@ -104,18 +108,38 @@ def kpi_period(fact: DataFrame, periods: DataFrame, codes: Sequence[str], year:
     return asked.join(found, "code_periode", "left").na.fill(0)
 
 
-def _on_days(fact: DataFrame, days: dict[int, date | None]) -> DataFrame:
+def _daily(fact: DataFrame, windows: Windows) -> DataFrame:
+    return _in_windows(fact, windows).groupBy(DATE).agg(F.sum(VOLUME).alias(VOLUME))
+
+
+def peak_cells(windows: Windows, prefix: str = "") -> list[Column]:
+    """Largest day of each window and its date, over daily sums."""
+    cells = []
+    for w in windows:
+        best = F.struct(F.col(VOLUME), (-F.unix_date(DATE)).alias("tot"))
+        peak = F.max(F.when(w.hit(F.col(DATE)), best))
+        cells.append(F.coalesce(peak[VOLUME], F.lit(0).cast("long")).alias(f"{prefix}n{w.offset}"))
+        cells.append(F.date_from_unix_date(-peak["tot"]).alias(f"{prefix}date{w.offset}"))
+    return cells
+
+
+def day_cells(days: dict[int, date | None], prefix: str = "") -> list[Column]:
     """Volume on one day per offset; null where the offset has no such day."""
-    asked = [d for d in days.values() if d is not None]
-    rows = fact.where(F.col(DATE).isin(*[F.lit(d) for d in asked]) if asked else F.lit(False))
     cells = []
     for offset, day in days.items():
-        cells.append(
-            sum_or_zero(F.when(F.col(DATE) == F.lit(day), F.col(VOLUME)), f"n{offset}") if day is not None
-            else F.lit(None).cast("long").alias(f"n{offset}")
+        value = (
+            F.coalesce(F.sum(F.when(F.col(DATE) == F.lit(day), F.col(VOLUME))), F.lit(0).cast("long"))
+            if day is not None else F.max(F.lit(None).cast("long"))
         )
-        cells.append(F.lit(day).cast("date").alias(f"date{offset}"))
-    return rows.agg(*cells)
+        cells.append(value.alias(f"{prefix}n{offset}"))
+    return cells
+
+
+def _on_days(fact: DataFrame, days: dict[int, date | None]) -> DataFrame:
+    asked = [d for d in days.values() if d is not None]
+    rows = fact.where(F.col(DATE).isin(*[F.lit(d) for d in asked]) if asked else F.lit(False))
+    dates = [F.lit(d).cast("date").alias(f"date{o}") for o, d in days.items()]
+    return rows.agg(*day_cells(days)).select("*", *dates)
 
 
 def kpi_day(fact: DataFrame, windows: Windows, month: int, day: int) -> DataFrame:
@@ -130,24 +154,67 @@ def kpi_saturday(fact: DataFrame, windows: Windows, n: int) -> DataFrame:
 
 def kpi_peak(fact: DataFrame, windows: Windows) -> DataFrame:
     """Largest day of each window with its date; among equal days the earliest."""
-    daily = _in_windows(fact, windows).groupBy(DATE).agg(F.sum(VOLUME).alias(VOLUME))
+    return _daily(fact, windows).agg(*peak_cells(windows))
+
+
+@dataclass(frozen=True)
+class DayFigure:
+    """A figure that needs only the sums per day: the total, the peak or given days."""
+
+    number: int
+    label: str
+    days: dict[int, date | None] | None = None
+    peak: bool = False
+
+    def cells(self, windows: Windows, prefix: str) -> list[Column]:
+        if self.peak:
+            return peak_cells(windows, prefix)
+        if self.days is not None:
+            return day_cells(self.days, prefix)
+        return yearly_sums(windows, prefix=f"{prefix}n")
+
+    def date_column(self, offset: int, prefix: str) -> Column:
+        if self.peak:
+            return F.col(f"{prefix}date{offset}")
+        return F.lit(self.days[offset] if self.days else None).cast("date")
+
+
+def day_figures(fact: DataFrame, windows: Windows, figures: Sequence[DayFigure]) -> DataFrame:
+    """Figures out of one pass over the fact: (numero, indicateur, n0, date0, n1, ...).
+
+    The fact is summed per day once; everything else reads those few rows. The days
+    of a figure lie inside the windows.
+    """
+    wide = _daily(fact, windows).agg(*[c for i, f in enumerate(figures) for c in f.cells(windows, f"f{i}_")])
+    rows = [
+        F.struct(
+            F.lit(f.number).alias("numero"), F.lit(f.label).alias("indicateur"),
+            *[F.col(f"f{i}_n{w.offset}").alias(f"n{w.offset}") for w in windows],
+            *[f.date_column(w.offset, f"f{i}_").alias(f"date{w.offset}") for w in windows],
+        )
+        for i, f in enumerate(figures)
+    ]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def mean_cells(windows: Windows, condition: Column | None = None, prefix: str = "n") -> list[Column]:
     cells = []
     for w in windows:
-        best = F.struct(F.col(VOLUME), (-F.unix_date(DATE)).alias("tot"))
-        peak = F.max(F.when(w.hit(F.col(DATE)), best))
-        cells.append(F.coalesce(peak[VOLUME], F.lit(0).cast("long")).alias(f"n{w.offset}"))
-        cells.append(F.date_from_unix_date(-peak["tot"]).alias(f"date{w.offset}"))
-    return daily.agg(*cells)
+        hit = w.hit(F.col(DATE)) if condition is None else w.hit(F.col(DATE)) & condition
+        mean = weighted_mean_column(F.when(hit, F.col("nb_nuits")), F.when(hit, F.col(VOLUME)))
+        cells.append(F.coalesce(mean, F.lit(0.0)).alias(f"{prefix}{w.offset}"))
+    return cells
 
 
 def kpi_mean_stay(stays: DataFrame, windows: Windows) -> DataFrame:
     """Mean nights weighted by volume, per window."""
-    cells = []
-    for w in windows:
-        hit = w.hit(F.col(DATE))
-        mean = weighted_mean_column(F.when(hit, F.col("nb_nuits")), F.when(hit, F.col(VOLUME)))
-        cells.append(F.coalesce(mean, F.lit(0.0)).alias(f"n{w.offset}"))
-    return _in_windows(stays, windows).agg(*cells)
+    return _in_windows(stays, windows).agg(*mean_cells(windows))
+
+
+def kpi_mean_stays(stays: DataFrame, windows: Windows, figures: Sequence[Figure]) -> DataFrame:
+    """Mean stays of several groups of visitors in one scan."""
+    cells = [c for i, f in enumerate(figures) for c in mean_cells(windows, f.condition, f"f{i}_")]
+    return _figure_rows(_in_windows(stays, windows).agg(*cells), windows, figures)
 
 
 def evolution(df: DataFrame, windows: Windows, baseline: str = "reference") -> DataFrame:
@@ -173,12 +240,17 @@ def evolution_long(yearly: DataFrame, keys: Sequence[str] = (), value: str = VOL
 
 def labelled(df: DataFrame, windows: Windows, number: int, label: str, unit: str, note: str = "") -> DataFrame:
     """A one-row figure in the shape of the indicator table."""
-    has_date = "date0" in df.columns
+    return as_indicators(df.withColumns({
+        "numero": F.lit(number), "indicateur": F.lit(label), "unite": F.lit(unit), "remarque": F.lit(note),
+    }), windows)
+
+
+def as_indicators(df: DataFrame, windows: Windows) -> DataFrame:
+    """Figures of any kind in the shape of the indicator table."""
+    day = F.col("date0") if "date0" in df.columns else F.lit(None).cast("date")
     return df.select(
-        F.lit(number).alias("numero"), F.lit(label).alias("indicateur"),
-        *[F.col(c).cast("double").alias(c) for c in value_columns(windows)],
-        F.lit(unit).alias("unite"), F.lit(note).alias("remarque"),
-        (F.col("date0") if has_date else F.lit(None).cast("date")).alias("date"),
+        "numero", "indicateur", *[F.col(c).cast("double").alias(c) for c in value_columns(windows)],
+        "unite", "remarque", day.alias("date"),
     )
 
 
@@ -189,28 +261,30 @@ def indicator_table(figures: Sequence[DataFrame], windows: Windows, baseline: st
 
 
 def block_a(nights: DataFrame, day_visits: DataFrame, stays: DataFrame, windows: Windows, roles: Roles) -> DataFrame:
-    """Dashboard block A: the figures of nights, day visits and stays."""
+    """Dashboard block A. Each fact is scanned once: nights, their departments and
+    countries, stays, and day visits summed per day."""
     national, foreign = provenance_rule("national", roles), provenance_rule("foreign", roles)
-    visitors, outside = provenance_rule("visitors", roles), provenance_rule("not_local", roles)
-    totals = kpi_totals(nights, windows, [
-        Figure(1, "Nuitées totales", visitors),
-        Figure(2, "Nuitées françaises", national),
-        Figure(3, "Nuitées internationales", foreign),
-    ]).withColumn("date", F.lit(None).cast("date"))
-    for c in value_columns(windows):
-        totals = totals.withColumn(c, F.col(c).cast("double"))
-    guests = day_visits.where(outside)
+    outside = provenance_rule("not_local", roles)
+    guests = day_figures(day_visits.where(outside), windows, [
+        DayFigure(10, "Excursionnistes, pic", peak=True),
+        DayFigure(16, "Excursionnistes totaux"),
+        DayFigure(17, "Présences 2e samedi", {w.offset: w.nth_saturday(2) for w in windows}),
+        DayFigure(18, "Présences 3e samedi", {w.offset: w.nth_saturday(3) for w in windows}),
+    ]).withColumns({"unite": F.lit("Présences"), "remarque": F.lit("")})
     figures = [
-        totals,
+        as_indicators(kpi_totals(nights, windows, [
+            Figure(1, "Nuitées totales", provenance_rule("visitors", roles)),
+            Figure(2, "Nuitées françaises", national),
+            Figure(3, "Nuitées internationales", foreign),
+        ]), windows),
         labelled(kpi_topk_sum(nights.where(national), windows, "departement", 15), windows, 4, "Départements, top 15", "Nuitées"),
         labelled(kpi_topk_sum(nights.where(foreign), windows, "pays", 5), windows, 5, "Pays, top 5", "Nuitées"),
-        labelled(kpi_peak(guests, windows), windows, 10, "Excursionnistes, pic", "Présences"),
-        labelled(kpi_total(guests, windows), windows, 16, "Excursionnistes totaux", "Présences"),
-        labelled(kpi_saturday(guests, windows, 2), windows, 17, "Présences 2e samedi", "Présences"),
-        labelled(kpi_saturday(guests, windows, 3), windows, 18, "Présences 3e samedi", "Présences"),
-        labelled(kpi_mean_stay(stays.where(outside), windows), windows, 21, "Durée moyenne totale", "Nuits"),
-        labelled(kpi_mean_stay(stays.where(national), windows), windows, 22, "Durée moyenne française", "Nuits"),
-        labelled(kpi_mean_stay(stays.where(foreign), windows), windows, 23, "Durée moyenne internationale", "Nuits"),
+        as_indicators(guests, windows),
+        as_indicators(kpi_mean_stays(stays, windows, [
+            Figure(21, "Durée moyenne totale", outside, "Nuits"),
+            Figure(22, "Durée moyenne française", national, "Nuits"),
+            Figure(23, "Durée moyenne internationale", foreign, "Nuits"),
+        ]), windows),
     ]
     return indicator_table(figures, windows)
 
@@ -218,18 +292,12 @@ def block_a(nights: DataFrame, day_visits: DataFrame, stays: DataFrame, windows:
 def block_d7(day_visits: DataFrame, windows: Windows, fixed_days: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """Day-visit block: total, peak, first three Saturdays and fixed days, N and N-1."""
     pair = windows.first(2)
-
-    def row(df: DataFrame, label: str) -> DataFrame:
-        dated = "date0" in df.columns
-        none = F.lit(None).cast("date")
-        return df.select(
-            F.lit(label).alias("rang"),
-            (F.col("date0") if dated else none).alias("date"), F.col("n0"),
-            (F.col("date1") if dated else none).alias("date_n1"), F.col("n1"),
-            pct_change(F.col("n0"), F.col("n1"), "B").alias("delta_pct"),
-        )
-
-    rows = [row(kpi_total(day_visits, pair), "Total"), row(kpi_peak(day_visits, pair), "Pic activité")]
-    rows += [row(kpi_saturday(day_visits, pair, n), f"{n}e samedi") for n in (1, 2, 3)]
-    rows += [row(kpi_day(day_visits, pair, m, d), f"{d:02d}/{m:02d}") for m, d in fixed_days]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    figures = [DayFigure(1, "Total"), DayFigure(2, "Pic activité", peak=True)]
+    for n in (1, 2, 3):
+        figures.append(DayFigure(len(figures) + 1, f"{n}e samedi", {w.offset: w.nth_saturday(n) for w in pair}))
+    for month, day in fixed_days:
+        figures.append(DayFigure(len(figures) + 1, f"{day:02d}/{month:02d}", {w.offset: w.fixed_day(month, day) for w in pair}))
+    return day_figures(day_visits, pair, figures).select(
+        F.col("indicateur").alias("rang"), F.col("date0").alias("date"), "n0", F.col("date1").alias("date_n1"), "n1",
+        pct_change(F.col("n0"), F.col("n1"), "B").alias("delta_pct"),
+    )

@@ -95,11 +95,14 @@ def classify_log(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def zone_labels(rows: DataFrame, zone: str = "ZoneObservation", file: str = "fichier") -> DataFrame:
-    """Each zone label with its frequency, and in how many and which files it occurs."""
-    per_file = rows.groupBy(F.trim(zone).alias("libelle"), file).agg(F.count(F.lit(1)).alias("n"))
+    """Frequency of each zone label per file."""
+    return rows.groupBy(F.trim(zone).alias("libelle"), file).agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def zone_label_totals(per_file: DataFrame) -> DataFrame:
+    """Each label with its frequency and the number of files that carry it."""
     return per_file.groupBy("libelle").agg(
-        F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("nb_fichiers"),
-        F.array_join(F.sort_array(F.collect_set(file)), ", ").alias("fichiers"),
+        F.sum("occurrences").alias("occurrences"), F.count(F.lit(1)).alias("nb_fichiers")
     )
 
 
