@@ -32,7 +32,7 @@ def register(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def with_visits(body: str) -> str:
-    return f"WITH visits AS ({binding.VISITS_SQL}) {body}"
+    return f"WITH visits AS ({binding.VISITS_SQL}){body}" if body.startswith(",") else f"WITH visits AS ({binding.VISITS_SQL}) {body}"
 
 
 def with_raw(body: str, *cols: str) -> str:
