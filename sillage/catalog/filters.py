@@ -9,6 +9,7 @@ from sillage.catalog.base import FOREIGN, NATIONAL, OUTSIDE, VISITORS, ZONE, R,
 from sillage.functions.text import collation_key, equals_ci_ai
 from sillage.operators import filters
 from sillage.operators.aggregates import preagg
+from sillage.operators.zones import display_frame, hidden_frame
 from sillage.plans.calendar import visible_zones
 from sillage.sources.binding import departements, raw_rows, table, visits
 
@@ -108,13 +109,6 @@ def _(spark, sf):
     )
 
 
-def zone_frames(spark):
-    rows = [F.struct(F.lit(b).alias("zone"), F.lit(d).alias("affichage")) for b, d in fv.ZONE_TO_DISPLAY.items()]
-    display = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    hidden = spark.range(1).select(F.explode(F.array(*[F.lit(z) for z in fv.ZONES_HIDDEN])).alias("zone"))
-    return display, hidden
-
-
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -128,8 +122,7 @@ HIDDEN_VALUES = ", ".join(f"({quoted(z)})" for z in fv.ZONES_HIDDEN)
   WHERE z.zone IS NULL OR z.zone NOT IN (SELECT h FROM (VALUES {HIDDEN_VALUES}) x(h))""", "ZoneObservation"))
 def _(spark, sf):
     zones = raw_rows(spark, sf, "ZoneObservation").select(F.col("ZoneObservation").alias("zone")).distinct()
-    display, hidden = zone_frames(spark)
-    return visible_zones(zones, hidden, display)
+    return visible_zones(zones, hidden_frame(spark), display_frame(spark))
 
 
 @register("F11_data_mode", with_visits(" UNION ALL ".join(
