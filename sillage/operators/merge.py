@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillage.session import shared_dir
+from sillage.session import stage
 
 _SIDE = "_side"
 
@@ -161,21 +161,16 @@ def merge_dates_into(path: str, src: DataFrame, key: Sequence[str], mode: str =
     overwrite what it reads; a lost executor then only repeats tasks of one write.
     """
     spark = src.sparkSession
-    merges = {"overwrite": merge_overwrite, "keep": merge_keep, "add": merge_add, "replace": None}
-    # both are read twice below; the staged copy keeps that from recomputing the batch
-    staged_src = shared_dir(spark, "batch")
-    src.write.parquet(staged_src)
-    src = spark.read.parquet(staged_src)
+    # both frames are read twice below
+    src = stage(src, "batch")
     target = spark.read.parquet(path)
     touched = target.join(src.select(partition).distinct(), partition, "left_semi").select(*src.columns)
     if mode == "replace":
         merged = replace_dates(touched, src)
     else:
-        merged = merges[mode](touched, src, key)
-    staged = shared_dir(spark, "merge")
-    merged.write.parquet(staged)
+        merged = {"overwrite": merge_overwrite, "keep": merge_keep, "add": merge_add}[mode](touched, src, key)
     (
-        spark.read.parquet(staged).write.mode("overwrite")
+        stage(merged, "merge").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path)
     )

@@ -148,9 +148,9 @@ def slice_stats(fact: DataFrame) -> DataFrame:
     )
 
 
-def availability(fact: DataFrame, col: str = "id_commune") -> DataFrame:
+def availability(fact: DataFrame, col: str = "id_commune", by: Sequence[str] = ()) -> DataFrame:
     """What there is when a report comes back empty."""
-    return fact.agg(
+    return fact.groupBy(*by).agg(
         F.count(F.lit(1)).alias("lignes"), F.countDistinct(col).alias("membres"),
         F.coalesce(F.sum("volume"), F.lit(0).cast("long")).alias("volume"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASES: dict[str, str] = {}
 
@@ -45,3 +45,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _LOCAL_BASES[app] = tempfile.mkdtemp(prefix="sillage-")
         base = _LOCAL_BASES[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    For what several steps read: it is computed once, its lineage ends there, and a
+    lost executor costs a re-read instead of a recomputation.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
