@@ -35,7 +35,8 @@ def period_label(name: Column, start: Column, end: Column) -> Column:
 
 
 def weekday_fr(d: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in fv.WEEKDAYS_FR]), F.weekday(d) + 1)
+    # get, not element_at: the latter takes a null index for the last element
+    return F.get(F.array(*[F.lit(w) for w in fv.WEEKDAYS_FR]), F.weekday(d))
 
 
 def calendar_parts(d: Column) -> dict[str, Column]:
@@ -52,7 +53,7 @@ def calendar_extra(d: Column) -> dict[str, Column]:
         "jour": F.dayofmonth(d),
         "semestre": F.when(F.month(d) <= 6, 1).otherwise(2),
         "est_weekend": F.weekday(d) >= 5,
-        "nom_mois": F.element_at(F.array(*[F.lit(m) for m in fv.MONTHS_FR]), F.month(d)),
+        "nom_mois": F.get(F.array(*[F.lit(m) for m in fv.MONTHS_FR]), F.month(d) - 1),
     }
 
 

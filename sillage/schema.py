@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _I, _L, _S, _D, _B = T.IntegerType(), T.LongType(), T.StringType(), T.DateType(), T.BooleanType()
@@ -76,3 +77,11 @@ def grain_of(table: str) -> list[str]:
 
 def empty_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schema_for(table))
+
+
+def fit(df: DataFrame, table: str) -> DataFrame:
+    """Frame with exactly the columns and types of a table; missing columns are null."""
+    have = set(df.columns)
+    return df.select(*[
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_for(table)
+    ])

@@ -18,18 +18,13 @@ _FLAGS = {"VacancesA": "vacances_a", "VacancesB": "vacances_b", "VacancesC": "va
 
 def keep_useful(df: DataFrame, cols: Iterable[str] = fv.DELIVERY_COLUMNS) -> DataFrame:
     """Useful columns that exist, typed: bad volumes are 0, bad dates null, bad flags 0."""
-    useful = [c for c in cols if c in df.columns]
-    out = df.select(*useful)
-    if "Volume" in useful:
-        out = out.withColumn("Volume", F.coalesce(F.col("Volume").try_cast("bigint"), F.lit(0).cast("bigint")))
-    if "Date" in useful:
-        out = out.withColumn("Date", parse_iso(F.col("Date"))).withColumnRenamed("Date", "date")
-    for source, target in _FLAGS.items():
-        if source in useful:
-            out = out.withColumn(target, numeric_flag(F.col(source))).drop(source)
-    if "JourDeLaSemaine" in useful:
-        out = out.withColumnRenamed("JourDeLaSemaine", "jour_semaine")
-    return out
+    typed = {
+        "Volume": lambda c: F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint")).alias("Volume"),
+        "Date": lambda c: parse_iso(c).alias("date"),
+        "JourDeLaSemaine": lambda c: c.alias("jour_semaine"),
+        **{source: lambda c, name=name: numeric_flag(c).alias(name) for source, name in _FLAGS.items()},
+    }
+    return df.select(*[typed.get(c, lambda c: c)(F.col(c)) for c in cols if c in df.columns])
 
 
 def read_useful(spark: SparkSession, path: str | Sequence[str], cols: Iterable[str] = fv.DELIVERY_COLUMNS, sep: str = ";") -> DataFrame:

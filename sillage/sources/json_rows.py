@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,29 +30,28 @@ SPELLINGS = {
 _LABELS = ("zone", "provenance", "categorie", "departement", "pays", "duree", "epci")
 
 
-def _key(name: str) -> str:
-    return f"$['{name}']"
-
-
-def _value(json: Column, keys: tuple[str, ...]) -> Column:
-    # get_json_object tells keys apart by case, which a struct schema would not
-    return F.coalesce(*[F.get_json_object(json, _key(k)) for k in keys])
-
-
 def rows_from_json(df: DataFrame, col: str = "value", *keep: str) -> DataFrame:
-    """One typed row per JSON text; what cannot be read is null."""
-    json = F.col(col)
-    raw = {target: _value(json, keys) for target, keys in SPELLINGS.items()}
-    day = parse_iso(raw["date"])
+    """One typed row per JSON text; what cannot be read is null.
+
+    A text is parsed once for all its keys. ``json_tuple`` tells keys apart by case,
+    which a struct schema would not.
+    """
+    keys = list(dict.fromkeys(k for spellings in SPELLINGS.values() for k in spellings))
+    names = {key: f"_k{i}" for i, key in enumerate(keys)}
+    parsed = df.select(*keep, F.json_tuple(col, *keys).alias(*names.values()))
+    raw = parsed.select(*keep, *[
+        F.coalesce(*[F.col(names[k]) for k in spellings]).alias(target) for target, spellings in SPELLINGS.items()
+    ])
+    day = parse_iso(F.col("date"))
     cells = {
         "date": day,
-        **{c: normalize_label(raw[c]) for c in _LABELS},
-        "code_insee": F.nullif(F.trim(raw["code_insee"]), F.lit("")),
-        "nb_nuits": raw["nb_nuits"].try_cast("int"),
-        "jour_semaine": F.coalesce(normalize_label(raw["jour_semaine"]), weekday_fr(day)),
-        "volume": F.coalesce(raw["volume"].try_cast("bigint"), F.lit(0).cast("bigint")),
+        **{c: normalize_label(F.col(c)) for c in _LABELS},
+        "code_insee": F.nullif(F.trim("code_insee"), F.lit("")),
+        "nb_nuits": F.col("nb_nuits").try_cast("int"),
+        "jour_semaine": F.coalesce(normalize_label(F.col("jour_semaine")), weekday_fr(day)),
+        "volume": F.coalesce(F.col("volume").try_cast("bigint"), F.lit(0).cast("bigint")),
     }
-    return df.select(*keep, *[c.alias(name) for name, c in cells.items()])
+    return raw.select(*keep, *[c.alias(name) for name, c in cells.items()])
 
 
 def usable(rows: DataFrame) -> DataFrame:
