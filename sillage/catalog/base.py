@@ -66,7 +66,7 @@ def yearly(windows: Windows = SUMMER, condition: str = "TRUE") -> str:
 
 
 def change(cur: str, prev: str, policy: str) -> str:
-    pct = rnd(f"(({cur}) - ({prev})) / nullif({prev}, 0) * 100", 1)
+    pct = rnd(f"(({cur}) - ({prev})) * 100.0::DOUBLE / nullif({prev}, 0)", 1)
     zero = {
         "A": "NULL",
         "B": f"CASE WHEN {cur} = 0 THEN 0.0::DOUBLE END",
@@ -80,7 +80,7 @@ def change(cur: str, prev: str, policy: str) -> str:
 
 
 def part(value: str, whole: str, digits: int = 1, empty: str = "0.0::DOUBLE") -> str:
-    return f"CASE WHEN {whole} > 0 THEN {rnd(f'({value}) / nullif({whole}, 0) * 100', digits)} ELSE {empty} END"
+    return f"CASE WHEN {whole} > 0 THEN {rnd(f'({value}) * 100.0::DOUBLE / nullif({whole}, 0)', digits)} ELSE {empty} END"
 
 
 TOURISTS = f"zone = '{ZONE}' AND categorie = '{R.touriste}'"

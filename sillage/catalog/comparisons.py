@@ -148,7 +148,7 @@ def _(spark, sf):
     return compare.compare_departments(fact, SIDE_A, SIDE_B, 10)
 
 
-_PCT = rnd("(a - b) / nullif(b, 0) * 100", 1)
+_PCT = rnd("(a - b) * 100.0::DOUBLE / nullif(b, 0)", 1)
 TREND_SQL = f"""trends AS (SELECT id_commune, a, b, CASE WHEN b = 0 AND a > 0 THEN 'nouveau' WHEN a = 0 AND b > 0 THEN 'disparu'
     WHEN {_PCT} >= 20 THEN 'forte_croissance' WHEN {_PCT} >= 5 THEN 'croissance' WHEN {_PCT} >= -5 THEN 'stable'
     WHEN {_PCT} >= -20 THEN 'declin' ELSE 'fort_declin' END AS tendance,

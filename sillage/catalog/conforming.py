@@ -229,8 +229,8 @@ _REASONS = "concat_ws(', ', " + ", ".join(
 
 
 @register("V02_reject_report", with_raw(f""", r AS (SELECT {_REASONS} AS motif FROM ({CLEAN_SQL}))
-  SELECT motif, lignes, {rnd("lignes / (SELECT count(*) FROM r WHERE motif <> '') * 100", 1)} AS part_rejets,
-    {rnd("(SELECT count(*) FROM r WHERE motif = '') / (SELECT count(*) FROM r) * 100", 1)} AS taux_mappe
+  SELECT motif, lignes, {rnd("lignes * 100.0::DOUBLE / (SELECT count(*) FROM r WHERE motif <> '')", 1)} AS part_rejets,
+    {rnd("(SELECT count(*) FROM r WHERE motif = '') * 100.0::DOUBLE / (SELECT count(*) FROM r)", 1)} AS taux_mappe
   FROM (SELECT motif, count(*) AS lignes FROM r WHERE motif <> '' GROUP BY motif)""", *HISTORY).replace('"Date"', '"D"').replace('"Volume"', '"V"'))
 def _(spark, sf):
     checks = {

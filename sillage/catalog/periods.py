@@ -287,7 +287,7 @@ def _(spark, sf):
   s AS (SELECT annee, count(DISTINCT saison) AS saisons FROM ({SEASONS_SQL}) WHERE annee < 2001 OR saison <> 'hiver' GROUP BY annee),
   p AS (SELECT annee, count(*) AS periodes, count(id_saison) AS liees FROM l GROUP BY annee)
   SELECT annee, coalesce(saisons, 0) AS saisons, coalesce(saisons, 0) = 4 AS complete, coalesce(periodes, 0) AS periodes, coalesce(liees, 0) AS liees,
-    {rnd('liees / periodes * 100', 1)} AS taux_liaison FROM s FULL JOIN p USING (annee)"""))
+    {rnd('liees * 100.0::DOUBLE / periodes', 1)} AS taux_liaison FROM s FULL JOIN p USING (annee)"""))
 def _(spark, sf):
     known = seasons(spark, sf).where((F.col("annee") < 2001) | (F.col("saison") != "hiver"))
     return calendar.season_coverage(known, linked(spark, sf))

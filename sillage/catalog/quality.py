@@ -38,8 +38,8 @@ _RATE = """SELECT '{n}' AS "table", (SELECT count(*) FROM visits WHERE {w} AND c
   count(*) FILTER (is_provisional) AS provisoires FROM visits WHERE {w}"""
 
 
-@register("V05_migration_rate", with_visits(f"""SELECT *, {rnd('provisoires / nullif(stage, 0) * 100', 1)} AS taux_migration,
-  {rnd('provisoires / nullif(total, 0) * 100', 1)} AS part_provisoire FROM ({_RATE.format(n='fact_nuitees', w='nb_nuits > 1')}
+@register("V05_migration_rate", with_visits(f"""SELECT *, {rnd('provisoires * 100.0::DOUBLE / nullif(stage, 0)', 1)} AS taux_migration,
+  {rnd('provisoires * 100.0::DOUBLE / nullif(total, 0)', 1)} AS part_provisoire FROM ({_RATE.format(n='fact_nuitees', w='nb_nuits > 1')}
   UNION ALL {_RATE.format(n='fact_diurnes', w='nb_nuits = 1')})"""))
 def _(spark, sf):
     fact = visits(spark, sf, "nb_nuits", "categorie", "is_provisional")
@@ -62,7 +62,7 @@ def _(spark, sf):
 
 # one load result per order: family by priority, failed where the priority is not specified and the key is odd
 @register("V07_load_stats", f"""SELECT famille, count(*) AS fichiers, count(*) FILTER (charge) AS charges, {big('sum(lignes)')} AS lignes,
-  {rnd('count(*) FILTER (charge) / count(*) * 100', 1)} AS taux_succes FROM (SELECT o_orderpriority AS famille,
+  {rnd('count(*) FILTER (charge) * 100.0::DOUBLE / count(*)', 1)} AS taux_succes FROM (SELECT o_orderpriority AS famille,
     NOT (o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 2 = 1) AS charge, o_orderkey % 900 AS lignes FROM orders) GROUP BY famille""")
 def _(spark, sf):
     failed = (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderkey") % 2 == 1)
@@ -138,7 +138,7 @@ def zone_volumes(spark, sf):
 
 
 @register("V12_mapping_coverage", with_raw(
-    f"SELECT *, {rnd('(volume - volume_mappe) / nullif(volume, 0) * 100', 2)} AS perte_pct FROM ({COVERAGE_SQL})", "ZoneObservation"
+    f"SELECT *, {rnd('(volume - volume_mappe) * 100.0::DOUBLE / nullif(volume, 0)', 2)} AS perte_pct FROM ({COVERAGE_SQL})", "ZoneObservation"
 ))
 def _(spark, sf):
     return quality.mapping_coverage(zone_volumes(spark, sf), alias_frame(spark))

@@ -9,7 +9,8 @@ from sillage import fixed_values as fv
 
 
 def _change(cur: Column, prev: Column) -> Column:
-    return F.round((cur - prev) / F.nullif(prev, F.lit(0)) * 100, 1)
+    # multiplied first, so that one division rounds: 23 of 80 is 28.75, not 28.749999
+    return F.round((cur - prev) * F.lit(100.0) / F.nullif(prev, F.lit(0)), 1)
 
 
 def pct_change(cur: Column, prev: Column, policy: str = "B") -> Column:
@@ -35,7 +36,7 @@ def pct_change(cur: Column, prev: Column, policy: str = "B") -> Column:
 def share(part: Column, whole: Column, digits: int = 1, empty: float | None = 0.0) -> Column:
     """Percentage of ``whole``; ``empty`` where the whole is zero or missing."""
     nothing = F.lit(empty).cast("double")
-    return F.when(whole > 0, F.round(part / F.nullif(whole, F.lit(0)) * 100, digits)).otherwise(nothing)
+    return F.when(whole > 0, F.round(part * F.lit(100.0) / F.nullif(whole, F.lit(0)), digits)).otherwise(nothing)
 
 
 def trend_class(cur: Column, prev: Column) -> Column:

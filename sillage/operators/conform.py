@@ -15,31 +15,52 @@ from sillage.operators.merge import merge_dim
 _BUCKET_HEX = 3
 
 
-def number_new(labels: DataFrame, label: str, start: Column, name: str) -> DataFrame:
-    """Distinct labels with consecutive ids after ``start``.
+def assign_ids(labels: DataFrame, dims: Mapping[str, DataFrame | None]) -> DataFrame:
+    """Members of several dimensions at once: (dimension, membre, id).
 
-    The order is (hash bucket, label): deterministic, and spread evenly over at most
-    4096 buckets whatever the labels look like. The bucket offsets are a running
-    count over those few rows.
+    ``dims`` maps a column of ``labels`` to its stored members (membre, id) or None.
+    Stored members keep their ids, new labels get the following ones. Their order is
+    (hash bucket, label): always the same, and spread over at most 4096 buckets per
+    dimension whatever the labels look like, so no task numbers them all.
     """
-    bucketed = labels.withColumn("_bucket", F.substring(F.md5(F.col(label).cast("binary")), 1, _BUCKET_HEX))
-    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(label))
-    return (
-        bucketed.join(F.broadcast(offsets), "_bucket")  # at most 16 ** _BUCKET_HEX rows
-        .select(label, (start + F.col("_before") + inside).cast("long").alias(name))
+    names = list(dims)
+    melted = labels.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("membre")) for n in names
+    ])).alias("m")).select("m.*").where(F.col("membre").isNotNull()).distinct()
+    stored = None
+    for name, dim in dims.items():
+        if dim is not None:
+            part = dim.select(F.lit(name).alias("dimension"), "membre", F.col("id").cast("long").alias("id"))
+            stored = part if stored is None else stored.unionByName(part)
+    if stored is None:
+        return _number(melted, None)
+    new = melted.join(stored.select("dimension", "membre"), ["dimension", "membre"], "left_anti")
+    last = stored.groupBy("dimension").agg(F.max("id").alias("_last"))
+    return stored.unionByName(_number(new, last))
+
+
+def _number(new: DataFrame, last: DataFrame | None) -> DataFrame:
+    bucket = F.substring(F.md5(F.col("membre").cast("binary")), 1, _BUCKET_HEX)
+    bucketed = new.withColumn("_bucket", bucket)
+    sizes = bucketed.groupBy("dimension", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("dimension").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    if last is not None:
+        sizes = sizes.join(last, "dimension", "left")
+        start = start + F.coalesce(F.col("_last"), F.lit(0))
+    offsets = sizes.select("dimension", "_bucket", start.alias("_before"))
+    inside = F.row_number().over(W.partitionBy("dimension", "_bucket").orderBy("membre"))
+    # offsets: at most 16 ** _BUCKET_HEX rows per dimension
+    return bucketed.join(F.broadcast(offsets), ["dimension", "_bucket"]).select(
+        "dimension", "membre", (F.col("_before") + inside).cast("long").alias("id")
     )
 
 
 def get_or_create(df: DataFrame, dim: DataFrame, col: str, label: str, id_col: str) -> DataFrame:
-    """The dimension with a new id for every cleaned label of ``df`` it lacks."""
-    seen = df.select(F.col(col).alias(label)).where(F.col(col).isNotNull()).distinct()
-    new = seen.join(dim.select(label), label, "left_anti")
-    last = F.coalesce(dim.agg(F.max(id_col)).scalar(), F.lit(0))
-    added = number_new(new, label, last, id_col)
-    return dim.select(id_col, label).unionByName(added.select(id_col, label))
+    """The dimension with a new id for every label of ``df`` it lacks."""
+    stored = dim.select(F.col(label).alias("membre"), F.col(id_col).alias("id"))
+    members = assign_ids(df.select(F.col(col).alias(label)), {label: stored})
+    return members.select(F.col("id").alias(id_col), F.col("membre").alias(label))
 
 
 def attach_ids(df: DataFrame, dim: DataFrame, col: str, label: str, id_col: str, unknown: int | None = None) -> DataFrame:
@@ -128,8 +149,8 @@ def reject_report(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     rejected = F.col("_t.toutes") - F.col("_t.acceptees")
     return out.select(
         "motif", "lignes",
-        F.round(F.col("lignes") / rejected * 100, 1).alias("part_rejets"),
-        F.round(F.col("_t.acceptees") / F.col("_t.toutes") * 100, 1).alias("taux_mappe"),
+        F.round(F.col("lignes") * F.lit(100.0) / rejected, 1).alias("part_rejets"),
+        F.round(F.col("_t.acceptees") * F.lit(100.0) / F.col("_t.toutes"), 1).alias("taux_mappe"),
     )
 
 

@@ -43,36 +43,26 @@ def _answer(requests: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _exact_tiers(text: Column) -> list[tuple[str, Column]]:
-    return [
-        ("1 exact", text),
-        ("2 casse", F.lower(text)),
-        ("3 separateur", separator_key(text)),
-    ]
-
-
-def _period_keys(periods: DataFrame) -> DataFrame:
-    """(annee, niveau, cle) -> best period; a period is found by its code or its name."""
-    keys = [
-        F.struct(F.lit(level).alias("niveau"), key.alias("cle"))
-        for c in ("code_periode", "nom_periode")
-        for level, key in _exact_tiers(F.col(c))
-    ]
-    exploded = periods.select("*", F.explode(F.array(*keys)).alias("k")).select("*", "k.*")
-    return _best(exploded, ["annee", "niveau", "cle"], [])
-
-
 def resolve_period(requests: DataFrame, periods: DataFrame) -> DataFrame:
     """Window of each (annee, periode): exact code or name, then any case, then any
-    separator, else the whole year."""
-    asked = _distinct_requests(requests)
-    whole_year = F.lower(F.col("periode")).isin(fv.FULL_YEAR_CODE, fv.FULL_YEAR_LABEL.lower())
-    keys = F.array(*[
-        F.struct(F.lit(level).alias("niveau"), key.alias("cle")) for level, key in _exact_tiers(F.col("periode"))
-    ])
-    tiers = asked.where(~whole_year).select("annee", "periode", F.explode(keys).alias("k")).select("annee", "periode", "k.*")
-    found = tiers.join(_period_keys(periods), ["annee", "niveau", "cle"])
-    best = found.groupBy("annee", "periode").agg(F.min_by("p", "niveau").alias("p"), F.min("niveau").alias("niveau"))
+    separator, else the whole year.
+
+    Texts that agree exactly or but for case agree under the separator key too, so
+    one join on that key finds the candidates of all three kinds. Both sides are
+    distinct before it: what still shares a key are spellings of one label.
+    """
+    text = F.col("periode")
+    whole_year = F.lower(text).isin(fv.FULL_YEAR_CODE, fv.FULL_YEAR_LABEL.lower())
+    asked = _distinct_requests(requests).where(~whole_year).withColumn("cle", separator_key(text))
+    labels = periods.select("*", F.explode(F.array("code_periode", "nom_periode")).alias("libelle"))
+    known = _best(labels, ["annee", "libelle"], []).withColumn("cle", separator_key(F.col("libelle")))
+    level = (
+        F.when(F.col("libelle") == text, "1 exact")
+        .when(F.lower("libelle") == F.lower(text), "2 casse").otherwise("3 separateur")
+    )
+    found = asked.join(known, ["annee", "cle"]).withColumn("niveau", level)
+    rank = F.struct("niveau", "p.date_debut", "p.id_periode")
+    best = found.groupBy("annee", "periode").agg(F.min_by("p", rank).alias("p"), F.min("niveau").alias("niveau"))
     return _answer(requests, best)
 
 
@@ -309,7 +299,7 @@ def season_coverage(seasons: DataFrame, linked: DataFrame) -> DataFrame:
         (F.coalesce("saisons", F.lit(0).cast("long")) == 4).alias("complete"),
         F.coalesce("periodes", F.lit(0).cast("long")).alias("periodes"),
         F.coalesce("liees", F.lit(0).cast("long")).alias("liees"),
-        F.round(F.col("liees") / F.col("periodes") * 100, 1).alias("taux_liaison"),
+        F.round(F.col("liees") * F.lit(100.0) / F.col("periodes"), 1).alias("taux_liaison"),
     )
 
 

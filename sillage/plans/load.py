@@ -11,7 +11,7 @@ from sillage import fixed_values as fv
 from sillage.functions import text
 from sillage.functions.dates import parse_iso
 from sillage.operators.aggregates import preagg
-from sillage.operators.conform import attach_ids, get_or_create, require
+from sillage.operators.conform import assign_ids, attach_ids, require
 from sillage.operators.zones import zone_to_base
 from sillage.session import stage
 
@@ -58,19 +58,16 @@ def load_fact(
     The deliveries are read once: rows are summed per labels and those sums are
     written to the shared folder, where the dimensions and the fact read them. Rows
     that lack a required label are dropped, an unknown optional one gets id 0.
-    ``dims`` holds stored dimensions (id_x, x) that new labels are added to.
+    ``dims`` maps a name to its stored members (membre, id), which new labels are added to.
     """
     names = [*required, *optional]
     keys = ["date", *extra, *names]
     # labels of rows without volume still enter the dimensions
     counted = F.when(F.col("volume") > 0, F.col("volume"))
     labels = stage(rows.groupBy(*keys).agg(F.sum(counted).alias("volume")), "labels")
+    members = stage(assign_ids(labels, {n: (dims or {}).get(n) for n in names}), "members")
     sums = require(labels, ["date", "volume", *required])
     for name in names:
-        id_col = f"id_{name}"
-        stored = (dims or {}).get(name)
-        if stored is None:
-            stored = rows.sparkSession.createDataFrame([], f"{id_col} bigint, {name} string")
-        dim = get_or_create(labels, stored, name, name, id_col)
-        sums = attach_ids(sums, dim, name, name, id_col, unknown=0 if name in optional else None)
+        dim = members.where(F.col("dimension") == name).select(F.col("membre").alias(name), F.col("id").alias(f"id_{name}"))
+        sums = attach_ids(sums, dim, name, name, f"id_{name}", unknown=0 if name in optional else None)
     return preagg(sums, ["date", *extra, *[f"id_{n}" for n in names]])

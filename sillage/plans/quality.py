@@ -14,7 +14,7 @@ from sillage.operators.merge import common_columns, merge_flag
 
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
-    return F.round(part / F.nullif(whole, F.lit(0)) * 100, digits)
+    return F.round(part * F.lit(100.0) / F.nullif(whole, F.lit(0)), digits)
 
 
 def migrate(staging: DataFrame, main: DataFrame, key: Sequence[str], flag: str = "is_provisional") -> DataFrame:
@@ -114,7 +114,7 @@ def mapping_coverage(labels: DataFrame, aliases: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("libelles"), F.count_if(found).alias("mappes"),
         F.coalesce(F.sum("volume"), F.lit(0)).cast("long").alias("volume"),
         F.coalesce(F.sum(F.when(found, F.col("volume"))), F.lit(0)).cast("long").alias("volume_mappe"),
-    ).withColumn("perte_pct", F.round((F.col("volume") - F.col("volume_mappe")) / F.nullif("volume", F.lit(0)) * 100, 2))
+    ).withColumn("perte_pct", _pct(F.col("volume") - F.col("volume_mappe"), F.col("volume"), 2))
 
 
 def mapping_score(coverage: DataFrame, aliases: DataFrame, expected: DataFrame, files: DataFrame, files_needed: int = 3) -> DataFrame:
