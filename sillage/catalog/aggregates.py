@@ -66,7 +66,7 @@ def _(spark, sf):
   FROM (SELECT DISTINCT departement, year(date) AS annee FROM visits) GROUP BY departement"""))
 def _(spark, sf):
     years = visits(spark, sf, "date", "departement").select("departement", F.year("date").alias("annee"))
-    return agg.concat_ordered(years, ["departement"], "annee", distinct=True, descending=True)
+    return agg.concat_ordered(years, ["departement"], "annee", descending=True)
 
 
 @register("A08_concat_by_order", with_visits("""SELECT zone, string_agg(departement, ', ' ORDER BY v DESC, departement DESC) AS liste

@@ -11,9 +11,9 @@ from sillage.catalog.figures import evolutions, nights
 from sillage.catalog.rankings import sums_sql
 from sillage.functions.change import pct_change, poisson_significance, share
 from sillage.operators.aggregates import preagg
-from sillage.operators.joins import ab_merge
 from sillage.plans import compare, kpi
 from sillage.plans.rankings import two_windows
+from sillage.plans.windows import Windows
 from sillage.sources.binding import visits
 
 # communes by day: sums small enough that some are missing in one of the two weeks
@@ -23,6 +23,9 @@ PAIR_SQL = f"""pairs AS (SELECT id_commune, {big("coalesce(sum(CASE WHEN date BE
   GROUP BY id_commune)"""
 
 
+JULY = Windows.yearly("2000-07-01", "2000-07-21")
+
+
 def week(spark, sf, year: int):
     fact = visits(spark, sf, "date", "id_commune", "volume")
     days = F.col("date").between(F.lit(f"{year}-07-01").cast("date"), F.lit(f"{year}-07-21").cast("date"))
@@ -30,7 +33,7 @@ def week(spark, sf, year: int):
 
 
 def pair(spark, sf):
-    return ab_merge(week(spark, sf, 2000), week(spark, sf, 1999), "id_commune")
+    return compare.window_pair(visits(spark, sf, "date", "id_commune", "volume"), JULY, "id_commune")
 
 
 def _changes(policy: str) -> tuple:
@@ -168,11 +171,8 @@ def _(spark, sf):
     count(*) AS destinations, {big('sum(a)')} AS a, {big('sum(b)')} AS b,
     {rnd(f"avg({change('a', 'b', 'D')})", 1)} AS evolution_moyenne FROM pairs WHERE a > 0 GROUP BY ALL"""))
 def _(spark, sf):
-    per_year = preagg(visits(spark, sf, "date", "departement", "volume"), ["departement", "date"])
-    sums = [
-        per_year.where(F.year("date") == y).groupBy("departement").agg(F.sum("volume").alias("volume")) for y in (2000, 1999)
-    ]
-    return compare.size_buckets(ab_merge(*sums, "departement"))
+    whole_year = Windows.yearly("2000-01-01", "2000-12-31")
+    return compare.size_buckets(compare.window_pair(visits(spark, sf, "date", "departement", "volume"), whole_year, "departement"))
 
 
 @register("C13_emerging", with_visits(f", {PAIR_SQL}, {TREND_SQL} SELECT * FROM trends WHERE tendance = 'nouveau' AND a > 20"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sillage.catalog.base import EXCURSIONISTS, R, TOURISTS, ZONE, SUMMER, big, hit, part, register, with_periods, with_visits
-from sillage.catalog.comparisons import PAIR_SQL, pair
+from sillage.catalog.comparisons import PAIR_SQL, week
 from sillage.catalog.figures import day_visits, nights
 from sillage.catalog.rankings import origins_sql
 from sillage.functions.change import share
@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @register("J14_ab_merge", with_visits(f", {PAIR_SQL} SELECT * FROM pairs"))
 def _(spark, sf):
-    return pair(spark, sf)
+    return joins.ab_merge(week(spark, sf, 2000), week(spark, sf, 1999), "id_commune")
 
 
 @register("J15_mobility_geo", """SELECT l_suppkey AS id_commune, s_name AS commune, n_nationkey AS id_departement, n_name AS departement,

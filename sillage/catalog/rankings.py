@@ -9,7 +9,6 @@ from sillage.catalog.base import (
     with_visits,
 )
 from sillage.catalog.figures import day_visits, nights
-from sillage.operators.filters import provenance_rule
 from sillage.plans import rankings
 from sillage.sources import binding
 from sillage.sources.binding import visits
@@ -203,11 +202,8 @@ def _side(name: str, code: str) -> str:
   SELECT duree, rang, part_fr, part_intl, volume_fr, volume_intl,
     {change('volume_fr', 'w_fr', 'A')} AS delta_fr, {change('volume_intl', 'w_intl', 'A')} AS delta_intl FROM sums"""))
 def _(spark, sf):
-    # one scan gives both sides
     both = rankings.stay_distribution(nights(spark, sf, "not_local", "nb_nuits"), SUMMER, ["provenance"])
-    national = both.where(provenance_rule("national", R)).drop("provenance")
-    foreign = both.where(provenance_rule("foreign", R)).drop("provenance")
-    return rankings.stay_combined(national, foreign, 5)
+    return rankings.stay_combined(both, "provenance", R.nonlocal_, R.etranger, 5)
 
 
 def _origins_body(sql: str, member: str) -> str:

@@ -325,7 +325,7 @@ def _(spark, sf):
     path = shared_dir(spark, "fact")
     year = F.year("date").alias("annee")
     merge.write_fact(target(spark, sf), path)
-    merge.merge_dates_into(path, batch(spark, sf).select("*", year), [*GRAIN, "annee"])
+    merge.merge_partitions_into(path, batch(spark, sf).select("*", year), [*GRAIN, "annee"])
     return spark.read.parquet(path).drop("annee")
 
 
@@ -367,7 +367,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_dir(spark, "fact")
     merge.write_fact(target(spark, sf), path)
-    merge.merge_dates_into(path, batch(spark, sf).withColumn("annee", F.year("date")), [*GRAIN, "annee"], mode="replace")
+    merge.merge_partitions_into(path, batch(spark, sf).withColumn("annee", F.year("date")), [*GRAIN, "annee"], mode="replace")
     return spark.read.parquet(path).drop("annee")
 
 

@@ -62,17 +62,19 @@ def weighted_mean_column(n: Column, v: Column) -> Column:
 
 def concat_ordered(
     df: DataFrame, keys: Sequence[str], col: str, order: str | None = None,
-    name: str = "liste", distinct: bool = False, descending: bool = False,
+    name: str = "liste", descending: bool = False,
 ) -> DataFrame:
-    """Text of a column per key. The list is the answer asked for, so a key should name
-    few values: period names of a season, years of a code."""
-    if distinct:
-        values = F.sort_array(F.collect_set(col), asc=not descending)
-    else:
-        pairs = F.sort_array(F.collect_list(F.struct(F.col(order or col).alias("o"), F.col(col).alias("v"))),
-                             asc=not descending)
-        values = F.transform(pairs, lambda p: p["v"])
-    return df.groupBy(*keys).agg(F.array_join(F.transform(values, lambda v: v.cast("string")), ", ").alias(name))
+    """Distinct values of a column per key as one text, ordered by ``order`` or by themselves.
+
+    Values are made distinct before they are gathered, so what a key gathers is the
+    members of a dimension (names of periods, years), however many rows it has.
+    """
+    outermost = F.max if descending else F.min
+    members = df.groupBy(*keys, F.col(col).alias("_v")).agg(outermost(order or col).alias("_o"))
+    pairs = F.sort_array(F.collect_list(F.struct("_o", "_v")), asc=not descending)
+    return members.groupBy(*keys).agg(
+        F.array_join(F.transform(pairs, lambda p: p["_v"].cast("string")), ", ").alias(name)
+    )
 
 
 def rollup_region(fact: DataFrame, departements: DataFrame, keys: Sequence[str]) -> DataFrame:

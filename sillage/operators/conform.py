@@ -35,20 +35,19 @@ def assign_ids(labels: DataFrame, dims: Mapping[str, DataFrame | None]) -> DataF
     if stored is None:
         return _number(melted, None)
     new = melted.join(stored.select("dimension", "membre"), ["dimension", "membre"], "left_anti")
-    last = stored.groupBy("dimension").agg(F.max("id").alias("_last"))
-    return stored.unionByName(_number(new, last))
+    return stored.unionByName(_number(new, stored))
 
 
-def _number(new: DataFrame, last: DataFrame | None) -> DataFrame:
+def _number(new: DataFrame, stored: DataFrame | None) -> DataFrame:
     bucket = F.substring(F.md5(F.col("membre").cast("binary")), 1, _BUCKET_HEX)
     bucketed = new.withColumn("_bucket", bucket)
     sizes = bucketed.groupBy("dimension", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    if stored is not None:
+        # the ids in use count as a bucket before all others
+        used = stored.groupBy("dimension").agg(F.max("id").alias("_n"))
+        sizes = sizes.unionByName(used.select("dimension", F.lit("").alias("_bucket"), "_n"))
     before = W.partitionBy("dimension").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    if last is not None:
-        sizes = sizes.join(last, "dimension", "left")
-        start = start + F.coalesce(F.col("_last"), F.lit(0))
-    offsets = sizes.select("dimension", "_bucket", start.alias("_before"))
+    offsets = sizes.select("dimension", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("dimension", "_bucket").orderBy("membre"))
     # offsets: at most 16 ** _BUCKET_HEX rows per dimension
     return bucketed.join(F.broadcast(offsets), ["dimension", "_bucket"]).select(

@@ -2,7 +2,7 @@
 
 Each mode stacks target and batch and aggregates by the key: one shuffle, partial
 results before it, and no join that a heavy key could unbalance. The result is a
-new DataFrame; ``merge_dates_into`` puts it on disk for the dates a batch touches.
+new DataFrame; ``merge_partitions_into`` puts it on disk for the partitions a batch touches.
 """
 
 from __future__ import annotations
@@ -154,17 +154,19 @@ def write_fact(df: DataFrame, path: str, partition: str = "annee", date: str = "
     )
 
 
-def merge_dates_into(path: str, src: DataFrame, key: Sequence[str], mode: str = "overwrite", partition: str = "annee") -> None:
-    """Merge a batch into a partitioned table, touching only the partitions it names.
+def merge_partitions_into(path: str, src: DataFrame, key: Sequence[str], mode: str = "overwrite", partition: str = "annee") -> None:
+    """Merge a batch into a partitioned table, reading and writing only the partitions it touches.
 
-    The merged partitions are written to a fresh folder first, since a plan must not
-    overwrite what it reads; a lost executor then only repeats tasks of one write.
+    Their names come to the driver, which lists the partitions of the table anyway,
+    so that the scan is pruned before it starts. The merged rows are written to a
+    fresh folder first, since a plan must not overwrite what it reads; a lost
+    executor then only repeats tasks of one write.
     """
     spark = src.sparkSession
-    # both frames are read twice below
+    # read twice below
     src = stage(src, "batch")
-    target = spark.read.parquet(path)
-    touched = target.join(src.select(partition).distinct(), partition, "left_semi").select(*src.columns)
+    names = [row[0] for row in src.select(partition).distinct().toLocalIterator()]
+    touched = spark.read.parquet(path).where(F.col(partition).isin(names)).select(*src.columns)
     if mode == "replace":
         merged = replace_dates(touched, src)
     else:

@@ -13,6 +13,7 @@ from sillage import fixed_values as fv
 from sillage.functions.change import pct_change, size_bucket, trend_class
 from sillage.operators.aggregates import sum_or_zero
 from sillage.operators.topk import ranked_top_k, top_k_per
+from sillage.plans.windows import Windows
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,16 @@ def _sides(fact: DataFrame, a: Selection, b: Selection, by: Sequence[str] = ())
     )
 
 
+def window_pair(fact: DataFrame, windows: Windows, key: str) -> DataFrame:
+    """Volume per place now (a) and before (b), out of one scan."""
+    date = F.col("date")
+    now, before = windows[0], windows[1]
+    return fact.where(windows.first(2).any_hit(date)).groupBy(key).agg(
+        sum_or_zero(F.when(now.hit(date), F.col("volume")), "a"),
+        sum_or_zero(F.when(before.hit(date), F.col("volume")), "b"),
+    )
+
+
 def compare_ab(facts: dict[str, DataFrame], a: Selection, b: Selection) -> DataFrame:
     """Figures of A and B with difference and evolution, one row per named fact."""
     out = None

@@ -158,19 +158,21 @@ def stay_distribution(stays: DataFrame, windows: Windows, by: Sequence[str] = ()
     )
 
 
-def stay_combined(national: DataFrame, foreign: DataFrame, k: int = 5) -> DataFrame:
-    """Both distributions side by side: the k lengths with the largest summed share, and the others."""
+def stay_combined(distribution: DataFrame, side: str, national: str, foreign: str, k: int = 5) -> DataFrame:
+    """Both sides of a distribution next to each other: the k lengths with the largest
+    summed share, and the others."""
     zero = F.lit(0).cast("long")
 
-    def side(df: DataFrame, name: str) -> list[Column]:
+    def cells(member: str, name: str) -> list[Column]:
+        mine = F.col(side) == member
         return [
-            F.sum(F.when(F.col("cote") == name, F.col("part_pct"))).alias(f"part_{name}"),
-            F.sum(F.when(F.col("cote") == name, F.col("volume")).otherwise(zero)).alias(f"volume_{name}"),
-            F.sum(F.when(F.col("cote") == name, F.col("volume_n1")).otherwise(zero)).alias(f"volume_n1_{name}"),
+            F.sum(F.when(mine, F.col("part_pct"))).alias(f"part_{name}"),
+            F.sum(F.when(mine, F.col("volume")).otherwise(zero)).alias(f"volume_{name}"),
+            F.sum(F.when(mine, F.col("volume_n1")).otherwise(zero)).alias(f"volume_n1_{name}"),
         ]
 
-    both = national.withColumn("cote", F.lit("fr")).unionByName(foreign.withColumn("cote", F.lit("intl")))
-    merged = both.groupBy("nb_nuits").agg(*side(both, "fr"), *side(both, "intl"))
+    both = distribution.where(F.col(side).isin(national, foreign))
+    merged = both.groupBy("nb_nuits").agg(*cells(national, "fr"), *cells(foreign, "intl"))
     score = F.coalesce("part_fr", F.lit(0.0)) + F.coalesce("part_intl", F.lit(0.0))
     scored = merged.withColumn("score", F.round(score, 1))
     top = ranked_top_k(scored, [F.desc("score"), F.col("nb_nuits")], k).select("nb_nuits", "rang")

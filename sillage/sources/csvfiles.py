@@ -42,12 +42,12 @@ def lines_of(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def decode_lines(lines: DataFrame) -> DataFrame:
     """Text of each line: UTF-8 where the whole file is valid UTF-8, else ISO-8859-1.
 
-    A file is judged by all its lines, each task by its own share of them.
+    Only the files found to be invalid meet the lines again, and those are few.
     """
-    charset = lines.groupBy("fichier").agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8"))
+    invalid = lines.where(~F.is_valid_utf8("value")).select("fichier").distinct().withColumn("_latin", F.lit(True))
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    text = F.when(F.col("_utf8"), F.col("value")).otherwise(latin)
-    return lines.join(charset, "fichier").select("fichier", F.regexp_replace(text, "^﻿", "").alias("ligne"))
+    text = F.when(F.col("_latin"), latin).otherwise(F.col("value"))
+    return lines.join(invalid, "fichier", "left").select("fichier", F.regexp_replace(text, "^\ufeff", "").alias("ligne"))
 
 
 def read_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
@@ -91,15 +91,17 @@ def detect_delimiters(spark: SparkSession, path: str | Sequence[str]) -> DataFra
 def read_mixed(spark: SparkSession, path: str | Sequence[str], variants: int = 200) -> DataFrame:
     """Files of several delimiters and headers as one frame under normalised names.
 
-    The driver sees the distinct headers, which are schema variants and few; each
-    variant is one ordinary CSV read.
+    The driver learns which file has which header, as it knows the list of files
+    anyway; the rows themselves are one ordinary CSV read per schema variant.
     """
-    heads = detect_delimiters(spark, path).groupBy("entete", "delimiteur").agg(F.collect_list("fichier").alias("f"))
-    groups = heads.limit(variants + 1).collect()
-    if len(groups) > variants:
+    by_header: dict[tuple[str, str], list[str]] = {}
+    for row in detect_delimiters(spark, path).toLocalIterator():
+        by_header.setdefault((row["entete"], row["delimiteur"]), []).append(row["fichier"])
+    if len(by_header) > variants:
         raise ValueError("more header variants than a delivery family can have")
+    # in order of the headers, so that the columns come out the same every time
     frames = [
-        normalize_columns(spark.read.csv(g["f"], sep=g["delimiteur"], header=True)) for g in groups
+        normalize_columns(spark.read.csv(files, sep=sep, header=True)) for (_, sep), files in sorted(by_header.items())
     ]
     return align_all(frames)
 
