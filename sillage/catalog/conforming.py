@@ -16,6 +16,10 @@ from sillage.plans import load
 from sillage.sources.binding import raw_rows, table
 
 
+def literal_frame(spark, columns: str, rows: list[tuple]):
+    return spark.createDataFrame(rows, columns)
+
+
 def numbered_sql(labels: str, name: str, start: str = "0") -> str:
     """Ids as the library deals them out: by hash bucket, then by label."""
     return (
@@ -43,11 +47,11 @@ def _(spark, sf):
 
 
 @register("D01_attach_ids", with_raw(f""", rows AS (SELECT id, {synonyms(label('"Provenance"'), fv.PROVENANCE_SYNONYMS)} AS nom FROM raw),
-  {get_or_create_sql("SELECT CAST(1 AS BIGINT) AS id_provenance, 'LOCAL' AS nom", "SELECT nom FROM rows", "nom", "id_provenance")}
+  {get_or_create_sql("SELECT CAST(1 AS BIGINT) AS id_provenance, 'LOCAL' AS nom UNION ALL SELECT 7, 'AILLEURS'", "SELECT nom FROM rows", "nom", "id_provenance")}
   SELECT id, nom, id_provenance FROM rows LEFT JOIN members USING (nom)""".lstrip(), "id", "Provenance"))
 def _(spark, sf):
     rows = raw_rows(spark, sf, "id", "Provenance").select("id", text.clean_provenance(F.col("Provenance")).alias("nom"))
-    dim = spark.range(1, 2).select(F.col("id").alias("id_provenance"), F.lit(fv.LOCAL).alias("nom"))
+    dim = literal_frame(spark, "id_provenance bigint, nom string", [(1, fv.LOCAL), (7, "AILLEURS")])
     dim = conform.get_or_create(rows, dim, "nom", "nom", "id_provenance")
     return conform.attach_ids(rows, dim, "nom", "nom", "id_provenance")
 
@@ -68,10 +72,8 @@ def commune_rows(spark, sf):
   SELECT id_commune, code_insee, CASE code_insee WHEN '15001' THEN 'A' ELSE min_dep END AS departement FROM members LEFT JOIN (
     SELECT code_insee, min({synonyms('departement', fv.DEPARTMENT_SYNONYMS)}) AS min_dep FROM rows GROUP BY code_insee) USING (code_insee)""", "CodeInsee", "NomDepartement"))
 def _(spark, sf):
-    stored = spark.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(i).cast("long").alias("id_commune"), F.lit(c).alias("code_insee"), F.lit(n).alias("nom_commune"), F.lit(d).cast("string").alias("departement"))
-        for i, c, n, d in ((1, "15001", "B", "A"), (2, "15187", "C", None))
-    ])).alias("r")).select("r.*")
+    columns = "id_commune bigint, code_insee string, nom_commune string, departement string"
+    stored = literal_frame(spark, columns, [(1, "15001", "B", "A"), (2, "15187", "C", None)])
     return conform.conform_communes(commune_rows(spark, sf), stored).select("id_commune", "code_insee", "departement")
 
 
@@ -79,10 +81,7 @@ def _(spark, sf):
   LEFT JOIN (VALUES ('HAUTES TERRES', CAST(11 AS BIGINT)), ('CABA', 12), ('SUMÈNE ARTENSE', 13)) d(m, n) ON m = epci""", "id", "NomEPCI"))
 def _(spark, sf):
     rows = raw_rows(spark, sf, "id", "NomEPCI").withColumnRenamed("NomEPCI", "epci")
-    dim = spark.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("nom_epci"), F.lit(i).cast("long").alias("id_epci"))
-        for n, i in (("HAUTES TERRES", 11), ("CABA", 12), ("SUMÈNE ARTENSE", 13))
-    ])).alias("r")).select("r.*")
+    dim = literal_frame(spark, "nom_epci string, id_epci bigint", [("HAUTES TERRES", 11), ("CABA", 12), ("SUMÈNE ARTENSE", 13)])
     return conform.conform_epci(rows, dim, "epci")
 
 
@@ -97,10 +96,10 @@ def stay_rows(spark, sf):
 
 
 @register("D04_conform_stays", with_raw(f""", rows AS (SELECT {_STAY} AS duree FROM raw),
-  {get_or_create_sql("SELECT CAST(1 AS BIGINT) AS id_duree, '1 NUIT' AS duree", "SELECT duree FROM rows", "duree", "id_duree")}
+  {get_or_create_sql("SELECT CAST(1 AS BIGINT) AS id_duree, '1 NUIT' AS duree UNION ALL SELECT 2, '2 NUITS'", "SELECT duree FROM rows", "duree", "id_duree")}
   SELECT id_duree, duree, CAST(regexp_extract(duree, '^(\\d+)', 1) AS INT) AS nb_nuits FROM members""", "DureeSejour"))
 def _(spark, sf):
-    stored = spark.range(1, 2).select(F.col("id").alias("id_duree"), F.lit("1 NUIT").alias("duree"), F.lit(1).alias("nb_nuits"))
+    stored = literal_frame(spark, "id_duree bigint, duree string, nb_nuits int", [(1, "1 NUIT", 1), (2, "2 NUITS", 2)])
     return conform.conform_stays(stay_rows(spark, sf), stored)
 
 
@@ -129,10 +128,9 @@ def department_rows(spark, sf):
   SELECT departement, coalesce(s.region, d.region) AS region, coalesce(s.nouvelle_region, d.nouvelle_region) AS nouvelle_region FROM dim d FULL JOIN seen s USING (departement)""",
     "NomDepartement", "NomRegion", "NomNouvelleRegion"))
 def _(spark, sf):
-    dim = spark.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(d).alias("departement"), F.lit(r).cast("string").alias("region"), F.lit("STOCKÉE").alias("nouvelle_region"))
-        for d, r in (("LOT", "STOCKÉE"), ("CANTAL", None), ("AUTRE 98", "STOCKÉE"))
-    ])).alias("r")).select("r.*")
+    dim = literal_frame(spark, "departement string, region string, nouvelle_region string", [
+        ("LOT", "STOCKÉE", "STOCKÉE"), ("CANTAL", None, "STOCKÉE"), ("AUTRE 98", "STOCKÉE", "STOCKÉE"),
+    ])
     return conform.enrich_departments(department_rows(spark, sf), dim)
 
 
