@@ -167,12 +167,12 @@ def _(spark, sf):
     return kpi.kpi_mean_stay(nights(spark, sf, "not_local", "nb_nuits"), SUMMER)
 
 
-@register("K26_kpi_mean_stay_french", mean_sql(NATIONAL))
+@register("K25_kpi_mean_stay_french", mean_sql(NATIONAL))
 def _(spark, sf):
     return kpi.kpi_mean_stay(nights(spark, sf, "national", "nb_nuits"), SUMMER)
 
 
-@register("K27_kpi_mean_stay_foreign", mean_sql(FOREIGN))
+@register("K25_kpi_mean_stay_foreign", mean_sql(FOREIGN))
 def _(spark, sf):
     return kpi.kpi_mean_stay(nights(spark, sf, "foreign", "nb_nuits"), SUMMER)
 
@@ -232,9 +232,10 @@ BLOCK_A_SQL = " UNION ALL ".join([
 
 @register("K31_block_a", f"SELECT *, {evolutions()} FROM ({BLOCK_A_SQL})")
 def _(spark, sf):
-    cols = ("nb_nuits", "departement", "pays")
-    tourists = nights(spark, sf, None, *cols)
-    return kpi.block_a(tourists, day_visits(spark, sf, None), tourists, SUMMER, R)
+    return kpi.block_a(
+        nights(spark, sf, None), nights(spark, sf, None, "departement"), nights(spark, sf, None, "pays"),
+        nights(spark, sf, None, "nb_nuits"), day_visits(spark, sf, None), SUMMER, R,
+    )
 
 
 def _d7_row(label: str, inner: str, dated: bool) -> str:

@@ -260,9 +260,12 @@ def indicator_table(figures: Sequence[DataFrame], windows: Windows, baseline: st
     return evolution(rows, windows, baseline)
 
 
-def block_a(nights: DataFrame, day_visits: DataFrame, stays: DataFrame, windows: Windows, roles: Roles) -> DataFrame:
-    """Dashboard block A. Each fact is scanned once: nights, their departments and
-    countries, stays, and day visits summed per day."""
+def block_a(
+    nights: DataFrame, by_department: DataFrame, by_country: DataFrame, stays: DataFrame, day_visits: DataFrame,
+    windows: Windows, roles: Roles,
+) -> DataFrame:
+    """Dashboard block A. Each of the five facts is scanned once; the day visits are
+    summed per day and all their figures read those sums."""
     national, foreign = provenance_rule("national", roles), provenance_rule("foreign", roles)
     outside = provenance_rule("not_local", roles)
     guests = day_figures(day_visits.where(outside), windows, [
@@ -277,8 +280,8 @@ def block_a(nights: DataFrame, day_visits: DataFrame, stays: DataFrame, windows:
             Figure(2, "Nuitées françaises", national),
             Figure(3, "Nuitées internationales", foreign),
         ]), windows),
-        labelled(kpi_topk_sum(nights.where(national), windows, "departement", 15), windows, 4, "Départements, top 15", "Nuitées"),
-        labelled(kpi_topk_sum(nights.where(foreign), windows, "pays", 5), windows, 5, "Pays, top 5", "Nuitées"),
+        labelled(kpi_topk_sum(by_department.where(national), windows, "departement", 15), windows, 4, "Départements, top 15", "Nuitées"),
+        labelled(kpi_topk_sum(by_country.where(foreign), windows, "pays", 5), windows, 5, "Pays, top 5", "Nuitées"),
         as_indicators(guests, windows),
         as_indicators(kpi_mean_stays(stays, windows, [
             Figure(21, "Durée moyenne totale", outside, "Nuits"),

@@ -24,6 +24,11 @@ def build_session(app: str = "sillage", master: str | None = None, **conf: str)
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
+    if master is None or not master.startswith("local"):
+        # start from many small shuffle partitions and let AQE join them to this size
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8192"
+        settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "256m"
+        settings["spark.sql.files.maxPartitionBytes"] = "256m"
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

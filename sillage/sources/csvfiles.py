@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from sillage.functions.dates import parse_iso
 from sillage.functions.text import numeric_flag
 
 DELIMITERS = (";", ",", "\t", "|")
+_HEADER_BLOCK = 1 << 14
 _FLAGS = {"VacancesA": "vacances_a", "VacancesB": "vacances_b", "VacancesC": "vacances_c", "Ferie": "ferie"}
 
 
@@ -35,7 +38,7 @@ def read_useful(spark: SparkSession, path: str | Sequence[str], cols: Iterable[s
 def lines_of(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Raw lines with their file; the bytes are untouched, whatever the charset."""
     return spark.read.text(path, recursiveFileLookup="true").select(
-        F.col("_metadata.file_path").alias("fichier"), F.col("_metadata.file_block_start").alias("_bloc"), "value"
+        F.col("_metadata.file_path").alias("fichier"), "value"
     )
 
 
@@ -66,12 +69,34 @@ def arity_report(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("lignes"), F.count_if(~F.col("_arity_ok")).alias("rejetees"))
 
 
+def _open(path: str):
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_stream(re.sub("^file:/+", "/", path))
+    system, inside = pafs.FileSystem.from_uri(path)
+    return system.open_input_stream(inside)
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        heads = []
+        for path in batch["path"]:
+            head = b""
+            with _open(path) as stream:
+                while b"\n" not in head and (block := stream.read(_HEADER_BLOCK)):
+                    head += block
+            line = head.split(b"\n", 1)[0].rstrip(b"\r")
+            try:
+                heads.append(line.decode("utf-8-sig"))
+            except UnicodeDecodeError:
+                heads.append(line.decode("iso-8859-1"))
+        yield pd.DataFrame({"fichier": batch["path"], "entete": heads})
+
+
 def header_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """First line of every file; only the first block of a file is asked."""
-    first = lines_of(spark, path).where(F.col("_bloc") == 0).withColumn("_n", F.monotonically_increasing_id())
-    return first.groupBy("fichier").agg(
-        F.min_by(F.regexp_replace("value", "^﻿", ""), "_n").alias("entete")
-    )
+    """First line of every file. The files are shared out over tasks, which read them no
+    further than their first line."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.mapInPandas(_first_lines, "fichier string, entete string")
 
 
 def delimiter_of(line: Column) -> Column:
