@@ -14,6 +14,7 @@ from sillage.operators.aggregates import preagg
 from sillage.plans import compare, kpi
 from sillage.plans.rankings import two_windows
 from sillage.plans.windows import Windows
+from sillage.session import stage
 from sillage.sources.binding import visits
 
 # communes by day: sums small enough that some are missing in one of the two weeks
@@ -101,7 +102,7 @@ _SUMMED = "NATION_24"
   t AS (SELECT (SELECT {big('sum(n0)')} FROM listed) AS lignes, (SELECT {big('sum(n0)')} FROM sums) AS tout, (SELECT {big('sum(n0)')} FROM top) AS rendues)
   SELECT departement, n0, {part('n0', 'lignes')} AS part_lignes, {part('n0', 'tout')} AS part_tout, {part('n0', 'rendues')} AS part_rendues FROM top, t"""))
 def _(spark, sf):
-    sums = two_windows(nights(spark, sf, "national", "departement"), SUMMER, ["departement"])
+    sums = stage(two_windows(nights(spark, sf, "national", "departement"), SUMMER, ["departement"]), "sums")
     listed = sums.where((F.col("departement") != _SUMMED) & F.col("n0").isNotNull())
     top = listed.orderBy(F.desc("n0"), "departement").limit(10)
 

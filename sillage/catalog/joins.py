@@ -13,6 +13,7 @@ from sillage.functions.dates import calendar_extra, calendar_parts
 from sillage.operators import joins
 from sillage.operators.aggregates import preagg
 from sillage.plans import calendar, rankings
+from sillage.session import stage
 from sillage.sources import binding
 from sillage.sources.binding import OFFICIAL_SQL, SEASON_STARTS_SQL, order_periods, season_starts, table, visits
 
@@ -73,7 +74,8 @@ def _(spark, sf):
 @register("J07_with_total", with_visits(f""", s AS (SELECT pays, CAST(sum(volume) AS BIGINT) AS volume FROM visits GROUP BY pays)
   SELECT pays, volume, total, {part('volume', 'total')} AS part_pct FROM s, (SELECT CAST(sum(volume) AS BIGINT) AS total FROM s)"""))
 def _(spark, sf):
-    sums = joins.with_total(preagg(visits(spark, sf, "pays", "volume"), ["pays"]), "volume")
+    sums = stage(preagg(visits(spark, sf, "pays", "volume"), ["pays"]), "sums")
+    sums = joins.with_total(sums, "volume")
     return sums.withColumn("part_pct", share(F.col("volume"), F.col("total")))
 
 

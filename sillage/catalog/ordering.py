@@ -9,6 +9,7 @@ from sillage.catalog.filters import quoted
 from sillage.catalog.joins import SEASONS_SQL, seasons
 from sillage.operators import merge, topk
 from sillage.operators.aggregates import preagg
+from sillage.session import stage
 from sillage.sources.binding import order_periods, table, visits
 
 _BY_COMMUNE = "SELECT id_commune, CAST(sum(volume) AS BIGINT) AS volume FROM visits GROUP BY id_commune"
@@ -54,7 +55,7 @@ def _(spark, sf):
 def _(spark, sf):
     from sillage.operators.joins import with_total
 
-    return with_total(by_commune(spark, sf), "volume")
+    return with_total(stage(by_commune(spark, sf), "sums"), "volume")
 
 
 _PRIORITY = ("3-MEDIUM", "1-URGENT", "2-HIGH", "5-LOW")

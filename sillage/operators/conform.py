@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sillage.functions.text import normalize_label
 from sillage.operators.merge import merge_dim
+from sillage.session import stage
 
 # new labels are numbered inside buckets of their hash, so no task sees all of them
 _BUCKET_HEX = 3
@@ -58,7 +59,9 @@ def _number(new: DataFrame, stored: DataFrame | None) -> DataFrame:
 def get_or_create(df: DataFrame, dim: DataFrame, col: str, label: str, id_col: str) -> DataFrame:
     """The dimension with a new id for every label of ``df`` it lacks."""
     stored = dim.select(F.col(label).alias("membre"), F.col(id_col).alias("id"))
-    members = assign_ids(df.select(F.col(col).alias(label)), {label: stored})
+    # numbering reads the labels twice
+    labels = stage(df.select(F.col(col).alias(label)).distinct(), "labels")
+    members = assign_ids(labels, {label: stored})
     return members.select(F.col("id").alias(id_col), F.col("membre").alias(label))
 
 
@@ -140,16 +143,14 @@ def reject_reasons(checks: Mapping[str, Column]) -> Column:
 def reject_report(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Rows and share of each combination of failed checks, next to the mapped rate."""
     by_reason = df.groupBy(reject_reasons(checks).alias("motif")).agg(F.count(F.lit(1)).alias("lignes"))
-    totals = by_reason.agg(F.struct(
-        F.sum("lignes").alias("toutes"),
-        F.sum(F.when(F.col("motif") == "", F.col("lignes")).otherwise(0)).alias("acceptees"),
-    )).scalar()
-    out = by_reason.where(F.col("motif") != "").withColumn("_t", totals)
-    rejected = F.col("_t.toutes") - F.col("_t.acceptees")
-    return out.select(
+    # at most one row per combination of checks
+    together = W.partitionBy()
+    everything = F.sum("lignes").over(together)
+    accepted = F.coalesce(F.sum(F.when(F.col("motif") == "", F.col("lignes"))).over(together), F.lit(0))
+    return by_reason.withColumns({"_toutes": everything, "_acceptees": accepted}).where(F.col("motif") != "").select(
         "motif", "lignes",
-        F.round(F.col("lignes") * F.lit(100.0) / rejected, 1).alias("part_rejets"),
-        F.round(F.col("_t.acceptees") * F.lit(100.0) / F.col("_t.toutes"), 1).alias("taux_mappe"),
+        F.round(F.col("lignes") * F.lit(100.0) / (F.col("_toutes") - F.col("_acceptees")), 1).alias("part_rejets"),
+        F.round(F.col("_acceptees") * F.lit(100.0) / F.col("_toutes"), 1).alias("taux_mappe"),
     )
 
 

@@ -57,9 +57,13 @@ class Roles:
         self.touriste, self.excursionniste = touriste, excursionniste
 
 
+def not_sentinel(c: Column, sentinels: Iterable[str] = fv.SENTINELS) -> Column:
+    return F.coalesce(~F.upper(F.trim(c)).isin(*sentinels), F.lit(False))
+
+
 def drop_sentinels(df: DataFrame, col: str, sentinels: Iterable[str] = fv.SENTINELS) -> DataFrame:
-    label = F.upper(F.trim(F.col(col)))
-    return df.where(F.col(col).isNotNull() & ~label.isin(*sentinels))
+    """Without pre-summed, unnamed and missing members."""
+    return df.where(F.col(col).isNotNull() & ~F.upper(F.trim(F.col(col))).isin(*sentinels))
 
 
 def positive(df: DataFrame, col: str = "volume") -> DataFrame:

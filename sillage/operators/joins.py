@@ -75,7 +75,10 @@ def mobility_geo(fact: DataFrame, communes: DataFrame, departements: DataFrame)
 
 
 def with_total(df: DataFrame, col: str, name: str = "total") -> DataFrame:
-    """Every row with the sum over all rows, as a scalar subquery."""
+    """Every row with the sum over all rows, as a scalar subquery.
+
+    The frame is read twice, so stage it first where it is costly to compute.
+    """
     return df.withColumn(name, df.agg(F.sum(col).alias(name)).scalar())
 
 

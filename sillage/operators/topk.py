@@ -22,6 +22,27 @@ def ranked_top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "ra
     return top_k(df, order, k).withColumn(name, F.row_number().over(W.orderBy(*order)))
 
 
+def top_with_total(
+    sums: DataFrame, by: Sequence[str], values: Sequence[str], order: Sequence[Column], k: int,
+    listed: Column | None = None, name: str = "rang",
+) -> DataFrame:
+    """First k rows of per-member sums, and the total over all members as rank k + 1.
+
+    The total travels as one more row of the same aggregate, so the sums behind it are
+    computed once; what follows sees k + 1 rows. ``listed`` says which members may be
+    ranked, the total counts all of them.
+    """
+    rolled = sums.groupingSets([list(by), []], *by).agg(
+        *[F.sum(v).alias(v) for v in values], (F.grouping_id() > 0).alias("_total")
+    )
+    if listed is not None:
+        rolled = rolled.where(F.col("_total") | listed)
+    ranking = [F.desc("_total"), *order]
+    kept = rolled.orderBy(*ranking).limit(k + 1)
+    place = F.row_number().over(W.orderBy(*ranking)) - 1
+    return kept.withColumn(name, F.when(F.col("_total"), F.lit(k + 1)).otherwise(place))
+
+
 def top_k_per(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rang"
 ) -> DataFrame:

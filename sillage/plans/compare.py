@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sillage import fixed_values as fv
 from sillage.functions.change import pct_change, size_bucket, trend_class
 from sillage.operators.aggregates import sum_or_zero
-from sillage.operators.topk import ranked_top_k, top_k_per
+from sillage.operators.topk import top_k_per, top_with_total
 from sillage.plans.windows import Windows
 
 
@@ -64,12 +65,12 @@ def compare_ab(facts: dict[str, DataFrame], a: Selection, b: Selection) -> DataF
 def compare_departments(fact: DataFrame, a: Selection, b: Selection, k: int) -> DataFrame:
     """k departments by their larger side, with both volumes and the overall totals."""
     sides = _sides(fact, a, b, ["departement"])
-    totals = sides.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
     order = [F.desc(F.greatest("a", "b")), F.col("departement")]
-    return ranked_top_k(sides, order, k).withColumn("t", totals).select(
+    kept = top_with_total(sides, ["departement"], ["a", "b"], order, k)
+    total = {c: F.max(F.when(F.col("_total"), F.col(c))).over(W.partitionBy()) for c in ("a", "b")}
+    return kept.withColumns({"total_a": total["a"], "total_b": total["b"]}).where(~F.col("_total")).select(
         "rang", "departement", "a", "b", (F.col("a") - F.col("b")).alias("difference"),
-        pct_change(F.col("a"), F.col("b"), "C").alias("evolution_pct"),
-        F.col("t.a").alias("total_a"), F.col("t.b").alias("total_b"),
+        pct_change(F.col("a"), F.col("b"), "C").alias("evolution_pct"), "total_a", "total_b",
     )
 
 

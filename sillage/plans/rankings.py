@@ -1,7 +1,7 @@
 """Rankings of origins and destinations against the previous year.
 
-A ranking sums its fact once, per member, for both windows; the grand totals are a
-scalar subquery over those sums, which reuses their exchange.
+A ranking sums its fact once, per member, for both windows. Grand totals ride along
+as one more row of those sums, so nothing behind them is computed twice.
 """
 
 from __future__ import annotations
@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sillage.functions.change import pct_change, share
 from sillage.functions.text import to_csp
 from sillage.operators.aggregates import preagg
-from sillage.operators.filters import drop_sentinels
-from sillage.operators.topk import pad_to_k, ranked_top_k, top_k_per
+from sillage.operators.filters import drop_sentinels, not_sentinel
+from sillage.operators.topk import pad_to_k, ranked_top_k, top_k_per, top_with_total
 from sillage.plans.windows import Windows
 
 
@@ -27,13 +28,6 @@ def two_windows(fact: DataFrame, windows: Windows, by: Sequence[str]) -> DataFra
     ])
 
 
-def _totals(sums: DataFrame) -> Column:
-    return sums.agg(F.struct(
-        F.coalesce(F.sum("n0"), F.lit(0).cast("long")).alias("t0"),
-        F.coalesce(F.sum("n1"), F.lit(0).cast("long")).alias("t1"),
-    )).scalar()
-
-
 def _order(member: str) -> list[Column]:
     return [F.desc("n0"), F.col(member)]
 
@@ -45,28 +39,29 @@ def comparison_table(fact: DataFrame, windows: Windows, member: str, k: int) ->
 
 def compare_sums(sums: DataFrame, member: str, k: int) -> DataFrame:
     zero = F.lit(0).cast("long")
-    top = ranked_top_k(sums.where(F.col("n0").isNotNull()), _order(member), k).select(
-        "rang", F.coalesce(F.nullif(F.col(member), F.lit("")), F.lit("Inconnu")).alias(member),
-        "n0", F.coalesce("n1", zero).alias("n1"),
+    kept = top_with_total(sums, [member], ["n0", "n1"], _order(member), k, F.col("n0").isNotNull())
+    # k ranks and the total, also where there are fewer members: k + 1 rows from here on
+    rows = pad_to_k(kept, k + 1).select(
+        "rang", member, (F.col("rang") == k + 1).alias("_autre"), F.col("_total").isNotNull().alias("_reel"),
+        F.coalesce("n0", zero).alias("n0"), F.coalesce("n1", zero).alias("n1"),
     )
-    listed = pad_to_k(top, k)
-    rest = top.agg(F.coalesce(F.sum("n0"), zero).alias("s0"), F.coalesce(F.sum("n1"), zero).alias("s1"))
-    rest = rest.withColumn("t", _totals(sums)).select(
-        F.lit("Autre").alias("rang"), F.lit("Autre").alias(member),
-        F.greatest(F.col("t.t0") - F.col("s0"), zero).alias("n0"),
-        F.greatest(F.col("t.t1") - F.col("s1"), zero).alias("n1"), F.lit(True).alias("_reel"),
+    together = W.partitionBy()
+    cells = []
+    for n in ("n0", "n1"):
+        total = F.max(F.when(F.col("_autre"), F.col(n))).over(together)
+        top = F.coalesce(F.sum(F.when(~F.col("_autre"), F.col(n))).over(together), zero)
+        rest = F.greatest(total - top, zero)
+        cells += [F.when(F.col("_autre"), rest).otherwise(F.col(n)).alias(n), total.alias(f"t_{n}")]
+    label = (
+        F.when(F.col("_autre"), "Autre").when(~F.col("_reel"), "Données N/A")
+        .otherwise(F.coalesce(F.nullif(F.col(member), F.lit("")), F.lit("Inconnu")))
     )
-    rows = listed.select(
-        F.col("rang").cast("string").alias("rang"),
-        F.coalesce(F.col(member), F.lit("Données N/A")).alias(member),
-        F.coalesce("n0", zero).alias("n0"), F.coalesce("n1", zero).alias("n1"),
-        F.col(member).isNotNull().alias("_reel"),
-    ).unionByName(rest)
-    return rows.withColumn("t", _totals(sums)).select(
-        "rang", member, "n0", "n1",
+    filled = rows.select("rang", "_autre", (F.col("_reel") | F.col("_autre")).alias("_reel"), label.alias(member), *cells)
+    return filled.select(
+        F.when(F.col("_autre"), "Autre").otherwise(F.col("rang").cast("string")).alias("rang"), member, "n0", "n1",
         F.when(F.col("_reel"), pct_change(F.col("n0"), F.col("n1"), "B")).alias("delta_pct"),
-        share(F.col("n0"), F.col("t.t0")).alias("part_pct"),
-        share(F.col("n1"), F.col("t.t1")).alias("part_pct_n1"),
+        share(F.col("n0"), F.col("t_n0")).alias("part_pct"),
+        share(F.col("n1"), F.col("t_n1")).alias("part_pct_n1"),
     )
 
 
@@ -109,15 +104,19 @@ def origins(
     member = by[0]
     zero = F.lit(0).cast("long")
     sums = two_windows(fact if with_sentinels else drop_sentinels(fact, member), windows, by)
-    rows = drop_sentinels(sums, member) if with_sentinels else sums
-    rows = rows.select(*by, F.coalesce("n0", zero).alias("n0"), F.coalesce("n1", zero).alias("n1"))
-    alive = F.col("n0") > 0 if keep == "current" else (F.col("n0") > 0) | (F.col("n1") > 0)
-    top = ranked_top_k(rows.where(alive), _order(member), k)
-    whole = _totals(sums) if share_of == "all" else _totals(top)
-    return top.withColumn("t", whole).select(
+    alive = F.coalesce(F.col("n0") > 0, F.lit(False))
+    if keep == "either":
+        alive = alive | F.coalesce(F.col("n1") > 0, F.lit(False))
+    if with_sentinels:
+        alive = alive & not_sentinel(F.col(member))
+    sums = sums.select(*by, F.coalesce("n0", zero).alias("n0"), F.coalesce("n1", zero).alias("n1"))
+    kept = top_with_total(sums, by, ["n0", "n1"], _order(member), k, alive)
+    counted = F.col("_total") if share_of == "all" else ~F.col("_total")
+    whole = F.sum(F.when(counted, F.col("n0"))).over(W.partitionBy())
+    return kept.withColumn("t", whole).where(~F.col("_total")).select(
         "rang", *by, "n0", "n1",
         pct_change(F.col("n0"), F.col("n1"), policy).alias("delta_pct"),
-        share(F.col("n0"), F.col("t.t0"), digits).alias("part_pct"),
+        share(F.col("n0"), F.col("t"), digits).alias("part_pct"),
     )
 
 
@@ -142,16 +141,12 @@ def top_members(fact: DataFrame, member: str, k: int) -> DataFrame:
 def stay_distribution(stays: DataFrame, windows: Windows, by: Sequence[str] = ()) -> DataFrame:
     """Volume, share and change per length of stay, within each group of ``by``.
 
-    Shares divide by the group's own total, joined back on that small key.
+    Shares divide by the group's total over its lengths of stay, a short list.
     """
     sums = two_windows(stays, windows, [*by, "nb_nuits"]).where(F.col("n0").isNotNull())
-    if by:
-        totals = sums.groupBy(*by).agg(F.sum("n0").alias("_t"))
-        rows = sums.join(totals, list(by))
-    else:
-        rows = sums.withColumn("_t", sums.agg(F.sum("n0")).scalar())
+    total = F.sum("n0").over(W.partitionBy(*by))
     prev = F.coalesce("n1", F.lit(0).cast("long"))
-    return rows.select(
+    return sums.withColumn("_t", total).select(
         *by, "nb_nuits", F.col("n0").alias("volume"), prev.alias("volume_n1"),
         share(F.col("n0"), F.col("_t"), empty=None).alias("part_pct"),
         pct_change(F.col("n0"), prev, "A").alias("delta_pct"),
@@ -174,18 +169,17 @@ def stay_combined(distribution: DataFrame, side: str, national: str, foreign: st
     both = distribution.where(F.col(side).isin(national, foreign))
     merged = both.groupBy("nb_nuits").agg(*cells(national, "fr"), *cells(foreign, "intl"))
     score = F.coalesce("part_fr", F.lit(0.0)) + F.coalesce("part_intl", F.lit(0.0))
-    scored = merged.withColumn("score", F.round(score, 1))
-    top = ranked_top_k(scored, [F.desc("score"), F.col("nb_nuits")], k).select("nb_nuits", "rang")
-    lines = scored.join(top, "nb_nuits", "left").withColumn(
-        "duree", F.when(F.col("rang").isNull(), "Autres").otherwise(F.col("nb_nuits").cast("string"))
-    )
+    # lengths of stay are a short list, so they can be ranked together
+    place = F.row_number().over(W.orderBy(F.desc("score"), "nb_nuits"))
+    ranked = merged.withColumn("score", F.round(score, 1)).withColumn("rang", place)
+    lines = ranked.withColumn("duree", F.when(F.col("rang") > k, "Autres").otherwise(F.col("nb_nuits").cast("string")))
     sums = lines.groupBy("duree").agg(
         F.min("rang").alias("rang"),
         *[F.round(F.sum(F.coalesce(f"part_{s}", F.lit(0.0))), 1).alias(f"part_{s}") for s in ("fr", "intl")],
         *[F.sum(f"{v}_{s}").alias(f"{v}_{s}") for v in ("volume", "volume_n1") for s in ("fr", "intl")],
     )
     return sums.select(
-        "duree", F.coalesce("rang", F.lit(k + 1)).alias("rang"), "part_fr", "part_intl",
+        "duree", F.least("rang", F.lit(k + 1)).alias("rang"), "part_fr", "part_intl",
         "volume_fr", "volume_intl",
         pct_change(F.col("volume_fr"), F.col("volume_n1_fr"), "A").alias("delta_fr"),
         pct_change(F.col("volume_intl"), F.col("volume_n1_intl"), "A").alias("delta_intl"),
