@@ -20,20 +20,17 @@ def literal_frame(spark, columns: str, rows: list[tuple]):
     return spark.createDataFrame(rows, columns)
 
 
-def numbered_sql(labels: str, name: str, start: str = "0") -> str:
-    """Ids as the library deals them out: by hash bucket, then by label."""
-    return (
-        f"SELECT {name}, CAST({start} + row_number() OVER (ORDER BY substr(md5(CAST({name} AS VARCHAR)), 1, 3), {name}) AS BIGINT) AS id "
-        f"FROM ({labels})"
-    )
+def key(expr: str) -> str:
+    return f"strip_accents(upper(CAST({expr} AS VARCHAR)))"
 
 
 def get_or_create_sql(dim: str, seen: str, name: str, id_name: str) -> str:
-    """``dim`` is SQL for (id, name), ``seen`` SQL for (name)."""
-    return f"""dim AS ({dim}), seen AS (SELECT DISTINCT {name} FROM ({seen}) WHERE {name} IS NOT NULL),
-      new AS (SELECT {name} FROM seen WHERE {name} NOT IN (SELECT {name} FROM dim)),
-      numbered AS ({numbered_sql('SELECT * FROM new', name, f'(SELECT coalesce(max({id_name}), 0) FROM dim)')}),
-      members AS (SELECT {id_name}, {name} FROM dim UNION ALL SELECT id, {name} FROM numbered)"""
+    """``dim`` is SQL for (id, name), ``seen`` SQL for (name). Ids as the library deals
+    them out: by hash bucket of the key, then by key."""
+    return f"""dim AS ({dim}), new AS (SELECT {key(name)} AS cle, min({name}) AS {name} FROM ({seen}) WHERE {name} IS NOT NULL
+        AND {key(name)} NOT IN (SELECT {key(name)} FROM dim) GROUP BY 1),
+      members AS (SELECT {id_name}, {name} FROM dim UNION ALL SELECT CAST((SELECT coalesce(max({id_name}), 0) FROM dim)
+        + row_number() OVER (ORDER BY substr(md5(cle), 1, 3), cle) AS BIGINT), {name} FROM new)"""
 
 
 # the known half of the customer names; the others are new members
@@ -48,7 +45,7 @@ def _(spark, sf):
 
 @register("D01_attach_ids", with_raw(f""", rows AS (SELECT id, {synonyms(label('"Provenance"'), fv.PROVENANCE_SYNONYMS)} AS nom FROM raw),
   {get_or_create_sql("SELECT CAST(1 AS BIGINT) AS id_provenance, 'LOCAL' AS nom UNION ALL SELECT 7, 'AILLEURS'", "SELECT nom FROM rows", "nom", "id_provenance")}
-  SELECT id, nom, id_provenance FROM rows LEFT JOIN members USING (nom)""".lstrip(), "id", "Provenance"))
+  SELECT id, rows.nom, id_provenance FROM rows LEFT JOIN members ON strip_accents(upper(rows.nom)) = strip_accents(upper(members.nom))""".lstrip(), "id", "Provenance"))
 def _(spark, sf):
     rows = raw_rows(spark, sf, "id", "Provenance").select("id", text.clean_provenance(F.col("Provenance")).alias("nom"))
     dim = literal_frame(spark, "id_provenance bigint, nom string", [(1, fv.LOCAL), (7, "AILLEURS")])
@@ -173,13 +170,17 @@ def clean_rows(spark, sf):
 
 
 def _ids(dim: str) -> str:
-    return f"SELECT {dim}, row_number() OVER (ORDER BY substr(md5({dim}), 1, 3), {dim}) AS id FROM (SELECT DISTINCT {dim} FROM clean WHERE {dim} IS NOT NULL)"
+    return f"SELECT cle, row_number() OVER (ORDER BY substr(md5(cle), 1, 3), cle) AS id FROM (SELECT DISTINCT {key(dim)} AS cle FROM clean WHERE {dim} IS NOT NULL)"
+
+
+def _with_id(alias: str, dim: str, how: str = "JOIN") -> str:
+    return f"{how} {alias} ON {alias}.cle = {key(dim)}"
 
 
 @register("D10_load_history", with_raw(f""", clean AS (SELECT * RENAME (jour AS date) FROM ({CLEAN_SQL})),
   z AS ({_ids('zone')}), p AS ({_ids('provenance')}), c AS ({_ids('categorie')}), d AS ({_ids('departement')})
   SELECT date, CAST(z.id AS BIGINT) AS id_zone, CAST(p.id AS BIGINT) AS id_provenance, CAST(c.id AS BIGINT) AS id_categorie, CAST(d.id AS BIGINT) AS id_departement,
-    CAST(sum(volume) AS BIGINT) AS volume FROM clean JOIN z USING (zone) JOIN p USING (provenance) JOIN c USING (categorie) JOIN d USING (departement)
+    CAST(sum(volume) AS BIGINT) AS volume FROM clean {_with_id('z', 'zone')} {_with_id('p', 'provenance')} {_with_id('c', 'categorie')} {_with_id('d', 'departement')}
   WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""".replace("raw)", "raw)"), *HISTORY).replace('"Date"', '"D"').replace('"Volume"', '"V"'))
 def _(spark, sf):
     rows = clean_rows(spark, sf)
@@ -197,7 +198,7 @@ MOBILITY = ("id", "Date", "JourDeLaSemaine", "ZoneObservation", "Provenance", "C
   z AS ({_ids('zone')}), p AS ({_ids('provenance')}), c AS ({_ids('categorie')}), i AS ({_ids('insee')}), e AS ({_ids('epci')})
   SELECT date, jour_semaine, CAST(z.id AS BIGINT) AS id_zone, CAST(p.id AS BIGINT) AS id_provenance, CAST(c.id AS BIGINT) AS id_categorie,
     CAST(coalesce(e.id, 0) AS BIGINT) AS id_epci, CAST(coalesce(i.id, 0) AS BIGINT) AS id_commune, CAST(sum(volume) AS BIGINT) AS volume
-  FROM clean JOIN z USING (zone) JOIN p USING (provenance) JOIN c USING (categorie) LEFT JOIN i USING (insee) LEFT JOIN e USING (epci)
+  FROM clean {_with_id('z', 'zone')} {_with_id('p', 'provenance')} {_with_id('c', 'categorie')} {_with_id('i', 'insee', 'LEFT JOIN')} {_with_id('e', 'epci', 'LEFT JOIN')}
   WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""", *MOBILITY).replace('AS "Date"', 'AS "D"').replace('AS "Volume"', 'AS "V"'))
 def _(spark, sf):
     rows = load.conform_places(raw_rows(spark, sf, *MOBILITY), alias_frame(spark))

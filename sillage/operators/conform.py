@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sillage.functions.text import normalize_label
+from sillage.functions.text import collation_key, normalize_label
 from sillage.operators.merge import merge_dim
 from sillage.session import stage
 
@@ -17,31 +17,34 @@ _BUCKET_HEX = 3
 
 
 def assign_ids(labels: DataFrame, dims: Mapping[str, DataFrame | None]) -> DataFrame:
-    """Members of several dimensions at once: (dimension, membre, id).
+    """Members of several dimensions at once: (dimension, membre, cle, id).
 
     ``dims`` maps a column of ``labels`` to its stored members (membre, id) or None.
-    Stored members keep their ids, new labels get the following ones. Their order is
-    (hash bucket, label): always the same, and spread over at most 4096 buckets per
+    Labels that differ in case or accents only are one member, as ``cle`` says.
+    Stored members keep their ids, new ones get the following. Their order is
+    (hash bucket, key): always the same, and spread over at most 4096 buckets per
     dimension whatever the labels look like, so no task numbers them all.
     """
-    names = list(dims)
     melted = labels.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("membre")) for n in names
-    ])).alias("m")).select("m.*").where(F.col("membre").isNotNull()).distinct()
+        F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("membre")) for n in dims
+    ])).alias("m")).select("m.*").where(F.col("membre").isNotNull())
+    seen = melted.groupBy("dimension", collation_key(F.col("membre")).alias("cle")).agg(F.min("membre").alias("membre"))
     stored = None
     for name, dim in dims.items():
         if dim is not None:
-            part = dim.select(F.lit(name).alias("dimension"), "membre", F.col("id").cast("long").alias("id"))
+            part = dim.select(
+                F.lit(name).alias("dimension"), collation_key(F.col("membre")).alias("cle"), "membre",
+                F.col("id").cast("long").alias("id"),
+            )
             stored = part if stored is None else stored.unionByName(part)
     if stored is None:
-        return _number(melted, None)
-    new = melted.join(stored.select("dimension", "membre"), ["dimension", "membre"], "left_anti")
+        return _number(seen, None)
+    new = seen.join(stored.select("dimension", "cle"), ["dimension", "cle"], "left_anti")
     return stored.unionByName(_number(new, stored))
 
 
 def _number(new: DataFrame, stored: DataFrame | None) -> DataFrame:
-    bucket = F.substring(F.md5(F.col("membre").cast("binary")), 1, _BUCKET_HEX)
-    bucketed = new.withColumn("_bucket", bucket)
+    bucketed = new.withColumn("_bucket", F.substring(F.md5(F.col("cle").cast("binary")), 1, _BUCKET_HEX))
     sizes = bucketed.groupBy("dimension", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     if stored is not None:
         # the ids in use count as a bucket before all others
@@ -49,10 +52,10 @@ def _number(new: DataFrame, stored: DataFrame | None) -> DataFrame:
         sizes = sizes.unionByName(used.select("dimension", F.lit("").alias("_bucket"), "_n"))
     before = W.partitionBy("dimension").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("dimension", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("dimension", "_bucket").orderBy("membre"))
+    inside = F.row_number().over(W.partitionBy("dimension", "_bucket").orderBy("cle"))
     # offsets: at most 16 ** _BUCKET_HEX rows per dimension
     return bucketed.join(F.broadcast(offsets), ["dimension", "_bucket"]).select(
-        "dimension", "membre", (F.col("_before") + inside).cast("long").alias("id")
+        "dimension", "cle", "membre", (F.col("_before") + inside).cast("long").alias("id")
     )
 
 
@@ -66,9 +69,10 @@ def get_or_create(df: DataFrame, dim: DataFrame, col: str, label: str, id_col: s
 
 
 def attach_ids(df: DataFrame, dim: DataFrame, col: str, label: str, id_col: str, unknown: int | None = None) -> DataFrame:
-    """Id of each row's label; ``unknown`` (or null) where the dimension lacks it."""
-    ids = dim.select(F.col(label).alias(col), id_col)
-    out = df.join(ids, col, "left")
+    """Id of each row's label, whatever its case and accents; ``unknown`` (or null) where
+    the dimension lacks it."""
+    ids = dim.groupBy(collation_key(F.col(label)).alias("_cle")).agg(F.min(id_col).alias(id_col))
+    out = df.withColumn("_cle", collation_key(F.col(col))).join(ids, "_cle", "left").drop("_cle")
     return out if unknown is None else out.withColumn(id_col, F.coalesce(F.col(id_col), F.lit(unknown)))
 
 

@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASES: dict[str, str] = {}
 
+# what the joins count on; all of it can be set on a running session
+_ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed join even where that costs one more shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Adaptive settings for a session that somebody else has built."""
+    for key, value in _ADAPTIVE.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(app: str = "sillage", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs are written for; ``conf`` uses ``__`` for dots."""
@@ -18,10 +33,7 @@ def build_session(app: str = "sillage", master: str | None = None, **conf: str)
     settings = {
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        # split a skewed join even where that costs one more shuffle
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        **_ADAPTIVE,
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     if master is None or not master.startswith("local"):

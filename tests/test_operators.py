@@ -99,12 +99,22 @@ def test_ids_are_dense_stable_and_ordered_by_bucket(spark):
 def test_ids_of_several_dimensions_do_not_mix(spark):
     df = spark.createDataFrame([("a", "x"), ("b", None), ("a", "y")], "zone string, pays string")
     stored = spark.createDataFrame([("a", 5)], "membre string, id bigint")
-    got = rows(conform.assign_ids(df, {"zone": stored, "pays": None}))
+    got = rows(conform.assign_ids(df, {"zone": stored, "pays": None}).select("dimension", "membre", "id"))
     assert [(d, m) for d, m, _ in got] == [("pays", "x"), ("pays", "y"), ("zone", "a"), ("zone", "b")]
     assert {m: i for d, m, i in got if d == "zone"} == {"a": 5, "b": 6}
     assert sorted(i for d, _, i in got if d == "pays") == [1, 2]
 
 
+def test_labels_that_differ_in_accents_are_one_member(spark):
+    df = spark.createDataFrame([("PUY-DE-DÔME",), ("PUY-DE-DOME",), ("Lot",), ("LOT",), (None,)], "d string")
+    dim = spark.createDataFrame([(4, "Puy-de-Dôme")], "id_d bigint, d string")
+    full = conform.get_or_create(df, dim, "d", "d", "id_d")
+    assert rows(full) == [(4, "Puy-de-Dôme"), (5, "LOT")]
+    assert sorted((r["d"] or "", r["id_d"]) for r in conform.attach_ids(df, full, "d", "d", "id_d", unknown=0).collect()) == [
+        ("", 0), ("LOT", 5), ("Lot", 5), ("PUY-DE-DOME", 4), ("PUY-DE-DÔME", 4),
+    ]
+
+
 def test_reject_report(spark):
     df = spark.createDataFrame([(1, 1), (None, 1), (None, None), (1, 1), (None, 2)], "a int, b int")
     got = conform.reject_report(df, {"a": F.col("a").isNotNull(), "b": F.col("b").isNotNull()})
