@@ -8,11 +8,13 @@ from sillage import fixed_values as fv
 from sillage.catalog.aggregates import CALENDAR_RAW, CALENDAR_SQL, calendar_rows
 from sillage.catalog.base import register, rnd, with_raw
 from sillage.catalog.cleaning import ALIAS_VALUES, label, synonyms
+from sillage.catalog.scans import write_csv
 from sillage.functions import text
 from sillage.operators import aggregates as agg
 from sillage.operators import conform
 from sillage.operators.zones import alias_frame
 from sillage.plans import load
+from sillage.session import shared_dir
 from sillage.sources.binding import raw_rows, table
 
 
@@ -177,16 +179,26 @@ def _with_id(alias: str, dim: str, how: str = "JOIN") -> str:
     return f"{how} {alias} ON {alias}.cle = {key(dim)}"
 
 
-@register("D10_load_history", with_raw(f""", clean AS (SELECT * RENAME (jour AS date) FROM ({CLEAN_SQL})),
+HISTORY_SQL = with_raw(f""", clean AS (SELECT * RENAME (jour AS date) FROM ({CLEAN_SQL})),
   z AS ({_ids('zone')}), p AS ({_ids('provenance')}), c AS ({_ids('categorie')}), d AS ({_ids('departement')})
   SELECT date, CAST(z.id AS BIGINT) AS id_zone, CAST(p.id AS BIGINT) AS id_provenance, CAST(c.id AS BIGINT) AS id_categorie, CAST(d.id AS BIGINT) AS id_departement,
     CAST(sum(volume) AS BIGINT) AS volume FROM clean {_with_id('z', 'zone')} {_with_id('p', 'provenance')} {_with_id('c', 'categorie')} {_with_id('d', 'departement')}
-  WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""".replace("raw)", "raw)"), *HISTORY).replace('"Date"', '"D"').replace('"Volume"', '"V"'))
+  WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""".replace("raw)", "raw)"), *HISTORY).replace('"Date"', '"D"').replace('"Volume"', '"V"')
+
+
+@register("D10_load_history", HISTORY_SQL)
 def _(spark, sf):
     rows = clean_rows(spark, sf)
     return load.load_fact(rows, ("zone", "provenance", "categorie", "departement"))
 
 
+@register("D10_load_files", HISTORY_SQL)
+def _(spark, sf):
+    raw = raw_rows(spark, sf, *HISTORY)
+    path = write_csv(raw, shared_dir(spark, "history"))
+    return load.load_files(spark, path, "Nuitee_Departement", alias_frame(spark))
+
+
 MOBILITY = ("id", "Date", "JourDeLaSemaine", "ZoneObservation", "Provenance", "CategorieVisiteur", "CodeInsee", "NomEPCI", "Volume")
 
 

@@ -196,6 +196,7 @@ DEPARTMENT_COLUMNS = (
     "NomDepartement", "DeptZoneDiurneSoir", "DeptZoneNuiteeSoir",
     "DeptZoneDiurneVeille", "DeptZoneNuiteeVeille", "Departement",
 )
+GEO_COLUMNS = ("NomRegion", "NomNouvelleRegion", "Pays", "DureeSejour", "DureeSejourNum", "Age", "Geolife")
 DELIVERY_COLUMNS = (
     "Date", "VacancesA", "VacancesB", "VacancesC", "Ferie", "JourDeLaSemaine",
     "ZoneObservation", "Provenance", "CategorieVisiteur", "Volume",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +39,15 @@ def transliterate(c: Column) -> Column:
     return out
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """A column used several times in an expression but computed once per row."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def relabel(c: Column, synonyms: Mapping[str, str]) -> Column:
     """Replace known labels, keep the others."""
-    pairs = [F.lit(text) for pair in synonyms.items() for text in pair]
-    return F.coalesce(F.create_map(*pairs)[c], c)
+    known = F.create_map(*[F.lit(text) for pair in synonyms.items() for text in pair])
+    return _once(c, lambda label: F.coalesce(known[label], label))
 
 
 def clean_provenance(c: Column) -> Column:
@@ -64,17 +69,18 @@ def clean_country(c: Column) -> Column:
 
 def clean_stay(c: Column) -> Column:
     """``3N`` and ``3 NUITS`` agree, and one night is singular."""
-    spelled = F.regexp_replace(normalize_label(c), r"^([1-9]|1[0-2])N$", "$1 NUITS")
-    return F.when(spelled == "1 NUITS", F.lit("1 NUIT")).otherwise(spelled)
+    return relabel(F.regexp_replace(normalize_label(c), r"^([1-9]|1[0-2])N$", "$1 NUITS"), {"1 NUITS": "1 NUIT"})
 
 
 def clean_commune(c: Column) -> Column:
     """Whole words ``ST`` and ``STE`` are spelled out; other words keep those letters."""
-    label = normalize_label(c)
-    spelled = F.regexp_replace(label, r"(^|[ '\-])STE([ \-]|$)", "$1SAINTE$2")
-    spelled = F.regexp_replace(spelled, r"(^|[ '\-])ST([ \-]|$)", "$1SAINT$2")
     known = F.create_map(*[F.lit(t) for pair in fv.COMMUNE_SYNONYMS.items() for t in pair])
-    return F.coalesce(known[label], spelled)
+
+    def spell(label: Column) -> Column:
+        out = F.regexp_replace(label, r"(^|[ '\-])STE([ \-]|$)", "$1SAINTE$2")
+        return F.regexp_replace(out, r"(^|[ '\-])ST([ \-]|$)", "$1SAINT$2")
+
+    return _once(normalize_label(c), lambda label: F.coalesce(known[label], spell(label)))
 
 
 def clean_weekday(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.session import stage
@@ -87,6 +87,11 @@ def purge_year(df: DataFrame, year: int, date: str = "date") -> DataFrame:
     return purge_between(df, f"{year}-01-01", f"{year}-12-31", date)
 
 
+def drop_year(spark: SparkSession, table: str, year: int, partition: str = "annee") -> None:
+    """Purge of a catalog table that is partitioned by year: the partition goes, no row is read."""
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition} = {int(year)})")
+
+
 def purge_report(df: DataFrame, year: int, date: str = "date") -> DataFrame:
     """Rows a purge of the year removes, quarter by quarter."""
     hit = F.col(date).between(F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year}-12-31").cast("date"))

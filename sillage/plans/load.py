@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage import fixed_values as fv
@@ -71,3 +71,32 @@ def load_fact(
         dim = members.where(F.col("dimension") == name).select(F.col("membre").alias(name), F.col("id").alias(f"id_{name}"))
         sums = attach_ids(sums, dim, name, name, f"id_{name}", unknown=0 if name in optional else None)
     return preagg(sums, ["date", *extra, *[f"id_{n}" for n in names]])
+
+
+USEFUL = (*fv.DELIVERY_COLUMNS, *fv.GEO_COLUMNS, *fv.DEPARTMENT_COLUMNS, *fv.EPCI_COLUMNS, *fv.INSEE_COLUMNS)
+
+
+def grain_of_family(family: str) -> tuple[list[str], list[str], list[str]]:
+    """Required labels, optional labels and further columns of a file family."""
+    required = ["zone", "provenance", "categorie"]
+    if family.endswith("_Departement"):
+        required.append("departement")
+    if family.endswith("_Pays"):
+        required.append("pays")
+    if family.startswith("SejourDuree"):
+        required.append("duree")
+    if family in fv.MOBILITY_FAMILIES:
+        return required, ["epci", "commune"], ["jour_semaine"]
+    return required, [], []
+
+
+def load_files(
+    spark: SparkSession, path: str | Sequence[str], family: str, aliases: DataFrame,
+    dims: Mapping[str, DataFrame] | None = None, sep: str = ";",
+) -> DataFrame:
+    """Delivered files of one family to their fact: read, clean, number, sum."""
+    raw = spark.read.csv(path, sep=sep, header=True)
+    raw = raw.select(*[c for c in USEFUL if c in raw.columns])
+    required, optional, extra = grain_of_family(family)
+    clean = conform_places(raw, aliases) if optional else conform_labels(raw, aliases)
+    return load_fact(clean, required, optional, extra, dims)

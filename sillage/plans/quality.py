@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sillage import fixed_values as fv
 from sillage.functions.text import normalize_label
 from sillage.operators.merge import common_columns, merge_flag
+from sillage.schema import grain_of
 
 
 def _pct(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -24,6 +25,14 @@ def migrate(staging: DataFrame, main: DataFrame, key: Sequence[str], flag: str =
     return merge_flag(stored, staging.select(*cols), key)
 
 
+def migrate_all(staging: Mapping[str, DataFrame], main: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every staged fact merged into its main fact, each at its own grain."""
+    return {
+        name: migrate(staged, main[name], [c for c in grain_of(name) if c in staged.columns and c in main[name].columns])
+        for name, staged in staging.items()
+    }
+
+
 def migration_rate(staging: Mapping[str, DataFrame], main: Mapping[str, DataFrame]) -> DataFrame:
     """Per table: staged rows, provisional rows, migration rate and provisional share."""
     rows = []

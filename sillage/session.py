@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASES: dict[str, str] = {}
 
-# what the joins count on; all of it can be set on a running session
-_ADAPTIVE = {
+# what the jobs count on; all of it can be set on a running session
+_RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join even where that costs one more shuffle
@@ -19,8 +19,8 @@ _ADAPTIVE = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Adaptive settings for a session that somebody else has built."""
-    for key, value in _ADAPTIVE.items():
+    """Runtime settings for a session that somebody else has built."""
+    for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
     return spark
 
@@ -33,7 +33,7 @@ def build_session(app: str = "sillage", master: str | None = None, **conf: str)
     settings = {
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
-        **_ADAPTIVE,
+        **_RUNTIME,
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     if master is None or not master.startswith("local"):

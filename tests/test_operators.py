@@ -86,6 +86,17 @@ def test_purge_and_cutoff(target):
     assert merge.retain(target, "date", 1, "2025-01-03").count() == 1
 
 
+def test_a_year_is_dropped_as_a_partition(spark, target):
+    path = shared_dir(spark, "table")
+    target.withColumn("annee", F.year("date")).write.partitionBy("annee").option("path", path).saveAsTable("purge_me")
+    try:
+        merge.drop_year(spark, "purge_me", 2024)
+        merge.drop_year(spark, "purge_me", 1999)
+        assert [r["annee"] for r in spark.table("purge_me").select("annee").distinct().collect()] == [2025]
+    finally:
+        spark.sql("DROP TABLE purge_me")
+
+
 def test_ids_are_dense_stable_and_ordered_by_bucket(spark):
     labels = [f"L{i}" for i in range(500)]
     df = spark.createDataFrame([(x,) for x in labels * 3 if x], "zone string")

@@ -151,6 +151,30 @@ def test_load_fact_end_to_end(spark):
     assert sorted((r["id_departement"], r["volume"]) for r in optional.collect()) == [(0, 3), (1, 12)]
 
 
+def test_load_mobility_files(spark, tmp_path):
+    from sillage.operators.zones import alias_frame
+
+    (tmp_path / "LieuActivite_Soir_2025B1_x.csv").write_text(
+        "Date;JourDeLaSemaine;ZoneObservation;Provenance;CategorieVisiteur;EPCIZoneDiurneSoir;CodeInseeDiurneSoir;Bruit;Volume\n"
+        "2024-01-01;lun;Lioran;local;touriste;HTC;15001;?;5\n2024-01-01;LUNDI;STATION;Local;Touriste;htc;15001;?;6\n2024-01-01;lun;Lioran;local;touriste;;;?;7\n"
+    )
+    got = load.load_files(spark, str(tmp_path), "LieuActivite_Soir", alias_frame(spark))
+    assert sorted((r["jour_semaine"], r["id_epci"], r["id_commune"], r["volume"]) for r in got.collect()) == [("LUNDI", 0, 0, 7), ("LUNDI", 1, 1, 11)]
+
+
+def test_families_have_their_grain():
+    assert load.grain_of_family("SejourDuree_Pays") == (["zone", "provenance", "categorie", "pays", "duree"], [], [])
+    assert load.grain_of_family("LieuNuitee_Veille_Departement")[1:] == (["epci", "commune"], ["jour_semaine"])
+
+
+def test_migrate_all_keeps_each_grain(spark):
+    columns = "date date, id_zone int, id_pays int, volume bigint"
+    main = spark.createDataFrame([(DAY(2024, 1, 1), 1, 1, 5)], columns).withColumn("is_provisional", F.lit(False))
+    staged = spark.createDataFrame([(DAY(2024, 1, 1), 1, 1, 9), (DAY(2024, 1, 1), 1, 2, 3)], columns).withColumn("lot", F.lit("x"))
+    got = quality.migrate_all({"fact_nuitees_pays": staged}, {"fact_nuitees_pays": main})["fact_nuitees_pays"]
+    assert rows(got.select("id_pays", "volume", "is_provisional")) == [(1, 5, True), (2, 3, True)]
+
+
 def test_health_and_logs(spark):
     stats = spark.createDataFrame([(10, 0, 0.0), (10, 4, 100.0), (10, 9, 100.0), (10, 10, 40.0), (10, 10, 95.0), (10, 10, 70.0)], "attendus int, presents int, taux_succes double")
     assert [r["statut"] for r in quality.health_status(stats).collect()] == ["critical", "warning", "partial", "processing_error", "healthy", "operational"]
