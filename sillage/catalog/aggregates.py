@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sillage.catalog.base import OUTSIDE, TOURISTS, big, register, rnd, with_visits
+from sillage.catalog.base import OUTSIDE, TOURISTS, big, register, rnd, with_raw, with_visits
 from sillage.catalog.figures import nights
 from sillage.functions.dates import parse_iso
 from sillage.functions.text import clean_weekday, numeric_flag, parse_flag
@@ -105,7 +105,7 @@ CALENDAR_SQL = f"""SELECT date, max({_NUM.format(c='VacancesA')}) AS vacances_a,
   max(CASE WHEN lower(trim("Ferie")) IN ('1', 'true', 'yes', 'on', 'y') THEN 1 ELSE 0 END) AS ferie,
   min({WEEKDAY_CASE}) AS jour_semaine, CAST(month(date) AS INT) AS mois, CAST(year(date) AS INT) AS annee,
   CAST(quarter(date) AS INT) AS trimestre, CAST(weekofyear(date) AS INT) AS semaine
-  FROM (SELECT *, TRY_CAST("jour" AS DATE) AS date FROM raw) WHERE date IS NOT NULL GROUP BY date"""
+  FROM (SELECT *, TRY_CAST("Jour" AS DATE) AS date FROM raw) WHERE date IS NOT NULL GROUP BY date"""
 
 
 def calendar_rows(spark, sf):
@@ -117,12 +117,7 @@ def calendar_rows(spark, sf):
     )
 
 
-CALENDAR_RAW = ", ".join(
-    f'{binding.RAW_COLUMNS[c]} AS "{c if c != "Date" else "jour"}"' for c in CALENDAR_COLUMNS
-)
-
-
-@register("A11_build_calendar", f"WITH raw AS (SELECT {CALENDAR_RAW} FROM orders) {CALENDAR_SQL}")
+@register("A11_build_calendar", with_raw(CALENDAR_SQL, *CALENDAR_COLUMNS))
 def _(spark, sf):
     return agg.build_calendar(calendar_rows(spark, sf))
 

@@ -131,7 +131,7 @@ def _(spark, sf):
     )
 
 
-@register("N16_valid_iso_date", with_raw("""SELECT id, coalesce(regexp_matches("Date", '^\\d{4}-\\d{2}-\\d{2}$') AND TRY_CAST("Date" AS DATE) IS NOT NULL, FALSE) AS valide
+@register("N16_valid_iso_date", with_raw("""SELECT id, coalesce(regexp_matches("Jour", '^\\d{4}-\\d{2}-\\d{2}$') AND TRY_CAST("Jour" AS DATE) IS NOT NULL, FALSE) AS valide
   FROM raw""", "id", "Date"))
 def _(spark, sf):
     return raw_rows(spark, sf, "id", "Date").select("id", dates.valid_iso_date(F.col("Date")).alias("valide"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sillage import fixed_values as fv
-from sillage.catalog.aggregates import CALENDAR_RAW, CALENDAR_SQL, calendar_rows
+from sillage.catalog.aggregates import CALENDAR_COLUMNS, CALENDAR_SQL, calendar_rows
 from sillage.catalog.base import register, rnd, with_raw
 from sillage.catalog.cleaning import ALIAS_VALUES, label, synonyms
 from sillage.catalog.scans import write_csv
@@ -47,7 +47,7 @@ def _(spark, sf):
 
 @register("D01_attach_ids", with_raw(f""", rows AS (SELECT id, {synonyms(label('"Provenance"'), fv.PROVENANCE_SYNONYMS)} AS nom FROM raw),
   {get_or_create_sql("SELECT CAST(1 AS BIGINT) AS id_provenance, 'LOCAL' AS nom UNION ALL SELECT 7, 'AILLEURS'", "SELECT nom FROM rows", "nom", "id_provenance")}
-  SELECT id, rows.nom, id_provenance FROM rows LEFT JOIN members ON strip_accents(upper(rows.nom)) = strip_accents(upper(members.nom))""".lstrip(), "id", "Provenance"))
+  SELECT id, rows.nom, id_provenance FROM rows LEFT JOIN members ON strip_accents(upper(rows.nom)) = strip_accents(upper(members.nom))""", "id", "Provenance"))
 def _(spark, sf):
     rows = raw_rows(spark, sf, "id", "Provenance").select("id", text.clean_provenance(F.col("Provenance")).alias("nom"))
     dim = literal_frame(spark, "id_provenance bigint, nom string", [(1, fv.LOCAL), (7, "AILLEURS")])
@@ -102,9 +102,9 @@ def _(spark, sf):
     return conform.conform_stays(stay_rows(spark, sf), stored)
 
 
-@register("D05_extend_calendar", f"""WITH raw AS (SELECT {CALENDAR_RAW} FROM orders), fresh AS ({CALENDAR_SQL}),
+@register("D05_extend_calendar", with_raw(f""", fresh AS ({CALENDAR_SQL}),
   old AS (SELECT * REPLACE (0 AS ferie, 'STOCKÉ' AS jour_semaine) FROM fresh WHERE annee < 1998)
-  SELECT * FROM old UNION ALL SELECT * FROM fresh WHERE date NOT IN (SELECT date FROM old)""")
+  SELECT * FROM old UNION ALL SELECT * FROM fresh WHERE date NOT IN (SELECT date FROM old)""", *CALENDAR_COLUMNS))
 def _(spark, sf):
     fresh = agg.build_calendar(calendar_rows(spark, sf))
     stored = fresh.where(F.col("annee") < 1998).withColumns({"ferie": F.lit(0), "jour_semaine": F.lit("STOCKÉ")})
@@ -162,9 +162,9 @@ def _(spark, sf):
 
 HISTORY = ("id", "Date", "ZoneObservation", "Provenance", "CategorieVisiteur", "NomDepartement", "DureeSejour", "Volume")
 CLEAN_SQL = f"""SELECT id, jour, coalesce(b, zone) AS zone, provenance, categorie, departement, duree, volume FROM (
-  SELECT id, CASE WHEN regexp_matches("Date", '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN TRY_CAST("Date" AS DATE) END AS jour, {label('"ZoneObservation"')} AS zone,
+  SELECT id, CASE WHEN regexp_matches("Jour", '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN TRY_CAST("Jour" AS DATE) END AS jour, {label('"ZoneObservation"')} AS zone,
     {synonyms(label('"Provenance"'), fv.PROVENANCE_SYNONYMS)} AS provenance, {synonyms(label('"CategorieVisiteur"'), fv.CATEGORY_SYNONYMS)} AS categorie,
-    {_DEP} AS departement, {_STAY} AS duree, coalesce(TRY_CAST("Volume" AS BIGINT), 0) AS volume FROM raw) LEFT JOIN (VALUES {ALIAS_VALUES}) t(a, b) ON a = zone"""
+    {_DEP} AS departement, {_STAY} AS duree, coalesce(TRY_CAST("Quantite" AS BIGINT), 0) AS volume FROM raw) LEFT JOIN (VALUES {ALIAS_VALUES}) t(a, b) ON a = zone"""
 
 
 def clean_rows(spark, sf):
@@ -183,7 +183,7 @@ HISTORY_SQL = with_raw(f""", clean AS (SELECT * RENAME (jour AS date) FROM ({CLE
   z AS ({_ids('zone')}), p AS ({_ids('provenance')}), c AS ({_ids('categorie')}), d AS ({_ids('departement')})
   SELECT date, CAST(z.id AS BIGINT) AS id_zone, CAST(p.id AS BIGINT) AS id_provenance, CAST(c.id AS BIGINT) AS id_categorie, CAST(d.id AS BIGINT) AS id_departement,
     CAST(sum(volume) AS BIGINT) AS volume FROM clean {_with_id('z', 'zone')} {_with_id('p', 'provenance')} {_with_id('c', 'categorie')} {_with_id('d', 'departement')}
-  WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""".replace("raw)", "raw)"), *HISTORY).replace('"Date"', '"D"').replace('"Volume"', '"V"')
+  WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""", *HISTORY)
 
 
 @register("D10_load_history", HISTORY_SQL)
@@ -203,15 +203,15 @@ MOBILITY = ("id", "Date", "JourDeLaSemaine", "ZoneObservation", "Provenance", "C
 
 
 @register("D11_load_mobility", with_raw(f""", clean AS (SELECT jour AS date, coalesce(b, zone) AS zone, provenance, categorie, js AS jour_semaine, insee, epci, volume FROM (
-  SELECT CASE WHEN regexp_matches("D", '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN TRY_CAST("D" AS DATE) END AS jour, {label('"ZoneObservation"')} AS zone,
+  SELECT CASE WHEN regexp_matches("Jour", '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN TRY_CAST("Jour" AS DATE) END AS jour, {label('"ZoneObservation"')} AS zone,
     {synonyms(label('"Provenance"'), fv.PROVENANCE_SYNONYMS)} AS provenance, {synonyms(label('"CategorieVisiteur"'), fv.CATEGORY_SYNONYMS)} AS categorie,
-    {synonyms(label('"JourDeLaSemaine"'), fv.WEEKDAY_SYNONYMS)} AS js, {_INSEE} AS insee, {label('"NomEPCI"')} AS epci, coalesce(TRY_CAST("V" AS BIGINT), 0) AS volume FROM raw)
+    {synonyms(label('"JourDeLaSemaine"'), fv.WEEKDAY_SYNONYMS)} AS js, {_INSEE} AS insee, {label('"NomEPCI"')} AS epci, coalesce(TRY_CAST("Quantite" AS BIGINT), 0) AS volume FROM raw)
     LEFT JOIN (VALUES {ALIAS_VALUES}) t(a, b) ON a = zone),
   z AS ({_ids('zone')}), p AS ({_ids('provenance')}), c AS ({_ids('categorie')}), i AS ({_ids('insee')}), e AS ({_ids('epci')})
   SELECT date, jour_semaine, CAST(z.id AS BIGINT) AS id_zone, CAST(p.id AS BIGINT) AS id_provenance, CAST(c.id AS BIGINT) AS id_categorie,
     CAST(coalesce(e.id, 0) AS BIGINT) AS id_epci, CAST(coalesce(i.id, 0) AS BIGINT) AS id_commune, CAST(sum(volume) AS BIGINT) AS volume
   FROM clean {_with_id('z', 'zone')} {_with_id('p', 'provenance')} {_with_id('c', 'categorie')} {_with_id('i', 'insee', 'LEFT JOIN')} {_with_id('e', 'epci', 'LEFT JOIN')}
-  WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""", *MOBILITY).replace('AS "Date"', 'AS "D"').replace('AS "Volume"', 'AS "V"'))
+  WHERE date IS NOT NULL AND volume > 0 GROUP BY ALL""", *MOBILITY))
 def _(spark, sf):
     rows = load.conform_places(raw_rows(spark, sf, *MOBILITY), alias_frame(spark))
     return load.load_fact(rows, ("zone", "provenance", "categorie"), optional=("epci", "commune"), extra=("jour_semaine",))
@@ -228,7 +228,7 @@ def _(spark, sf):
 
 
 @register("V01_require_ids", with_raw(f"""SELECT id FROM ({CLEAN_SQL}) WHERE jour IS NOT NULL AND zone IS NOT NULL AND provenance IS NOT NULL
-  AND categorie IS NOT NULL AND departement IS NOT NULL""", *HISTORY).replace('"Date"', '"D"').replace('"Volume"', '"V"'))
+  AND categorie IS NOT NULL AND departement IS NOT NULL""", *HISTORY))
 def _(spark, sf):
     return conform.require(clean_rows(spark, sf), ["date", "zone", "provenance", "categorie", "departement"]).select("id")
 
@@ -242,7 +242,7 @@ _REASONS = "concat_ws(', ', " + ", ".join(
 @register("V02_reject_report", with_raw(f""", r AS (SELECT {_REASONS} AS motif FROM ({CLEAN_SQL}))
   SELECT motif, lignes, {rnd("lignes * 100.0::DOUBLE / (SELECT count(*) FROM r WHERE motif <> '')", 1)} AS part_rejets,
     {rnd("(SELECT count(*) FROM r WHERE motif = '') * 100.0::DOUBLE / (SELECT count(*) FROM r)", 1)} AS taux_mappe
-  FROM (SELECT motif, count(*) AS lignes FROM r WHERE motif <> '' GROUP BY motif)""", *HISTORY).replace('"Date"', '"D"').replace('"Volume"', '"V"'))
+  FROM (SELECT motif, count(*) AS lignes FROM r WHERE motif <> '' GROUP BY motif)""", *HISTORY))
 def _(spark, sf):
     checks = {
         "Date": F.col("date").isNotNull(), "ZoneObservation": F.col("zone").isNotNull(),

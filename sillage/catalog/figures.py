@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sillage.catalog.base import (
     EXCURSIONISTS, FOREIGN, NATIONAL, OUTSIDE, SUMMER, TOURISTS, VISITORS, ZONE, R, big, change, hit, register,
     rnd, with_visits, yearly,

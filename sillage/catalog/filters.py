@@ -61,8 +61,8 @@ def _(spark, sf):
 
 
 @register("F06_positive", with_raw(
-    'SELECT id, volume FROM (SELECT id, coalesce(TRY_CAST("Volume" AS BIGINT), 0) AS volume FROM raw) WHERE volume > 0', "id", "Volume"
-).replace('"Volume"', '"v"'))
+    'SELECT id, volume FROM (SELECT id, coalesce(TRY_CAST("Quantite" AS BIGINT), 0) AS volume FROM raw) WHERE volume > 0', "id", "Volume"
+))
 def _(spark, sf):
     raw = raw_rows(spark, sf, "id", "Volume")
     return filters.positive(raw.select("id", F.coalesce(F.col("Volume").try_cast("bigint"), F.lit(0).cast("bigint")).alias("volume")))

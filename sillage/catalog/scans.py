@@ -30,12 +30,12 @@ def _num(c: str) -> str:
     return f'coalesce(CAST(trunc(TRY_CAST("{c}" AS DOUBLE)) AS INT), 0)'
 
 
-READ_SQL = f"""SELECT TRY_CAST(nullif(d, '') AS DATE) AS date, {_num('VacancesA')} AS vacances_a, {_num('VacancesB')} AS vacances_b, {_num('VacancesC')} AS vacances_c,
+READ_SQL = f"""SELECT TRY_CAST(nullif("Jour", '') AS DATE) AS date, {_num('VacancesA')} AS vacances_a, {_num('VacancesB')} AS vacances_b, {_num('VacancesC')} AS vacances_c,
   {_num('Ferie')} AS ferie, "JourDeLaSemaine" AS jour_semaine, "ZoneObservation", nullif("Provenance", '') AS "Provenance", "CategorieVisiteur",
-  coalesce(TRY_CAST(v AS BIGINT), 0) AS "Volume" FROM raw"""
+  coalesce(TRY_CAST("Quantite" AS BIGINT), 0) AS "Volume" FROM raw"""
 
 
-@register("S01_read_useful", with_raw(READ_SQL, *DELIVERED).replace('AS "Date"', "AS d").replace('END AS "Volume"', "END AS v"))
+@register("S01_read_useful", with_raw(READ_SQL, *DELIVERED))
 def _(spark, sf):
     path = write_csv(raw_rows(spark, sf, *DELIVERED, "id"), shared_dir(spark, "delivery"))
     return csvfiles.read_useful(spark, path)
@@ -374,9 +374,10 @@ def _(spark, sf):
 @register("S23_replace_all", _merged("SELECT * FROM batch"))
 def _(spark, sf):
     path = shared_dir(spark, "table")
-    target(spark, sf).write.parquet(path)
-    batch(spark, sf).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    year = F.year("date")
+    target(spark, sf).withColumn("annee", year).write.partitionBy("annee").parquet(path)
+    merge.replace_all(batch(spark, sf).withColumn("annee", year), path, "annee")
+    return spark.read.parquet(path).drop("annee")
 
 
 @register("S24_purge_year", with_visits("SELECT date, zone, CAST(sum(volume) AS BIGINT) AS volume FROM visits WHERE year(date) <> 1998 GROUP BY ALL"))

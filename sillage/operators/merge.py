@@ -154,23 +154,30 @@ def write_fact(df: DataFrame, path: str, partition: str = "annee", date: str = "
     (
         df.hint("rebalance", F.col(partition))
         .sortWithinPartitions(partition, "zone", date)
-        .write.mode("overwrite").partitionBy(partition)
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition)
         .option("compression", "zstd").parquet(path)
     )
 
 
+def replace_all(df: DataFrame, path: str, *partitions: str) -> None:
+    """The whole table replaced, partitions that the new rows lack included."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+
 def merge_partitions_into(path: str, src: DataFrame, key: Sequence[str], mode: str = "overwrite", partition: str = "annee") -> None:
     """Merge a batch into a partitioned table, reading and writing only the partitions it touches.
 
     Their names come to the driver, which lists the partitions of the table anyway,
     so that the scan is pruned before it starts. The merged rows are written to a
     fresh folder first, since a plan must not overwrite what it reads; a lost
-    executor then only repeats tasks of one write.
+    executor then only repeats tasks of one write. A merge that was cut short can be
+    run again, except in mode ``add``.
     """
     spark = src.sparkSession
     # read twice below
     src = stage(src, "batch")
-    names = [row[0] for row in src.select(partition).distinct().toLocalIterator()]
+    names = [row[0] for row in src.select(partition).distinct().collect()]
     touched = spark.read.parquet(path).where(F.col(partition).isin(names)).select(*src.columns)
     if mode == "replace":
         merged = replace_dates(touched, src)

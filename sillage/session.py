@@ -34,7 +34,6 @@ def build_session(app: str = "sillage", master: str | None = None, **conf: str)
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
         **_RUNTIME,
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     if master is None or not master.startswith("local"):
         # start from many small shuffle partitions and let AQE join them to this size

@@ -156,9 +156,13 @@ def raw_rows(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(*[F.expr(RAW_COLUMNS[c]).alias(c) for c in names])
 
 
+# in SQL texts these two are renamed, since names there do not tell case and the results have a date and a volume
+SQL_NAMES = {"Date": "Jour", "Volume": "Quantite"}
+
+
 def raw_sql(*cols: str) -> str:
     names = cols or tuple(RAW_COLUMNS)
-    return "SELECT " + ", ".join(f'{RAW_COLUMNS[c]} AS "{c}"' for c in names) + " FROM orders"
+    return "SELECT " + ", ".join(f'{RAW_COLUMNS[c]} AS "{SQL_NAMES.get(c, c)}"' for c in names) + " FROM orders"
 
 
 # one business period per order: a code used by one customer over the years

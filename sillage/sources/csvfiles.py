@@ -120,7 +120,7 @@ def read_mixed(spark: SparkSession, path: str | Sequence[str], variants: int = 2
     anyway; the rows themselves are one ordinary CSV read per schema variant.
     """
     by_header: dict[tuple[str, str], list[str]] = {}
-    for row in detect_delimiters(spark, path).toLocalIterator():
+    for row in detect_delimiters(spark, path).collect():
         by_header.setdefault((row["entete"], row["delimiteur"]), []).append(row["fichier"])
     if len(by_header) > variants:
         raise ValueError("more header variants than a delivery family can have")
