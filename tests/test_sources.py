@@ -160,3 +160,15 @@ def test_work_folder_is_the_one_the_session_names(spark):
     assert first != second
     if base:
         assert first.startswith(base.rstrip("/") + "/")
+
+
+def test_task_functions_travel_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark.cloudpickle import cloudpickle
+
+    for function in (archives._expand, csvfiles._first_lines):
+        load = "import pickle, sys; print(pickle.load(sys.stdin.buffer).__name__); assert 'sillage' not in sys.modules"
+        done = subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(function), capture_output=True, cwd=tmp_path, timeout=60)
+        assert done.returncode == 0, done.stderr
