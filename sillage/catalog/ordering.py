@@ -84,21 +84,19 @@ def _(spark, sf):
     return topk.top_k(by_commune(spark, sf), largest(), 10)
 
 
-@register("T02_order_custom", f"""SELECT id, priorite, CAST(ordre AS BIGINT) AS ordre FROM (SELECT o_orderkey AS id, o_orderpriority AS priorite, {_RANK} AS ordre FROM orders)
-  ORDER BY ordre, id LIMIT 100""")
+@register("T02_order_custom", f"SELECT o_orderkey AS id, o_orderpriority AS priorite, CAST({_RANK} AS BIGINT) AS ordre FROM orders ORDER BY ordre, id")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priorite"))
-    ranked = rows.withColumn("ordre", topk.custom_order(F.col("priorite"), _PRIORITY))
-    return topk.top_k(ranked, [F.col("ordre"), F.col("id")], 100)
+    return topk.order_custom(rows, "priorite", _PRIORITY, "id")
 
 
 @register("T03_order_multi", """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS jour, o_totalprice AS montant FROM orders
-  ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey LIMIT 50""")
+  ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey""")
 def _(spark, sf):
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("jour"), F.col("o_totalprice").alias("montant")
     )
-    return topk.top_k(rows, [F.desc("jour"), F.desc("montant"), F.col("id")], 50)
+    return topk.order_multi(rows, ["jour", "montant"], "id")
 
 
 @register("T04_sum_top_k", with_visits(f"SELECT {big('coalesce(sum(volume), 0)')} AS somme FROM ({_BY_COMMUNE} ORDER BY volume DESC, id_commune LIMIT 15)"))

@@ -71,6 +71,15 @@ def custom_order(col: Column, values: Sequence[str]) -> Column:
     return F.when(pos > 0, pos).otherwise(F.lit(len(values) + 1).cast("long"))
 
 
+def order_custom(df: DataFrame, col: str, values: Sequence[str], *then: str, name: str = "ordre") -> DataFrame:
+    """Rows in the order of a given list, then by further columns; the position is kept."""
+    return df.withColumn(name, custom_order(F.col(col), values)).orderBy(name, *then)
+
+
+def order_multi(df: DataFrame, descending: Sequence[str], *then: str) -> DataFrame:
+    return df.orderBy(*[F.desc(c) for c in descending], *then)
+
+
 def first_by_priority(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row of each key that comes first under ``order``.
 

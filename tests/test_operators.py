@@ -195,6 +195,12 @@ def test_ranks_pages_and_padding(spark):
     assert [r["k"] for r in padded] == ["b", "c", "e", "a", "f", "d", None, None]
 
 
+def test_orders(spark):
+    df = spark.createDataFrame([(1, "x", 5), (2, "b", 5), (3, "a", 7), (4, "b", 1)], "id int, k string, v int")
+    assert [r["id"] for r in topk.order_custom(df, "k", ["b", "a"], "id").collect()] == [2, 4, 3, 1]
+    assert [r["id"] for r in topk.order_multi(df, ["v", "k"], "id").collect()] == [3, 1, 2, 4]
+
+
 def test_schemas(spark):
     assert len(schema.FACTS) == 2 * 6 + 3 + 12
     for name in schema.PRESETS["all"]:
