@@ -55,11 +55,16 @@ class Figure:
     note: str = ""
 
 
-def kpi_totals(fact: DataFrame, windows: Windows, figures: Sequence[Figure]) -> DataFrame:
-    """Several figures over one fact in one scan: (numero, indicateur, n0.., unite, remarque)."""
+def kpi_totals(fact: DataFrame, windows: Windows, figures: Sequence[Figure], by: Sequence[str] = ("provenance",)) -> DataFrame:
+    """Several figures over one fact in one scan: (numero, indicateur, n0.., unite, remarque).
+
+    The rows are summed per day and per column the conditions look at; the many
+    conditional sums then read those few rows.
+    """
+    wanted = _in_windows(fact, windows).where(reduce(lambda a, b: a | b, [f.condition for f in figures]))
+    sums = wanted.groupBy(DATE, *by).agg(F.sum(VOLUME).alias(VOLUME))
     cells = [c for i, f in enumerate(figures) for c in yearly_sums(windows, f.condition, f"f{i}_")]
-    wide = _in_windows(fact, windows).where(reduce(lambda a, b: a | b, [f.condition for f in figures])).agg(*cells)
-    return _figure_rows(wide, windows, figures)
+    return _figure_rows(sums.agg(*cells), windows, figures)
 
 
 def _figure_rows(wide: DataFrame, windows: Windows, figures: Sequence[Figure]) -> DataFrame:
@@ -211,10 +216,11 @@ def kpi_mean_stay(stays: DataFrame, windows: Windows) -> DataFrame:
     return _in_windows(stays, windows).agg(*mean_cells(windows))
 
 
-def kpi_mean_stays(stays: DataFrame, windows: Windows, figures: Sequence[Figure]) -> DataFrame:
-    """Mean stays of several groups of visitors in one scan."""
+def kpi_mean_stays(stays: DataFrame, windows: Windows, figures: Sequence[Figure], by: Sequence[str] = ("provenance",)) -> DataFrame:
+    """Mean stays of several groups of visitors in one scan, summed per day and length first."""
+    sums = _in_windows(stays, windows).groupBy(DATE, *by, "nb_nuits").agg(F.sum(VOLUME).alias(VOLUME))
     cells = [c for i, f in enumerate(figures) for c in mean_cells(windows, f.condition, f"f{i}_")]
-    return _figure_rows(_in_windows(stays, windows).agg(*cells), windows, figures)
+    return _figure_rows(sums.agg(*cells), windows, figures)
 
 
 def evolution(df: DataFrame, windows: Windows, baseline: str = "reference") -> DataFrame:
