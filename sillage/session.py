@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_BASES: dict[str, str] = {}
-
 # what the jobs count on; all of it can be set on a running session
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,7 +23,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "sillage", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the jobs are written for; ``conf`` uses ``__`` for dots."""
+    """Session with the settings the jobs are written for; ``conf`` uses ``__`` for dots.
+
+    Sizes that follow the cluster (shuffle partitions, bytes per partition) are the caller's: see the README.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -35,11 +35,6 @@ def build_session(app: str = "sillage", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         **_RUNTIME,
     }
-    if master is None or not master.startswith("local"):
-        # start from many small shuffle partitions and let AQE join them to this size
-        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8192"
-        settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "256m"
-        settings["spark.sql.files.maxPartitionBytes"] = "256m"
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -49,17 +44,9 @@ def build_session(app: str = "sillage", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session, as in tests, may fall back to a temporary folder: on a
-    cluster the executors would not see each other's files there.
+    Where none is set, the folder lies below ``spark.sql.warehouse.dir``, which executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_BASES:
-            _LOCAL_BASES[app] = tempfile.mkdtemp(prefix="sillage-")
-        base = _LOCAL_BASES[app]
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
