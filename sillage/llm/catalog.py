@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sillage.llm import jaccard
+from sillage.llm import bpe, jaccard, repetition, tokenfiles
 from sillage.llm.ship import ship
+from sillage.session import shared_dir
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +32,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_register
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@_register
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "tokens")
+    tokenfiles.write(_table(spark, sf_dir, "documents"), out, TOKENIZER, END_ID)
+    return tokenfiles.checksums(tokenfiles.read(spark, out))
+
+
+@_register
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(_table(spark, sf_dir, "documents"))

@@ -24,14 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillage.llm.text import (
     PLAIN,
     Block,
     blocks,
-    inside_texts,
     mix,
     ngram_hashes,
     prefix_sums,
@@ -356,3 +355,16 @@ def jaccard_components(
         F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"),
         F.when(F.col("_n") > 0, F.col("_rep")).otherwise(F.col("_id")).alias("class_id"),
     )
+
+
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: the one with the smallest id.
+
+    Of rows with the same id that carry one text, one stays; texts without words link with nothing, so their rows stay.
+    Rows without id stay only where no row of their group has one.
+    """
+    found = jaccard_components(docs, id_col, text_col, **settings)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"), F.col("n_shingles").alias("_n")).distinct()
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]))
+    first = F.row_number().over(Window.partitionBy("_kept", F.xxhash64(text_col)).orderBy(text_col))
+    return rows.withColumn("_nth", F.when(F.col("_n") > 0, first).otherwise(1)).where("_nth = 1").select(*docs.columns)
