@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, jaccard, repetition, tokenfiles
+from sillage.llm import bpe, fmindex, jaccard, repetition, tokenfiles
 from sillage.llm.ship import ship
 from sillage.session import shared_dir
 
@@ -54,3 +54,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fmindex.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return fmindex.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
