@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, fmindex, jaccard, repetition, tokenfiles
+from sillage.llm import bpe, fmindex, jaccard, pii, repetition, tokenfiles
 from sillage.llm.ship import ship
 from sillage.session import shared_dir
 
@@ -29,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @_register
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
@@ -60,3 +64,12 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fmindex.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return fmindex.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@_register
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans_of(_table(spark, sf_dir, "documents"))
+    counts = [_count("base", kind) for kind in pii.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
+    )
