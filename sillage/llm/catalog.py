@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, fmindex, jaccard, pii, repetition, tokenfiles
+from sillage.llm import bpe, fmindex, jaccard, pii, repetition, secrets, tokenfiles
 from sillage.llm.ship import ship
 from sillage.session import shared_dir
 
@@ -73,3 +73,13 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
     )
+
+
+@_register
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    counts = [_count("base", kind) for kind in secrets.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans")
+    )
