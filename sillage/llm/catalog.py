@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, fmindex, jaccard, pii, repetition, secrets, tokenfiles
+from sillage.llm import bpe, fmindex, jaccard, pii, repetition, secrets, tokenfiles, toxicity
 from sillage.llm.ship import ship
 from sillage.session import shared_dir
 
@@ -83,3 +83,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans")
     )
+
+
+@_register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
