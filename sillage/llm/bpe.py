@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from sillage.llm.text import ragged, range_hashes
 
-BLOCK_CHARS = 1 << 20
-KEEP_WORDS = 1_000_000
-LANES = 1 << 14
+BLOCK_CHARS = 1 << 19
+KEEP_WORDS = 300_000
+LANES = 1 << 12
 WIDEST = 64
 _NONE = np.int64(1) << np.int64(62)
 
@@ -40,7 +40,7 @@ CONTRACTIONS_2 = ("re", "ve", "ll")
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def char_classes() -> np.ndarray:
     """0 white space, 1 letter, 2 number, 3 other, by code point."""
     table = np.full(0x110000, 3, np.uint8)
     kinds = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000))
@@ -213,7 +213,7 @@ class Bpe:
 
     def _cut(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words in an array of code points that ends in white space."""
-        kind = _classes()[codes]
+        kind = char_classes()[codes]
         start = kind > 0
         start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         quotes = np.flatnonzero(start & (codes == ord("'")))

@@ -20,30 +20,40 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from sillage.llm.bpe import Bpe, runs_of_texts
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+CALL_WORDS = 4_096
 
 
 class LibraryWords(Bpe):
-    """Words encoded by the library: joined by spaces, and parted again after each token that ends a word."""
+    """Words encoded by the library, many in one call; they are parted again after each token that ends a word.
+
+    The words are normalized and cut already, so the library's own tokenizer is told to part them at spaces.
+    """
 
     def __init__(self, path: str):
         super().__init__(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.normalizer = normalizers.Sequence([])
+        at_spaces = pre_tokenizers.Split(" ", "removed")
+        self.library.pre_tokenizer = pre_tokenizers.Sequence([at_spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
         self.ends_word = np.array(ends)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.library.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int32)
-        last = np.flatnonzero(self.ends_word[ids])
-        return ids, np.diff(last, prepend=-1)
+        parts = []
+        for low in range(0, len(words), CALL_WORDS):
+            text = b" ".join(words[low : low + CALL_WORDS]).decode()
+            parts.append(np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32))
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
 
 
 @lru_cache(maxsize=2)
@@ -76,14 +86,12 @@ def _write_task(path: str, end_id: int):
 def write(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes ``docs`` into files below ``out``, in ascending id order from file to file and within each.
 
-    Null and empty texts are written with the end id alone. Rows with the same id stay all; their order is by the
-    hash of the text and then as read. Rows without an id come first. Other columns are not written.
+    Null and empty texts are written with the end id alone. Rows with the same id stay all; their order is as
+    read. Rows without an id come first. Other columns are not written.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    order = ["_id", "_hash", "_row"]
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select(
-        "_id", "_text", F.xxhash64("_text").alias("_hash"), F.monotonically_increasing_id().alias("_row")
-    )
+    order = ["_id", "_row"]  # the row parts a hot id
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     sorted_rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
     schema = f"shard int, shard_start long, _id {kind}, n_tokens long, ids array<int>"
     tokens = sorted_rows.mapInArrow(_write_task(path, end_id), schema).withColumnRenamed("_id", id_col)
