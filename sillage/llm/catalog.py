@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, fmindex, jaccard, langid, pii, repetition, secrets, tokenfiles, toxicity
+from sillage.llm import bpe, fmindex, jaccard, langid, linecrf, pii, repetition, secrets, tokenfiles, toxicity
 from sillage.llm.ship import ship
 from sillage.session import shared_dir
 
@@ -95,3 +95,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
+
+
+@_register
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return linecrf.score(docs, linecrf.train(docs, _table(spark, sf_dir, "labels")))
