@@ -367,8 +367,9 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return out.select(F.col("_id").alias(id_col), F.col("_decoded").alias("decoded"))
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass: the id, ``ids`` and ``decoded``."""
-    schema = f"_id {_kind(docs, id_col)}, _ids array<int>, _decoded string"
-    out = docs.select(id_col, text_col).mapInArrow(_encode_task(path, True), schema)
-    return out.select(F.col("_id").alias(id_col), F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"))
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: the id, ``ids``, ``decoded`` and the columns ``keep``."""
+    carried = [id_col, *(keep or [])]
+    read = docs.select(F.struct(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carried))).alias("_id"), F.col(text_col).alias("_text"))
+    out = read.mapInArrow(_encode_task(path, True), f"_id {_kind(read, '_id')}, _ids array<int>, _decoded string")
+    return out.select(*(F.col(f"_id._c{i}").alias(c) for i, c in enumerate(carried)), F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"))

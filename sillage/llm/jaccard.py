@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sillage.llm.text import (
@@ -292,16 +292,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components need more than {rounds} rounds")
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100
-) -> DataFrame:
-    """One row per row of ``docs``: the id, n_shingles, component_id and class_id.
-
-    component_id is the smallest id that is reachable by links, the own id included; class_id is the smallest
-    id with the same set. Texts that are null or have no word have an empty set, link with nothing and are
-    their own component. Repeated rows are rows of one class. A row without id links like any other; ids that
-    are null are not counted as smallest unless a component has no other. Other columns are not read.
-    """
+def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their set's size and fingerprint, and for each fingerprint its component, smallest ids of class and component."""
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_text_hash", F.xxhash64("_text"))
     kind = texts.schema["_id"].dataType.simpleString()
     described = stage(
@@ -349,7 +341,20 @@ def jaccard_components(
     named = classes.select("_c", "_p1", "_p2", "_rep").join(labels, classes["_c"] == labels["_a"], "left")
     named = named.select("_p1", "_p2", "_rep", F.coalesce("_label", "_c").alias("_label"))
     least = named.groupBy("_label").agg(F.min("_rep").alias("_least"))
-    named = stage(named.join(least, "_label").select("_p1", "_p2", "_rep", "_least"), "components")
+    return described, stage(named.join(least, "_label"), "components")
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100
+) -> DataFrame:
+    """One row per row of ``docs``: the id, n_shingles, component_id and class_id.
+
+    component_id is the smallest id that is reachable by links, the own id included; class_id is the smallest
+    id with the same set. Texts that are null or have no word have an empty set, link with nothing and are
+    their own component. Repeated rows are rows of one class. A row without id links like any other; ids that
+    are null are not counted as smallest unless a component has no other. Other columns are not read.
+    """
+    described, named = _components_of_rows(docs, id_col, text_col, n, num, den)
     return described.join(named, ["_p1", "_p2"], "left").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"),
         F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"),
@@ -357,14 +362,17 @@ def jaccard_components(
     )
 
 
-def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """``docs`` with one row of each group of linked texts: the one with the smallest id.
-
-    Of rows with the same id that carry one text, one stays; texts without words link with nothing, so their rows stay.
-    Rows without id stay only where no row of their group has one.
+def one_of_each_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100
+) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: the one with the smallest id, of rows with that id the
+    text with the smallest hash, of repeated rows one. Texts without words link with nothing, so all their rows stay.
     """
-    found = jaccard_components(docs, id_col, text_col, **settings)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"), F.col("n_shingles").alias("_n")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]))
-    first = F.row_number().over(Window.partitionBy("_kept", F.xxhash64(text_col)).orderBy(text_col))
-    return rows.withColumn("_nth", F.when(F.col("_n") > 0, first).otherwise(1)).where("_nth = 1").select(*docs.columns)
+    described, named = _components_of_rows(docs, id_col, text_col, n, num, den)
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_text_hash")).alias("_first")
+    kept = described.where("_n > 0").join(named, ["_p1", "_p2"]).groupBy("_label").agg(first)
+    kept = kept.select(F.col("_first._id").alias("_kept"), F.col("_first._text_hash").alias("_kept_hash"))
+    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
+    rows = hashed.join(kept, hashed[id_col].eqNullSafe(kept["_kept"]) & (hashed["_hash"] == kept["_kept_hash"]))
+    wordless = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    return rows.dropDuplicates([id_col, "_hash"]).select(*docs.columns).unionByName(wordless)
