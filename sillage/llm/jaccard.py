@@ -372,7 +372,8 @@ def one_of_each_component(
     first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_text_hash")).alias("_first")
     kept = described.where("_n > 0").join(named, ["_p1", "_p2"]).groupBy("_label").agg(first)
     kept = kept.select(F.col("_first._id").alias("_kept"), F.col("_first._text_hash").alias("_kept_hash"))
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    rows = hashed.join(kept, hashed[id_col].eqNullSafe(kept["_kept"]) & (hashed["_hash"] == kept["_kept_hash"]))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    hashed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), whole)
+    rows = hashed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")))
     wordless = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    return rows.dropDuplicates([id_col, "_hash"]).select(*docs.columns).unionByName(wordless)
+    return rows.dropDuplicates(["_id", "_hash"]).select("_doc.*").unionByName(wordless)
