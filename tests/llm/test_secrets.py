@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from cases import empty, odd
+
+from sillage.llm import secrets
+
+PATTERNS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24),
+)
+
+
+def brute(text):
+    found = [(m.start(), i, k, m.end()) for i, (k, p, n) in enumerate(PATTERNS) for m in re.finditer(p, text or "", re.ASCII) if len(m[1]) >= n]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+
+
+def base(df, model):
+    return sorted(((r["doc_id"], r["b"]) for r in secrets.scan(df, model).select("doc_id", secrets.listed("base").alias("b")).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return secrets.train(docs)
+
+
+def test_whole_table(docs, texts, model):
+    assert base(docs, model) == sorted(((i, brute(t)) for i, t in texts.items()), key=repr)
+
+
+def test_patterns_without_retries(shipped, model):
+    rng = random.Random(5)
+    bits = ["token", "=", "secret", " ", ":", "'", '"', "Password", "abc", "AKIA", "A" * 16, "0123456789abcdef" * 2, "é", "\n", "api_key", "APIKEY", "f", "x9"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(20)))) for i in range(1500)] + [(9001, "token=abcdefgh " * 1000), (9002, "a" * 100_000)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string")
+    assert base(df, model) == sorted(((i, brute(t)) for i, t in rows), key=repr)
+
+
+def test_random_strings_are_added_and_words_are_not(shipped, model):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(i, "key " + "".join(rng.choice(letters) for _ in range(30)) + " end") for i in range(50)]
+    rows += [(100, "the internationalization of thingsandthenthat"), (101, "token=" + rows[0][1][4:34])]
+    found = {r["doc_id"]: r["s"] for r in secrets.scan(shipped.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id", secrets.listed("spans").alias("s")).collect()}
+    assert sum(found[i] == "random:4:34" for i in range(50)) >= 48
+    assert found[100] == "" and found[101] == "assign:0:36"
+
+
+def test_plan_is_native(docs, model):
+    plan = secrets.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_odd_rows(shipped, model):
+    df = odd(shipped)
+    assert base(df, model) == sorted(((r["doc_id"], brute(r["text"])) for r in df.collect()), key=repr)
+    assert base(empty(shipped), secrets.train(empty(shipped))) == []
