@@ -55,6 +55,20 @@ def _(spark, sf):
     return csvfiles.read_csv_lenient(spark, path, ["id", "zone", "departement"]).drop("fichier")
 
 
+@register("S02_headers_per_file", with_raw("""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 < 2 THEN "ZoneObservation" END AS zone, CASE WHEN id % 3 <> 1 THEN "NomDepartement" END AS departement, TRUE AS _arity_ok
+  FROM raw""", "id", "ZoneObservation", "NomDepartement"))
+def _(spark, sf):
+    rows = raw_rows(spark, sf, "id", "ZoneObservation", "NomDepartement").select(
+        "id", F.col("ZoneObservation").alias("zone"), F.col("NomDepartement").alias("departement")
+    )
+    path = shared_dir(spark, "headers")
+    third = F.col("id") % 3
+    write_csv(rows.where(third == 0), path)
+    write_csv(rows.where(third == 1).select("zone", "id"), path, encoding="ISO-8859-1")
+    write_csv(rows.where(third == 2).select("departement", "id"), path)
+    return csvfiles.read_csv_lenient(spark, path, ["id", "zone", "departement"]).drop("fichier")
+
+
 @register("S02_arity_report", "SELECT count(*) AS lignes, count(*) FILTER (o_orderkey % 29 = 0) AS rejetees FROM orders")
 def _(spark, sf):
     return csvfiles.arity_report(_lenient(spark, sf))
@@ -142,19 +156,33 @@ def _zipped(batches):
             with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
                 z.writestr("profond.csv", text)
                 z.writestr("notes.txt", "x")
-            with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as z:
+            with zipfile.ZipFile(outer, "w", zipfile.ZIP_STORED if doc_id % 10 == 5 else zipfile.ZIP_DEFLATED) as z:
                 z.writestr("doc.csv", text)
                 z.writestr("lot/interne.zip", inner.getvalue())
-            contents.append(b"broken" if doc_id % 10 == 0 else outer.getvalue())
+            blob = outer.getvalue()
+            if doc_id % 10 == 5:
+                # the last byte of the first member, so its checksum fails
+                end = blob.index(b"PK\x03\x04", 4) - 1
+                blob = blob[:end] + bytes([blob[end] ^ 1]) + blob[end + 1 :]
+            contents.append(b"broken" if doc_id % 10 == 0 else blob)
         yield pd.DataFrame({"path": [str(d) for d in batch["doc_id"]], "content": contents})
 
 
+def _expanded(spark, sf):
+    return archives.expand_archives(table(spark, sf, "documents").select("doc_id", "text").mapInPandas(_zipped, "path string, content binary"))
+
+
+@register("S08_skipped_members", """SELECT CAST(doc_id AS VARCHAR) AS archive, CASE WHEN doc_id % 10 = 5 THEN 'doc.csv' END AS membre, CASE WHEN doc_id % 10 = 5 THEN 'membre' ELSE 'archive' END AS rejet
+  FROM documents WHERE doc_id % 10 IN (0, 5)""")
+def _(spark, sf):
+    return _expanded(spark, sf).where("rejet IS NOT NULL").select("archive", "membre", "rejet")
+
+
 @register("S08_read_zip_tree", """SELECT CAST(doc_id AS VARCHAR) AS archive, membre, CAST(n - 1 AS BIGINT) AS numero, rtrim(lignes[n], chr(13)) AS ligne FROM (
   SELECT doc_id, membre, lignes, unnest(range(1, len(lignes) + 1)) AS n FROM (SELECT doc_id, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS lignes
-    FROM documents WHERE doc_id % 10 <> 0 AND text <> ''), (VALUES ('doc.csv'), ('profond.csv')) m(membre))""")
+    FROM documents WHERE doc_id % 10 <> 0 AND text <> ''), (VALUES ('doc.csv'), ('profond.csv')) m(membre) WHERE membre <> 'doc.csv' OR doc_id % 10 <> 5)""")
 def _(spark, sf):
-    zipped = table(spark, sf, "documents").select("doc_id", "text").mapInPandas(_zipped, "path string, content binary")
-    lines = archives.expand_archives(zipped)
+    lines = _expanded(spark, sf).where("rejet IS NULL")
     return lines.select(F.split("archive", "/")[0].alias("archive"), "membre", "numero", F.decode("ligne", "UTF-8").alias("ligne"))
 
 
@@ -329,6 +357,26 @@ def _(spark, sf):
     return spark.read.parquet(path).drop("annee")
 
 
+def _with_undated(spark, sf, who: str, dated):
+    """``dated`` and rows of 1998 that have lost their date."""
+    fact = visits(spark, sf, *GRAIN, "categorie", "volume").where(F.col("categorie") == who)
+    lost = preagg(_between(fact, "1998-01-01", "1998-12-31"), ["zone", "departement"])
+    return dated.unionByName(lost.withColumn("date", F.lit(None).cast("date"))).withColumn("annee", F.year("date"))
+
+
+def _undated_sql(name: str, who: str) -> str:
+    return f"SELECT NULL::DATE AS date, zone, departement, CAST(sum(volume) AS BIGINT) AS volume FROM visits WHERE categorie = '{who}' AND year(date) = 1998 GROUP BY ALL"
+
+
+@register("S17_merge_on_disk_undated", _merged(f"""SELECT date, zone, departement, coalesce(s.volume, t.volume) AS volume {_FULL}
+  UNION ALL SELECT NULL, zone, departement, coalesce(s.volume, t.volume) FROM ({_undated_sql('t', 'A')}) t FULL JOIN ({_undated_sql('s', 'R')}) s USING (zone, departement)"""))
+def _(spark, sf):
+    path = shared_dir(spark, "fact")
+    merge.write_fact(_with_undated(spark, sf, "A", target(spark, sf)), path)
+    merge.merge_partitions_into(path, _with_undated(spark, sf, "R", batch(spark, sf)), [*GRAIN, "annee"])
+    return spark.read.parquet(path).drop("annee")
+
+
 @register("S18_merge_keep", _merged(f"SELECT date, zone, departement, coalesce(t.volume, s.volume) AS volume {_FULL}"))
 def _(spark, sf):
     return merge.merge_keep(target(spark, sf), batch(spark, sf), GRAIN)
@@ -434,7 +482,10 @@ def _(spark, sf):
     return filters.like(table(spark, sf, "documents"), "text", "Tion").select("doc_id", "n_chars")
 
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 _ROLE = {"lineitem": "fact_nuitees", "orders": "fact_diurnes_temp", "nation": "dim_departements", "region": "dim_regions"}
 
 
@@ -446,11 +497,14 @@ def _(spark, sf):
     return quality.inventory({_ROLE.get(t, t): table(spark, sf, t) for t in _TABLES})
 
 
-@register("S29_inventory_totals", f"""SELECT classe, count(*) AS tables, {big('sum(lignes)')} AS lignes FROM (
-  SELECT 'fait' AS classe, count(*) AS lignes FROM lineitem UNION ALL SELECT 'dimension', count(*) FROM nation UNION ALL SELECT 'dimension', count(*) FROM region) GROUP BY classe""")
+_CLASS = "CASE WHEN suffix(\"table\", '_temp') THEN 'staging' WHEN prefix(\"table\", 'fact_') THEN 'fait' WHEN prefix(\"table\", 'dim_') THEN 'dimension' ELSE 'autre' END"
+
+
+@register("S29_inventory_totals", f"SELECT classe, count(*) AS tables, {big('sum(lignes)')} AS lignes FROM (SELECT {_CLASS} AS classe, lignes FROM (" + " UNION ALL ".join(
+    f"""SELECT '{_ROLE.get(t, t)}' AS "table", count(*) AS lignes FROM {t}""" for t in _TABLES
+) + ")) GROUP BY classe")
 def _(spark, sf):
-    listed = quality.inventory({_ROLE[t]: table(spark, sf, t) for t in ("lineitem", "nation", "region")})
-    return quality.inventory_totals(listed)
+    return quality.inventory_totals(quality.inventory({_ROLE.get(t, t): table(spark, sf, t) for t in _TABLES}))
 
 
 @register("S30_schema_for", """SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS INT) AS id_zone, CAST(NULL AS INT) AS id_provenance, CAST(NULL AS INT) AS id_categorie,

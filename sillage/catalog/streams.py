@@ -53,6 +53,17 @@ def _(spark, sf):
     return delivered(spark, sf).groupBy("livraison").agg(F.count(F.lit(1)).alias("lignes"), F.sum("volume").alias("volume"))
 
 
+@register("X01_two_streams", f"WITH {DELIVERIES_SQL} SELECT livraison, count(*) AS lignes, {big('sum(volume)')} AS volume FROM deliveries WHERE livraison < 3 GROUP BY livraison")
+def _(spark, sf):
+    lots = shared_dir(spark, "lots")
+    for number in (1, 2):
+        inbox, checkpoint = shared_dir(spark, "inbox"), shared_dir(spark, "checkpoint")
+        delivery(spark, sf, number).write.parquet(inbox)
+        ingest.ingest(ingest.read_new_files(spark, inbox, spark.read.parquet(inbox).schema), lots, checkpoint)
+    rows = spark.read.parquet(lots)
+    return rows.groupBy("livraison").agg(F.count(F.lit(1)).alias("lignes"), F.sum("volume").alias("volume"))
+
+
 @register("X02_upsert_batch", f"WITH {DELIVERIES_SQL} SELECT date, zone, id_commune, arg_max(volume, livraison) AS volume FROM deliveries GROUP BY ALL")
 def _(spark, sf):
     return ingest.latest(delivered(spark, sf), KEY, "livraison")

@@ -94,8 +94,8 @@ def parse_flag(c: Column) -> Column:
 
 
 def numeric_flag(c: Column) -> Column:
-    """Flag columns of the bulk files: ``1.0`` is 1; text and null are 0."""
-    return F.coalesce(c.try_cast("double").cast("int"), F.lit(0))
+    """Flag columns of the bulk files: ``1.0`` is 1; text, null and what no flag can be (NaN, 1e20) are 0."""
+    return F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))
 
 
 def separator_key(c: Column) -> Column:

@@ -160,7 +160,9 @@ def write_fact(df: DataFrame, path: str, partition: str = "annee", date: str = "
 
 
 def replace_all(df: DataFrame, path: str, *partitions: str) -> None:
-    """The whole table replaced, partitions that the new rows lack included."""
+    """The whole table replaced, partitions that the new rows lack included; one file per partition that fits a task."""
+    if partitions:
+        df = df.hint("rebalance", *[F.col(p) for p in partitions])
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
@@ -169,7 +171,8 @@ def merge_partitions_into(path: str, src: DataFrame, key: Sequence[str], mode: s
     """Merge a batch into a partitioned table, reading and writing only the partitions it touches.
 
     Their names come to the driver, which lists the partitions of the table anyway,
-    so that the scan is pruned before it starts. The merged rows are written to a
+    so that the scan is pruned before it starts; rows without a partition value are
+    one partition more. The merged rows are written to a
     fresh folder first, since a plan must not overwrite what it reads; a lost
     executor then only repeats tasks of one write. A merge that was cut short can be
     run again, except in mode ``add``.
@@ -178,13 +181,16 @@ def merge_partitions_into(path: str, src: DataFrame, key: Sequence[str], mode: s
     # read twice below
     src = stage(src, "batch")
     names = [row[0] for row in src.select(partition).distinct().collect()]
-    touched = spark.read.parquet(path).where(F.col(partition).isin(names)).select(*src.columns)
+    hit = F.col(partition).isin([n for n in names if n is not None])
+    if None in names:
+        hit = hit | F.col(partition).isNull()
+    touched = spark.read.parquet(path).where(hit).select(*src.columns)
     if mode == "replace":
         merged = replace_dates(touched, src)
     else:
         merged = {"overwrite": merge_overwrite, "keep": merge_keep, "add": merge_add}[mode](touched, src, key)
     (
-        stage(merged, "merge").write.mode("overwrite")
+        stage(merged, "merge").hint("rebalance", F.col(partition)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path)
     )

@@ -66,15 +66,6 @@ def resolve_period(requests: DataFrame, periods: DataFrame) -> DataFrame:
     return _answer(requests, best)
 
 
-def _substrings(c: Column, shortest: int) -> Column:
-    """All substrings of a short label of at least the given length."""
-    n = F.length(c)
-    starts = F.when(n >= shortest, F.sequence(F.lit(1), n - shortest + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(
-        starts, lambda i: F.transform(F.sequence(F.lit(shortest), n - i + 1), lambda k: F.substr(c, i, k))
-    )))
-
-
 def _prefix_rank(code: Column) -> Column:
     out = None
     for prefix, rank in fv.PERIOD_PREFIX_ORDER:
@@ -82,20 +73,24 @@ def _prefix_rank(code: Column) -> Column:
     return out.otherwise(len(fv.PERIOD_PREFIX_ORDER) + 1)
 
 
-def _part_index(periods: DataFrame, asked: DataFrame, shortest: int = 3) -> DataFrame:
+def _part_index(periods: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows (annee, terme, period) for every asked-for text that is part of a code, a
-    name or a season of a period.
+    name or a season of a period; a blank text is part of none.
 
-    Labels are short, so all their parts are listed and met by equality; only parts
-    that somebody asks for survive the semi join.
+    Distinct labels are cut into parts of the lengths that somebody asks for (as many as
+    the longest label has letters at most) and met by equality; periods follow by label.
     """
-    labels = ["code_periode", "nom_periode"] + (["saison"] if "saison" in periods.columns else [])
-    parts = F.array_distinct(F.flatten(F.array(*[
-        F.coalesce(_substrings(F.lower(F.col(c)), shortest), F.array().cast("array<string>")) for c in labels
-    ])))
-    return periods.select("*", F.explode(parts).alias("terme")).join(
-        asked.select("terme").distinct(), "terme", "left_semi"
-    )
+    terms = asked.where("terme <> ''").select("terme").distinct()
+    columns = ["code_periode", "nom_periode"] + (["saison"] if "saison" in periods.columns else [])
+    labelled = periods.select("*", F.explode(F.array_distinct(F.array(*[F.lower(F.col(c)) for c in columns]))).alias("libelle"))
+    labels = labelled.where(F.col("libelle").isNotNull()).select("libelle").distinct()
+    longest = labels.agg(F.max(F.length("libelle"))).first()[0] or 0
+    lengths = sorted(r[0] for r in terms.select(F.length("terme").alias("n")).where(F.col("n") <= longest).distinct().collect())
+    label = F.col("libelle")
+    wanted = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(label))
+    parts = F.transform(wanted, lambda n: F.transform(F.sequence(F.lit(1), F.length(label) - n + 1), lambda i: F.substr(label, i, n)))
+    met = labels.select("libelle", F.explode(F.array_distinct(F.flatten(parts))).alias("terme")).join(terms, "terme", "left_semi")
+    return labelled.join(met, "libelle").drop("libelle").distinct()
 
 
 def resolve_alias(requests: DataFrame, periods: DataFrame) -> DataFrame:

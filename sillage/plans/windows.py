@@ -53,6 +53,7 @@ class Windows:
 
     def __init__(self, windows: list[Window]):
         self._windows = list(windows)
+        self._by_offset = {w.offset: w for w in self._windows}
 
     @classmethod
     def yearly(cls, start: str | date, end: str | date, back: int = 1) -> Windows:
@@ -65,12 +66,9 @@ class Windows:
         ])
 
     @classmethod
-    def resolved(cls, df: DataFrame, limit: int = 64) -> Windows:
-        """Windows out of a resolved request (offset, start, end): a few rows by nature."""
-        rows = df.select("offset", "start", "end").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError("a report compares a few windows; join period days instead")
-        return cls(sorted((Window(*r) for r in rows), key=lambda w: w.offset))
+    def resolved(cls, df: DataFrame) -> Windows:
+        """Windows out of a resolved request (offset, start, end), one per offset: as many as the report has columns."""
+        return cls(sorted((Window(*r) for r in df.select("offset", "start", "end").collect()), key=lambda w: w.offset))
 
     def __iter__(self) -> Iterator[Window]:
         return iter(self._windows)
@@ -79,7 +77,7 @@ class Windows:
         return len(self._windows)
 
     def __getitem__(self, offset: int) -> Window:
-        return self._windows[offset]
+        return self._by_offset[offset]
 
     def first(self, n: int) -> Windows:
         return Windows(self._windows[:n])

@@ -4,20 +4,34 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _CHUNK = 10_000
-LINES = "archive string, membre string, numero bigint, ligne binary"
+_BLOCK = 1 << 20
+_DAMAGED = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError, OSError)
+LINES = "archive string, membre string, numero bigint, ligne binary, rejet string"
 
 
-def _lines(name: str, blob: bytes) -> Iterator[tuple[str, str, int, bytes]]:
-    """Lines of the CSV members of an archive; a broken archive has none."""
+def _check(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> None:
+    """Reads a member to its end, where its checksum is compared."""
+    with archive.open(info) as member:
+        while member.read(_BLOCK):
+            pass
+
+
+def _lines(name: str, blob: bytes) -> Iterator[tuple]:
+    """Lines of the CSV members of an archive; one row that says so for each part that cannot be read.
+
+    A member is read through before its first line counts, so a damaged one leaves no lines.
+    """
     try:
         archive = zipfile.ZipFile(io.BytesIO(blob))
-    except zipfile.BadZipFile:
+    except _DAMAGED:
+        yield name, None, None, None, "archive"
         return
     with archive:
         for info in archive.infolist():
@@ -25,31 +39,46 @@ def _lines(name: str, blob: bytes) -> Iterator[tuple[str, str, int, bytes]]:
                 continue
             try:
                 if info.filename.lower().endswith(".zip"):
-                    yield from _lines(f"{name}/{info.filename}", archive.read(info))
+                    inner = archive.read(info)
                 elif info.filename.lower().endswith(".csv"):
-                    with archive.open(info) as member:
-                        for number, line in enumerate(member):
-                            yield name, info.filename, number, line.rstrip(b"\r\n")
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+                    _check(archive, info)
+                else:
+                    continue
+            except _DAMAGED:
+                yield name, info.filename, None, None, "membre"
+                continue
+            if info.filename.lower().endswith(".zip"):
+                yield from _lines(f"{name}/{info.filename}", inner)
                 continue
+            with archive.open(info) as member:
+                for number, line in enumerate(member):
+                    yield name, info.filename, number, line.rstrip(b"\r\n"), None
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "membre", "numero", "ligne"]
+    columns = ["archive", "membre", "numero", "ligne", "rejet"]
     rows: list[tuple] = []
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"numero": "Int64"})
+
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             for row in _lines(path, bytes(content)):
                 rows.append(row)
                 if len(rows) >= _CHUNK:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                    yield frame()
+                    rows.clear()
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
+        yield frame()
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """(path, content) to (archive, membre, numero, ligne); lines leave in small batches."""
+    """(path, content) to (archive, membre, numero, ligne, rejet); lines leave in small batches.
+
+    ``rejet`` is null for a line, ``archive`` or ``membre`` for what was skipped. An archive
+    is one row, so one task reads it whole, up to Spark's 2 GB for a value.
+    """
     return archives.select("path", "content").mapInPandas(_expand, LINES)
 
 

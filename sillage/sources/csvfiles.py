@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage import fixed_values as fv
 from sillage.functions.dates import parse_iso
 from sillage.functions.text import numeric_flag
+from sillage.session import stage
 
 DELIMITERS = (";", ",", "\t", "|")
-_HEADER_BLOCK = 1 << 14
 _FLAGS = {"VacancesA": "vacances_a", "VacancesB": "vacances_b", "VacancesC": "vacances_c", "Ferie": "ferie"}
 
 
@@ -45,58 +44,75 @@ def lines_of(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def decode_lines(lines: DataFrame) -> DataFrame:
     """Text of each line: UTF-8 where the whole file is valid UTF-8, else ISO-8859-1.
 
-    Only the files found to be invalid meet the lines again, and those are few.
+    Only the files found to be invalid meet the lines again; their list is staged, so that
+    the join knows how short it is and no line moves.
     """
-    invalid = lines.where(~F.is_valid_utf8("value")).select("fichier").distinct().withColumn("_latin", F.lit(True))
+    invalid = stage(lines.where(~F.is_valid_utf8("value")).select("fichier").distinct().withColumn("_latin", F.lit(True)), "charsets")
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     text = F.when(F.col("_latin"), latin).otherwise(F.col("value"))
     return lines.join(invalid, "fichier", "left").select("fichier", F.regexp_replace(text, "^\ufeff", "").alias("ligne"))
 
 
-def read_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
-    """Rows of files of unknown charset, with ``_arity_ok`` telling rows of the right width.
+def header_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """First line of every file (fichier, entete), through Spark's own file systems and codecs.
 
-    Blank lines and header lines are left out; quoting is Spark's own CSV parsing.
+    Only the first split of a file is read; its first line is kept before rows are shuffled.
     """
-    schema = ", ".join(f"`{c}` STRING" for c in [*columns, "_bad"])
-    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    text = decode_lines(lines_of(spark, path)).where((F.trim("ligne") != "") & (F.col("ligne") != sep.join(columns)))
-    parsed = text.select("fichier", F.from_csv("ligne", schema, options).alias("r"))
-    return parsed.select("fichier", *[F.col("r")[c].alias(c) for c in columns], F.col("r._bad").isNull().alias("_arity_ok"))
+    first = spark.read.text(path, recursiveFileLookup="true").select(
+        F.col("_metadata.file_path").alias("fichier"), F.col("_metadata.file_block_start").alias("_debut"), "value", F.monotonically_increasing_id().alias("_n")
+    )
+    heads = first.where("_debut = 0").groupBy("fichier").agg(F.min_by("value", "_n").alias("value"))
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return heads.select("fichier", F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r$", "").alias("entete"))
 
 
-def arity_report(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count(F.lit(1)).alias("lignes"), F.count_if(~F.col("_arity_ok")).alias("rejetees"))
+def _fields(line: Column, sep: Column, width: Column, kinds: Sequence[tuple[str, int]]) -> Column:
+    """Values of a line (v) and whether it has as many as the header (ok), by Spark's own CSV parsing.
 
+    One parser for each delimiter and number of columns that occurs.
+    """
+    out = None
+    for delimiter, n in kinds:
+        schema = ", ".join([*(f"c{i} STRING" for i in range(n)), "_bad STRING"])
+        row = F.from_csv(line, schema, {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        cell = F.struct(F.array(*[row[f"c{i}"] for i in range(n)]).alias("v"), row["_bad"].isNull().alias("ok"))
+        hit = (sep == delimiter) & (width == n)
+        out = F.when(hit, cell) if out is None else out.when(hit, cell)
+    return out
 
-def _open(path: str):
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem().open_input_stream(re.sub("^file:/+", "/", path))
-    system, inside = pafs.FileSystem.from_uri(path)
-    return system.open_input_stream(inside)
 
+def _parsed(lines: DataFrame, by_file: DataFrame, master: Sequence[str], kinds: Sequence[tuple[str, int]]) -> DataFrame:
+    """Lines as rows with the columns ``master`` and ``_arity_ok``, each by the names of its own file.
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        heads = []
-        for path in batch["path"]:
-            head = b""
-            with _open(path) as stream:
-                while b"\n" not in head and (block := stream.read(_HEADER_BLOCK)):
-                    head += block
-            line = head.split(b"\n", 1)[0].rstrip(b"\r")
-            try:
-                heads.append(line.decode("utf-8-sig"))
-            except UnicodeDecodeError:
-                heads.append(line.decode("iso-8859-1"))
-        yield pd.DataFrame({"fichier": batch["path"], "entete": heads})
+    ``by_file`` (fichier, entete, sep, noms) has a row per file and is staged, so its size is known to the join.
+    Blank lines and lines that repeat their file's header are left out.
+    """
+    rows = lines.join(by_file, "fichier").where((F.trim("ligne") != "") & (F.col("entete").isNull() | (F.col("ligne") != F.col("entete"))))
+    read = rows.select("fichier", "noms", _fields(F.col("ligne"), F.col("sep"), F.size("noms"), kinds).alias("f"))
+    return read.select(
+        "fichier", *[F.try_element_at("f.v", F.array_position("noms", c).cast("int") + F.when(F.array_contains("noms", c), 0)).alias(c) for c in master],
+        F.col("f.ok").alias("_arity_ok"),
+    )
 
 
-def header_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """First line of every file. The files are shared out over tasks, which read them no
-    further than their first line."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return files.mapInPandas(_first_lines, "fichier string, entete string")
+def read_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
+    """Rows of files of unknown charset, with ``_arity_ok`` telling rows of the right width.
+
+    A file whose first line holds only names of ``columns`` is read by that line, whatever
+    its order and however many it has; a file without such a line has all columns in order.
+    Blank lines and header lines are left out; quoting is Spark's own CSV parsing.
+    """
+    names = F.transform(F.split("entete", re.escape(sep)), lambda n: F.trim(F.regexp_replace(n, '^"|"$', "")))
+    known = F.forall(names, lambda n: n.isin(*columns)) & (F.size(F.array_distinct(names)) == F.size(names))
+    by_file = stage(header_lines(spark, path).select(
+        "fichier", F.when(known, F.col("entete")).alias("entete"), F.lit(sep).alias("sep"),
+        F.when(known, names).otherwise(F.array(*[F.lit(c) for c in columns])).alias("noms"),
+    ), "headers")
+    return _parsed(decode_lines(lines_of(spark, path)), by_file, columns, [(sep, n) for n in range(1, len(columns) + 1)])
+
+
+def arity_report(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("lignes"), F.count_if(~F.col("_arity_ok")).alias("rejetees"))
 
 
 def delimiter_of(line: Column) -> Column:
@@ -113,22 +129,20 @@ def detect_delimiters(spark: SparkSession, path: str | Sequence[str]) -> DataFra
     return header_lines(spark, path).withColumn("delimiteur", delimiter_of(F.col("entete")))
 
 
-def read_mixed(spark: SparkSession, path: str | Sequence[str], variants: int = 200) -> DataFrame:
+def read_mixed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Files of several delimiters and headers as one frame under normalised names.
 
-    The driver learns which file has which header, as it knows the list of files
-    anyway; the rows themselves are one ordinary CSV read per schema variant.
+    The driver learns the distinct headers, which name the columns of the result; the rows
+    are read once, each by the header of its file, however many headers there are.
     """
-    by_header: dict[tuple[str, str], list[str]] = {}
-    for row in detect_delimiters(spark, path).collect():
-        by_header.setdefault((row["entete"], row["delimiteur"]), []).append(row["fichier"])
-    if len(by_header) > variants:
-        raise ValueError("more header variants than a delivery family can have")
+    heads = stage(detect_delimiters(spark, path), "headers")
     # in order of the headers, so that the columns come out the same every time
-    frames = [
-        normalize_columns(spark.read.csv(files, sep=sep, header=True)) for (_, sep), files in sorted(by_header.items())
-    ]
-    return align_all(frames)
+    variants = sorted((r["entete"], r["delimiteur"]) for r in heads.select("entete", "delimiteur").distinct().collect())
+    names = [normal_names(next(csv.reader([entete], delimiter=sep), [])) for entete, sep in variants]
+    listed = spark.createDataFrame([(e, s, n) for (e, s), n in zip(variants, names)], "entete string, sep string, noms array<string>")
+    by_file = stage(heads.withColumnRenamed("delimiteur", "sep").join(listed, ["entete", "sep"]), "headers")
+    kinds = sorted({(sep, len(n)) for (_, sep), n in zip(variants, names)})
+    return _parsed(decode_lines(lines_of(spark, path)), by_file, master_schema(names), kinds).drop("fichier", "_arity_ok")
 
 
 def normal_name(name: str, position: int) -> str:

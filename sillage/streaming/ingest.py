@@ -1,7 +1,8 @@
 """Incremental ingest: new files in, a merged fact out.
 
-A batch is written as its own ``lot=<batch id>`` folder. Writing a batch again after
-a failure replaces that folder, so nothing is counted twice. Which row of a key
+A batch is written as its own ``lot=<stream>-<batch id>`` folder, where the stream is
+named by its checkpoint. Writing a batch again after a failure replaces that folder, so
+nothing is counted twice, and streams with other checkpoints keep theirs beside it. Which row of a key
 counts is decided when the fact is read, by a column of the data (the delivery
 number), not by arrival: the final state is the same however files fall into batches.
 ``compact`` turns the batches into one plain fact.
@@ -9,6 +10,7 @@ number), not by arrival: the final state is the same however files fall into bat
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,12 @@ def read_new_files(spark: SparkSession, path: str, schema: T.StructType, fmt: st
     return reader.options(**options).load(path)
 
 
-def append_lot(path: str, conform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def append_lot(path: str, checkpoint: str, conform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Batch function that cleans a micro-batch and writes it as its own lot."""
+    stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        conform(batch).write.mode("overwrite").parquet(f"{path}/{LOT}={batch_id}")
+        conform(batch).write.mode("overwrite").parquet(f"{path}/{LOT}={stream}-{batch_id}")
 
     return write
 
@@ -37,7 +41,7 @@ def append_lot(path: str, conform: Callable[[DataFrame], DataFrame]) -> Callable
 def ingest(stream: DataFrame, path: str, checkpoint: str, conform: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Process everything that is new and stop; run it again for the next delivery."""
     query = (
-        stream.writeStream.foreachBatch(append_lot(path, conform))
+        stream.writeStream.foreachBatch(append_lot(path, checkpoint, conform))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
