@@ -48,6 +48,16 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("libelle"))
 
 
+# composed and decomposed marks, letters beyond Latin-1, and one that has no mark to lose
+_MARKED = "concat(n_name, chr(233), 'e', chr(769), chr(352), 'c', chr(780), chr(321))"
+
+
+@register("N02_marks", f"SELECT n_nationkey AS id, strip_accents({_MARKED}) AS libelle FROM nation")
+def _(spark, sf):
+    marked = F.concat("n_name", F.lit("\u00e9e\u0301\u0160c\u030c\u0141"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.strip_accents(marked).alias("libelle"))
+
+
 _DECORATE = "concat(replace(replace(text, 'e', 'Æ'), ' a', ' ’œ'), 'Ø')"
 
 
@@ -121,6 +131,14 @@ def _(spark, sf):
     )
 
 
+_EXTREME = "CASE o_orderkey % 7 WHEN 0 THEN 'NaN' WHEN 1 THEN '1e20' WHEN 2 THEN '99999999999' WHEN 3 THEN '1.0' WHEN 4 THEN '-Infinity' WHEN 5 THEN 'oui' ELSE '0' END"
+
+
+@register("N14_numeric_flag_extremes", "SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 3 THEN 1 ELSE 0 END AS drapeau FROM orders")
+def _(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), text.numeric_flag(F.expr(_EXTREME)).alias("drapeau"))
+
+
 @register("N15_first_present", with_raw("""SELECT id, coalesce("NomDepartement", "Departement") AS departement, "NomEPCI" AS epci,
   "CodeInsee" AS insee FROM raw""", "id", "NomDepartement", "Departement", "NomEPCI", "CodeInsee"))
 def _(spark, sf):

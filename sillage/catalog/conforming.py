@@ -45,6 +45,24 @@ def _(spark, sf):
     return conform.get_or_create(customer, dim, "c_name", "nom", "id_zone")
 
 
+# the same member composed, decomposed, in other case, and beyond Latin-1
+_SPELLED = "CASE c_custkey % 4 WHEN 0 THEN concat('Ch', chr(226), 'teau ', seg) WHEN 1 THEN concat('Cha', chr(770), 'teau ', seg) WHEN 2 THEN concat('CHATEAU ', upper(seg)) ELSE concat(chr(352), 'koda ', seg) END"
+
+
+@register("D01_spellings", f"""SELECT c_custkey AS id, CAST(dense_rank() OVER (ORDER BY substr(md5(cle), 1, 3), cle) AS BIGINT) AS id_membre FROM (
+  SELECT c_custkey, {key(_SPELLED)} AS cle FROM (SELECT c_custkey, c_mktsegment AS seg FROM customer))""")
+def _(spark, sf):
+    customer = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
+    spelled = (
+        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("Ch\u00e2teau "), "seg")).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Cha\u0302teau "), "seg"))
+        .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("CHATEAU "), F.upper("seg"))).otherwise(F.concat(F.lit("\u0160koda "), "seg"))
+    )
+    rows = customer.select(F.col("c_custkey").alias("id"), spelled.alias("nom"))
+    none = literal_frame(spark, "id_membre bigint, nom string", [])
+    members = conform.get_or_create(rows, none, "nom", "nom", "id_membre")
+    return conform.attach_ids(rows, members, "nom", "nom", "id_membre").select("id", "id_membre")
+
+
 @register("D01_attach_ids", with_raw(f""", rows AS (SELECT id, {synonyms(label('"Provenance"'), fv.PROVENANCE_SYNONYMS)} AS nom FROM raw),
   {get_or_create_sql("SELECT CAST(1 AS BIGINT) AS id_provenance, 'LOCAL' AS nom UNION ALL SELECT 7, 'AILLEURS'", "SELECT nom FROM rows", "nom", "id_provenance")}
   SELECT id, rows.nom, id_provenance FROM rows LEFT JOIN members ON strip_accents(upper(rows.nom)) = strip_accents(upper(members.nom))""", "id", "Provenance"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sillage.catalog.base import (
-    EXCURSIONISTS, FOREIGN, NATIONAL, OUTSIDE, SUMMER, TOURISTS, VISITORS, ZONE, R, big, change, hit, register,
+    EXCURSIONISTS, FOREIGN, NATIONAL, OUTSIDE, SUMMER, TOURISTS, VISITORS, ZONE, R, big, change, hit, part, register,
     rnd, with_visits, yearly,
 )
 from sillage.operators.filters import provenance_rule, where_dims
@@ -154,6 +154,16 @@ def _(spark, sf):
     return kpi.kpi_day(day_visits(spark, sf), SUMMER, 8, 15)
 
 
+@register("K23_kpi_fixed_days_july", days_sql(f"{EXCURSIONISTS} AND {OUTSIDE}", {k: f"{2000 - k}-07-14" for k in range(5)}))
+def _(spark, sf):
+    return kpi.kpi_day(day_visits(spark, sf), SUMMER, 7, 14)
+
+
+@register("K19_kpi_day_may", days_sql(f"{EXCURSIONISTS} AND {OUTSIDE}", {k: f"{2000 - k}-05-01" for k in range(5)}))
+def _(spark, sf):
+    return kpi.kpi_day(day_visits(spark, sf), YEAR, 5, 1)
+
+
 def mean_sql(who: str) -> str:
     ratio = "sum(CASE WHEN {h} THEN nb_nuits * volume END) / nullif(sum(CASE WHEN {h} THEN volume END), 0)"
     cells = ", ".join(f"coalesce({rnd(ratio.format(h=hit(w.offset)), 2)}, 0.0::DOUBLE) AS n{w.offset}" for w in SUMMER)
@@ -228,12 +238,18 @@ BLOCK_A_SQL = " UNION ALL ".join([
 ])
 
 
-@register("K31_block_a", f"SELECT *, {evolutions()} FROM ({BLOCK_A_SQL})")
+def _distribution_sql(block: str, who: str) -> str:
+    cells = f"{big(f'sum(CASE WHEN {hit(0)} THEN volume END)')} AS n0, {big(f'coalesce(sum(CASE WHEN {hit(1)} THEN volume END), 0)')} AS n1"
+    return f"""SELECT '{block}' AS block, CAST(NULL AS INT) AS numero, CAST(nb_nuits AS VARCHAR) AS indicateur, CAST(n0 AS DOUBLE) AS n0, CAST(n1 AS DOUBLE) AS n1,
+      {', '.join(f'CAST(NULL AS DOUBLE) AS n{k}' for k in range(2, 5))}, 'Nuitées' AS unite, '' AS remarque, CAST(NULL AS DATE) AS date, {change('n0', 'n1', 'A')} AS evolution_1,
+      {', '.join(f'CAST(NULL AS DOUBLE) AS evolution_{k}' for k in range(2, 5))}, {part('n0', 't', empty='NULL')} AS part_pct
+      FROM (SELECT *, CAST(sum(n0) OVER () AS BIGINT) AS t FROM ({with_visits(f"SELECT nb_nuits, {cells} FROM visits WHERE {TOURISTS} AND {who} GROUP BY nb_nuits")}) WHERE n0 IS NOT NULL)"""
+
+
+@register("K31_block_a", f"""SELECT 'indicateurs' AS block, *, {evolutions()}, CAST(NULL AS DOUBLE) AS part_pct FROM ({BLOCK_A_SQL})
+  UNION ALL BY NAME {_distribution_sql('durees', OUTSIDE)} UNION ALL BY NAME {_distribution_sql('durees_fr', NATIONAL)} UNION ALL BY NAME {_distribution_sql('durees_intl', FOREIGN)}""")
 def _(spark, sf):
-    return kpi.block_a(
-        nights(spark, sf, None), nights(spark, sf, None, "departement"), nights(spark, sf, None, "pays"),
-        nights(spark, sf, None, "nb_nuits"), day_visits(spark, sf, None), SUMMER, R,
-    )
+    return kpi.block_a(nights(spark, sf, None, "departement", "pays", "nb_nuits"), day_visits(spark, sf, None), SUMMER, R)
 
 
 def _d7_row(label: str, inner: str, dated: bool) -> str:

@@ -173,6 +173,6 @@ def _(spark, sf):
 def _(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cle"))
     dim = table(spark, sf, "customer").select(F.col("c_custkey").alias("cle"), F.col("c_mktsegment").alias("segment"))
-    return joins.scalar_lookup(rows, dim, "cle", "segment").select("id", "segment")
+    return joins.lookup(rows, dim, "cle").select("id", "segment")
 
 

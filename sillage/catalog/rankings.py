@@ -92,6 +92,21 @@ def _(spark, sf):
     return rankings.rank_members(nights(spark, sf, "national", "tranche_age"), SUMMER, "tranche_age", 3)
 
 
+@register("R04_rank_countries_day", comparison_sql("pays", 5, f"{EXCURSIONISTS} AND {FOREIGN}"))
+def _(spark, sf):
+    return rankings.rank_members(day_visits(spark, sf, "foreign", "pays"), SUMMER, "pays", 5)
+
+
+@register("R05_rank_csp_day", _csp_sql(f"{EXCURSIONISTS} AND {NATIONAL}"))
+def _(spark, sf):
+    return rankings.rank_csp(day_visits(spark, sf, "national", "segment"), SUMMER, 3, _group())
+
+
+@register("R06_rank_age_day", comparison_sql("tranche_age", 3, f"{EXCURSIONISTS} AND {NATIONAL}"))
+def _(spark, sf):
+    return rankings.rank_members(day_visits(spark, sf, "national", "tranche_age"), SUMMER, "tranche_age", 3)
+
+
 def origins_sql(member: str, who: str, k: int, *, extra: str = "", share_of="all", digits=1, policy="A", keep="current") -> str:
     alive = "n0 > 0" if keep == "current" else "(n0 > 0 OR n1 > 0)"
     whole = "sums" if share_of == "all" else "top"
@@ -156,6 +171,18 @@ def _(spark, sf):
     return rankings.top_destinations(visits(spark, sf, "zone", "departement", "volume"), ["zone"], "departement", 10)
 
 
+@register("R12_top_regions", with_visits("""SELECT zone, region, volume, CAST(rang AS INT) AS rang FROM (
+    SELECT zone, region, volume, row_number() OVER (PARTITION BY zone ORDER BY volume DESC, region) AS rang
+    FROM (SELECT zone, region, CAST(sum(volume) AS BIGINT) AS volume FROM visits GROUP BY zone, region)) WHERE rang <= 10"""))
+def _(spark, sf):
+    return rankings.top_destinations(visits(spark, sf, "zone", "region", "volume"), ["zone"], "region", 10)
+
+
+@register("R14_rank_age_day", origins_sql("tranche_age", f"{EXCURSIONISTS} AND {NATIONAL}", 4, share_of="returned", policy="E"))
+def _(spark, sf):
+    return rankings.origins(day_visits(spark, sf, "national", "tranche_age"), SUMMER, ["tranche_age"], 4, share_of="returned", policy="E")
+
+
 @register("R13_rank_age_simple", origins_sql("tranche_age", f"{EXCURSIONISTS} AND {NATIONAL}", 3, policy="E"))
 def _(spark, sf):
     return rankings.origins(day_visits(spark, sf, "national", "tranche_age"), SUMMER, ["tranche_age"], 3, policy="E")

@@ -171,8 +171,6 @@ SEGMENT_GROUPS = {
 }
 
 # --- fixed values: letters -------------------------------------------------------------
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 EXTRA_LETTERS = "ÐØðø"
 EXTRA_PLAIN = "DOdo"
 APOSTROPHES = "’‘´`\x92\x91\x82\x83"

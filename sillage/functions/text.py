@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,18 +24,28 @@ def normalize_label(c: Column) -> Column:
     return F.nullif(F.upper(_collapse(c)), F.lit(""))
 
 
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """Every Latin letter that decomposes to one plain character and marks, and that character."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(ch) != "Mn")
+        if len(plain) == 1 and plain != chr(code):
+            pairs.append((chr(code), plain))
+    letters, plain = zip(*pairs)
+    return "".join(letters), "".join(plain)
+
+
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, fv.ACCENTED, fv.UNACCENTED)
+    """Letters without their marks, whether letter and mark are one character or two."""
+    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), *_plain_letters())
 
 
 def transliterate(c: Column) -> Column:
     """Plain letters and apostrophes, the two-letter ligatures included."""
-    single_from = fv.ACCENTED + fv.EXTRA_LETTERS + fv.APOSTROPHES + "".join(fv.MISREAD_LETTERS)
-    single_to = (
-        fv.UNACCENTED + fv.EXTRA_PLAIN + "'" * len(fv.APOSTROPHES)
-        + "".join(fv.MISREAD_LETTERS.values())
-    )
-    out = F.translate(c, single_from, single_to)
+    single_from = fv.EXTRA_LETTERS + fv.APOSTROPHES + "".join(fv.MISREAD_LETTERS)
+    single_to = fv.EXTRA_PLAIN + "'" * len(fv.APOSTROPHES) + "".join(fv.MISREAD_LETTERS.values())
+    out = F.translate(strip_accents(c), single_from, single_to)
     for letter, pair in fv.DOUBLE_LETTERS.items():
         out = F.replace(out, F.lit(letter), F.lit(pair))
     return out
@@ -116,7 +128,7 @@ def clean_text(c: Column) -> Column:
 
 
 def collation_key(c: Column) -> Column:
-    """Key under which two labels are equal whatever their case and accents."""
+    """Key under which two labels are equal whatever their case and accents, composed or not."""
     return F.upper(strip_accents(c))
 
 

@@ -93,9 +93,11 @@ def period_days(periods: DataFrame, *keep: str, start: str = "date_debut", end:
 def in_period(fact: DataFrame, periods: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Volume per period (``keys`` name it) and fact column ``by``.
 
-    The fact is summed per day first, so what meets the periods is days, not rows.
+    The first and the last day of all periods bound the scan of the fact, which is summed
+    per day first: what meets the periods is days, not rows.
     """
-    daily = fact.groupBy("date", *by).agg(F.sum("volume").alias("volume"))
+    span = periods.agg(F.min("date_debut").alias("a"), F.max("date_fin").alias("b")).first()
+    daily = fact.where(F.col("date").between(F.lit(span["a"]).cast("date"), F.lit(span["b"]).cast("date"))).groupBy("date", *by).agg(F.sum("volume").alias("volume"))
     return (
         daily.join(period_days(periods, *keys), "date")
         .groupBy(*keys, *by).agg(F.sum("volume").alias("volume"))
@@ -200,14 +202,3 @@ def four_metrics(dim: DataFrame, nights: DataFrame, days: DataFrame, windows, ke
 
     out = dim.select(key).join(summed(nights, "nuitees"), key, "left").join(summed(days, "presences"), key, "left")
     return out.na.fill(0)
-
-
-def scalar_lookup(df: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:
-    """What a correlated scalar subquery would return for every row."""
-    return df.join(dim.select(key, value), key, "left")
-
-
-def expand_members(df: DataFrame, history: DataFrame, key: str) -> DataFrame:
-    """One displayed member to all its stored names (alias table of one to many)."""
-    return df.join(history, key)
-

@@ -20,7 +20,9 @@ from sillage.operators.aggregates import sum_or_zero, weighted_mean_column
 from sillage.operators.filters import Roles, provenance_rule
 from sillage.operators.joins import period_days
 from sillage.operators.topk import top_k_per
+from sillage.plans.rankings import stay_distribution
 from sillage.plans.windows import Windows
+from sillage.session import stage
 
 DATE, VOLUME = "date", "volume"
 
@@ -99,13 +101,16 @@ def kpi_topk_sum(fact: DataFrame, windows: Windows, member: str, k: int) -> Data
 def kpi_period(fact: DataFrame, periods: DataFrame, codes: Sequence[str], year: int, back: int = 4) -> DataFrame:
     """Volume inside named periods, per code, for a year and those before it.
 
-    The fact is summed per day before it meets the days of the periods; a code
-    without a period or without visits shows 0.
+    The outermost dates of each year, a handful, bound the scan of the fact, which is
+    summed per day before it meets the days of the periods; a code without a period or
+    without visits shows 0.
     """
     spark = fact.sparkSession
     wanted = periods.where(F.col("code_periode").isin(*codes) & F.col("annee").between(year - back, year))
     days = period_days(wanted, "code_periode", "annee")
-    daily = fact.groupBy(DATE).agg(F.sum(VOLUME).alias(VOLUME))
+    spans = wanted.groupBy("annee").agg(F.min("date_debut").alias("a"), F.max("date_fin").alias("b")).where("a <= b").collect()
+    inside = reduce(lambda x, y: x | y, [F.col(DATE).between(F.lit(s["a"]), F.lit(s["b"])) for s in spans], F.lit(False))
+    daily = fact.where(inside).groupBy(DATE).agg(F.sum(VOLUME).alias(VOLUME))
     found = daily.join(days, DATE).groupBy("code_periode").agg(*[
         sum_or_zero(F.when(F.col("annee") == year - k, F.col(VOLUME)), f"n{k}") for k in range(back + 1)
     ])
@@ -266,14 +271,29 @@ def indicator_table(figures: Sequence[DataFrame], windows: Windows, baseline: st
     return evolution(rows, windows, baseline)
 
 
-def block_a(
-    nights: DataFrame, by_department: DataFrame, by_country: DataFrame, stays: DataFrame, day_visits: DataFrame,
-    windows: Windows, roles: Roles,
-) -> DataFrame:
-    """Dashboard block A. Each of the five facts is scanned once; the day visits are
-    summed per day and all their figures read those sums."""
+def _distribution_rows(stays: DataFrame, windows: Windows, block: str) -> DataFrame:
+    """Lengths of stay with their share and change, in the shape of the indicator table."""
+    lengths = stay_distribution(stays, windows)
+    values = {c: F.lit(None).cast("double") for c in value_columns(windows)}
+    values |= {"n0": F.col("volume").cast("double"), "n1": F.col("volume_n1").cast("double")}
+    changes = {f"evolution_{i}": F.lit(None).cast("double") for i in range(1, len(windows))} | {"evolution_1": F.col("delta_pct")}
+    return lengths.select(
+        F.lit(block).alias("block"), F.lit(None).cast("int").alias("numero"), F.col("nb_nuits").cast("string").alias("indicateur"),
+        *[v.alias(c) for c, v in values.items()], F.lit("Nuitées").alias("unite"), F.lit("").alias("remarque"),
+        F.lit(None).cast("date").alias("date"), *[v.alias(c) for c, v in changes.items()], "part_pct",
+    )
+
+
+def block_a(nights: DataFrame, day_visits: DataFrame, windows: Windows, roles: Roles) -> DataFrame:
+    """Dashboard block A in long form: ``block`` tells the indicators from the three distributions of stays.
+
+    Each fact is scanned once: the nights (with departement, pays and nb_nuits) are summed per day and
+    member and staged, the day visits are summed per day, and all figures read those sums.
+    """
     national, foreign = provenance_rule("national", roles), provenance_rule("foreign", roles)
     outside = provenance_rule("not_local", roles)
+    sums = _in_windows(nights, windows).groupBy(DATE, "provenance", "departement", "pays", "nb_nuits").agg(F.sum(VOLUME).alias(VOLUME))
+    nights = stage(sums, "nights")
     guests = day_figures(day_visits.where(outside), windows, [
         DayFigure(10, "Excursionnistes, pic", peak=True),
         DayFigure(16, "Excursionnistes totaux"),
@@ -286,16 +306,20 @@ def block_a(
             Figure(2, "Nuitées françaises", national),
             Figure(3, "Nuitées internationales", foreign),
         ]), windows),
-        labelled(kpi_topk_sum(by_department.where(national), windows, "departement", 15), windows, 4, "Départements, top 15", "Nuitées"),
-        labelled(kpi_topk_sum(by_country.where(foreign), windows, "pays", 5), windows, 5, "Pays, top 5", "Nuitées"),
+        labelled(kpi_topk_sum(nights.where(national), windows, "departement", 15), windows, 4, "Départements, top 15", "Nuitées"),
+        labelled(kpi_topk_sum(nights.where(foreign), windows, "pays", 5), windows, 5, "Pays, top 5", "Nuitées"),
         as_indicators(guests, windows),
-        as_indicators(kpi_mean_stays(stays, windows, [
+        as_indicators(kpi_mean_stays(nights, windows, [
             Figure(21, "Durée moyenne totale", outside, "Nuits"),
             Figure(22, "Durée moyenne française", national, "Nuits"),
             Figure(23, "Durée moyenne internationale", foreign, "Nuits"),
         ]), windows),
     ]
-    return indicator_table(figures, windows)
+    indicators = indicator_table(figures, windows).withColumns({"block": F.lit("indicateurs"), "part_pct": F.lit(None).cast("double")})
+    out = indicators
+    for block, rule in (("durees", outside), ("durees_fr", national), ("durees_intl", foreign)):
+        out = out.unionByName(_distribution_rows(nights.where(rule), windows, block))
+    return out
 
 
 def block_d7(day_visits: DataFrame, windows: Windows, fixed_days: Sequence[tuple[int, int]] = ()) -> DataFrame:

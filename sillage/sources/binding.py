@@ -195,8 +195,8 @@ def order_periods_sql(*extra: str) -> str:
 
 
 def official_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight named periods per year, placed from the first order of each kind and year."""
-    p = order_periods(spark, sf_dir, "base").where(F.col("base") != "pont_mai")
+    """Nine named periods per year, placed from the first order of each kind and year."""
+    p = order_periods(spark, sf_dir, "base")
     length = F.when(F.col("code_periode").startswith("weekend"), 2).otherwise(14)
     return (
         p.groupBy(F.col("base").alias("code_periode"), "annee")
@@ -217,7 +217,7 @@ SELECT id_periode, code_periode,
   premier + CAST(id_periode % 300 AS INT) AS date_debut,
   premier + CAST(id_periode % 300 AS INT) + CASE WHEN code_periode LIKE 'weekend%' THEN 2 ELSE 14 END AS date_fin
 FROM (SELECT base AS code_periode, annee, min(date_debut) AS premier, min(id_periode) AS id_periode
-      FROM ({order_periods_sql('base')}) WHERE base <> 'pont_mai' GROUP BY base, annee)
+      FROM ({order_periods_sql('base')}) GROUP BY base, annee)
 """
 
 _STARTS = (("printemps", 3, 20), ("ete", 6, 21), ("automne", 9, 22), ("hiver", 12, 21))

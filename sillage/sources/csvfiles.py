@@ -89,10 +89,8 @@ def _parsed(lines: DataFrame, by_file: DataFrame, master: Sequence[str], kinds:
     """
     rows = lines.join(by_file, "fichier").where((F.trim("ligne") != "") & (F.col("entete").isNull() | (F.col("ligne") != F.col("entete"))))
     read = rows.select("fichier", "noms", _fields(F.col("ligne"), F.col("sep"), F.size("noms"), kinds).alias("f"))
-    return read.select(
-        "fichier", *[F.try_element_at("f.v", F.array_position("noms", c).cast("int") + F.when(F.array_contains("noms", c), 0)).alias(c) for c in master],
-        F.col("f.ok").alias("_arity_ok"),
-    )
+    named = read.select("fichier", F.map_from_arrays("noms", "f.v").alias("m"), F.col("f.ok").alias("_arity_ok"))
+    return named.select("fichier", *[F.col("m")[c].alias(c) for c in master], "_arity_ok")
 
 
 def read_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";") -> DataFrame:

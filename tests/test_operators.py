@@ -79,6 +79,15 @@ def test_merge_on_disk_leaves_other_partitions_alone(spark, target, batch, mode,
     assert untouched <= set(spark.read.parquet(path).inputFiles())
 
 
+def test_rows_without_a_partition_value_are_merged(spark):
+    path = shared_dir(spark, "fact")
+    schema = "annee int, zone string, volume bigint"
+    spark.createDataFrame([(None, "old", 2), (None, "both", 1), (2024, "a", 3)], schema).write.partitionBy("annee").parquet(path)
+    merge.merge_partitions_into(path, spark.createDataFrame([(None, "new", 9), (None, "both", 5)], schema), ["annee", "zone"])
+    spark.catalog.clearCache()
+    assert rows(spark.read.parquet(path).select("annee", "zone", "volume")) == sorted([(None, "old", 2), (None, "both", 5), (None, "new", 9), (2024, "a", 3)], key=repr)
+
+
 def test_purge_and_cutoff(target):
     assert rows(merge.purge_year(target, 2024)) == [(D3, "a", 4)]
     assert [tuple(r) for r in merge.purge_report(target, 2024).collect()] == [(1, 3)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sillage.catalog import QUERIES
 from sillage.plans import calendar, compare, kpi, load, quality, rankings
 from sillage.plans.windows import Windows
+from sillage.session import stage
 
 DAY = dt.date
 W = Windows.yearly("2024-07-01", "2024-07-31")
@@ -221,6 +222,41 @@ def test_window_and_role_reach_the_scan(spark, sf_dir):
     assert {c.split("#")[0] for c in read.split(",")} == {"l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate"}
 
 
+@pytest.mark.parametrize("key", ["K06_kpi_period_nights", "K19_kpi_period_daytrips", "J08_in_period"])
+def test_periods_bound_the_scan(spark, sf_dir, key):
+    plan = QUERIES[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"DataFilters: \[[^\]]*l_shipdate[^\]]*\]", plan) and "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_block_a_scans_each_fact_once(spark, sf_dir, monkeypatch):
+    plans = []
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(kpi, "stage", staged)
+    plans.append(QUERIES["K31_block_a"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+    assert sum("l_shipdate" in s for plan in plans for s in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)) == 2
+
+
+def test_windows_by_offset(spark):
+    rows_ = [(2, DAY(2022, 1, 1), DAY(2022, 1, 31)), (0, DAY(2024, 1, 1), DAY(2024, 1, 31))]
+    found = Windows.resolved(spark.createDataFrame(rows_, "offset int, start date, end date"))
+    assert [w.offset for w in found] == [0, 2] and found[2].start == DAY(2022, 1, 1)
+    with pytest.raises(KeyError):
+        found[1]
+    many = spark.range(200).selectExpr("CAST(id AS INT) AS offset", "DATE'2024-01-01' AS start", "DATE'2024-01-02' AS end")
+    assert len(Windows.resolved(many)) == 200
+
+
+def test_short_texts_are_found(spark):
+    periods = spark.createDataFrame([(1, "pont_1er_mai", "Pont du 8 mai", 2024, DAY(2024, 5, 1), DAY(2024, 5, 8))], "id_periode long, code_periode string, nom_periode string, annee int, date_debut date, date_fin date")
+    asked = spark.createDataFrame([(2024, t) for t in ("1e", "8", "_", "x", " ", "pont_1er_mai", "du 8")], "annee int, periode string")
+    got = {r["periode"]: r["niveau"] for r in calendar.resolve_alias(asked, periods).collect()}
+    assert got == {"1e": "4 partie", "8": "4 partie", "_": "4 partie", "x": "annee", " ": "annee", "pont_1er_mai": "4 partie", "du 8": "4 partie"}
+
+
 @pytest.mark.parametrize("key", ["J09_max_overlap", "J10_overlaps", "P01_resolve_period", "P04_recognise", "P12_link_seasons", "D10_load_history"])
 def test_no_nested_loops_between_intervals_or_texts(spark, sf_dir, key):
     plan = _final_plan(QUERIES[key](spark, sf_dir))

@@ -1,31 +1,14 @@
-"""Registered queries against their SQL. SILLAGE_ALL=1 runs every one of them."""
+"""Every query of the catalog against its SQL."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 from check_queries import compare
 
 import __spark_entry__ as entry
+from sillage.catalog import ORACLES, QUERIES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SAMPLE = (
-    "K01_kpi_nights", "K04_kpi_top_departments", "K06_kpi_period_nights", "K10_kpi_peak", "K23_kpi_fixed_days", "K25_kpi_mean_stay",
-    "K32_block_d7", "R01_comparison_table", "R05_rank_csp", "R07_origins_departments", "R11_destinations", "R12_top_destinations",
-    "R16_stay_combined", "C01_pct_change_A", "C05_pct_change_E", "C08_share", "C09_compare_ab", "C11_trend_class", "C14_gainers_losers",
-    "J06_four_metrics", "J08_in_period", "J09_max_overlap", "J10_overlaps", "A08_concat_ordered", "A11_build_calendar", "A16_peak_day",
-    "F09_eq_ci_ai", "F10_visible_zones", "N01_normalize_label", "N03_transliterate", "N12_clean_commune", "N23_keywords",
-    "P01_resolve_period", "P02_resolve_alias", "P04_recognise", "P10_nth_saturday", "P12_link_seasons", "P17_validate_periods",
-    "D01_get_or_create", "D05_extend_calendar", "D10_load_history", "V02_reject_report", "V04_migrate", "V08_health_status",
-    "V13_mapping_score", "S01_read_useful", "S02_read_csv_lenient", "S03_read_mixed", "S08_read_zip_tree", "S09_classify",
-    "S14_rows_from_json", "S16_rank_deliveries", "S17_merge_on_disk", "S20_merge_flag", "S21_merge_dim", "S22_replace_dates",
-    "T05_page", "T06_pad_to_k", "U05_key_union", "W06_first_by_priority", "X02_upsert_batch", "X04_provisional_batch",
-)
-CHOSEN = tuple(ORACLES) if os.environ.get("SILLAGE_ALL") else SAMPLE
-
-
-@pytest.mark.parametrize("key", CHOSEN)
+@pytest.mark.parametrize("key", ORACLES)
 def test_query_equals_sql(spark, duck, sf_dir, key):
     problems = [p for p in compare(QUERIES[key](spark, sf_dir), duck, ORACLES[key]) if p != "EMPTY"]
     assert problems == []
@@ -35,6 +18,10 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_the_catalog_is_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["rang", "departement", "region", "n0", "n1", "delta_pct", "part_pct"]

@@ -74,8 +74,24 @@ def test_nested_and_broken_archives(spark, tmp_path):
         z.writestr("readme.txt", "x")
     put(tmp_path, "sub/one.zip", outer.getvalue())
     put(tmp_path, "broken.zip", b"PK broken")
-    got = archives.read_zip_tree(spark, str(tmp_path)).select("membre", "numero", F.decode("ligne", "UTF-8"))
+    every = archives.read_zip_tree(spark, str(tmp_path))
+    got = every.where("rejet IS NULL").select("membre", "numero", F.decode("ligne", "UTF-8"))
     assert rows(got) == [("a.csv", 0, "1"), ("a.csv", 1, "2"), ("deep/b.csv", 0, "3"), ("deep/b.csv", 1, "4")]
+    skipped = [(r["archive"].rsplit("/", 1)[-1], r["rejet"]) for r in every.where("rejet IS NOT NULL").collect()]
+    assert sorted(skipped) == [("bad.zip", "archive"), ("broken.zip", "archive")]
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_a_damaged_member_leaves_no_lines(spark, tmp_path, method):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        z.writestr("bad.csv", "".join(f"{i};{i * 7919 % 10007}\n" for i in range(20_000)))
+        z.writestr("good.csv", "1\n2\n")
+    blob = bytearray(out.getvalue())
+    blob[blob.index(b"PK\x03\x04", 4) // 2] ^= 1
+    put(tmp_path, "one.zip", bytes(blob))
+    found = archives.read_zip_tree(spark, str(tmp_path)).groupBy("membre", "rejet").count()
+    assert rows(found.select("membre", "rejet", "count")) == [("bad.csv", "membre", 1), ("good.csv", None, 2)]
 
 
 def test_manifest_sees_changes_and_removals(spark, tmp_path):
@@ -148,10 +164,12 @@ def test_a_repeated_batch_counts_once(spark, inbox):
 
     rows_ = [(dt.date(2024, 1, 1), "a", 1, 1)]
     df = spark.createDataFrame(rows_, "date date, zone string, volume bigint, livraison int")
-    write = ingest.append_lot(inbox[1], lambda b: b)
+    write = ingest.append_lot(inbox[1], inbox[2], lambda b: b)
     write(df, 0)
     write(df, 0)
     assert ingest.read_lots(spark, inbox[1], df.schema).count() == 1
+    ingest.append_lot(inbox[1], inbox[2] + "-other", lambda b: b)(df, 0)
+    assert ingest.read_lots(spark, inbox[1], df.schema).count() == 2
 
 
 def test_work_folder_is_the_one_the_session_names(spark):
@@ -168,7 +186,28 @@ def test_task_functions_travel_without_the_package(tmp_path):
 
     from pyspark.cloudpickle import cloudpickle
 
-    for function in (archives._expand, csvfiles._first_lines):
+    for function in (archives._expand,):
         load = "import pickle, sys; print(pickle.load(sys.stdin.buffer).__name__); assert 'sillage' not in sys.modules"
         done = subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(function), capture_output=True, cwd=tmp_path, timeout=60)
         assert done.returncode == 0, done.stderr
+
+
+def test_five_hundred_headers(spark, tmp_path):
+    for i in range(500):
+        sep = ";,|\t"[i % 4]
+        put(tmp_path, f"f{i}.csv", f"id{sep}col {i}\n{i}{sep}\"v{sep}{i}\"\n\n".encode())
+    df = csvfiles.read_mixed(spark, str(tmp_path))
+    assert df.columns[0] == "id" and len(df.columns) == 501
+    got = {r["id"]: r[f"col_{r['id']}"] for r in df.collect()}
+    assert got == {str(i): f"v{';,|' [i % 4] if i % 4 < 3 else chr(9)}{i}" for i in range(500)}
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    put(tmp_path, "a.csv", b"id;zone\n1;A\n2\n3;B;x\n")
+    put(tmp_path, "b.csv", "\ufeffzone;id\r\nÉ;4\r\n".encode())
+    put(tmp_path, "c.csv", "Ü;5\n".encode("iso-8859-1"))
+    put(tmp_path, "d.csv", b"zone\nD\n")
+    df = csvfiles.read_csv_lenient(spark, str(tmp_path), ["id", "zone"])
+    good = rows(df.where("_arity_ok").select("id", "zone"))
+    assert good == sorted([("1", "A"), ("4", "É"), ("Ü", "5"), (None, "D")], key=repr)
+    assert df.where("NOT _arity_ok").count() == 2
