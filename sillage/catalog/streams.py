@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sillage.catalog.base import big, register
+from sillage.catalog.base import ORACLES, big, register
 from sillage.session import shared_dir
 from sillage.sources.binding import table
 from sillage.streaming import ingest
@@ -80,3 +80,34 @@ def _(spark, sf):
 def _(spark, sf):
     lots = delivered(spark, sf, confirmed_from=2).where(F.col("livraison") < 3)
     return ingest.provisional_state(lots, KEY, "confirme")
+
+
+def merged(spark, sf, combine, conform, last: int = 3):
+    """The fact that deliveries 1 to ``last`` leave on disk, the last one merged twice."""
+    inbox, fact, checkpoint = (shared_dir(spark, n) for n in ("inbox", "fact", "checkpoint"))
+    write = ingest.merge_into(fact, checkpoint, combine, conform)
+    for number in range(1, last + 1):
+        delivery(spark, sf, number).write.mode("append").parquet(inbox)
+        ingest.ingest_fact(ingest.read_new_files(spark, inbox, spark.read.parquet(inbox).schema), checkpoint, write)
+    write(delivery(spark, sf, last), last - 1)
+    return spark.read.parquet(fact)
+
+
+@register("X02_upsert_on_disk", ORACLES["X02_upsert_batch"])
+def _(spark, sf):
+    return merged(spark, sf, ingest.upsert(KEY, "livraison"), lambda df: df).select(*KEY, "volume")
+
+
+@register("X03_replace_on_disk", ORACLES["X03_replace_batch"])
+def _(spark, sf):
+    fact = merged(spark, sf, ingest.replace_by_date(KEY, "livraison"), lambda df: df)
+    return fact.groupBy(*KEY).agg(F.sum("volume").alias("volume"))
+
+
+@register("X04_provisional_on_disk", ORACLES["X04_provisional_batch"])
+def _(spark, sf):
+    def conform(df):
+        return df.select(*KEY, "volume", (F.col("livraison") >= 2).alias("confirme"))
+
+    fact = merged(spark, sf, ingest.provisional(KEY, "confirme"), conform, last=2)
+    return fact.select(*KEY, "volume", (~F.col("confirme")).alias("is_provisional"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.session import stage
+from sillage.session import stage, unstage
 
 _SIDE = "_side"
 
@@ -189,8 +189,10 @@ def merge_partitions_into(path: str, src: DataFrame, key: Sequence[str], mode: s
         merged = replace_dates(touched, src)
     else:
         merged = {"overwrite": merge_overwrite, "keep": merge_keep, "add": merge_add}[mode](touched, src, key)
+    merged = stage(merged, "merge")
     (
-        stage(merged, "merge").hint("rebalance", F.col(partition)).write.mode("overwrite")
+        merged.hint("rebalance", F.col(partition)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path)
     )
+    unstage(src, merged)

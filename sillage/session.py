@@ -58,4 +58,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A work folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Gives the space of staged frames back, once all that reads them has been written."""
+    for frame in frames:
+        remove(frame.sparkSession, frame._staged_path)
