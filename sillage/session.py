@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# work folders of this driver, in the order in which they were named
+_made: list[str] = []
+
 # what the jobs count on; all of it can be set on a running session
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
@@ -47,7 +52,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Where none is set, the folder lies below ``spark.sql.warehouse.dir``, which executors share as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -69,6 +76,18 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the work folders named inside at its end, when the result has been written elsewhere."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[mark:]:
+            remove(spark, path)
+        del _made[mark:]
+
+
 def unstage(*frames: DataFrame) -> None:
     """Gives the space of staged frames back, once all that reads them has been written."""
     for frame in frames:
