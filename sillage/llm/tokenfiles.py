@@ -27,6 +27,7 @@ from sillage.llm.bpe import Bpe, runs_of_texts
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+#: words of one library call; its result holds texts and offsets besides ids, so a block in one call costs much memory
 CALL_WORDS = 4_096
 
 
