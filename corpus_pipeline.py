@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sillage.llm import bpe, fmindex, jaccard, pii, toxicity
 from sillage.llm.ship import ship
-from sillage.session import shared_dir
+from sillage.session import remove, scratch, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 CARRIED = COLUMNS[1:]
@@ -68,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    """The stages in turn. What a stage has read and staged is removed once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), None
     for name, stage in STAGES:
         path = shared_dir(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

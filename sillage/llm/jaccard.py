@@ -37,7 +37,7 @@ from sillage.llm.text import (
     range_hashes,
     word_hashes,
 )
-from sillage.session import stage
+from sillage.session import stage, unstage
 
 GROUP_BLOCK = 256
 STAR_BLOCK = 4096
@@ -286,7 +286,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             F.struct(F.col("_b").alias("_a"), F.col("_least").alias("_b")), F.struct("_a", F.col("_least").alias("_b"))
         )).alias("e")).select("e.*").where("_a <> _b").distinct()
         after = stage(moved, "edges")
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+        done = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        unstage(edges)
+        if done:
             return after.select("_a", F.col("_b").alias("_label"))
         edges = after
     raise RuntimeError(f"components need more than {rounds} rounds")
