@@ -1,9 +1,9 @@
 """Quality rules on repetition coverage (operator 5).
 
-For several lengths n, every window of n words gets a rolling hash; windows that a text holds twice or more
+For several lengths n, every window of n words gets a rolling hash; windows that occurred before in the text
 cover words, and the characters of covered words are set against all. Lines are treated likewise. The
-shares that reject a text are those published for the Gopher corpus; a text below ``min_words`` or with too
-many repeated words is rejected before.
+shares that reject a text are those published for the Gopher corpus, which do not count first occurrences;
+a text below ``MIN_WORDS`` or with too many words in repeated windows, the first included, is rejected before.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from sillage.llm.text import PLAIN, Block, blocks, inside_texts, mix, ngram_hash
 
 #: largest share of characters inside duplicated windows of so many words
 WINDOW_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_LIMIT = 0.30
+#: largest share of repeated lines, for texts of so many lines at least: one heading below a short text is no sign
+LINE_LIMIT, LINE_LIMIT_FROM = 0.30, 5
 LINE_CHARS_LIMIT = 0.20
 MIN_WORDS = 10
 REPEATED_PERCENT = 20
@@ -32,15 +33,23 @@ def _sums(values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
 
 
-def _repeated(keys: np.ndarray, first_too: bool) -> np.ndarray:
-    """Which keys occur more than once; without the first of each unless asked for."""
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys occurred before, and which occur more than once."""
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
-    out = np.zeros(len(keys), bool)
-    out[order[1:]] = same
-    if first_too:
-        out[order[:-1]] |= same
-    return out
+    before, often = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    before[order[1:]] = same
+    often[order[1:]] = same
+    often[order[:-1]] |= same
+    return before, often
+
+
+def _covered(count: int, at: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``count`` words lie in a window of n that begins at one of ``at``."""
+    steps = np.zeros(count + 1, np.int64)
+    steps[at] += 1
+    steps[at + n] -= 1
+    return np.cumsum(steps)[:-1] > 0
 
 
 def measure(block: Block) -> dict[str, np.ndarray]:
@@ -59,13 +68,11 @@ def measure(block: Block) -> dict[str, np.ndarray]:
         at = candidates[candidates < len(grams)]
         owner = np.searchsorted(firsts, at, "right") - 1
         at, owner = at[at + n <= firsts[owner + 1]], owner[at + n <= firsts[owner + 1]]
-        candidates = at[_repeated(mix(grams[at] ^ mix(owner.astype(np.uint64))), first_too=True)]
-        steps = np.zeros(len(words) + 1, np.int64)
-        steps[candidates] += 1
-        steps[candidates + n] -= 1
-        covered = np.cumsum(steps)[:-1] > 0
+        before, often = _repeated(mix(grams[at] ^ mix(owner.astype(np.uint64))))
+        candidates = at[often]
         if n == min(WINDOW_LIMITS):
-            out["n_repeat_words"] = np.diff(_sums(covered)[firsts])
+            out["n_repeat_words"] = np.diff(_sums(_covered(len(words), candidates, n))[firsts])
+        covered = _covered(len(words), at[before], n)
         inside = _sums(np.where(covered, np.diff(chars), 0))
         out[f"chars_{n}"] = inside[firsts[1:]] - inside[firsts[:-1]]
 
@@ -77,7 +84,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     low, high = np.searchsorted(starts, begin), np.searchsorted(starts, stop)
     begin, stop, low, high = (x[high > low] for x in (begin, stop, low, high))
     owner = block.text_of(begin)
-    again = _repeated(mix(range_hashes(block.data, begin, stop) ^ mix(owner.astype(np.uint64))), first_too=False)
+    again, _ = _repeated(mix(range_hashes(block.data, begin, stop) ^ mix(owner.astype(np.uint64))))
     out["n_lines"] = np.bincount(owner, minlength=block.size)
     out["n_dup_lines"] = np.bincount(owner[again], minlength=block.size)
     out["dup_line_chars"] = np.bincount(owner[again], (chars[high] - chars[low])[again], block.size).astype(np.int64)
@@ -105,7 +112,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
     found = docs.select(id_col, text_col).mapInArrow(_task, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    over = (F.col("n_dup_lines") > LINE_LIMIT * F.col("n_lines")) | (F.col("dup_line_chars") > LINE_CHARS_LIMIT * F.col("word_chars"))
+    many_lines = (F.col("n_lines") >= LINE_LIMIT_FROM) & (F.col("n_dup_lines") > LINE_LIMIT * F.col("n_lines"))
+    over = many_lines | (F.col("dup_line_chars") > LINE_CHARS_LIMIT * F.col("word_chars"))
     for n, limit in WINDOW_LIMITS.items():
         over |= F.col(f"chars_{n}") > limit * F.col("word_chars")
     return found.withColumnRenamed("_id", id_col).withColumn("base_failed", failed).withColumn("kept", ~failed & ~over)

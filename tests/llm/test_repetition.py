@@ -16,15 +16,20 @@ def brute(i, text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     chars = sum(map(len, words))
 
-    def covered(n):
-        windows = collections.Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
-        return {j for k in range(len(words) - n + 1) if windows[tuple(words[k : k + n])] > 1 for j in range(k, k + n)}
+    def covered(n, first_too=False):
+        windows = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        many, seen, out = collections.Counter(windows), set(), set()
+        for k, w in enumerate(windows):
+            if w in seen or first_too and many[w] > 1:
+                out.update(range(k, k + n))
+            seen.add(w)
+        return out
 
     lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
     again = [line for k, line in enumerate(lines) if line in lines[:k]]
-    repeated = len(covered(5))
+    repeated = len(covered(5, first_too=True))
     failed = len(words) < 10 or 100 * repeated > 20 * len(words)
-    over = len(again) > 0.3 * len(lines) or sum(len("".join(re.findall(r"[^\x20\x09-\x0D]+", a))) for a in again) > 0.2 * chars
+    over = len(lines) >= 5 and len(again) > 0.3 * len(lines) or sum(len("".join(re.findall(r"[^\x20\x09-\x0D]+", a))) for a in again) > 0.2 * chars
     over |= any(sum(len(words[j]) for j in covered(n)) > limit * chars for n, limit in WINDOW_LIMITS.items())
     return i, len(words), chars, sum(c in "#*$%&|<>" for c in text), len(again), repeated, failed, not failed and not over
 
