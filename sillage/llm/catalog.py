@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.llm import bpe, fmindex, jaccard, langid, linecrf, pii, repetition, secrets, tokenfiles, toxicity
+from sillage.llm.oracles import DECONTAMINATION, JACCARD, REPETITION
 from sillage.llm.ship import ship
 from sillage.session import shared_dir
 
@@ -17,7 +18,7 @@ END_ID = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op5_repetition": REPETITION, "op8_decontamination": DECONTAMINATION}
 
 
 def _register(query: Query) -> Query:
