@@ -39,7 +39,8 @@ from sillage.llm.text import (
 )
 from sillage.session import stage, unstage
 
-GROUP_BLOCK = 256
+#: members and shingles that a block of a group holds on average
+GROUP_BLOCK, GROUP_SHINGLES = 256, 1 << 20
 STAR_BLOCK = 4096
 
 
@@ -213,10 +214,13 @@ def _star(num: int, den: int):
                 if r == m:
                     root, own = r, _array(batch.column(2), row).copy()
                 elif r == root:
-                    out.append((r, m, _overlaps(own, _array(batch.column(2), row), num, den)))
+                    other = _array(batch.column(2), row)
+                    out.append((r, m, _overlaps(own, other, num, den), len(other)))
             if out:
-                r, m, linked = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(m, pa.int64()), pa.array(linked)], ["_a", "_b", "_linked"])
+                r, m, linked, sizes = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r, pa.int64()), pa.array(m, pa.int64()), pa.array(linked), pa.array(sizes, pa.int64())], ["_a", "_b", "_linked", "_n"]
+                )
 
     return task
 
@@ -325,11 +329,13 @@ def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num
     star = stage(
         members.union(heads).join(sets, "_c").repartition("_root", "_part")
         .sortWithinPartitions("_root", "_part", F.col("_c") != F.col("_root"))
-        .select("_root", "_c", "_set").mapInArrow(_star(num, den), "_a long, _b long, _linked boolean"), "star",
+        .select("_root", "_c", "_set").mapInArrow(_star(num, den), "_a long, _b long, _linked boolean, _n long"), "star",
     )
     # groups with a member that its root does not link with: all members, in pairs of blocks
-    open_roots = star.groupBy("_a").agg(F.count("*").alias("_size"), F.count_if(~F.col("_linked")).alias("_loose")).where("_loose > 0 AND _size > 1")
-    blocks_of = (F.floor(F.col("_size") / GROUP_BLOCK) + 1).cast("int")
+    open_roots = star.groupBy("_a").agg(
+        F.count("*").alias("_size"), F.sum("_n").alias("_total"), F.count_if(~F.col("_linked")).alias("_loose")
+    ).where("_loose > 0 AND _size > 1")
+    blocks_of = F.least(F.floor(F.greatest(F.col("_size") / GROUP_BLOCK, F.col("_total") / GROUP_SHINGLES)) + 1, F.col("_size")).cast("int")
     spread = (
         star.join(open_roots, "_a").withColumn("_blocks", blocks_of)
         .withColumn("_block", F.pmod(F.xxhash64("_b"), F.col("_blocks")).cast("int"))

@@ -77,6 +77,7 @@ def test_groups_at_the_threshold(shipped):
 def test_large_groups_are_cut_into_blocks(shipped, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_BLOCK", 16)
     monkeypatch.setattr(jaccard, "STAR_BLOCK", 8)
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 3000)
     rows = variants(2)
     assert result(shipped.createDataFrame(rows, "doc_id long, text string")) == brute(sorted(rows))
 
