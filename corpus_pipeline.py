@@ -69,6 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn. What a stage has read and staged is removed once its result is written."""
+    ship(spark)
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), None
     for name, stage in STAGES:
         path = shared_dir(spark, name)

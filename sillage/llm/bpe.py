@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sillage.llm.text import ragged, range_hashes
 
 BLOCK_CHARS = 1 << 19
-KEEP_WORDS = 300_000
+KEEP_WORDS = 1_000_000
 LANES = 1 << 12
 WIDEST = 64
 _NONE = np.int64(1) << np.int64(62)
@@ -94,7 +94,8 @@ class Bpe:
     # words
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes of the words seen, ascending, and which of the following each is
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -241,21 +242,26 @@ class Bpe:
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         example = order[new]
-        distinct = hashes[example].tolist()
-        if len(self.known) + len(distinct) > KEEP_WORDS:
+        distinct = hashes[example]
+        if len(self.hashes) + len(distinct) > KEEP_WORDS:
             self.forget()
-        get = self.known.get
-        place = np.array([get(h, -1) for h in distinct], np.int64)
-        fresh = np.flatnonzero(place < 0)
+        at = np.searchsorted(self.hashes, distinct)
+        seen = np.zeros(len(distinct), bool)
+        inside = at < len(self.hashes)
+        seen[inside] = self.hashes[at[inside]] == distinct[inside]
+        place = np.empty(len(distinct), np.int64)
+        place[seen] = self.place[at[seen]]
+        fresh = np.flatnonzero(~seen)
         if len(fresh):
-            at = example[fresh]
-            words = [joined[a:b].encode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            where = example[fresh]
+            words = [joined[a:b].encode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
             ids, lengths = self.encode_words(words)
             place[fresh] = np.arange(len(fresh)) + len(self.starts)
             self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.ids = np.concatenate((self.ids, ids))
-            self.known.update(zip([distinct[i] for i in fresh.tolist()], place[fresh].tolist(), strict=True))
+            self.hashes = np.insert(self.hashes, at[fresh], distinct[fresh])
+            self.place = np.insert(self.place, at[fresh], place[fresh])
         word = place[which]
         return self.ids[ragged(self.starts[word], self.lengths[word])], self.lengths[word], starts
 
