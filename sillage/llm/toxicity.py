@@ -8,9 +8,10 @@ what is rare is left to the shared counts and speaks for neither class. The scor
 per word: the mean of what each order adds to the ratio beyond ``MARGIN`` either way, weighed by a logistic
 calibration on a fold of the training texts that is not counted.
 
-Words are hashed to ``WORD_BITS`` bits for counting. What goes to all tasks has 2^``TABLE_BITS`` entries a
-table, whatever the corpus holds: words are folded after their discount, and of the pairs above their discount
-each entry keeps the heaviest, with its key; a pair that is not kept is left to the single words.
+Words and pairs are told apart by hashes of ``WORD_BITS`` bits. All tasks get every pair above its discount and
+every word that is above its own or part of such a pair, so the tables follow the corpus. Nothing is lost by the
+others: a word at or below its discount is left to the shared order in both classes, a context without a pair
+above its discount leaves all to the single words, and the ratio of both is 0.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from sillage.llm import logistic
 from sillage.llm.folds import bounded, fold, labelled
-from sillage.llm.text import ALNUM, Block, blocks, word_hashes
+from sillage.llm.text import ALNUM, Block, blocks, mix, word_hashes
 from sillage.session import stage
 
-WORD_BITS = 24
+WORD_BITS = 64
+#: first bits of a word that number its row in tables without keys
 TABLE_BITS = 18
 #: discounts of pairs, of what a pair leaves to its word, and of words, for the smaller class
 PAIR_DISCOUNT, LEFT_DISCOUNT, WORD_DISCOUNT = 8.0, 1.0, 2.0
@@ -38,46 +40,59 @@ CALIBRATION_ROWS = 10_000
 HELD_OUT_PARTS = 5
 CUT = 0.5
 _FLUSH = 2_000_000
-_WORD = (1 << WORD_BITS) - 1
-_FOLD = WORD_BITS - TABLE_BITS
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_COUNTS = ["after0", "after1", "left0", "left1", "under0", "under1"]
 
 
 def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, of the word before it (0 for the first of a text), and the index of each text's first."""
     words, firsts = word_hashes(block, ALNUM)
-    word = (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    word = words.view(np.int64)
     before = np.concatenate(([0], word[:-1])) if len(word) else word
     before[firsts[:-1][firsts[:-1] < len(word)]] = 0
     return word, before, firsts
 
 
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before.view(np.uint64) * _PAIR + word.view(np.uint64))
+
+
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
+    """Pairs (before, word) of both classes with the number in each."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        before, word, label = (np.concatenate(part) for part in zip(*held, strict=True))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+        _, first, pair = np.unique(_pair_keys(before, word), return_index=True, return_inverse=True)
+        counts = [np.bincount(pair[label == c], minlength=len(first)) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (before[first], word[first], *counts)], ["before", "word", "n0", "n1"])
 
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
         for block in blocks(batch.column(0)):
             word, before, firsts = _tokens(block)
-            of = np.repeat(label[block.rows[0] : block.rows[1]], np.diff(firsts))
-            held.append(of << (2 * WORD_BITS) | before << WORD_BITS | word)
-            if sum(map(len, held)) >= _FLUSH:
+            held.append((before, word, np.repeat(label[block.rows[0] : block.rows[1]], np.diff(firsts))))
+            if sum(len(word) for _, word, _ in held) >= _FLUSH:
                 yield flush()
     if held:
         yield flush()
 
 
-def _pair_entry(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (word >> _FOLD) ^ (before & ((1 << TABLE_BITS) - 1))
+def _rows(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Row of each wanted key among the sorted ones; the row after the last for a key that is not there."""
+    at = np.searchsorted(keys, wanted)
+    if len(keys):
+        at[keys[np.minimum(at, len(keys) - 1)] != wanted] = len(keys)
+    return at
 
 
 @dataclass
 class Model:
-    """By class: discounted pair counts by entry, counts and leftovers by word before, discounted shares of words; shared: the rest."""
+    """Sorted keys of pairs and by class their discounted counts; by word and class counts and leftovers as word before, discounted shares; shared: the rest.
+
+    Both tables end with a row for what they do not hold. Without ``word_keys`` the first TABLE_BITS bits of a word are its row.
+    """
 
     pair_keys: np.ndarray
     pairs: np.ndarray
@@ -87,17 +102,32 @@ class Model:
     passed_on: float
     shared: np.ndarray
     calibration: np.ndarray
+    word_keys: np.ndarray | None = None
+
+    def _word_rows(self, word: np.ndarray) -> np.ndarray:
+        if self.word_keys is None:
+            return (word.view(np.uint64) >> np.uint64(WORD_BITS - TABLE_BITS)).astype(np.int64)
+        return _rows(self.word_keys, word)
+
+    def _pair_counts(self, word: np.ndarray, before: np.ndarray, able: np.ndarray) -> np.ndarray:
+        """By class, 0 for pairs that are not kept; only the ``able`` are looked up."""
+        out = np.zeros((2, len(word)))
+        of = np.flatnonzero(able)
+        at = _rows(self.pair_keys, _pair_keys(before[of], word[of]))
+        hit = at < len(self.pair_keys)
+        out[:, of[hit]] = self.pairs[:, at[hit]]
+        return out
 
     def ratios(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(word, toxic) - log P(word, ordinary) of the single-word models, and what the word before adds to it."""
-        at, context, entry = word >> _FOLD, before >> _FOLD, _pair_entry(before, word)
-        hit = self.pair_keys[entry] == (before << WORD_BITS | word)
+        at, context = self._word_rows(word), self._word_rows(before)
         lower = self.passed_on * self.shared[at]
+        pairs = self._pair_counts(word, before, self.after[:, context].any(axis=0))
         singles, logs = [], []
         for c in (0, 1):
             single = (1 - self.passed_on) * self.words[c][at] + lower
             n = self.after[c][context]
-            pair = (np.where(hit, self.pairs[c][entry], 0) + self.left[c][context] * single) / np.maximum(n, 1)
+            pair = (pairs[c] + self.left[c][context] * single) / np.maximum(n, 1)
             singles.append(np.log(single))
             logs.append(np.log(np.where(n > 0, pair, single)))
         alone = singles[1] - singles[0]
@@ -119,24 +149,26 @@ class Model:
         return logistic.apply(self.calibration, self.features(block))
 
 
-def _cut(label: Column, discount: float, scale: dict[int, float]) -> Column:
-    return F.when(label == 1, F.lit(discount * scale[1])).otherwise(F.lit(discount * scale[0]))
+def _over(n: Column, discount: float, scale: float) -> Column:
+    return F.greatest(n - discount * scale, F.lit(0.0))
 
 
 def _spread(scale: dict[int, float]) -> list[Column]:
-    """What a pair (key, n) adds to the word before it, to its word, and, above the discount, to itself."""
-    label, x, n = F.shiftright("key", 2 * WORD_BITS), F.col("key"), F.col("n").cast("double")
-    before, word = F.shiftright(x, WORD_BITS).bitwiseAND(F.lit(_WORD)), x.bitwiseAND(F.lit(_WORD))
-    over = F.greatest(n - _cut(label, PAIR_DISCOUNT, scale), F.lit(0.0))
-    under = F.least(n, _cut(label, LEFT_DISCOUNT, scale))
+    """What a pair (before, word, n0, n1) adds to the word before it, to its word, and, above the discount, to itself."""
+    n = [F.col(f"n{c}").cast("double") for c in (0, 1)]
+    over = [_over(n[c], PAIR_DISCOUNT, scale[c]) for c in (0, 1)]
+    under = [F.least(n[c], F.lit(LEFT_DISCOUNT * scale[c])) for c in (0, 1)]
+    none = F.lit(0.0)
 
-    def row(kind: int, of: Column, at: Column, a: Column, b: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), of.alias("label"), at.alias("at"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    def row(word: Column | None, at: Column, *values: Column) -> Column:
+        to = F.lit(None).cast("long") if word is None else word
+        return F.struct(at.alias("at"), to.alias("to"), *(v.alias(name) for name, v in zip(_COUNTS, values, strict=True)))
 
     return [
-        row(0, label, F.shiftright(before, _FOLD), n, n - over), row(1, label, word, under, F.lit(0)),
-        row(2, F.lit(0).cast("long"), x.bitwiseAND(F.lit((1 << 2 * WORD_BITS) - 1)), F.when(label == 0, over).otherwise(0), F.when(label == 1, over).otherwise(0)),
-    ]
+        row(None, F.col("before"), *n, n[0] - over[0], n[1] - over[1], none, none),
+        row(None, F.col("word"), none, none, none, none, *under),
+        row(F.col("word"), F.col("before"), *over, none, none, none, none),
+    ]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
@@ -148,40 +180,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     apart = F.pmod(F.xxhash64(id_col, F.lit("calibration")), F.lit(CALIBRATION_PARTS)) == 0
     size = {r["_label"]: r["n"] or 0 for r in known.groupBy("_label").agg(F.sum(F.octet_length(text_col)).alias("n")).collect()}
     scale = {c: max(1.0, size.get(c, 0) / max(1, min(size.get(0, 0), size.get(1, 0)))) for c in (0, 1)}
-    counted = known.where(~apart).select(text_col, "_label").mapInArrow(_count_task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    wide = counted.select(F.explode(F.array(*_spread(scale))).alias("r")).select("r.*").where("kind < 2 OR a + b > 0")
-    wide = stage(wide.groupBy("kind", "label", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
-    # words are discounted before they share an entry
-    cut = _cut(F.col("label"), WORD_DISCOUNT, scale)
-    single = F.col("kind") == 1
-    folded = wide.where("kind < 2").select(
-        "kind", "label", F.when(single, F.shiftright("at", _FOLD)).otherwise(F.col("at")).alias("at"),
-        F.when(single, F.greatest(F.col("a") - cut, F.lit(0.0))).otherwise(F.col("a")).alias("a"),
-        F.when(single, F.least(F.col("a"), cut)).otherwise(F.col("b")).alias("b"),
-    ).groupBy("kind", "label", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    found = folded.toArrow()
-    kind, of, at, a, b = (found[c].to_numpy() for c in ("kind", "label", "at", "a", "b"))
-
-    def table(number: int, c: int, values: np.ndarray) -> np.ndarray:
-        rows = (kind == number) & (of == c)
-        return np.bincount(at[rows], values[rows], 1 << TABLE_BITS)
-
-    pair = F.col("at")
-    entry = F.shiftright(pair.bitwiseAND(F.lit(_WORD)), _FOLD).bitwiseXOR(F.shiftright(pair, WORD_BITS).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)))
-    weight = F.col("a") / scale[0] + F.col("b") / scale[1]
-    heaviest = wide.where("kind = 2").groupBy(entry.alias("entry")).agg(F.max(F.struct(weight.alias("weight"), "at", "a", "b")).alias("top"))
-    kept = heaviest.select("entry", "top.at", "top.a", "top.b").toArrow()
-    keys, pairs = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros((2, 1 << TABLE_BITS), np.float32)
-    entries = kept["entry"].to_numpy()
-    keys[entries], pairs[0][entries], pairs[1][entries] = (kept[c].to_numpy() for c in ("at", "a", "b"))
-
-    over, under = ([table(1, c, values) for c in (0, 1)] for values in (a, b))
-    taken = [under[c] / scale[c] for c in (0, 1)]
-    shared = taken[0] + taken[1] + 0.5
-    total = sum(over[c].sum() / scale[c] for c in (0, 1)) + shared.sum()
+    counted = known.where(~apart).select(text_col, "_label").mapInArrow(_count_task, "before long, word long, n0 long, n1 long")
+    counted = counted.groupBy("before", "word").agg(*(F.sum(n).alias(n) for n in ("n0", "n1")))
+    wide = counted.select(F.explode(F.array(*_spread(scale))).alias("r")).select("r.*").where("to IS NULL OR after0 + after1 > 0")
+    wide = stage(wide.groupBy("at", "to").agg(*(F.sum(n).alias(n) for n in _COUNTS)), "counts")
+    over = [_over(F.col(f"under{c}"), WORD_DISCOUNT, scale[c]) for c in (0, 1)]
+    taken = sum((F.col(f"under{c}") - over[c]) / scale[c] for c in (0, 1)) + 0.5
+    words = wide.where("to IS NULL").select("at", *_COUNTS[:4], over[0].alias("over0"), over[1].alias("over1"), taken.alias("taken"))
+    # a word that was never counted has the last 0.5
+    sums = words.agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in ("over0", "over1", "taken"))).first()
+    mass, rest = [sums["over0"], sums["over1"]], sums["taken"] + 0.5
+    kept = wide.where("to IS NOT NULL").select("at", "to", *(F.col(n).cast("float") for n in _COUNTS[:2]))
+    parts = kept.select(F.explode(F.array("at", "to")).alias("at")).distinct().withColumn("paired", F.lit(True))
+    needed = words.join(parts, "at", "left").where("paired OR over0 + over1 > 0").drop("paired").toArrow()
+    pairs = kept.toArrow()
+
+    def column(table: pa.Table, name: str, order: np.ndarray) -> np.ndarray:
+        return table[name].to_numpy()[order]
+
+    def table(names: list[str], order: np.ndarray) -> np.ndarray:
+        return np.stack([np.append(column(needed, name, order), 0) for name in names]).astype(np.float32)
+
+    by_word = np.argsort(needed["at"].to_numpy())
+    pair_keys = _pair_keys(pairs["at"].to_numpy(), pairs["to"].to_numpy())
+    by_pair = np.argsort(pair_keys)
     model = Model(
-        keys, pairs, np.stack([table(0, c, a) for c in (0, 1)]).astype(np.float32), np.stack([table(0, c, b) for c in (0, 1)]).astype(np.float32),
-        np.stack([over[c] / max(1.0, over[c].sum()) for c in (0, 1)]), shared.sum() / total, shared / shared.sum(), np.zeros(9),
+        pair_keys[by_pair], np.stack([column(pairs, n, by_pair) for n in _COUNTS[:2]]), table(_COUNTS[:2], by_word), table(_COUNTS[2:4], by_word),
+        np.stack([np.append(column(needed, f"over{c}", by_word), 0) / max(1.0, mass[c]) for c in (0, 1)]), rest / (sum(mass[c] / scale[c] for c in (0, 1)) + rest),
+        np.append(column(needed, "taken", by_word), 0.5) / rest, np.zeros(9), column(needed, "at", by_word),
     )
     sample = bounded(known.where(apart), "_label", CALIBRATION_ROWS, id_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import Counter
+from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import empty, no_labels, odd
+from pyspark.sql import functions as F
 
 from sillage.llm import catalog, langid, linecrf, logistic, toxicity
+from sillage.llm.text import blocks
 
 SF = "/root/testdata/sf0.01"
 
@@ -88,3 +93,55 @@ def test_class_models_are_distributions():
     single = [0.7 * words[c] + 0.3 * model.shared for c in (0, 1)]
     assert np.isclose(single[0].sum(), 1) and np.isclose(single[1].sum(), 1)
     assert np.allclose(alone, np.log(single[1] / single[0])) and np.allclose(added, 0)
+
+
+def brute_ratios(texts, scored, size):
+    """By text of words: what each word and its pair add, from counts in dictionaries that tell all words and pairs apart; ``size``: bytes by class."""
+    scale = [max(1.0, size[c] / min(size.values())) for c in (0, 1)]
+    pairs = [Counter(p for t, y in texts if y == c for p in itertools.pairwise(["", *t])) for c in (0, 1)]
+    after, left, under = ([Counter(), Counter()] for _ in range(3))
+    over = [{p: max(n - toxicity.PAIR_DISCOUNT * scale[c], 0) for p, n in pairs[c].items()} for c in (0, 1)]
+    for c in (0, 1):
+        for (before, word), n in pairs[c].items():
+            after[c][before] += n
+            left[c][before] += n - over[c][before, word]
+            under[c][word] += min(n, toxicity.LEFT_DISCOUNT * scale[c])
+    cut = [toxicity.WORD_DISCOUNT * scale[c] for c in (0, 1)]
+    mass = [sum(max(n - cut[c], 0) for n in under[c].values()) for c in (0, 1)]
+    shared = {w: sum(min(under[c][w], cut[c]) / scale[c] for c in (0, 1)) + 0.5 for w in under[0] | under[1]}
+    rest = sum(shared.values()) + 0.5
+    passed_on = rest / (sum(mass[c] / scale[c] for c in (0, 1)) + rest)
+    for t in scored:
+        out = []
+        for before, word in itertools.pairwise(["", *t]):
+            one, two = [], []
+            for c in (0, 1):
+                p = (1 - passed_on) * max(under[c][word] - cut[c], 0) / max(1.0, mass[c]) + passed_on * shared.get(word, 0.5) / rest
+                n = after[c][before]
+                one.append(log(p))
+                two.append(log((over[c].get((before, word), 0) + left[c][before] * p) / n) if n else log(p))
+            out.append((one[1] - one[0], two[1] - two[0] - one[1] + one[0]))
+        yield out
+
+
+def test_every_pair_and_word_counts_for_itself(shipped):
+    """With thousands of words and of pairs above their discount none is left out and none shares another's count."""
+    rng = np.random.default_rng(5)
+    phrases = [(f"w{i}", f"v{i}", f"w{j}") for i, j in enumerate(rng.integers(0, 4000, 4000))]
+    docs = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        own = rng.integers(0, 1500, 500) if toxic else rng.integers(1000, 4000, 500)
+        docs.append((i, " ".join(w for k in own for w in phrases[k]), int(toxic)))
+    df = shipped.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df)
+    counted = df.where((toxicity.fold("doc_id", 5) != 0) & (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(toxicity.CALIBRATION_PARTS)) != 0))
+    learned = [(r["text"].split(), r["toxic"]) for r in counted.collect()]
+    scored = [t.split() for _, t, _ in docs[:40]] + [["unseen", "w1", "unseen", "words"]]
+    known = {r["toxic"]: r["n"] for r in df.where(toxicity.fold("doc_id", 5) != 0).groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    block = next(blocks(pa.array([" ".join(t) for t in scored])))
+    word, before, _ = toxicity._tokens(block)
+    found = np.column_stack(model.ratios(word, before))
+    wanted = np.array([x for t in brute_ratios(learned, scored, known) for x in t])
+    assert len(model.pair_keys) > 2000 and np.abs(wanted).max() > 1
+    assert np.allclose(found, wanted, atol=1e-4)
