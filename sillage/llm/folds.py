@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +23,28 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_
     return docs.join(marks, docs[id_col] == marks["_marked"]).drop("_marked")
 
 
-def bounded(rows: DataFrame, by: str, most: int, id_col: str = "doc_id", salt: int = 0) -> DataFrame:
+def sizes(rows: DataFrame, by: str) -> dict:
+    """Number of rows of each value of ``by``."""
+    return {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+
+
+def bounded(rows: DataFrame, by: str, most: int, id_col: str = "doc_id", salt: int = 0, counts: dict | None = None) -> DataFrame:
     """About ``most`` rows of each value of ``by``, drawn by a hash of the id; all of a value that has no more.
 
-    Reads the column ``by`` once to count.
+    Reads the column ``by`` once to count, if ``counts`` does not say how many each value has.
     """
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    counts = sizes(rows, by) if counts is None else counts
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 30))
     keep = F.lit(False)
     for value, n in counts.items():
         keep |= F.col(by).eqNullSafe(F.lit(value)) & (draw < int(min(1.0, most / n) * (1 << 30)))
     return rows.where(keep)
+
+
+def weights(drawn: np.ndarray, counts: dict) -> np.ndarray:
+    """For each drawn row how many rows of its class it stands for, so that the classes weigh what they weigh undrawn."""
+    out = np.ones(len(drawn))
+    for value, n in counts.items():
+        of = drawn == value
+        out[of] = n / max(1, of.sum())
+    return out

@@ -4,7 +4,7 @@ Every line with a word is good or bad; its evidence is its own features and thos
 after, and neighbouring labels hold together by learned transitions. Forward and backward messages of two
 labels are one log-odds each, so a whole block of texts takes one step per line number. A text's quality is
 the mean of the marginals weighed by line length, calibrated on texts kept apart. Lines are trained with the
-label of their text, on at most ``SAMPLE_ROWS`` labelled texts of each class.
+label of their text, on at most ``SAMPLE_ROWS`` labelled texts of each class, weighed by the classes' sizes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sillage.llm import logistic
-from sillage.llm.folds import bounded, fold, labelled
+from sillage.llm.folds import bounded, fold, labelled, sizes, weights
 from sillage.llm.text import PLAIN, Block, blocks, mix, ngram_hashes, range_hashes
 
 SAMPLE_ROWS = 3_000
@@ -151,8 +151,11 @@ class Model:
         return logistic.apply(self.calibration, self.quality(x, owner, length, block.size))
 
 
-def fit_chain(x: np.ndarray, counts: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (bias first) and transitions that make the texts' labels likely on all their lines, by Adam over batches of texts."""
+def fit_chain(x: np.ndarray, counts: np.ndarray, label: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (bias first) and transitions that make the texts' labels likely on all their lines, by Adam over batches of texts.
+
+    ``share`` is what each text weighs, 1 in the mean.
+    """
     size = x.shape[1] + 1
     theta = np.zeros(size + 4)
     first = np.cumsum(counts) - counts
@@ -168,7 +171,7 @@ def fit_chain(x: np.ndarray, counts: np.ndarray, label: np.ndarray) -> tuple[np.
             evidence = wide @ theta[1:size] + theta[0]
             ahead, back = messages(evidence, own, t)
             marginal = logistic.sigmoid(ahead + back)
-            weight = np.repeat(1 / own, own) / len(texts)
+            weight = np.repeat(share[texts] / own, own) / len(texts)
             gradient = np.zeros_like(theta)
             rest = (truth - marginal) * weight
             gradient[0], gradient[1:size] = rest.sum(), wide.T @ rest
@@ -209,9 +212,11 @@ def _line_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
     """From labelled rows outside the held-out fold; every fifth of the sampled texts is for the calibration."""
     known = labelled(docs.select(id_col, text_col).where(fold(id_col, FOLDS) != HELD_OUT), labels, label, id_col)
-    sample = bounded(known, "_label", SAMPLE_ROWS, id_col)
+    sizes_of = sizes(known, "_label")
+    sample = bounded(known, "_label", SAMPLE_ROWS, id_col, counts=sizes_of)
     table = sample.orderBy(F.xxhash64(id_col), id_col).select(text_col, "_label").mapInArrow(_line_task, "y int, x array<double>, length array<double>").toArrow()
     y = table["y"].to_numpy().astype(int)
+    weight = weights(y, sizes_of)
     counts = np.array([len(n) for n in table["length"].to_pylist()], np.int64)
     x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     length = table["length"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -221,11 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(x) and y.min() < y.max():
         fitted = (np.arange(len(y)) % 5 != 0) & (counts > 0)
         rows = fitted[owner]
-        model.weights, model.transitions = fit_chain(with_neighbours((x - mean) / scale, owner)[rows], counts[fitted], y[fitted])
+        model.weights, model.transitions = fit_chain(with_neighbours((x - mean) / scale, owner)[rows], counts[fitted], y[fitted], weight[fitted] / weight[fitted].mean())
     apart = (np.arange(len(y)) % 5 == 0) if len(y) else np.zeros(0, bool)
     quality = model.quality(x, owner, length, len(counts))
-    # classes count as they were drawn: alike where both reach the bound
-    model.calibration = logistic.fit(quality[apart], y[apart].astype(float))
+    model.calibration = logistic.fit(quality[apart], y[apart].astype(float), weight=weight[apart])
     return model
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillage.llm import logistic
-from sillage.llm.folds import bounded, fold, labelled
+from sillage.llm.folds import bounded, fold, labelled, sizes, weights
 from sillage.llm.text import ALNUM, Block, blocks, mix, word_hashes
 from sillage.session import stage
 
@@ -174,7 +174,7 @@ def _spread(scale: dict[int, float]) -> list[Column]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
     """Counts over all labelled rows outside the held-out fold, but for one part of CALIBRATION_PARTS.
 
-    The calibration is fitted on that part, on about CALIBRATION_ROWS of each class at most.
+    The calibration is fitted on that part, on about CALIBRATION_ROWS of each class at most, weighed by the classes' sizes.
     """
     known = labelled(docs.select(id_col, text_col).where(fold(id_col, HELD_OUT_PARTS) != 0), labels, label, id_col)
     apart = F.pmod(F.xxhash64(id_col, F.lit("calibration")), F.lit(CALIBRATION_PARTS)) == 0
@@ -209,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         np.stack([np.append(column(needed, f"over{c}", by_word), 0) / max(1.0, mass[c]) for c in (0, 1)]), rest / (sum(mass[c] / scale[c] for c in (0, 1)) + rest),
         np.append(column(needed, "taken", by_word), 0.5) / rest, np.zeros(9), column(needed, "at", by_word),
     )
-    sample = bounded(known.where(apart), "_label", CALIBRATION_ROWS, id_col)
+    part = known.where(apart)
+    counts = sizes(part, "_label")
+    sample = bounded(part, "_label", CALIBRATION_ROWS, id_col, counts=counts)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = sample.select(text_col, "_label").mapInArrow(features, "y int, x array<double>").toArrow()
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(rows.num_rows, 8)
-    model.calibration = logistic.fit(x, rows["y"].to_numpy().astype(float))
+    y = rows["y"].to_numpy()
+    model.calibration = logistic.fit(x, y.astype(float), weight=weights(y, counts))
     return model
 
 

@@ -145,3 +145,27 @@ def test_every_pair_and_word_counts_for_itself(shipped):
     wanted = np.array([x for t in brute_ratios(learned, scored, known) for x in t])
     assert len(model.pair_keys) > 2000 and np.abs(wanted).max() > 1
     assert np.allclose(found, wanted, atol=1e-4)
+
+
+def test_a_weighted_row_counts_as_many():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(300, 2)), (rng.random(300) < 0.3).astype(float)
+    times = np.where(y == 1, 1, 9)
+    assert np.allclose(logistic.fit(x, y, weight=times.astype(float)), logistic.fit(np.repeat(x, times, axis=0), np.repeat(y, times)))
+
+
+@pytest.mark.parametrize(("module", "bound"), [(toxicity, "CALIBRATION_ROWS"), (linecrf, "SAMPLE_ROWS")])
+def test_scores_do_not_move_when_the_bound_is_reached(shipped, monkeypatch, module, bound):
+    """One text in ten is marked and the texts overlap; the bound cuts the larger class to the size of the smaller."""
+    rng = np.random.default_rng(7)
+    docs = []
+    for i in range(6000):
+        mark = int(i % 10 == 0)
+        words = np.where(rng.random(10) < (0.55 if mark else 0.4), "Dark!", "light")
+        docs.append((i, " ".join(words), mark, mark))
+    df = shipped.createDataFrame(docs, "doc_id long, text string, toxic int, quality int").repartition(4).cache()
+    means = []
+    for most in (10_000, {"toxicity": 60, "linecrf": 450}[module.__name__.split(".")[-1]]):
+        monkeypatch.setattr(module, bound, most)
+        means.append(module.score(df, module.train(df, df)).agg(F.avg("score")).first()[0])
+    assert abs(log(means[1] / (1 - means[1])) - log(means[0] / (1 - means[0]))) < 0.7
