@@ -4,8 +4,8 @@ An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs, digit
 announce an identifier. A local parser of each kind expands its anchor to the left and right, as far as the
 characters of the kind go, and validates the result. The base kinds (email, ip, card, phone) are what their
 patterns match from left to right without overlap; the cues add logins in addresses, addresses with the
-at-sign spelled out, bank accounts with a valid check number, social security numbers and account numbers,
-wherever these overlap no base span.
+at-sign spelled out, bank accounts with a valid check number, social security numbers and account numbers.
+These may overlap base spans; among themselves the one that starts first stays.
 """
 
 from __future__ import annotations
@@ -137,11 +137,9 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                 added.append((kind, *match.span(1)))
     if not added:
         return base, base
-    spans, reach, i = list(base), -1, 0
+    spans, reach = list(base), -1
     for span in sorted(added, key=lambda s: (s[1], -s[2])):
-        while i < len(base) and base[i][2] <= span[1]:
-            i += 1
-        if span[1] >= reach and not any(s[1] < span[2] and span[1] < s[2] for s in base[i:] if s[1] < span[2]):
+        if span[1] >= reach:
             spans.append(span)
             reach = span[2]
     spans.sort(key=lambda s: (s[1], order[s[0]]))

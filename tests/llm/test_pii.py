@@ -62,6 +62,21 @@ def test_mask_covers_overlaps():
     assert pii.mask(text, pii.find(text)[1]) == "ip 4111.1.1.1 card <CARD> <EMAIL>"
 
 
+@pytest.mark.parametrize(
+    ("text", "added", "masked"),
+    [
+        ("see https://user:pw@example.com/x", [("login", "user:pw")], "see https://<LOGIN>/x"),
+        ("ftp://joe.x:s3cret@10.0.0.1/y", [("login", "joe.x:s3cret")], "ftp://<LOGIN>/y"),
+        ("IBAN BE69 5390 0754 7016.", [("iban", "BE69 5390 0754 7016")], "IBAN <IBAN>."),
+    ],
+)
+def test_cues_that_overlap_base_spans_stay(text, added, masked):
+    base, spans = pii.find(text)
+    assert base == brute(text) and base and set(base) <= set(spans)
+    assert [(k, text[a:b]) for k, a, b in spans if k not in pii.BASE] == added
+    assert pii.mask(text, spans) == masked
+
+
 def test_whole_table(docs, texts):
     found = pii.spans_of(docs).collect()
     assert {r["doc_id"]: [tuple(s) for s in r["base"]] for r in found} == {i: brute(t) for i, t in texts.items()}
