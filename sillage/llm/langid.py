@@ -33,12 +33,18 @@ _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Feature of every n-gram of a run of texts, by order; where each text's begin, how many it has, and whether it has a letter."""
-    joined = " ".join(t.lower() for t in texts) + " "
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    ends = np.cumsum([len(t.lower()) + 1 for t in texts])
+    lowered = [t.lower() for t in texts]
+    # one space is counted, the others keep its n-grams inside the text
+    pad = max(ORDERS)
+    codes = np.frombuffer("".join(t + " " * pad for t in lowered).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(t) for t in lowered], np.int64)
+    ends = np.cumsum(lengths + 1)
     begins = np.concatenate(([0], ends[:-1]))
+    counted = np.ones(len(codes), bool)
+    for back in range(1, pad):
+        counted[np.cumsum(lengths + pad) - back] = False
     letter = char_classes()[codes] == 1
-    counts = np.concatenate(([0], np.cumsum(letter)))
+    counts = np.concatenate(([0], np.cumsum(letter[counted])))
     codes = np.where(letter, codes, 32).astype(np.uint64)
     hashed = np.empty((len(ORDERS), len(codes)), np.uint16)
     for row, n in enumerate(ORDERS):
@@ -46,7 +52,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         for j in range(n):
             h[: len(codes) - j] += codes[j:] * np.uint64(_FACTORS[j])
         hashed[row] = (h * np.uint64(_FACTORS[0])) >> np.uint64(64 - FEATURE_BITS)
-    return hashed, begins, ends - begins, counts[ends] - counts[begins] > 0
+    return hashed[:, counted], begins, ends - begins, counts[ends] - counts[begins] > 0
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

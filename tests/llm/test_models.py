@@ -169,3 +169,12 @@ def test_scores_do_not_move_when_the_bound_is_reached(shipped, monkeypatch, modu
         monkeypatch.setattr(module, bound, most)
         means.append(module.score(df, module.train(df, df)).agg(F.avg("score")).first()[0])
     assert abs(log(means[1] / (1 - means[1])) - log(means[0] / (1 - means[0]))) < 0.7
+
+
+def test_a_text_has_the_same_features_alone_and_in_a_batch():
+    texts = ["ab", "zeta x", "", "é", "quo vadis", "ab"]
+    hashed, begins, sizes, known = langid.features(texts)
+    for i, text in enumerate(texts):
+        alone, _, size, letters = langid.features([text])
+        assert np.array_equal(hashed[:, begins[i] : begins[i] + sizes[i]], alone) and (sizes[i], known[i]) == (size[0], letters[0])
+    assert hashed.shape[1] == sizes.sum()
