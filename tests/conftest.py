@@ -32,7 +32,3 @@ def duck():
     from check_queries import duck as connect
 
     return connect(SF_DIR)
-
-
-def rows(df) -> list[tuple]:
-    return sorted((tuple(r) for r in df.collect()), key=repr)

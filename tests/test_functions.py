@@ -7,7 +7,7 @@ import math
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
-from conftest import rows
+from rows import rows
 from pyspark.sql import functions as F
 
 from sillage import fixed_values as fv

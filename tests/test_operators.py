@@ -6,7 +6,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import rows
+from rows import rows
 from pyspark.sql import functions as F
 
 from sillage import schema

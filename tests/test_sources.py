@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pytest
-from conftest import rows
+from rows import rows
 from pyspark.sql import functions as F
 
 from sillage.session import shared_dir
