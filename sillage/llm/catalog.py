@@ -8,17 +8,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, fmindex, jaccard, langid, linecrf, pii, repetition, secrets, tokenfiles, toxicity
-from sillage.llm.oracles import DECONTAMINATION, JACCARD, REPETITION
+from sillage.llm import bpe, chat, fmindex, jaccard, langid, lexical, linecrf, pii, repetition, secrets, tokenfiles, toxicity, trie
+from sillage.llm.oracles import CHAT, DECONTAMINATION, JACCARD, LEXICAL, REPETITION, TRIE
 from sillage.llm.ship import ship
 from sillage.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+#: a text that holds the control strings of the chat template
+MARKS = "\\### Assistant: </turn> ok"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op5_repetition": REPETITION, "op8_decontamination": DECONTAMINATION}
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": JACCARD, "op5_repetition": REPETITION, "op8_decontamination": DECONTAMINATION,
+    "op11_lexical_search": LEXICAL, "op12_chat_format": CHAT, "op13_prefix_trie": TRIE,
+}
 
 
 def _register(query: Query) -> Query:
@@ -102,3 +107,34 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return linecrf.score(docs, linecrf.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_register
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(MARKS).alias("text"),
+    )
+    found = chat.conversations(chat.linear(turns.unionByName(marks)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = found.select(
+        F.col("tree").alias("conv_id"), chat.turns_of(F.col("formatted")).alias("turns"),
+        F.array_join(chat.masked(F.col("formatted"), F.col("loss")), "").alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+@_register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(4))
+    nodes = trie.prefix_trie(*trie.rebuilt(_table(spark, sf_dir, "conversations"), shared, F.expr("conv - conv % 20")))
+    return nodes.withColumn("ends_sha256", F.sha2(F.col("ends").cast("binary"), 256)).drop("ends")

@@ -61,3 +61,49 @@ DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_words('text', _ALNUM)} AS w FR
   items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM occ GROUP BY doc_id)
   SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words('text', _TERM)} AS w FROM documents),
+  q AS (SELECT DISTINCT item_id, unnest({_words('text', _TERM)}) AS t FROM benchmark),
+  tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+  total AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+  weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, total GROUP BY t),
+  part AS (SELECT r, t, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(d.w) * n_docs) // n_terms))) AS s FROM tf JOIN d USING (r) JOIN weight USING (t), total),
+  scored AS (SELECT item_id, r, CAST(sum(s) AS BIGINT) AS score FROM q JOIN part USING (t) GROUP BY item_id, r HAVING sum(s) > 0),
+  ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored JOIN d USING (r))
+  SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+_DIGEST = "sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)"
+
+
+def _escaped(column: str, role: bool = False) -> str:
+    backslashes, slashes = f"length({column}) - length(replace({column}, '\\', ''))", f"(length({column}) - length(replace({column}, '</', ''))) // 2"
+    signs = f"coalesce(list_sum(list_transform(regexp_extract_all({column}, '#{{3,}}'), lambda x: length(x) - 2)), 0)"
+    return f"length({column}) + {backslashes} + {slashes} + {signs}" + (f" + (length({column}) - length(replace({column}, ': ', ''))) // 2" if role else "")
+
+
+CHAT = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, u, CASE u WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) v(u)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_DIGEST}) AS pos FROM t),
+  c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said,
+      coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '') AS learned,
+      CAST(sum(4 + {_escaped('role', role=True)} + 2 + {_escaped('text')} + 8) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id)
+  SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM c"""
+
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, i: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295)"
+)
+TRIE = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  own AS (SELECT conv_id, CAST({_CRC} % 4 AS BIGINT) AS h, list({_DIGEST} ORDER BY turn NULLS FIRST, {_DIGEST}) AS turns,
+      list(len(regexp_extract_all(text, '{_PLAIN}')) ORDER BY turn NULLS FIRST, {_DIGEST}) AS words FROM t GROUP BY conv_id),
+  built AS (SELECT own.conv_id, list_concat(coalesce(base.turns[1:own.h], []), own.turns[own.h + 1:]) AS turns, list_concat(coalesce(base.words[1:own.h], []), own.words[own.h + 1:]) AS words
+    FROM own LEFT JOIN own base ON base.conv_id = own.conv_id - own.conv_id % 20),
+  m AS (SELECT conv_id, d, turns[1:d] AS node, turns[1:d - 1] AS parent, len(turns) = d AS ends, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words FROM built, unnest(range(0, len(turns) + 1)) u(d)),
+  n AS (SELECT node, d AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, CAST((count(*) - 1) * any_value(words) AS BIGINT) AS saved,
+      coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ended FROM m GROUP BY node, d),
+  k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+  below AS (SELECT DISTINCT a.node, b.node AS under FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+  sums AS (SELECT below.node, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves FROM below JOIN n ON n.node = below.under LEFT JOIN k ON k.node = below.under GROUP BY below.node)
+  SELECT n.conv_id, depth, CASE WHEN depth > 0 THEN p.conv_id END AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(ended) AS ends_sha256
+  FROM n LEFT JOIN (SELECT node, conv_id FROM n) p ON p.node = n.parent LEFT JOIN k ON k.node = n.node JOIN sums ON sums.node = n.node"""
