@@ -30,6 +30,7 @@ SHARD_TURNS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 #: parents with more than this share of all nodes as children are joined apart; there are fewer than its inverse
 _WIDE = 10_000
+_SALTS = 16
 _NODE = "k1 long, k2 long, p1 long, p2 long, depth long, conv_id long, n_convs long, words long, first_end long, ends string"
 
 
@@ -179,11 +180,12 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
         _segments(convs, turns).repartitionByRange(partitions(turns), "segment", "conv").sortWithinPartitions("segment", "conv"), "segments"
     )
     parts = segments.mapInArrow(_nodes_task, _NODE)
-    ends = F.array_sort(F.collect_list(F.when(F.col("first_end").isNotNull(), F.struct("first_end", "ends"))))
-    merged = parts.groupBy("k1", "k2").agg(
-        F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
-        F.sum("n_convs").alias("n_convs"), F.max("words").alias("words"), F.array_join(F.transform(ends, lambda e: e["ends"]), ",").alias("ends"),
-    )
+    # nodes that most shards have are added up in two steps
+    ends = F.collect_list(F.when(F.col("first_end").isNotNull(), F.struct("first_end", "ends")))
+    same = [F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.max("words").alias("words")]
+    some = parts.groupBy("k1", "k2", (F.spark_partition_id() % _SALTS).alias("salt")).agg(*same, ends.alias("ended"))
+    ended = F.array_sort(F.flatten(F.collect_list("ended")))
+    merged = some.groupBy("k1", "k2").agg(*same, F.array_join(F.transform(ended, lambda e: e["ends"]), ",").alias("ends"))
     merged = stage(merged, "nodes")
     children = merged.where("p1 IS NOT NULL").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
     nodes = stage(merged.join(children, ["k1", "k2"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "nodes")
