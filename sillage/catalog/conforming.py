@@ -8,7 +8,7 @@ from sillage import fixed_values as fv
 from sillage.catalog.aggregates import CALENDAR_COLUMNS, CALENDAR_SQL, calendar_rows
 from sillage.catalog.base import register, rnd, with_raw
 from sillage.catalog.cleaning import ALIAS_VALUES, label, synonyms
-from sillage.catalog.scans import write_csv
+from sillage.catalog.scans import write_deliveries
 from sillage.functions import text
 from sillage.operators import aggregates as agg
 from sillage.operators import conform
@@ -212,8 +212,7 @@ def _(spark, sf):
 
 @register("D10_load_files", HISTORY_SQL)
 def _(spark, sf):
-    raw = raw_rows(spark, sf, *HISTORY)
-    path = write_csv(raw, shared_dir(spark, "history"))
+    path = write_deliveries(raw_rows(spark, sf, *HISTORY), shared_dir(spark, "history"))
     return load.load_files(spark, path, "Nuitee_Departement", alias_frame(spark))
 
 

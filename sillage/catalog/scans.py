@@ -22,10 +22,17 @@ DELIVERED = ("Date", "VacancesA", "VacancesB", "VacancesC", "Ferie", "JourDeLaSe
 
 
 def write_csv(df, path: str, sep: str = ";", encoding: str = "UTF-8", header: bool = True, mode: str = "append") -> str:
-    df.write.mode(mode).csv(path, sep=sep, header=header, encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df.write.mode(mode).csv(path, sep=sep, header=header, encoding=encoding, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
+def write_deliveries(rows, path: str) -> str:
+    """Rows dealt to files of two header orders, one of them in ISO-8859-1."""
+    even = F.col("id") % 2 == 0
+    write_csv(rows.where(even), path)
+    return write_csv(rows.where(~even).select(*reversed(rows.columns)), path, encoding="ISO-8859-1")
+
+
 def _num(c: str) -> str:
     return f'coalesce(CAST(trunc(TRY_CAST("{c}" AS DOUBLE)) AS INT), 0)'
 
@@ -37,8 +44,7 @@ READ_SQL = f"""SELECT TRY_CAST(nullif("Jour", '') AS DATE) AS date, {_num('Vacan
 
 @register("S01_read_useful", with_raw(READ_SQL, *DELIVERED))
 def _(spark, sf):
-    path = write_csv(raw_rows(spark, sf, *DELIVERED, "id"), shared_dir(spark, "delivery"))
-    return csvfiles.read_useful(spark, path)
+    return csvfiles.read_useful(spark, write_deliveries(raw_rows(spark, sf, *DELIVERED, "id"), shared_dir(spark, "delivery")))
 
 
 @register("S02_read_csv_lenient", with_raw("""SELECT CAST(id AS VARCHAR) AS id, "ZoneObservation" AS zone, CASE WHEN id % 29 <> 0 THEN "NomDepartement" END AS departement, id % 29 <> 0 AS _arity_ok
@@ -69,6 +75,18 @@ def _(spark, sf):
     return csvfiles.read_csv_lenient(spark, path, ["id", "zone", "departement"]).drop("fichier")
 
 
+_NOTE = """CASE id % 3 WHEN 0 THEN "ZoneObservation" || chr(10) || chr(10) || ';"' || id || '"' WHEN 1 THEN '"' || "ZoneObservation" ELSE "ZoneObservation" || '; ' END"""
+
+
+@register("S02_quoted_line_feeds", with_raw(f"""SELECT CAST(id AS VARCHAR) AS id, {_NOTE} AS note, "NomDepartement" AS departement, TRUE AS _arity_ok
+  FROM raw""", "id", "ZoneObservation", "NomDepartement"))
+def _(spark, sf):
+    rows = raw_rows(spark, sf, "id", "ZoneObservation", "NomDepartement")
+    note = F.expr(_NOTE.replace('"ZoneObservation"', "ZoneObservation"))
+    path = write_deliveries(rows.select("id", note.alias("note"), F.col("NomDepartement").alias("departement")), shared_dir(spark, "notes"))
+    return csvfiles.read_csv_lenient(spark, path, ["id", "note", "departement"]).drop("fichier")
+
+
 @register("S02_arity_report", "SELECT count(*) AS lignes, count(*) FILTER (o_orderkey % 29 = 0) AS rejetees FROM orders")
 def _(spark, sf):
     return csvfiles.arity_report(_lenient(spark, sf))
@@ -99,6 +117,33 @@ def _(spark, sf):
     return csvfiles.detect_delimiters(spark, _mixed(spark, sf)).select("delimiteur", "entete").distinct()
 
 
+def _misleading(spark, sf) -> str:
+    """A header with more commas than semicolons, a quote that is no quote, and notes that run over lines, each in files of their own."""
+    customer, folder = table(spark, sf, "customer"), shared_dir(spark, "misleading")
+    key, name = F.col("c_custkey"), F.col("c_name")
+    write_csv(customer.where(key % 3 == 0).select(key.alias("cle, client, numero"), name.alias("nom")), f"{folder}/a")
+    inches = F.concat_ws("|", key.cast("string"), F.concat(F.lit('"5 '), name), F.col("c_mktsegment"))
+    lines = customer.where(key % 3 == 1).select(inches.alias("value"))
+    head = spark.range(1).select(F.lit("cle|nom|segment").alias("value"), F.lit(0).alias("o"))
+    head.union(lines.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/b")
+    note = F.concat(name, F.lit("\n1,2\n"), F.col("c_mktsegment"))
+    write_csv(customer.where(key % 3 == 2).select(key.alias("cle"), note.alias("note"), name.alias("nom")), f"{folder}/c", sep="\t")
+    return folder
+
+
+@register("S03_dialects", """SELECT * FROM (VALUES (';', TRUE, 2, 1.0::DOUBLE, 'cle, client, numero;nom'), ('|', FALSE, 3, 1.0::DOUBLE, 'cle|nom|segment'), (chr(9), TRUE, 3, 1.0::DOUBLE, 'cle' || chr(9) || 'note' || chr(9) || 'nom')) t(delimiteur, quoted, champs, part, entete)
+  WHERE (SELECT count(*) FROM customer) > 6""")
+def _(spark, sf):
+    return csvfiles.detect_delimiters(spark, _misleading(spark, sf)).select("delimiteur", "quoted", "champs", "part", "entete").distinct()
+
+
+@register("S03_read_misleading", """SELECT CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey AS VARCHAR) END AS cle, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS cle_client_numero,
+  CASE WHEN c_custkey % 3 = 1 THEN '"5 ' ELSE '' END || c_name AS nom, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS segment,
+  CASE WHEN c_custkey % 3 = 2 THEN c_name || chr(10) || '1,2' || chr(10) || c_mktsegment END AS note FROM customer""")
+def _(spark, sf):
+    return csvfiles.read_mixed(spark, _misleading(spark, sf))
+
+
 @register("S03_read_mixed", """SELECT CAST(c_custkey AS VARCHAR) AS cle_client, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS nom,
   CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS segment FROM customer""")
 def _(spark, sf):

@@ -14,6 +14,7 @@ from sillage.operators.aggregates import preagg
 from sillage.operators.conform import assign_ids, attach_ids, require
 from sillage.operators.zones import zone_to_base
 from sillage.session import stage
+from sillage.sources.csvfiles import read_named
 
 _CLEANERS = {
     "provenance": ("Provenance", text.clean_provenance),
@@ -94,8 +95,8 @@ def load_files(
     spark: SparkSession, path: str | Sequence[str], family: str, aliases: DataFrame,
     dims: Mapping[str, DataFrame] | None = None, sep: str = ";",
 ) -> DataFrame:
-    """Delivered files of one family to their fact: read, clean, number, sum."""
-    raw = spark.read.csv(path, sep=sep, header=True)
+    """Delivered files of one family to their fact: read, each by its own header and charset, clean, number, sum."""
+    raw = read_named(spark, path, sep)
     raw = raw.select(*[c for c in USEFUL if c in raw.columns])
     required, optional, extra = grain_of_family(family)
     clean = conform_places(raw, aliases) if optional else conform_labels(raw, aliases)

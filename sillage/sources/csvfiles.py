@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from sillage import fixed_values as fv
 from sillage.functions.dates import parse_iso
 from sillage.functions.text import numeric_flag
 from sillage.session import stage
+from sillage.sources.records import DELIMITERS, survey
 
-DELIMITERS = (";", ",", "\t", "|")
 _FLAGS = {"VacancesA": "vacances_a", "VacancesB": "vacances_b", "VacancesC": "vacances_c", "Ferie": "ferie"}
 
 
@@ -30,8 +31,8 @@ def keep_useful(df: DataFrame, cols: Iterable[str] = fv.DELIVERY_COLUMNS) -> Dat
 
 
 def read_useful(spark: SparkSession, path: str | Sequence[str], cols: Iterable[str] = fv.DELIVERY_COLUMNS, sep: str = ";") -> DataFrame:
-    """Delivery files of one header, read as text and typed by ``keep_useful``."""
-    return keep_useful(spark.read.csv(path, sep=sep, header=True), cols)
+    """Delivery files of any charset, each read by its own header and typed by ``keep_useful``."""
+    return keep_useful(read_named(spark, path, sep), cols)
 
 
 def lines_of(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -41,54 +42,30 @@ def lines_of(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def decode_lines(lines: DataFrame) -> DataFrame:
-    """Text of each line: UTF-8 where the whole file is valid UTF-8, else ISO-8859-1.
+def _fields(line: Column, sep: Column, quoted: Column, width: Column, kinds: Sequence[tuple[str, bool, int]]) -> Column:
+    """Values of a record (v) and whether it has as many as the header (ok), by Spark's own CSV parsing.
 
-    Only the files found to be invalid meet the lines again; their list is staged, so that
-    the join knows how short it is and no line moves.
-    """
-    invalid = stage(lines.where(~F.is_valid_utf8("value")).select("fichier").distinct().withColumn("_latin", F.lit(True)), "charsets")
-    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    text = F.when(F.col("_latin"), latin).otherwise(F.col("value"))
-    return lines.join(invalid, "fichier", "left").select("fichier", F.regexp_replace(text, "^\ufeff", "").alias("ligne"))
-
-
-def header_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """First line of every file (fichier, entete), through Spark's own file systems and codecs.
-
-    Only the first split of a file is read; its first line is kept before rows are shuffled.
-    """
-    first = spark.read.text(path, recursiveFileLookup="true").select(
-        F.col("_metadata.file_path").alias("fichier"), F.col("_metadata.file_block_start").alias("_debut"), "value", F.monotonically_increasing_id().alias("_n")
-    )
-    heads = first.where("_debut = 0").groupBy("fichier").agg(F.min_by("value", "_n").alias("value"))
-    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-    return heads.select("fichier", F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r$", "").alias("entete"))
-
-
-def _fields(line: Column, sep: Column, width: Column, kinds: Sequence[tuple[str, int]]) -> Column:
-    """Values of a line (v) and whether it has as many as the header (ok), by Spark's own CSV parsing.
-
-    One parser for each delimiter and number of columns that occurs.
+    One parser for each dialect and number of columns that occurs.
     """
     out = None
-    for delimiter, n in kinds:
+    for delimiter, quotes, n in kinds:
         schema = ", ".join([*(f"c{i} STRING" for i in range(n)), "_bad STRING"])
-        row = F.from_csv(line, schema, {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "quote": '"' if quotes else "", "escape": '"' if quotes else "\0"}
+        row = F.from_csv(line, schema, options)
         cell = F.struct(F.array(*[row[f"c{i}"] for i in range(n)]).alias("v"), row["_bad"].isNull().alias("ok"))
-        hit = (sep == delimiter) & (width == n)
+        hit = (sep == delimiter) & (quoted == quotes) & (width == n)
         out = F.when(hit, cell) if out is None else out.when(hit, cell)
     return out
 
 
-def _parsed(lines: DataFrame, by_file: DataFrame, master: Sequence[str], kinds: Sequence[tuple[str, int]]) -> DataFrame:
-    """Lines as rows with the columns ``master`` and ``_arity_ok``, each by the names of its own file.
+def _parsed(records: DataFrame, by_file: DataFrame, master: Sequence[str], kinds: Sequence[tuple[str, bool, int]]) -> DataFrame:
+    """Records as rows with the columns ``master`` and ``_arity_ok``, each by the names of its own file.
 
-    ``by_file`` (fichier, entete, sep, noms) has a row per file and is staged, so its size is known to the join.
+    ``by_file`` (fichier, entete, sep, quoted, noms) has a row per file and is staged, so its size is known to the join.
     Blank lines and lines that repeat their file's header are left out.
     """
-    rows = lines.join(by_file, "fichier").where((F.trim("ligne") != "") & (F.col("entete").isNull() | (F.col("ligne") != F.col("entete"))))
-    read = rows.select("fichier", "noms", _fields(F.col("ligne"), F.col("sep"), F.size("noms"), kinds).alias("f"))
+    rows = records.join(by_file, "fichier").where((F.trim("ligne") != "") & (F.col("entete").isNull() | (F.col("ligne") != F.col("entete"))))
+    read = rows.select("fichier", "noms", _fields(F.col("ligne"), F.col("sep"), F.col("quoted"), F.size("noms"), kinds).alias("f"))
     named = read.select("fichier", F.map_from_arrays("noms", "f.v").alias("m"), F.col("f.ok").alias("_arity_ok"))
     return named.select("fichier", *[F.col("m")[c].alias(c) for c in master], "_arity_ok")
 
@@ -96,51 +73,56 @@ def _parsed(lines: DataFrame, by_file: DataFrame, master: Sequence[str], kinds:
 def read_csv_lenient(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
     """Rows of files of unknown charset, with ``_arity_ok`` telling rows of the right width.
 
-    A file whose first line holds only names of ``columns`` is read by that line, whatever
-    its order and however many it has; a file without such a line has all columns in order.
-    Blank lines and header lines are left out; quoting is Spark's own CSV parsing.
+    A file whose first record holds only names of ``columns`` is read by that record, whatever
+    its order and however many it has; a file without such a record has all columns in order.
+    Blank lines and header lines are left out. Quoted fields may hold delimiters and line feeds, unless the
+    records of a file agree more without quotes; quoting is Spark's own CSV parsing.
     """
+    rows, files = survey(spark, path, [sep])
     names = F.transform(F.split("entete", re.escape(sep)), lambda n: F.trim(F.regexp_replace(n, '^"|"$', "")))
     known = F.forall(names, lambda n: n.isin(*columns)) & (F.size(F.array_distinct(names)) == F.size(names))
-    by_file = stage(header_lines(spark, path).select(
-        "fichier", F.when(known, F.col("entete")).alias("entete"), F.lit(sep).alias("sep"),
+    by_file = files.select(
+        "fichier", F.when(known, F.col("entete")).alias("entete"), "sep", "quoted",
         F.when(known, names).otherwise(F.array(*[F.lit(c) for c in columns])).alias("noms"),
-    ), "headers")
-    return _parsed(decode_lines(lines_of(spark, path)), by_file, columns, [(sep, n) for n in range(1, len(columns) + 1)])
+    )
+    return _parsed(rows, by_file, columns, [(sep, q, n) for q in (True, False) for n in range(1, len(columns) + 1)])
 
 
 def arity_report(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("lignes"), F.count_if(~F.col("_arity_ok")).alias("rejetees"))
 
 
-def delimiter_of(line: Column) -> Column:
-    """Most frequent candidate, the earlier one at a tie, a comma when there is none."""
-    counts = F.array(*[
-        F.struct(F.regexp_count(line, F.lit(re.escape(d))).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d"))
-        for i, d in enumerate(DELIMITERS)
-    ])
-    best = F.array_max(counts)
-    return F.when(best["n"] > 0, best["d"]).otherwise(",")
-
-
 def detect_delimiters(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return header_lines(spark, path).withColumn("delimiteur", delimiter_of(F.col("entete")))
+    """Dialect of every file that has a record: its header, delimiter, whether it quotes, the number of fields most of its
+    records have and their share of all."""
+    return survey(spark, path)[1].withColumnRenamed("sep", "delimiteur")
 
 
-def read_mixed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Files of several delimiters and headers as one frame under normalised names.
+def _by_header(spark: SparkSession, path: str | Sequence[str], delimiters: Sequence[str], named: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Files as one frame, each read by its own header; the columns are the union of all names.
 
     The driver learns the distinct headers, which name the columns of the result; the rows
     are read once, each by the header of its file, however many headers there are.
     """
-    heads = stage(detect_delimiters(spark, path), "headers")
+    rows, files = survey(spark, path, delimiters)
     # in order of the headers, so that the columns come out the same every time
-    variants = sorted((r["entete"], r["delimiteur"]) for r in heads.select("entete", "delimiteur").distinct().collect())
-    names = [normal_names(next(csv.reader([entete], delimiter=sep), [])) for entete, sep in variants]
-    listed = spark.createDataFrame([(e, s, n) for (e, s), n in zip(variants, names)], "entete string, sep string, noms array<string>")
-    by_file = stage(heads.withColumnRenamed("delimiteur", "sep").join(listed, ["entete", "sep"]), "headers")
-    kinds = sorted({(sep, len(n)) for (_, sep), n in zip(variants, names)})
-    return _parsed(decode_lines(lines_of(spark, path)), by_file, master_schema(names), kinds).drop("fichier", "_arity_ok")
+    kept = ["entete", "sep", "quoted"]
+    variants = sorted(tuple(r) for r in files.select(*kept).distinct().collect())
+    names = [named(next(csv.reader(io.StringIO(e, newline=""), delimiter=s, quoting=csv.QUOTE_MINIMAL if q else csv.QUOTE_NONE), [])) for e, s, q in variants]
+    listed = spark.createDataFrame([(*v, n) for v, n in zip(variants, names)], "entete string, sep string, quoted boolean, noms array<string>")
+    by_file = stage(files.join(listed, kept).select("fichier", *kept, "noms"), "headers")
+    kinds = sorted({(s, q, len(n)) for (_, s, q), n in zip(variants, names)})
+    return _parsed(rows, by_file, master_schema(names), kinds).drop("fichier", "_arity_ok")
+
+
+def read_mixed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Files of several dialects and headers as one frame under normalised names."""
+    return _by_header(spark, path, DELIMITERS, normal_names)
+
+
+def read_named(spark: SparkSession, path: str | Sequence[str], sep: str = ";") -> DataFrame:
+    """Files of one delimiter and several headers and charsets as one frame under the names they carry."""
+    return _by_header(spark, path, [sep], lambda names: unique_names([n.strip() for n in names]))
 
 
 def normal_name(name: str, position: int) -> str:
@@ -151,12 +133,11 @@ def normal_name(name: str, position: int) -> str:
     return f"col_{out}" if out[0].isdigit() else out
 
 
-def normal_names(names: Sequence[str]) -> list[str]:
-    """Normal names without repeats: the second ``x`` is ``x_1``."""
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Names without repeats: the second ``x`` is ``x_1``."""
     taken: list[str] = []
-    for position, name in enumerate(names):
-        wanted = candidate = normal_name(name, position)
-        suffix = 0
+    for wanted in names:
+        candidate, suffix = wanted, 0
         while candidate in taken:
             suffix += 1
             candidate = f"{wanted}_{suffix}"
@@ -164,6 +145,10 @@ def normal_names(names: Sequence[str]) -> list[str]:
     return taken
 
 
+def normal_names(names: Sequence[str]) -> list[str]:
+    return unique_names([normal_name(name, position) for position, name in enumerate(names)])
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*normal_names(df.columns))
 
@@ -202,7 +187,7 @@ def merge_to_parquet(frames: Sequence[DataFrame], path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", True).csv(path)
+    df.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def snapshot(df: DataFrame, path: str) -> None:

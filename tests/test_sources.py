@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -10,7 +11,8 @@ from rows import rows
 from pyspark.sql import functions as F
 
 from sillage.session import shared_dir
-from sillage.sources import archives, csvfiles, json_rows, manifest
+from sillage.sources import archives, csvfiles, json_rows, manifest, records
+from sillage.sources.records import DELIMITERS
 from sillage.streaming import ingest
 
 
@@ -211,3 +213,71 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     good = rows(df.where("_arity_ok").select("id", "zone"))
     assert good == sorted([("1", "A"), ("4", "É"), ("Ü", "5"), (None, "D")], key=repr)
     assert df.where("NOT _arity_ok").count() == 2
+
+
+@pytest.fixture()
+def small_splits(spark):
+    """Splits of some bytes, so that files of a few lines lie in many."""
+    sizes = {"spark.sql.files.maxPartitionBytes": "61", "spark.sql.files.openCostInBytes": "7", "spark.sql.files.minPartitionNum": "64"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    yield
+    for key in sizes:
+        spark.conf.unset(key)
+
+
+def _as_written(fields: list[list[str]], sep: str, rng, end: str) -> str:
+    def cell(v):
+        return '"' + v.replace('"', '""') + '"' if rng.random() < 0.2 or any(c in v for c in f'";,|\t\r\n{sep}') else v
+
+    return end.join(sep.join(cell(v) for v in row) for row in fields)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_across_splits(spark, tmp_path, small_splits, seed):
+    """Quoted fields with line feeds, delimiters and quotes come out as they went in, wherever the splits cut them."""
+    rng = random.Random(seed)
+    bits = ["a", "é", "12", " ", '"', '""', ";", ",", "|", "\n", "\r\n", "\n\n", "x" * 90, "\t"]
+    want = []
+    for k in range(5):
+        sep, end = DELIMITERS[(k + seed) % 4], "\r\n" if k % 2 else "\n"
+        fields = [[f"{k}-{i}", *("".join(rng.choice(bits) for _ in range(rng.randrange(5))).strip(" \t") for _ in range(2)), "z"] for i in range(40)]
+        want += [tuple(v.replace("\r\n", "\n") or None for v in row) for row in fields]
+        put(tmp_path, f"f{k}.csv", ("\ufeff" * (k == 1) + _as_written([["id", "one\nline", "two", "end"], *fields], sep, rng, end) + end * (k != 2)).encode())
+    told = {r["fichier"].rsplit("/", 1)[1]: (r["sep"], r["entete"].count("\n")) for r in records.survey(spark, str(tmp_path))[1].collect()}
+    assert told == {f"f{k}.csv": (DELIMITERS[(k + seed) % 4], 1) for k in range(5)}
+    got = csvfiles.read_mixed(spark, str(tmp_path))
+    assert got.columns == ["id", "oneline", "two", "end"]
+    # a quoted empty field is read as an empty text
+    assert sorted(tuple((v or "").replace("\r\n", "\n") or None for v in r) for r in got.collect()) == sorted(want)
+
+
+def test_a_quote_that_nothing_closes(spark, tmp_path, small_splits):
+    """Such a quote ends no file: where records agree better without quotes, there are none."""
+    put(tmp_path, "a.csv", b"id;size\n" + b"".join(b'%d;"%d in\n' % (i, i) for i in range(50)))
+    put(tmp_path, "b.csv", b'id;size\n1;x\n2;"open\n3;y\n')
+    got = csvfiles.read_csv_lenient(spark, str(tmp_path), ["id", "size"])
+    assert rows(got.where("fichier like '%a.csv'").select("id", "size")) == sorted([(str(i), f'"{i} in') for i in range(50)], key=repr)
+    assert rows(got.where("fichier like '%b.csv' and _arity_ok").select("id"))[0] == ("1",)
+
+
+def test_lines_without_open_quotes_do_not_move(spark, tmp_path):
+    put(tmp_path, "a.csv", b'id;zone\n1;"a;b"\n2;c\n')
+    plan = csvfiles.read_csv_lenient(spark, str(tmp_path), ["id", "zone"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_columns_keep_their_names_whatever_their_order(spark, tmp_path):
+    put(tmp_path, "a.csv", "Date;ZoneObservation;Provenance;CategorieVisiteur;Volume\n2024-01-01;Châtaigneraie;LOCAL;TOURISTE;5\n".encode())
+    put(tmp_path, "b.csv", "Volume;CategorieVisiteur;Provenance;ZoneObservation;Date\n7;TOURISTE;ETRANGER;Val Truyère;2024-01-02\n".encode("iso-8859-1"))
+    put(tmp_path, "c.csv", "Volume;Date;Inconnue\nx;2024-01-03;?\n".encode())
+    got = csvfiles.read_useful(spark, str(tmp_path))
+    assert rows(got.select(F.col("date").cast("string"), "ZoneObservation", "Provenance", "CategorieVisiteur", "Volume")) == [
+        ("2024-01-01", "Châtaigneraie", "LOCAL", "TOURISTE", 5), ("2024-01-02", "Val Truyère", "ETRANGER", "TOURISTE", 7), ("2024-01-03", None, None, None, 0),
+    ]
+    assert "Inconnue" not in got.columns
+
+
+def test_no_files_with_records(spark, tmp_path):
+    put(tmp_path, "a.csv", b"\n\n")
+    assert csvfiles.read_csv_lenient(spark, str(tmp_path), ["id"]).count() == 0
