@@ -223,6 +223,46 @@ def _(spark, sf):
     return _expanded(spark, sf).where("rejet IS NOT NULL").select("archive", "membre", "rejet")
 
 
+def _archive_writer(folder: str):
+    """Writes archives of 40 documents each, one CSV per document; some members are damaged, one archive in ten is."""
+
+    def write(docs):
+        store, path = archives.open_store(folder)
+        store.create_dir(path)
+        number, out = int(docs["doc_id"].iloc[0]) // 40, io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for doc_id, text in zip(docs["doc_id"], docs["text"]):
+                z.writestr(f"{doc_id}.csv", text)
+        blob = bytearray(out.getvalue())
+        with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
+            for info in z.infolist():
+                if int(info.filename[:-4]) % 10 == 5 and info.file_size:
+                    # the first byte behind the member's header, so its checksum fails
+                    blob[info.header_offset + 30 + len(info.filename)] ^= 1
+        with store.open_output_stream(f"{path}/{number}.zip") as target:
+            target.write(b"broken" if number % 10 == 3 else bytes(blob))
+        return pd.DataFrame({"n": [len(docs)]})
+
+    return write
+
+
+def _members(spark, sf):
+    folder = shared_dir(spark, "archives")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.groupBy(F.floor(F.col("doc_id") / 40).alias("number")).applyInPandas(_archive_writer(folder), "n long").agg(F.sum("n")).collect()
+    return archives.read_zip_members(spark, folder, 20_000)
+
+
+@register("S08_planned_members", """SELECT CAST(doc_id // 40 AS VARCHAR) AS archive, CAST(doc_id AS VARCHAR) || '.csv' AS membre, CAST(n - 1 AS BIGINT) AS numero, rtrim(lignes[n], chr(13)) AS ligne, NULL::VARCHAR AS rejet FROM (
+  SELECT doc_id, lignes, unnest(range(1, len(lignes) + 1)) AS n FROM (SELECT doc_id, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS lignes
+    FROM documents WHERE doc_id // 40 % 10 <> 3 AND doc_id % 10 <> 5 AND text <> ''))
+  UNION ALL SELECT CAST(doc_id // 40 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.csv', NULL, NULL, 'membre' FROM documents WHERE doc_id // 40 % 10 <> 3 AND doc_id % 10 = 5 AND text <> ''
+  UNION ALL SELECT DISTINCT CAST(doc_id // 40 AS VARCHAR), NULL, NULL, NULL, 'archive' FROM documents WHERE doc_id // 40 % 10 = 3""")
+def _(spark, sf):
+    number = F.regexp_extract("archive", r"(\d+)\.zip$", 1).alias("archive")
+    return _members(spark, sf).select(number, "membre", "numero", F.decode("ligne", "UTF-8").alias("ligne"), "rejet")
+
+
 @register("S08_read_zip_tree", """SELECT CAST(doc_id AS VARCHAR) AS archive, membre, CAST(n - 1 AS BIGINT) AS numero, rtrim(lignes[n], chr(13)) AS ligne FROM (
   SELECT doc_id, membre, lignes, unnest(range(1, len(lignes) + 1)) AS n FROM (SELECT doc_id, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS lignes
     FROM documents WHERE doc_id % 10 <> 0 AND text <> ''), (VALUES ('doc.csv'), ('profond.csv')) m(membre) WHERE membre <> 'doc.csv' OR doc_id % 10 <> 5)""")

@@ -1,18 +1,29 @@
-"""ZIP deliveries, nested ones included."""
+"""ZIP deliveries, nested ones included.
+
+``read_zip_tree`` takes an archive as one value, through whatever file system Spark knows. ``read_zip_members`` is a
+data source that plans by member: only the directory at an archive's end is read to plan, and each task reads the
+bytes of its members, so that neither the size of an archive nor the number of archives bounds it.
+"""
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _CHUNK = 10_000
 _BLOCK = 1 << 20
-_DAMAGED = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError, OSError)
+# what a damaged archive raises; a store that fails raises OSError, which fails the task
+_DAMAGED = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError, ValueError)
 LINES = "archive string, membre string, numero bigint, ligne binary, rejet string"
 
 
@@ -23,36 +34,39 @@ def _check(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> None:
             pass
 
 
-def _lines(name: str, blob: bytes) -> Iterator[tuple]:
-    """Lines of the CSV members of an archive; one row that says so for each part that cannot be read.
+def _is_read(info: zipfile.ZipInfo) -> bool:
+    return not info.is_dir() and info.filename.lower().endswith((".zip", ".csv"))
+
+
+def _member_lines(name: str, archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> Iterator[tuple]:
+    """Lines of a member, or of the members of a nested archive; one row that says so where it cannot be read.
 
     A member is read through before its first line counts, so a damaged one leaves no lines.
     """
+    nested = info.filename.lower().endswith(".zip")
+    try:
+        inner = archive.read(info) if nested else _check(archive, info)
+    except _DAMAGED:
+        yield name, info.filename, None, None, "membre"
+        return
+    if nested:
+        yield from _lines(f"{name}/{info.filename}", inner)
+        return
+    with archive.open(info) as member:
+        for number, line in enumerate(member):
+            yield name, info.filename, number, line.rstrip(b"\r\n"), None
+
+
+def _lines(name: str, blob: bytes) -> Iterator[tuple]:
+    """Lines of the CSV members of an archive; one row that says so for each part that cannot be read."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(blob))
     except _DAMAGED:
         yield name, None, None, None, "archive"
         return
     with archive:
-        for info in archive.infolist():
-            if info.is_dir():
-                continue
-            try:
-                if info.filename.lower().endswith(".zip"):
-                    inner = archive.read(info)
-                elif info.filename.lower().endswith(".csv"):
-                    _check(archive, info)
-                else:
-                    continue
-            except _DAMAGED:
-                yield name, info.filename, None, None, "membre"
-                continue
-            if info.filename.lower().endswith(".zip"):
-                yield from _lines(f"{name}/{info.filename}", inner)
-                continue
-            with archive.open(info) as member:
-                for number, line in enumerate(member):
-                    yield name, info.filename, number, line.rstrip(b"\r\n"), None
+        for info in filter(_is_read, archive.infolist()):
+            yield from _member_lines(name, archive, info)
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,3 +101,107 @@ def read_zip_tree(spark: SparkSession, path: str) -> DataFrame:
     return expand_archives(
         spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     )
+
+
+#: members are packed into a task up to so many compressed bytes; a larger member has a task of its own
+PACK_BYTES = 32 << 20
+_LISTING_THREADS = 32
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a location, by its scheme; a path without one is a mounted folder."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "/", uri))
+
+
+def _opened(store: fs.FileSystem, archive: str) -> io.BufferedReader:
+    """An archive for ranged reads of a block or more."""
+    return io.BufferedReader(store.open_input_file(archive), _BLOCK)
+
+
+def _archives_below(store: fs.FileSystem, path: str) -> list[str]:
+    if store.get_file_info(path).type == fs.FileType.File:
+        return [path]
+    found = store.get_file_info(fs.FileSelector(path, recursive=True))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".zip"))
+
+
+class _Members(InputPartition):
+    """Members of one archive, by their place in its directory; none where the directory cannot be read."""
+
+    def __init__(self, archive: str, places: list[int] | None):
+        self.archive, self.places = archive, places
+
+
+class _MemberReader(DataSourceReader):
+    def __init__(self, path: str, pack: int):
+        self.path, self.pack = path, pack
+
+    def _packs(self, store: fs.FileSystem, archive: str) -> list[InputPartition]:
+        with _opened(store, archive) as source:
+            try:
+                wanted = [(i, info.compress_size) for i, info in enumerate(zipfile.ZipFile(source).infolist()) if _is_read(info)]
+            except _DAMAGED:
+                return [_Members(archive, None)]
+        packs: list[list[int]] = []
+        room = 0
+        for place, size in wanted:
+            if not packs or size > room:
+                packs.append([])
+                room = self.pack
+            packs[-1].append(place)
+            room -= size
+        return [_Members(archive, places) for places in packs]
+
+    def partitions(self) -> Sequence[InputPartition]:
+        store, path = open_store(self.path)
+        with ThreadPoolExecutor(_LISTING_THREADS) as pool:
+            planned = pool.map(lambda archive: self._packs(store, archive), _archives_below(store, path))
+            # an empty plan is a plan of one task without work
+            return [p for packs in planned for p in packs] or [_Members("", [])]
+
+    def _rows(self, partition: _Members) -> Iterator[tuple]:
+        if partition.places is None:
+            yield partition.archive, None, None, None, "archive"
+        elif partition.places:
+            store, _ = open_store(self.path)
+            with _opened(store, partition.archive) as source, zipfile.ZipFile(source) as archive:
+                infos = archive.infolist()
+                for place in partition.places:
+                    yield from _member_lines(partition.archive, archive, infos[place])
+
+    def read(self, partition: _Members) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+        names = ["archive", "membre", "numero", "ligne", "rejet"]
+        rows: list[tuple] = []
+        for row in self._rows(partition):
+            rows.append(row)
+            if len(rows) == _CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+
+class ZipMembers(DataSource):
+    """``spark.read.format("zip_members").load(folder)``; option ``packBytes`` as ``PACK_BYTES``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zip_members"
+
+    def schema(self) -> str:
+        return LINES
+
+    def reader(self, schema) -> DataSourceReader:
+        return _MemberReader(self.options["path"], int(self.options.get("packBytes", PACK_BYTES)))
+
+
+def read_zip_members(spark: SparkSession, path: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """Every line of every CSV in the archives below a folder, as ``expand_archives`` gives them, planned by member.
+
+    The location must be one that pyarrow opens (a mounted folder, S3, GCS, HDFS). A nested archive is one member, a
+    member that is a CSV is read by one task, as its compression has no entry but its start. Archives that cannot be
+    opened and damaged members are one row each, with their ``rejet``.
+    """
+    spark.dataSource.register(ZipMembers)
+    return spark.read.format("zip_members").option("packBytes", pack_bytes).load(path)

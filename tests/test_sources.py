@@ -83,6 +83,38 @@ def test_nested_and_broken_archives(spark, tmp_path):
     assert sorted(skipped) == [("bad.zip", "archive"), ("broken.zip", "archive")]
 
 
+def test_members_of_one_archive_are_planned_apart(spark, tmp_path):
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep/b.csv", "3\n4")
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(12):
+            z.writestr(f"m{i}.CSV", "".join(f"{i};{j}\r\n" for j in range(2000 * (i == 4) + 3)))
+        z.writestr("lot/in.ZIP", inner.getvalue())
+        z.writestr("bad.zip", b"nope")
+        z.writestr("folder/", "")
+        z.writestr("readme.txt", "x")
+    blob = bytearray(outer.getvalue())
+    with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
+        info = z.getinfo("m7.CSV")
+        blob[info.header_offset + 30 + len(info.filename) + 2] ^= 255
+    put(tmp_path, "sub/one.zip", bytes(blob))
+    put(tmp_path, "sub/no.txt", b"x")
+    put(tmp_path, "broken.zip", b"PK broken")
+    every = archives.read_zip_members(spark, str(tmp_path), 40)
+    tasks = every.where("membre like 'm%' and rejet is null").select("membre", F.spark_partition_id().alias("p")).distinct()
+    assert tasks.count() == 11 and tasks.select("p").distinct().count() > 4
+    assert archives.read_zip_members(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() == 2
+    same = archives.read_zip_tree(spark, str(tmp_path))
+    bare = F.regexp_replace("archive", "^file:/*", "/").alias("archive")
+    columns = [bare, "membre", "numero", F.decode("ligne", "UTF-8"), "rejet"]
+    assert rows(every.select(*columns)) == rows(same.select(*columns))
+    assert sorted((r["membre"], r["rejet"]) for r in every.where("rejet is not null").collect() if r["membre"]) == [("m7.CSV", "membre")]
+    assert archives.read_zip_members(spark, f"file://{tmp_path}/sub/one.zip").where("rejet is null").count() == 2003 + 10 * 3 + 2
+    put(tmp_path, "none/a.txt", b"x")
+    assert archives.read_zip_members(spark, str(tmp_path / "none")).count() == 0
+
+
 @pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
 def test_a_damaged_member_leaves_no_lines(spark, tmp_path, method):
     out = io.BytesIO()
