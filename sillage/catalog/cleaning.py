@@ -58,6 +58,21 @@ def _(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.strip_accents(marked).alias("libelle"))
 
 
+# the same name composed and decomposed in three scripts, full-width letters and ligatures
+_SCRIPTS = {"\u0419\u043e\u0448\u043a\u0430\u0440": "\u0418\u043e\u0448\u043a\u0430\u0440", "\u0418\u0306\u043e": "\u0418\u043e", "\u0386\u03bd\u03c9": "\u0391\u03bd\u03c9", "\u0391\u0301\u03bd": "\u0391\u03bd",
+    "\uff21\uff42\uff43": "Abc", "\ufb01n": "fin", "\u01c6ep": "dzep", "x\u00b2": "x2", "\u1e9e": "\u1e9e", "\u212b": "A"}
+
+
+def _dealt_scripts(values) -> str:
+    return "CASE n_nationkey % 10 " + " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(values)) + " END || ' ' || n_name"
+
+
+@register("N02_scripts", f"SELECT n_nationkey AS id, {_dealt_scripts(_SCRIPTS.values())} AS libelle FROM nation")
+def _(spark, sf):
+    names = F.expr(_dealt_scripts(_SCRIPTS))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.strip_accents(names).alias("libelle"))
+
+
 _DECORATE = "concat(replace(replace(text, 'e', 'Æ'), ' a', ' ’œ'), 'Ø')"
 
 

@@ -279,3 +279,19 @@ def _(spark, sf):
     return conform.dedupe_grain(rows, ["date", "client"], "id")
 
 
+def _loaded_sql(family: str, label: str, rest: int) -> str:
+    """Counts of one family, whose rows are those of every other id."""
+    return f"""SELECT *, {rnd('gardees * 100.0::DOUBLE / nullif(lues, 0)', 1)} AS taux_succes FROM (SELECT '{family}' AS famille, count(*) AS lues, count(*) FILTER (NOT manque AND volume > 0) AS gardees,
+    count(*) FILTER (NOT manque AND volume <= 0) AS sans_volume, count(*) FILTER (manque) AS rejetees, CAST(coalesce(sum(CASE WHEN NOT manque AND volume > 0 THEN volume END), 0) AS BIGINT) AS volume
+    FROM (SELECT jour IS NULL OR zone IS NULL OR provenance IS NULL OR categorie IS NULL OR {label} IS NULL AS manque, volume FROM clean WHERE id % 2 = {rest}))"""
+
+
+_LOADED = (("Nuitee_Departement", "departement"), ("SejourDuree", "duree"))
+
+
+@register("V07_load_observed", with_raw(f", clean AS ({CLEAN_SQL}) " + " UNION ALL ".join(_loaded_sql(*f, r) for r, f in enumerate(_LOADED)), *HISTORY))
+def _(spark, sf):
+    raw, paths = raw_rows(spark, sf, *HISTORY), {}
+    for r, family in enumerate(f for f, _ in _LOADED):
+        paths[family] = write_deliveries(raw.where(F.col("id") % 2 == r), shared_dir(spark, "family"))
+    return load.load_families(spark, paths, alias_frame(spark))[1].drop("manquants")

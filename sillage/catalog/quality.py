@@ -36,28 +36,38 @@ def _(spark, sf):
     return quality.migrate(staging, main, GRAIN)
 
 
-_GRAINS = {"fact_nuitees_departements": ("departement",), "fact_nuitees_pays": ("pays",), "fact_nuitees": (), "fact_diurnes_departements": ("departement", "provenance")}
+# the ten facts, each with the labels of the visits that stand for the ids of its grain beyond date and zone
+_GRAINS = {
+    f"fact_{kind}{suffix}": {"id_provenance": "provenance", "id_categorie": "pays", **more}
+    for kind in ("nuitees", "diurnes")
+    for suffix, more in (
+        ("", {}), ("_departements", {"id_departement": "departement"}), ("_pays", {"id_pays": "pays"}), ("_age", {"id_age": "is_provisional"}), ("_geolife", {"id_geolife": "nb_nuits"}),
+    )
+}
 
 
-def _migrated_sql(name: str, cols: tuple[str, ...]) -> str:
-    grain = ", ".join(["date", "zone", *cols])
-    one = f"SELECT {grain}, CAST(sum(volume) AS BIGINT) AS volume FROM visits WHERE categorie = '{{c}}' GROUP BY ALL"
-    return f"""SELECT '{name}' AS fait, count(*) AS lignes, CAST(sum(coalesce(m.volume, s.volume)) AS BIGINT) AS volume, count(s.volume) AS provisoires
+def _migrated_sql(name: str, cols: dict[str, str]) -> str:
+    grain = ", ".join(["date", "zone", *dict.fromkeys(cols.values())])
+    stays = "nb_nuits > 1" if name.startswith("fact_nuitees") else "nb_nuits = 1"
+    one = f"SELECT {grain}, CAST(sum(volume) AS BIGINT) AS volume FROM visits WHERE {stays} AND categorie = '{{c}}' GROUP BY ALL"
+    return f"""SELECT '{name}' AS fait, count(*) AS lignes, CAST(coalesce(sum(coalesce(m.volume, s.volume)), 0) AS BIGINT) AS volume, count(s.volume) AS provisoires
       FROM ({one.format(c='A')}) m FULL JOIN ({one.format(c='R')}) s USING ({grain})"""
 
 
 @register("V04_migrate_all", with_visits(" UNION ALL ".join(_migrated_sql(n, c) for n, c in _GRAINS.items())))
 def _(spark, sf):
-    fact = visits(spark, sf, "date", "zone", "departement", "pays", "provenance", "categorie", "volume")
+    fact = visits(spark, sf, "date", "zone", "departement", "pays", "provenance", "categorie", "volume", "nb_nuits", "is_provisional")
 
-    def summed(who: str, cols: tuple[str, ...]):
-        return preagg(fact.where(F.col("categorie") == who), ["date", "zone", *cols])
+    def summed(who: str, name: str):
+        cols = _GRAINS[name]
+        stays = F.col("nb_nuits") > 1 if name.startswith("fact_nuitees") else F.col("nb_nuits") == 1
+        named = fact.where((F.col("categorie") == who) & stays).select("date", F.col("zone").alias("id_zone"), *(F.col(c).alias(i) for i, c in cols.items()), "volume")
+        return preagg(named, ["date", "id_zone", *cols])
 
-    keyed = {n: ["date", "zone", *c] for n, c in _GRAINS.items()}
-    staging = {n: summed("R", c) for n, c in _GRAINS.items()}
-    main = {n: summed("A", c).withColumn("is_provisional", F.lit(False)) for n, c in _GRAINS.items()}
-    done = {n: quality.migrate(staging[n], main[n], keyed[n]) for n in staging}
-    parts = [df.agg(F.count(F.lit(1)).alias("lignes"), F.sum("volume").alias("volume"), F.count_if("is_provisional").alias("provisoires")).select(F.lit(n).alias("fait"), "*") for n, df in done.items()]
+    staging = {n: summed("R", n) for n in _GRAINS}
+    main = {n: summed("A", n).withColumn("is_provisional", F.lit(False)) for n in _GRAINS}
+    counts = [F.count(F.lit(1)).alias("lignes"), F.coalesce(F.sum("volume"), F.lit(0)).alias("volume"), F.count_if("is_provisional").alias("provisoires")]
+    parts = [df.agg(*counts).select(F.lit(n).alias("fait"), "*") for n, df in quality.migrate_all(staging, main).items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

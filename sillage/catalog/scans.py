@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from sillage import schema
 from sillage.catalog.base import big, register, with_raw, with_visits
 from sillage.catalog.filters import quoted
-from sillage.operators import filters, merge, topk
+from sillage.operators import filters, merge, paging, topk
 from sillage.operators.aggregates import preagg
 from sillage.plans import quality
 from sillage.session import shared_dir
-from sillage.sources import archives, csvfiles, json_rows, manifest
+from sillage.sources import archives, csvfiles, history, json_rows, manifest
 from sillage.sources.binding import raw_rows, table, visits
 
 DELIVERED = ("Date", "VacancesA", "VacancesB", "VacancesC", "Ferie", "JourDeLaSemaine", "ZoneObservation", "Provenance", "CategorieVisiteur", "Volume")
@@ -192,6 +192,26 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("S06_append_new", MERGE_SQL)
+def _(spark, sf):
+    """Three deliveries of other columns, one of them twice."""
+    frames, late = _families(spark, sf)
+    path = shared_dir(spark, "history")
+    for delivery in ([frames[0]], [frames[1], late], [frames[0]]):
+        history.append_new(delivery, path, buckets=8)
+    return history.rows_of(spark, path)
+
+
+@register("S07_append_by_place", """SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS annee, CAST(o_custkey AS VARCHAR) AS client, o_orderstatus AS etat FROM orders""")
+def _(spark, sf):
+    """Deliveries by year: each reads the folder of its own year only."""
+    rows = table(spark, sf, "orders").select(F.year("o_orderdate").alias("annee"), F.col("o_custkey").alias("client"), F.col("o_orderstatus").alias("etat"), "o_orderkey")
+    path = shared_dir(spark, "history")
+    for part in (F.col("o_orderkey") % 2 == 0, F.col("annee") > 1996, F.lit(True)):
+        history.append_new([rows.where(part).drop("o_orderkey")], path, by=F.col("annee"))
+    return history.rows_of(spark, path)
+
+
 def _zipped(batches):
     """One archive per document: its lines, and once more inside a nested archive; some are broken."""
     for batch in batches:
@@ -337,6 +357,21 @@ def _(spark, sf):
     return manifest.changed_files(*_manifests(spark, sf))
 
 
+@register("S12_split_digests", """SELECT fichier, n > 0 AND fichier < '3' AS modifie FROM (SELECT o_orderpriority AS fichier, count(*) FILTER (o_orderkey % 5 = 0) AS n FROM orders GROUP BY o_orderpriority)""")
+def _(spark, sf):
+    """A file per priority, delivered twice; of the first two priorities some lines have changed the second time."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    changed = (F.col("o_orderpriority") < "3") & (F.col("o_orderkey") % 5 == 0)
+    folders = [shared_dir(spark, "delivered") for _ in range(2)]
+    for folder, status in zip(folders, (F.col("o_orderstatus"), F.when(changed, "x").otherwise(F.col("o_orderstatus")))):
+        lines = orders.select("o_orderpriority", F.concat_ws(";", F.col("o_orderkey").cast("string"), status).alias("value"), "o_orderkey")
+        lines.repartition(1).sortWithinPartitions("o_orderpriority", "o_orderkey").drop("o_orderkey").write.partitionBy("o_orderpriority").text(folder)
+    name = F.regexp_extract(F.url_decode("path"), "o_orderpriority=([^/]+)/", 1)
+    before, now = (manifest.file_manifest(spark, folder, by="splits").withColumn("path", name) for folder in folders)
+    new = manifest.changed_files(now, before).select("path", F.lit(True).alias("modifie"))
+    return now.join(new, "path", "left").select(F.col("path").alias("fichier"), F.coalesce("modifie", F.lit(False)).alias("modifie"))
+
+
 @register("S13_needs_rebuild", "SELECT count(*) > 0 AS reconstruire, count(*) AS disparus FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, sf):
     return manifest.needs_rebuild(*_manifests(spark, sf))
@@ -472,6 +507,16 @@ def _(spark, sf):
     return merge.merge_add(target(spark, sf), batch(spark, sf), GRAIN)
 
 
+@register("S19_add_batch", _merged(f"SELECT date, zone, departement, coalesce(t.volume, 0) + coalesce(s.volume, 0) AS volume {_FULL}"))
+def _(spark, sf):
+    """The stored rows and the batch are given by name, the batch twice."""
+    path, year = shared_dir(spark, "fact"), F.year("date").alias("annee")
+    stored, added = target(spark, sf).select("*", year), batch(spark, sf).select("*", year)
+    for rows, name in ((stored, "a"), (added, "b"), (added, "b")):
+        merge.add_batch_into(path, rows, [*GRAIN, "annee"], name)
+    return spark.read.parquet(path).drop("annee", merge.LEDGER)
+
+
 @register("S20_merge_flag", _merged(f"SELECT date, zone, departement, coalesce(t.volume, s.volume) AS volume, s.volume IS NOT NULL AS is_provisional {_FULL}"))
 def _(spark, sf):
     return merge.merge_flag(target(spark, sf).withColumn("is_provisional", F.lit(False)), batch(spark, sf), GRAIN)
@@ -513,6 +558,16 @@ def _(spark, sf):
     return spark.read.parquet(path).drop("annee")
 
 
+@register("S23_publish", _merged("SELECT * FROM target UNION ALL SELECT * FROM batch"))
+def _(spark, sf):
+    """A table that is replaced by itself and a batch, as readers of its view see it."""
+    root = shared_dir(spark, "published")
+    year = F.year("date")
+    merge.publish(target(spark, sf).withColumn("annee", year), root, "annee")
+    merge.publish(merge.read_current(spark, root).unionByName(batch(spark, sf).withColumn("annee", year)), root, "annee", view="published_fact")
+    return spark.table("published_fact").drop("annee")
+
+
 @register("S24_purge_year", with_visits("SELECT date, zone, CAST(sum(volume) AS BIGINT) AS volume FROM visits WHERE year(date) <> 1998 GROUP BY ALL"))
 def _(spark, sf):
     return preagg(merge.purge_year(visits(spark, sf, "date", "zone", "volume"), 1998), ["date", "zone"])
@@ -562,6 +617,23 @@ def _(spark, sf):
     return topk.page(rows, [F.col("c_custkey")], 40, 20).withColumn("total", total).withColumn("has_more", F.col("total") > 60)
 
 
+@register("S28_deep_page", """SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS n, count(*) OVER () AS total FROM lineitem)
+  WHERE n > total * 9 // 10 AND n <= total * 9 // 10 + 50""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    laid = paging.paged(rows, ["-l_shipdate", "l_orderkey", "l_linenumber"], 16)
+    return laid.page(laid.total * 9 // 10, 50)
+
+
+@register("S28_next_page", """SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS n, count(*) OVER () AS total FROM lineitem)
+  WHERE n > total // 2 AND n <= total // 2 + 50""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    laid = paging.paged(rows, ["-l_shipdate", "l_orderkey", "l_linenumber"], 16)
+    last = laid.page(laid.total // 2 - 1, 1).first()
+    return laid.after([last["l_shipdate"], last["l_orderkey"], last["l_linenumber"]], 50)
+
+
 @register("S28_search", "SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'tion')")
 def _(spark, sf):
     return filters.like(table(spark, sf, "documents"), "text", "Tion").select("doc_id", "n_chars")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping
 from functools import cache
@@ -25,20 +26,40 @@ def normalize_label(c: Column) -> Column:
 
 
 @cache
-def _plain_letters() -> tuple[str, str]:
-    """Every Latin letter that decomposes to one plain character and marks, and that character."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        plain = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(ch) != "Mn")
-        if len(plain) == 1 and plain != chr(code):
-            pairs.append((chr(code), plain))
-    letters, plain = zip(*pairs)
-    return "".join(letters), "".join(plain)
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Every character whose compatibility decomposition is one plain character and marks, and that character; and
+    those that stand for several plain characters, or for none."""
+    one, many = {}, {}
+    for code in range(0xA0, 0x110000):
+        letter = chr(code)
+        # Hangul syllables are letters of their own, not letters with marks
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000 or unicodedata.category(letter) in ("Mn", "Cn", "Co"):
+            continue
+        plain = "".join(ch for ch in unicodedata.normalize("NFKD", letter) if unicodedata.category(ch) != "Mn")
+        if plain != letter:
+            (one if len(plain) == 1 else many)[letter] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+def _ranges(letters: Iterable[str]) -> str:
+    """A character class of the given letters."""
+    codes, parts = sorted(map(ord, letters)), []
+    for code in codes:
+        if parts and parts[-1][1] == code - 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]"
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks, whether letter and mark are one character or two."""
-    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), *_plain_letters())
+    """Plain characters of any script: compatibility forms (ligatures, full-width letters) by what they stand for, letters
+    without their marks, whether letter and mark are one character or two."""
+    one, plain, many = _plain_letters()
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    told = F.when(c.rlike(_ranges(many)), spelled).otherwise(c)
+    return F.translate(F.regexp_replace(told, r"\p{Mn}+", ""), one, plain)
 
 
 def transliterate(c: Column) -> Column:
@@ -133,8 +154,8 @@ def collation_key(c: Column) -> Column:
 
 
 def equals_ci_ai(a: Column, b: Column) -> Column:
-    """Equality that ignores case and accents; stays inside Spark's own collation."""
-    return F.collate(a, "UNICODE_CI_AI") == F.collate(b, "UNICODE_CI_AI")
+    """Equality that ignores case and accents, by the key that ids are dealt by."""
+    return collation_key(a) == collation_key(b)
 
 
 def to_csp(c: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.session import stage, unstage
+from sillage.session import remove, stage, unstage
 
 _SIDE = "_side"
 
@@ -160,13 +160,107 @@ def write_fact(df: DataFrame, path: str, partition: str = "annee", date: str = "
 
 
 def replace_all(df: DataFrame, path: str, *partitions: str) -> None:
-    """The whole table replaced, partitions that the new rows lack included; one file per partition that fits a task."""
+    """The whole table replaced, partitions that the new rows lack included; one file per partition that fits a task.
+
+    The old rows go before the new ones are written; ``publish`` keeps them until then.
+    """
     if partitions:
         df = df.hint("rebalance", *[F.col(p) for p in partitions])
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
+# --- a table that readers see whole ------------------------------------------------------
+_VERSION = "v="
+
+
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, bool]]:
+    """Numbers of the versions below a folder and whether each was written to its end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(root)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    named = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith(_VERSION)]
+    return sorted((int(p.getName().removeprefix(_VERSION)), store.exists(hadoop.Path(p, "_SUCCESS"))) for p in named)
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Folder of the latest whole version of a table."""
+    whole = [number for number, done in _versions(spark, root) if done]
+    return f"{root.rstrip('/')}/{_VERSION}{whole[-1]}" if whole else None
+
+
+def publish(df: DataFrame, root: str, *partitions: str, view: str | None = None, keep: int = 2) -> str:
+    """The whole table replaced by a new version in a folder of its own.
+
+    A version counts once its job has ended, which is one step: a job that fails leaves the version before, and the
+    rows may be made of that version. ``view`` names a view that is switched to the new version. Of the whole
+    versions the last ``keep`` stay, for readers that still read them.
+    """
+    spark = df.sparkSession
+    there = _versions(spark, root)
+    path = f"{root.rstrip('/')}/{_VERSION}{there[-1][0] + 1 if there else 0}"
+    if partitions:
+        df = df.hint("rebalance", *[F.col(p) for p in partitions])
+    writer = df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    if view:
+        spark.read.parquet(path).createOrReplaceTempView(view)
+    whole = [number for number, done in there if done]
+    for number, done in there:
+        if not done or number not in whole[len(whole) - keep + 1:]:
+            remove(spark, f"{root.rstrip('/')}/{_VERSION}{number}")
+    return path
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(current_version(spark, root))
+
+
+# --- additive merge that may be repeated --------------------------------------------------
+LEDGER = "_batches"
+
+
+def add_batch_into(path: str, src: DataFrame, key: Sequence[str], batch: str, col: str = "volume", partition: str = "annee") -> None:
+    """Adds a batch's volumes to a partitioned table, once, however often the batch is given.
+
+    Each partition carries the names of the batches it holds, in the column ``LEDGER`` of its rows, which are replaced
+    together with the volumes they belong to. A merge that was cut short between partitions, or is run again as a
+    whole, adds the batch only where its name is missing. The driver learns the partitions a batch touches.
+    """
+    spark = src.sparkSession
+    src = stage(src, "batch")
+    names = [row[0] for row in src.select(partition).distinct().collect()]
+
+    def among(values: list) -> Column:
+        listed = F.col(partition).isin([v for v in values if v is not None])
+        return listed | F.col(partition).isNull() if None in values else listed
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    stored = spark.read.parquet(path) if there else None
+    if stored is None:
+        held: dict = {}
+    elif LEDGER in stored.columns:
+        held = {r[0]: list(r[1] or []) for r in stored.where(among(names)).groupBy(partition).agg(F.first(LEDGER)).collect()}
+    else:
+        stored, held = stored.withColumn(LEDGER, F.array().cast("array<string>")), {}
+    pending = [n for n in names if batch not in held.get(n, [])]
+    if pending:
+        fresh = src.where(among(pending)).select(*key, col)
+        rows = fresh if stored is None else stored.where(among(pending)).select(*key, col).unionByName(fresh)
+        sums = rows.groupBy(*key).agg(F.sum(col).alias(col))
+        ledgers = spark.createDataFrame([(n, sorted({*held.get(n, []), batch})) for n in pending], f"_of {src.schema[partition].dataType.simpleString()}, {LEDGER} array<string>")
+        merged = stage(sums.join(F.broadcast(ledgers), F.col(partition).eqNullSafe(F.col("_of"))).drop("_of"), "merge")
+        (
+            merged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(partition).parquet(path)
+        )
+        unstage(merged)
+    unstage(src)
+
+
 def merge_partitions_into(path: str, src: DataFrame, key: Sequence[str], mode: str = "overwrite", partition: str = "annee") -> None:
     """Merge a batch into a partitioned table, reading and writing only the partitions it touches.
 
@@ -175,7 +269,7 @@ def merge_partitions_into(path: str, src: DataFrame, key: Sequence[str], mode: s
     one partition more. The merged rows are written to a
     fresh folder first, since a plan must not overwrite what it reads; a lost
     executor then only repeats tasks of one write. A merge that was cut short can be
-    run again, except in mode ``add``.
+    run again, except in mode ``add``: see ``add_batch_into``.
     """
     spark = src.sparkSession
     # read twice below

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
-from rows import rows
 from pyspark.sql import functions as F
+from rows import rows
 
 from sillage import schema
+from sillage.functions import text
 from sillage.operators import aggregates as agg
-from sillage.operators import conform, joins, merge, topk
+from sillage.operators import conform, joins, merge, paging, topk
 from sillage.session import shared_dir
 
 DAY = dt.date
@@ -215,3 +217,85 @@ def test_schemas(spark):
     for name in schema.PRESETS["all"]:
         assert schema.empty_table(spark, name).columns == [f.name for f in schema.schema_for(name + "_temp")]
     assert schema.grain_of("fact_lieu_activite_soir_pays") == ["date", "id_zone", "id_provenance", "id_categorie", "id_pays", "jour_semaine", "id_epci", "id_commune"]
+
+
+@pytest.mark.parametrize("order", [["a", "b"], ["-a", "b"], ["a", "-b"], ["-a", "-b"]])
+def test_pages_are_those_of_the_whole_order(spark, order):
+    rng = random.Random(2)
+    data = [(rng.choice([None, 1, 2, 2, 2, 3]), b) for b in rng.sample(range(1000), 150)]
+    df = spark.createDataFrame(data, "a int, b int").repartition(4)
+    sorting = [F.col(c[1:]).desc() if c[0] == "-" else F.col(c) for c in order]
+    every = [tuple(r) for r in df.orderBy(*sorting).collect()]
+    laid = paging.paged(df, order, 6)
+    assert laid.total == 150
+    for offset, limit in ((0, 10), (37, 60), (140, 30), (149, 1), (150, 5), (400, 5), (0, 150)):
+        assert [tuple(r) for r in laid.page(offset, limit).collect()] == every[offset : offset + limit]
+    for at in range(0, 149, 13):
+        last = dict(zip("ab", every[at]))
+        assert [tuple(r) for r in laid.after([last[c.lstrip("-")] for c in order], 9).collect()] == every[at + 1 : at + 10]
+
+
+def test_a_deep_page_reads_its_own_ranges(spark):
+    laid = paging.paged(spark.range(10_000).select(F.col("id").alias("k")), ["k"], 20)
+    deep = laid.page(9_000, 20)
+    assert [r["k"] for r in deep.collect()] == list(range(9_000, 9_020))
+    assert len(deep.inputFiles()) == 20  # before pruning
+    scan = deep._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_range" in scan
+    limit = int(re.search(r"limit=(\d+)", scan)[1])
+    assert limit < 1_500
+
+
+def _stored(spark, path):
+    return sorted(((r["annee"], r["zone"], r["volume"]) for r in spark.read.parquet(path).collect()), key=repr)
+
+
+def test_a_batch_that_is_given_again_adds_nothing(spark, tmp_path):
+    path, schema, key = str(tmp_path / "fact"), "annee int, zone string, volume bigint", ["annee", "zone"]
+    one = spark.createDataFrame([(2023, "a", 5), (2024, "a", 7), (None, "a", 1), (2024, "a", 1)], schema)
+    two = spark.createDataFrame([(2024, "a", 10), (2025, "b", 2), (None, "a", 3)], schema)
+    for df, name in ((one, "1"), (one, "1"), (two, "2"), (one, "1"), (two, "2")):
+        merge.add_batch_into(path, df, key, name)
+    assert _stored(spark, path) == sorted([(2023, "a", 5), (2024, "a", 18), (2025, "b", 2), (None, "a", 4)], key=repr)
+
+
+def test_a_batch_that_was_cut_short_is_finished(spark, tmp_path):
+    path, schema, key = str(tmp_path / "fact"), "annee int, zone string, volume bigint", ["annee", "zone"]
+    merge.add_batch_into(path, spark.createDataFrame([(2023, "a", 5), (2024, "a", 7)], schema), key, "1")
+    batch = spark.createDataFrame([(2023, "a", 1), (2024, "a", 1)], schema)
+    # the merge ended after its first partition
+    merge.add_batch_into(path, batch.where("annee = 2023"), key, "2")
+    merge.add_batch_into(path, batch, key, "2")
+    assert _stored(spark, path) == [(2023, "a", 6), (2024, "a", 8)]
+
+
+def test_a_table_without_a_ledger_takes_one(spark, tmp_path):
+    path, key = str(tmp_path / "fact"), ["annee", "zone"]
+    spark.createDataFrame([(2023, "a", 5), (2024, "a", 7)], "annee int, zone string, volume bigint").write.partitionBy("annee").parquet(path)
+    merge.add_batch_into(path, spark.createDataFrame([(2023, "a", 1)], "annee int, zone string, volume bigint"), key, "1")
+    assert _stored(spark, path) == [(2023, "a", 6), (2024, "a", 7)]
+
+
+def test_a_failed_write_leaves_the_old_rows(spark, tmp_path):
+    root = str(tmp_path / "t")
+    merge.publish(spark.range(3), root, view="t_seen")
+    broken = spark.range(100).select(F.when(F.col("id") < 99, F.col("id")).otherwise(F.raise_error(F.lit("stop"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        merge.publish(broken, root, view="t_seen")
+    assert rows(merge.read_current(spark, root)) == rows(spark.table("t_seen")) == [(0,), (1,), (2,)]
+    merge.publish(merge.read_current(spark, root).select(F.col("id") + 10).toDF("id"), root, view="t_seen")
+    merge.publish(merge.read_current(spark, root).where("id > 10"), root, view="t_seen", keep=1)
+    assert rows(merge.read_current(spark, root)) == rows(spark.table("t_seen")) == [(11,), (12,)]
+    assert len(list((tmp_path / "t").glob("v=*"))) == 1
+
+
+def test_labels_that_are_equal_have_one_key(spark):
+    """Ids are dealt and labels compared by the same key, in any script."""
+    same = [["\u0419\u043e\u0434", "\u0418\u0306\u043e\u0434", "\u0439\u041e\u0434"], ["\u0386\u03bd\u03c9", "\u0391\u0301\u03bd\u03c9", "\u03b1\u03bd\u03c9"], ["\uff21\uff42\uff43", "Abc", "\xe4b\xe7"],
+        ["fin", "\ufb01n", "\uff46i\u0301n"], ["d\u017eep", "\u01c6ep", "\u01c5ep", "DZEP"], ["x2", "x\xb2"], ["\xc5", "\u212b", "A\u030a"], ["\uff8a\uff9f", "\u30cf"], ["\u0141\xf3d\u017a", "\u0141odz"], ["\uac00"], ["\u1100"]]
+    df = spark.createDataFrame([(w, k) for k, words in enumerate(same) for w in words], "nom string, k int")
+    members = conform.get_or_create(df, spark.createDataFrame([], "id bigint, nom string"), "nom", "nom", "id")
+    found = conform.attach_ids(df, members, "nom", "nom", "id")
+    assert found.select("k", "id").distinct().count() == members.count() == len(same)
+    pairs = df.alias("a").crossJoin(df.alias("b")).where((F.col("a.k") == F.col("b.k")) != text.equals_ci_ai(F.col("a.nom"), F.col("b.nom")))
+    assert rows(pairs) == []

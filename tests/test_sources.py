@@ -11,7 +11,7 @@ from rows import rows
 from pyspark.sql import functions as F
 
 from sillage.session import shared_dir
-from sillage.sources import archives, csvfiles, json_rows, manifest, records
+from sillage.sources import archives, csvfiles, history, json_rows, manifest, records
 from sillage.sources.records import DELIMITERS
 from sillage.streaming import ingest
 
@@ -313,3 +313,62 @@ def test_columns_keep_their_names_whatever_their_order(spark, tmp_path):
 def test_no_files_with_records(spark, tmp_path):
     put(tmp_path, "a.csv", b"\n\n")
     assert csvfiles.read_csv_lenient(spark, str(tmp_path), ["id"]).count() == 0
+
+
+def test_digests_do_not_depend_on_splits(spark, tmp_path):
+    text = "".join(f"line {i * i};é\n" for i in range(300)).encode()
+    put(tmp_path, "a b.csv", text)
+    put(tmp_path, "swapped.csv", b"line 1;\xc3\xa9\nline 0;\xc3\xa9\n" + text.split(b"\n", 2)[2])
+    put(tmp_path, "no end.csv", text[:-1])
+    put(tmp_path, "empty.csv", b"")
+    put(tmp_path, "copy/a.csv", text)
+
+    def digests():
+        return {r["path"].rsplit("/", 2)[-1 if "copy" not in r["path"] else 2] + ("2" if "copy" in r["path"] else ""): r["hash"] for r in manifest.file_manifest(spark, str(tmp_path), by="splits").collect()}
+
+    whole = digests()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "251")
+    spark.conf.set("spark.sql.files.openCostInBytes", "7")
+    try:
+        split = digests()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    # a file without a byte is in no listing
+    assert split == whole and len(whole) == 4
+    assert len(set(whole.values())) == 3 and whole["a b.csv"] == whole["a.csv2"]
+
+
+def test_history_takes_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "history")
+    first = spark.createDataFrame([("2023", "a", "1"), ("2023", "a", "1"), ("2024", None, "2"), (None, "n", "3")], "an string, x string, y string")
+    wider = spark.createDataFrame([("2024", None, "2", None), ("2024", "b", None, "z"), ("2024", "b", None, "z"), (None, "n", "3", None)], "an string, x string, y string, w string")
+    swapped = spark.createDataFrame([("1", "a", "2023"), ("2", "a", "2025")], "y string, x string, an string")
+    for delivery in (first, wider, first, swapped, wider):
+        history.append_new([delivery], path, by=F.col("an"))
+    want = csvfiles.merge_deliveries([first, wider, swapped])
+    assert rows(history.rows_of(spark, path).select(*want.columns)) == rows(want)
+
+
+def test_a_delivery_reads_its_own_places(spark, tmp_path):
+    path = tmp_path / "history"
+    both = spark.createDataFrame([("2023", "a"), ("2024", "b")], "an string, x string")
+    history.append_new([both], str(path), by=F.col("an"))
+    for part in (path / "_place=2023").glob("*.parquet"):
+        part.write_bytes(b"not read")
+    history.append_new([both.where("an = '2024'"), spark.createDataFrame([("2024", "c")], both.schema)], str(path), by=F.col("an"))
+    assert rows(spark.read.schema("an string, x string").parquet(str(path / "_place=2024"))) == [("2024", "b"), ("2024", "c")]
+
+
+def test_counts_of_a_load_are_those_of_its_reject_report(spark, tmp_path):
+    from sillage.operators.zones import alias_frame
+    from sillage.plans import load
+
+    head = "Date;ZoneObservation;Provenance;CategorieVisiteur;Volume\n"
+    lines = ["2024-01-01;CABA;LOCAL;TOURISTE;5", "2024-02-31;CABA;LOCAL;TOURISTE;5", "2024-01-01;;LOCAL;;5", "2024-01-01;CABA;LOCAL;TOURISTE;0", "2024-01-01;CABA;LOCAL;TOURISTE;7"]
+    put(tmp_path, "a.csv", (head + "\n".join(lines) + "\n").encode())
+    facts, stats = load.load_families(spark, {"Nuitee": str(tmp_path)}, alias_frame(spark))
+    got = stats.first().asDict()
+    assert (got["lues"], got["gardees"], got["sans_volume"], got["rejetees"], got["volume"], got["taux_succes"]) == (5, 2, 1, 2, 12, 40.0)
+    assert got["manquants"] == {"date": 1, "zone": 1, "provenance": 0, "categorie": 1}
+    assert [r["volume"] for r in facts["Nuitee"].collect()] == [12]
