@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: labels of at most so many rows are sent to all tasks; more are joined by a shuffle
-BROADCAST_ROWS = 5_000_000
+#: labels go to all tasks in blocks of about so many; each block is a pass over the ids, and no text is shuffled
+LABEL_BLOCK = 2_000_000
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -18,9 +18,13 @@ def fold(id_col: str, parts: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``_label`` (0 or 1), only rows that have one. Labels of one id count once; where they differ, 1 wins."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_marked")).agg(F.max(label).cast("int").alias("_label"))
-    if labels.count() <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
-    return docs.join(marks, docs[id_col] == marks["_marked"]).drop("_marked")
+    blocks = max(1, -(-labels.count() // LABEL_BLOCK))
+    found = None
+    for block in range(blocks):
+        some = marks.where(F.pmod(F.xxhash64("_marked"), F.lit(blocks)) == block)
+        rows = docs.join(F.broadcast(some), docs[id_col] == some["_marked"]).drop("_marked")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def sizes(rows: DataFrame, by: str) -> dict:

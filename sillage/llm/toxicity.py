@@ -4,23 +4,25 @@ Word pairs of all labelled training texts are counted by class. A class model di
 the discounts take is the count of the next order (Kneser-Ney's, with discounts above one), single words, by
 class. These are discounted again, and what is taken now from both classes together is the shared last order.
 Discounts are in proportion to a class's size, so an expression must be equally frequent in either to count:
-what is rare is left to the shared counts and speaks for neither class. The score compares the log-likelihoods
-per word: the mean of what each order adds to the ratio beyond ``MARGIN`` either way, weighed by a logistic
-calibration on a fold of the training texts that is not counted.
-
-Words and pairs are told apart by hashes of ``WORD_BITS`` bits. All tasks get every pair above its discount and
-every word that is above its own or part of such a pair, so the tables follow the corpus. Nothing is lost by the
-others: a word at or below its discount is left to the shared order in both classes, a context without a pair
-above its discount leaves all to the single words, and the ratio of both is 0.
+what is rare is left to the shared counts and speaks for neither class. The score compares the length-normalised
+log-likelihoods of the two models; next to their difference per word, a logistic calibration on a fold of the training
+texts that is not counted weighs what each order adds to it beyond ``MARGIN`` either way.
+
+The difference of two log-likelihoods is a sum over a text's words and pairs, and each of them adds a number of its own:
+a word what it is likelier by, a context what it leaves to its words, a pair above its discount what it adds, less what
+its context has added. These numbers are made by joins and lie in a staged table, under 64-bit keys; entries of 0 are not
+held. Tasks get them in blocks of ``BLOCK_ENTRIES``, one pass over the texts each, and the passes' sums add up, so
+memory does not follow the corpus. Nothing is lost by pairs at or below their discount: they say what their context says.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,8 @@ from sillage.llm.folds import bounded, fold, labelled, sizes, weights
 from sillage.llm.text import ALNUM, Block, blocks, mix, word_hashes
 from sillage.session import stage
 
-WORD_BITS = 64
-#: first bits of a word that number its row in tables without keys
-TABLE_BITS = 18
+#: entries of the models that are held at once: a key of 8 and two numbers of 4 bytes each
+BLOCK_ENTRIES = 4_000_000
 #: discounts of pairs, of what a pair leaves to its word, and of words, for the smaller class
 PAIR_DISCOUNT, LEFT_DISCOUNT, WORD_DISCOUNT = 8.0, 1.0, 2.0
 MARGIN = 1.0
@@ -41,6 +42,8 @@ HELD_OUT_PARTS = 5
 CUT = 0.5
 _FLUSH = 2_000_000
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+_WORDS, _CONTEXTS, _PAIRS = range(3)
+_PARTS = 3
 _COUNTS = ["after0", "after1", "left0", "left1", "under0", "under1"]
 
 
@@ -79,74 +82,103 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _rows(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Row of each wanted key among the sorted ones; the row after the last for a key that is not there."""
-    at = np.searchsorted(keys, wanted)
-    if len(keys):
-        at[keys[np.minimum(at, len(keys) - 1)] != wanted] = len(keys)
-    return at
+def _entry_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries under their keys: that of the word, or of the pair."""
+    for batch in batches:
+        kind, at, to = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        key = np.where(kind == _PAIRS, _pair_keys(at, to).view(np.int64), at)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), batch.column(3), batch.column(4)], ["kind", "key", "v", "g"])
+
+
+class Entries:
+    """A block of entries: by kind sorted keys and their numbers, 0 where a key is not held."""
+
+    def __init__(self, table: pa.Table):
+        kind, key = table["kind"].to_numpy(), table["key"].to_numpy()
+        values = [np.asarray(table[c].to_numpy(), np.float32) for c in ("v", "g")]
+        self.of = []
+        for k in (_WORDS, _CONTEXTS, _PAIRS):
+            rows = np.flatnonzero(kind == k)
+            rows = rows[np.argsort(key[rows])]
+            self.of.append((key[rows], *(v[rows] for v in values)))
+
+    def _held(self, kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted keys are held, and where."""
+        keys = self.of[kind][0]
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == wanted)
+        return hit, at[hit]
+
+    def sums(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each text, and for both orders the sum of what is added, of what is above the margin, and of what is below."""
+        word, before, firsts = _tokens(block)
+        out = np.zeros((block.size, 2 * _PARTS))
+        owner = np.repeat(np.arange(block.size), np.diff(firsts))
+        for order, kind, wanted in ((0, _WORDS, word), (1, _CONTEXTS, before), (1, _PAIRS, _pair_keys(before, word).view(np.int64))):
+            hit, at = self._held(kind, wanted)
+            value, less = self.of[kind][1][at].astype(float), self.of[kind][2][at].astype(float)
+            for i, (new, old) in enumerate(zip(_parts(value), _parts(less))):
+                out[:, order * _PARTS + i] += np.bincount(owner[hit], new - old, block.size)
+        return np.diff(firsts), out
+
+
+def _parts(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return ratio, np.maximum(ratio - MARGIN, 0), np.minimum(ratio + MARGIN, 0)
 
 
 @dataclass
 class Model:
-    """Sorted keys of pairs and by class their discounted counts; by word and class counts and leftovers as word before, discounted shares; shared: the rest.
+    """The staged entries (kind, key, v: what it adds, g: what its context has added), the passes they are dealt to, and the calibration."""
 
-    Both tables end with a row for what they do not hold. Without ``word_keys`` the first TABLE_BITS bits of a word are its row.
-    """
-
-    pair_keys: np.ndarray
-    pairs: np.ndarray
-    after: np.ndarray
-    left: np.ndarray
-    words: np.ndarray
-    passed_on: float
-    shared: np.ndarray
+    entries: DataFrame
+    passes: int
     calibration: np.ndarray
-    word_keys: np.ndarray | None = None
-
-    def _word_rows(self, word: np.ndarray) -> np.ndarray:
-        if self.word_keys is None:
-            return (word.view(np.uint64) >> np.uint64(WORD_BITS - TABLE_BITS)).astype(np.int64)
-        return _rows(self.word_keys, word)
-
-    def _pair_counts(self, word: np.ndarray, before: np.ndarray, able: np.ndarray) -> np.ndarray:
-        """By class, 0 for pairs that are not kept; only the ``able`` are looked up."""
-        out = np.zeros((2, len(word)))
-        of = np.flatnonzero(able)
-        at = _rows(self.pair_keys, _pair_keys(before[of], word[of]))
-        hit = at < len(self.pair_keys)
-        out[:, of[hit]] = self.pairs[:, at[hit]]
-        return out
-
-    def ratios(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log P(word, toxic) - log P(word, ordinary) of the single-word models, and what the word before adds to it."""
-        at, context = self._word_rows(word), self._word_rows(before)
-        lower = self.passed_on * self.shared[at]
-        pairs = self._pair_counts(word, before, self.after[:, context].any(axis=0))
-        singles, logs = [], []
-        for c in (0, 1):
-            single = (1 - self.passed_on) * self.words[c][at] + lower
-            n = self.after[c][context]
-            pair = (pairs[c] + self.left[c][context] * single) / np.maximum(n, 1)
-            singles.append(np.log(single))
-            logs.append(np.log(np.where(n > 0, pair, single)))
-        alone = singles[1] - singles[0]
-        return alone, logs[1] - logs[0] - alone
-
-    def features(self, block: Block) -> np.ndarray:
-        """By text: for each order, what it adds per word above and below the margin, also times the root of the length; 0 without words."""
-        word, before, firsts = _tokens(block)
-        n = np.diff(firsts)
-        out = []
-        for ratio in self.ratios(word, before):
-            for part in (np.maximum(ratio - MARGIN, 0), np.minimum(ratio + MARGIN, 0)):
-                sums = np.concatenate(([0.0], np.cumsum(part)))
-                mean = (sums[firsts[1:]] - sums[firsts[:-1]]) / np.maximum(n, 1)
-                out += [mean, mean * np.sqrt(n)]
-        return np.column_stack(out)
 
-    def score(self, block: Block) -> np.ndarray:
-        return logistic.apply(self.calibration, self.features(block))
+    def block(self, number: int) -> Broadcast:
+        table = self.entries.where(F.pmod(F.xxhash64("key"), F.lit(self.passes)) == number).toArrow()
+        return self.entries.sparkSession.sparkContext.broadcast(Entries(table))
+
+
+def _sum_task(entries: Broadcast, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds a block's sums to those of the blocks before; the last pass lets go of the text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                low, high = block.rows
+                _, *rest = (c.slice(low, high - low) for c in batch.columns)
+                n, sums = entries.value.sums(block)
+                sums += np.array(rest[0].to_pylist(), float).reshape(sums.shape)
+                out = [pa.array(n.astype(np.int64)) if last else batch.column(0).slice(low, high - low), pa.array(list(sums), pa.list_(pa.float64())), *rest[1:]]
+                yield pa.RecordBatch.from_arrays(out, ["_n" if last else "_text", "_sums", *batch.schema.names[2:]])
+
+    return task
+
+
+def sums_of(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    """For each row the columns ``keep`` (as _c0, _c1, ...), its number of words (_n), and what they add up to (_sums)."""
+    found = docs.select(
+        F.col(text_col).alias("_text"), F.array(*[F.lit(0.0)] * 2 * _PARTS).alias("_sums"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep))
+    )
+    carried = "_sums array<double>" + "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    for number in range(model.passes):
+        last = number == model.passes - 1
+        found = found.mapInArrow(_sum_task(model.block(number), last), f"{'_n long' if last else '_text string'}, {carried}")
+        if not last:
+            found = stage(found, "sums")
+    return found
+
+
+def _features() -> list[Column]:
+    """The difference of the log-likelihoods per word, then for each order what is beyond the margin, per word and times the root of the length."""
+    n = F.greatest(F.col("_n"), F.lit(1)).cast("double")
+    mean = [F.get("_sums", F.lit(i)) / n for i in range(2 * _PARTS)]
+    out = [mean[0] + mean[_PARTS]]
+    for i in (1, 2, _PARTS + 1, _PARTS + 2):
+        out += [mean[i], mean[i] * F.sqrt(F.col("_n"))]
+    return out
 
 
 def _over(n: Column, discount: float, scale: float) -> Column:
@@ -175,6 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Counts over all labelled rows outside the held-out fold, but for one part of CALIBRATION_PARTS.
 
     The calibration is fitted on that part, on about CALIBRATION_ROWS of each class at most, weighed by the classes' sizes.
+    Null and empty texts have no words. A row of a repeated id or text counts like any other; of labels of one id the
+    higher counts. Without labels of both classes the score is the share of the one there is. Other columns are not read.
     """
     known = labelled(docs.select(id_col, text_col).where(fold(id_col, HELD_OUT_PARTS) != 0), labels, label, id_col)
     apart = F.pmod(F.xxhash64(id_col, F.lit("calibration")), F.lit(CALIBRATION_PARTS)) == 0
@@ -190,39 +224,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a word that was never counted has the last 0.5
     sums = words.agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in ("over0", "over1", "taken"))).first()
     mass, rest = [sums["over0"], sums["over1"]], sums["taken"] + 0.5
-    kept = wide.where("to IS NOT NULL").select("at", "to", *(F.col(n).cast("float") for n in _COUNTS[:2]))
-    parts = kept.select(F.explode(F.array("at", "to")).alias("at")).distinct().withColumn("paired", F.lit(True))
-    needed = words.join(parts, "at", "left").where("paired OR over0 + over1 > 0").drop("paired").toArrow()
-    pairs = kept.toArrow()
-
-    def column(table: pa.Table, name: str, order: np.ndarray) -> np.ndarray:
-        return table[name].to_numpy()[order]
-
-    def table(names: list[str], order: np.ndarray) -> np.ndarray:
-        return np.stack([np.append(column(needed, name, order), 0) for name in names]).astype(np.float32)
-
-    by_word = np.argsort(needed["at"].to_numpy())
-    pair_keys = _pair_keys(pairs["at"].to_numpy(), pairs["to"].to_numpy())
-    by_pair = np.argsort(pair_keys)
-    model = Model(
-        pair_keys[by_pair], np.stack([column(pairs, n, by_pair) for n in _COUNTS[:2]]), table(_COUNTS[:2], by_word), table(_COUNTS[2:4], by_word),
-        np.stack([np.append(column(needed, f"over{c}", by_word), 0) / max(1.0, mass[c]) for c in (0, 1)]), rest / (sum(mass[c] / scale[c] for c in (0, 1)) + rest),
-        np.append(column(needed, "taken", by_word), 0.5) / rest, np.zeros(9), column(needed, "at", by_word),
+    passed_on = rest / (sum(mass[c] / scale[c] for c in (0, 1)) + rest)
+    alone = [(1 - passed_on) * F.col(f"over{c}") / max(1.0, mass[c]) + passed_on * F.col("taken") / rest for c in (0, 1)]
+    # what a context leaves to its words, all of it where no class has seen the context
+    leaves = [F.when(F.col(f"after{c}") > 0, F.ln(F.col(f"left{c}") / F.col(f"after{c}"))).otherwise(0.0) for c in (0, 1)]
+    words = words.select("at", *_COUNTS[:4], alone[0].alias("p0"), alone[1].alias("p1"), (leaves[1] - leaves[0]).alias("g"))
+    words = stage(words.withColumn("v", F.when(F.col("p0") == F.col("p1"), 0.0).otherwise(F.ln("p1") - F.ln("p0"))), "words")
+    kept = wide.where("to IS NOT NULL").select("at", "to", F.col("after0").alias("n0"), F.col("after1").alias("n1"))
+    paired = kept.join(words.select("at", *_COUNTS[:4], "g"), "at").join(words.select(F.col("at").alias("to"), "p0", "p1", "v"), "to")
+    likely = [
+        F.when(F.col(f"after{c}") > 0, F.ln((F.col(f"n{c}") + F.col(f"left{c}") * F.col(f"p{c}")) / F.col(f"after{c}"))).otherwise(F.ln(f"p{c}")) for c in (0, 1)
+    ]
+    nothing, no_word = F.lit(0.0).alias("g"), F.lit(0).cast("long").alias("to")
+    listed = (
+        words.where("v <> 0").select(F.lit(_WORDS).alias("kind"), "at", no_word, "v", nothing)
+        .unionByName(words.where("g <> 0").select(F.lit(_CONTEXTS).alias("kind"), "at", no_word, F.col("g").alias("v"), nothing))
+        .unionByName(paired.select(F.lit(_PAIRS).alias("kind"), "at", "to", (likely[1] - likely[0] - F.col("v")).alias("v"), "g"))
     )
+    listed = listed.select("kind", "at", "to", F.col("v").cast("float"), F.col("g").cast("float"))
+    entries = stage(listed.mapInArrow(_entry_task, "kind int, key long, v float, g float"), "entries")
+    model = Model(entries, max(1, -(-entries.count() // BLOCK_ENTRIES)), np.zeros(10))
     part = known.where(apart)
     counts = sizes(part, "_label")
     sample = bounded(part, "_label", CALIBRATION_ROWS, id_col, counts=counts)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                low, high = block.rows
-                x = pa.array(list(sent.value.features(block)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(low, high - low), x], ["y", "x"])
-
-    rows = sample.select(text_col, "_label").mapInArrow(features, "y int, x array<double>").toArrow()
-    x = np.array(rows["x"].to_pylist(), np.float64).reshape(rows.num_rows, 8)
+    rows = sums_of(sample, model, text_col, ["_label"]).select(F.array(*_features()).alias("x"), F.col("_c0").alias("y")).toArrow()
+    x = np.array(rows["x"].to_pylist(), np.float64).reshape(rows.num_rows, 9)
     y = rows["y"].to_numpy()
     model.calibration = logistic.fit(x, y.astype(float), weight=weights(y, counts))
     return model
@@ -234,19 +260,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts get the calibrated score of a ratio of 0. Rows with equal ids or texts are scored each
     for itself. Columns that are not named are not read.
     """
-    kept = docs.sparkSession.sparkContext.broadcast(model)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                low, high = block.rows
-                rest = [c.slice(low, high - low) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(kept.value.score(block)), *rest], ["_score", *batch.schema.names[1:]])
-
     carried = [id_col, *(keep or [])]
-    read = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)))
-    schema = "_score double" + "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
-    out = read.mapInArrow(task, schema).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)), "_score")
+    weight = [float(w) for w in model.calibration]
+    z = sum((w * x for w, x in zip(weight[1:], _features())), F.lit(weight[0]))
+    out = sums_of(docs, model, text_col, carried).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)), (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))).alias("_score"))
     return out.select(
         *carried, (fold(id_col, HELD_OUT_PARTS) == 0).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= CUT).cast("int").alias("predicted"),
