@@ -17,12 +17,13 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sillage.llm.text import ragged, range_hashes
 
@@ -30,6 +31,7 @@ BLOCK_CHARS = 1 << 19
 KEEP_WORDS = 1_000_000
 LANES = 1 << 12
 WIDEST = 64
+UNKNOWN = 4
 _NONE = np.int64(1) << np.int64(62)
 
 #: fixed values: white space of the file's patterns
@@ -41,12 +43,14 @@ CONTRACTIONS_2 = ("re", "ve", "ll")
 
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
-    """0 white space, 1 letter, 2 number, 3 other, by code point."""
+    """0 white space, 1 letter, 2 number, 3 other, 4 not known to this Python's Unicode, by code point."""
     table = np.full(0x110000, 3, np.uint8)
     kinds = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000))
     kinds = np.frombuffer(kinds.encode(), np.uint8)
     table[kinds == ord("L")] = 1
     table[kinds == ord("N")] = 2
+    unknown = np.flatnonzero(kinds == ord("C"))
+    table[[c for c in unknown.tolist() if unicodedata.category(chr(c)) == "Cn"]] = UNKNOWN
     table[WHITE_SPACE] = 0
     return table
 
@@ -65,10 +69,15 @@ def normalize(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
+        self.path, self.kinds = path, char_classes().copy()
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -91,6 +100,38 @@ class Bpe:
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
         self.forget()
 
+    # characters newer than this Python's Unicode
+
+    @cached_property
+    def file_tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def _ask(self, letter: str) -> int:
+        """The class the library's pattern puts a character in."""
+
+        def joins(neighbour: str) -> bool:
+            return [at for _, at in self.file_tokenizer.pre_tokenizer.pre_tokenize_str(neighbour + letter)] == [(0, 2)]
+
+        if joins("a"):
+            return 1
+        if joins("!"):
+            return 3
+        return 2 if self.file_tokenizer.pre_tokenizer.pre_tokenize_str(letter) else 0
+
+    def _relearned(self, pieces: list[str], raw: list[str]) -> list[str]:
+        """Normalized texts; those with characters that Python does not know, from the library's normalizer, which may.
+
+        Such characters are classed by the library when they are first met.
+        """
+        out = list(pieces)
+        for i, piece in enumerate(pieces):
+            if not piece.isascii() and (char_classes()[_codes(piece)] == UNKNOWN).any():
+                out[i] = self.file_tokenizer.normalizer.normalize_str(raw[i])
+                codes = _codes(out[i])
+                for code in np.unique(codes[self.kinds[codes] == UNKNOWN]).tolist():
+                    self.kinds[code] = self._ask(chr(code))
+        return out
+
     # words
 
     def forget(self) -> None:
@@ -214,7 +255,7 @@ class Bpe:
 
     def _cut(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words in an array of code points that ends in white space."""
-        kind = char_classes()[codes]
+        kind = self.kinds[codes]
         start = kind > 0
         start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         quotes = np.flatnonzero(start & (codes == ord("'")))
@@ -232,9 +273,8 @@ class Bpe:
         stop[:-1] &= start[1:] | (kind[1:] == 0)
         return np.flatnonzero(start), np.flatnonzero(stop) + 1
 
-    def _ids_of(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _ids_of(self, joined: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For normalized texts joined by line feeds: ids, their number by word, and where each word starts."""
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts, ends = self._cut(codes)
         hashes = range_hashes(codes, starts, ends)
         order = np.argsort(hashes)
@@ -267,19 +307,26 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their number for each text."""
-        pieces, owner, fixed = [], [], {}
+        raw, owner, fixed = [], [], {}
         for i, text in enumerate(texts):
             if self.special and any(s in text for s in self.special):
                 for part in self.special_pattern.split(text):
                     if part in self.special:
-                        fixed[len(pieces)] = self.special[part]
+                        fixed[len(raw)] = self.special[part]
                         part = ""
-                    pieces.append(normalize(part))
+                    raw.append(part)
                     owner.append(i)
             else:
-                pieces.append(normalize(text))
+                raw.append(text)
                 owner.append(i)
-        ids, by_word, starts = self._ids_of("\n".join(pieces) + "\n")
+        pieces = [normalize(part) for part in raw]
+        joined = "\n".join(pieces) + "\n"
+        codes = _codes(joined)
+        if (char_classes()[codes] == UNKNOWN).any():
+            pieces = self._relearned(pieces, raw)
+            joined = "\n".join(pieces) + "\n"
+            codes = _codes(joined)
+        ids, by_word, starts = self._ids_of(joined, codes)
         begins = np.cumsum([0] + [len(p) + 1 for p in pieces])
         by_word = np.concatenate(([0], np.cumsum(by_word)))
         edges = by_word[np.searchsorted(starts, begins)]

@@ -66,3 +66,11 @@ def test_on_tables(shipped, library):
     both = bpe.round_trip(df, PATH, keep=["_id", "score"])
     assert both.columns == ["doc_id", "_id", "score", "ids", "decoded"] and both.count() == df.count()
     assert bpe.encode(empty(shipped), PATH).count() == 0 and bpe.decode(bpe.encode(empty(shipped), PATH), PATH).count() == 0
+
+
+def test_every_code_point(model, library):
+    """Letters, numbers and lower case are those of the library, also where Python's Unicode is older."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}B {chr(c)}1{chr(c)}!{chr(c)} " for c in codes[k : k + 256]) for k in range(0, len(codes), 256)]
+    for k in range(0, len(texts), 256):
+        agree(model, library, texts[k : k + 256])
