@@ -41,7 +41,8 @@ from sillage.session import stage, unstage
 
 #: members and shingles that a block of a group holds on average
 GROUP_BLOCK, GROUP_SHINGLES = 256, 1 << 20
-STAR_BLOCK = 4096
+#: members that are compared with a copy of their root in one place, and dealt on from there
+STAR_BLOCK = 512
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +213,14 @@ def _star(num: int, den: int):
             out = []
             for row, (r, m) in enumerate(zip(roots, members, strict=True)):
                 if r == m:
-                    root, own = r, _array(batch.column(2), row).copy()
+                    root, own = r, _array(batch.column(3), row).copy()
                 elif r == root:
-                    other = _array(batch.column(2), row)
-                    out.append((r, m, _overlaps(own, other, num, den), len(other)))
+                    other = _array(batch.column(3), row)
+                    out.append((r, m, batch.column(2)[row].as_py(), _overlaps(own, other, num, den), len(other)))
             if out:
-                r, m, linked, sizes = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r, pa.int64()), pa.array(m, pa.int64()), pa.array(linked), pa.array(sizes, pa.int64())], ["_a", "_b", "_linked", "_n"]
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["_a", "_b", "_part", "_linked", "_n"]
                 )
 
     return task
@@ -273,13 +274,13 @@ def _forest(num: int, den: int):
     return task
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The smallest reachable id of every id in ``edges`` (_a, _b), by alternating large-star and small-star rounds.
 
     Each round is written out; it ends when a round changes nothing. Ids without edges are not in the result.
     """
     edges = stage(edges.where("_a <> _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour of an id goes to the smallest neighbour
         both = edges.union(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         least = both.groupBy("_a").agg(F.min("_b").alias("_least")).select("_a", F.least("_a", "_least").alias("_least"))
@@ -295,7 +296,6 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if done:
             return after.select("_a", F.col("_b").alias("_label"))
         edges = after
-    raise RuntimeError(f"components need more than {rounds} rounds")
 
 
 def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -329,15 +329,17 @@ def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num
     star = stage(
         members.union(heads).join(sets, "_c").repartition("_root", "_part")
         .sortWithinPartitions("_root", "_part", F.col("_c") != F.col("_root"))
-        .select("_root", "_c", "_set").mapInArrow(_star(num, den), "_a long, _b long, _linked boolean, _n long"), "star",
+        .select("_root", "_c", "_part", "_set").mapInArrow(_star(num, den), "_a long, _b long, _part int, _linked boolean, _n long"), "star",
     )
     # groups with a member that its root does not link with: all members, in pairs of blocks
     open_roots = star.groupBy("_a").agg(
         F.count("*").alias("_size"), F.sum("_n").alias("_total"), F.count_if(~F.col("_linked")).alias("_loose")
     ).where("_loose > 0 AND _size > 1")
+    # a group's count goes to each of its parts, so that its members do not meet
+    open_parts = open_roots.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor(F.col("_size") / STAR_BLOCK).cast("int"))))
     blocks_of = F.least(F.floor(F.greatest(F.col("_size") / GROUP_BLOCK, F.col("_total") / GROUP_SHINGLES)) + 1, F.col("_size")).cast("int")
     spread = (
-        star.join(open_roots, "_a").withColumn("_blocks", blocks_of)
+        star.join(open_parts, ["_a", "_part"]).withColumn("_blocks", blocks_of)
         .withColumn("_block", F.pmod(F.xxhash64("_b"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select("_a", "_b", "_linked", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
