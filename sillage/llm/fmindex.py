@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sillage.llm.dealing import blocked
 from sillage.llm.text import ALNUM, Block, blocks, ragged, word_hashes
 from sillage.session import stage
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
 SAMPLE = 16
-QUERY_WORDS = 4_000_000
+#: words of the benchmark that are held at once, as a row of 13 symbols each
+QUERY_WORDS = 1_000_000
 PIECE_WORDS = 4_096
 _END, _STOP, _OTHER, _FIRST = 0, 1, 2, 3
 
@@ -278,9 +280,10 @@ def occurrences(
     """
     spark = docs.sparkSession
     pieces = benchmark.select(F.col(item_col).cast("string"), item_text_col).mapInArrow(_cut_task(window), "_item string, _words array<long>")
-    pieces = stage(pieces.where(F.size("_words") > 0), "phrases")
-    total = pieces.agg(F.coalesce(F.sum(F.size("_words")), F.lit(0))).first()[0]
-    passes = max(1, -(-int(total) // QUERY_WORDS))
+    # repeated items and repeated passages of an item are looked up once
+    pieces = blocked(pieces.where(F.size("_words") > 0).distinct(), F.size("_words"), QUERY_WORDS, "phrases")
+    pieces = stage(pieces.select("_block", "_item", "_words"), "phrases")
+    passes = int(pieces.agg(F.coalesce(F.max("_block"), F.lit(0))).first()[0]) + 1
     carried = [id_col, *(keep or [])]
     none, no_item = F.array().cast("array<long>"), F.array().cast("array<string>")
     found = docs.select(
@@ -290,7 +293,7 @@ def occurrences(
     kinds = "_starts array<long>, _ends array<long>, _items array<string>"
     kinds += "".join(f", _c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
     for number in range(passes):
-        block = pieces.where(F.pmod(F.xxhash64("_item", "_words"), F.lit(passes)) == number).toArrow()
+        block = pieces.where(F.col("_block") == number).toArrow()
         hashes = [np.array(w, np.int64).view(np.uint64) for w in block["_words"].to_pylist()]
         wanted = spark.sparkContext.broadcast(phrases(block["_item"].to_pylist(), hashes, window))
         last = number == passes - 1

@@ -88,3 +88,20 @@ def test_odd_rows_and_items(shipped):
 def test_spans_are_merged():
     starts, ends, owner = fmindex._merge(np.array([5, 0, 3, 0]), np.array([9, 4, 6, 2]), np.array([0, 0, 0, 1]))
     assert (starts.tolist(), ends.tolist(), owner.tolist()) == ([0, 0], [9, 2], [0, 1])
+
+
+def test_repeated_items_take_one_pass_and_blocks_keep_their_bound(shipped, monkeypatch):
+    monkeypatch.setattr(fmindex, "QUERY_WORDS", 500)
+    sent = []
+    made = fmindex.phrases
+    monkeypatch.setattr(fmindex, "phrases", lambda names, words, window: sent.append(sum(map(len, words))) or made(names, words, window))
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = shipped.createDataFrame([(1, text), (2, "x " + text[:100])], "doc_id long, text string")
+    again = shipped.createDataFrame([(1, text)] * 50, "item_id long, text string").repartition(5)
+    assert fmindex.judge(fmindex.occurrences(docs, again)).where("n_items = 1").count() == 2
+    assert sent == [200]
+    sent.clear()
+    own = shipped.createDataFrame([(i, f"i{i} " + text) for i in range(50)], "item_id long, text string").repartition(5)
+    rows = fmindex.judge(fmindex.occurrences(docs, own)).select("doc_id", "n_items").collect()
+    assert sorted(map(tuple, rows)) == [(1, 50), (2, 50)]
+    assert sum(sent) == 50 * 201 and max(sent) <= 500 + 201
