@@ -131,6 +131,12 @@ def follow_the_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: i
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """From rows outside the held-out fold that have a text and a language, at most about SAMPLE_ROWS of each language.
+
+    Document frequencies count all such rows. Every fifth row of the sample sets the temperature; where none is left
+    beside it, the model is fitted on it too. Repeated rows count each for itself. Without a row that has a letter no
+    language is learned. Other columns are not read.
+    """
     known = docs.where((fold(id_col, FOLDS) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counted = known.select(text_col).mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     feature, count = counted["feature"].to_numpy(), counted["n"].to_numpy()
@@ -146,7 +152,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         (index[lang], np.array(at, np.int64), np.array(value))
         for lang, at, value in sorted(zip(*(table[c].to_pylist() for c in ("lang", "at", "value")), strict=True)) if at
     ]
-    apart, rest = rows[::5], [r for i, r in enumerate(rows) if i % 5]
+    apart, rest = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     if not rest:
         return Model([], np.zeros((0, _SIZE), np.float32), np.zeros(0), 1.0)
     weights, bias = follow_the_leader(rest, len(names))

@@ -174,3 +174,10 @@ def test_a_text_has_the_same_features_alone_and_in_a_batch():
         alone, _, size, letters = langid.features([text])
         assert np.array_equal(hashed[:, begins[i] : begins[i] + sizes[i]], alone) and (sizes[i], known[i]) == (size[0], letters[0])
     assert hashed.shape[1] == sizes.sum()
+
+
+def test_one_row_is_enough_to_name_a_language(shipped):
+    df = shipped.createDataFrame([(i, t, "xx" if i == 4 else None) for i, t in enumerate(["abc", "", None, "12", "other words", "one text"])], "doc_id long, text string, lang string")
+    assert zlib.crc32(b"4") % 4 != 2
+    found = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in langid.predict(df, langid.train(df)).collect()}
+    assert found == {0: ("xx", True), 1: ("und", False), 2: ("und", False), 3: ("und", False), 4: ("xx", True), 5: ("xx", True)}
