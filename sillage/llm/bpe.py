@@ -44,13 +44,13 @@ CONTRACTIONS_2 = ("re", "ve", "ll")
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
     """0 white space, 1 letter, 2 number, 3 other, 4 not known to this Python's Unicode, by code point."""
-    table = np.full(0x110000, 3, np.uint8)
-    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000))
-    kinds = np.frombuffer(kinds.encode(), np.uint8)
-    table[kinds == ord("L")] = 1
-    table[kinds == ord("N")] = 2
-    unknown = np.flatnonzero(kinds == ord("C"))
-    table[[c for c in unknown.tolist() if unicodedata.category(chr(c)) == "Cn"]] = UNKNOWN
+    # in runs, as a million small objects at once would stay in the worker's memory
+    table = np.empty(0x110000, np.uint8)
+    for low in range(0, len(table), 1 << 14):
+        names = "".join(map(unicodedata.category, map(chr, range(low, min(low + (1 << 14), len(table))))))
+        first, second = np.frombuffer(names.encode(), np.uint8).reshape(-1, 2).T
+        unknown = (first == ord("C")) & (second == ord("n"))
+        table[low : low + (1 << 14)] = np.select([first == ord("L"), first == ord("N"), unknown], [1, 2, UNKNOWN], 3)
     table[WHITE_SPACE] = 0
     return table
 

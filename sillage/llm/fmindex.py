@@ -26,7 +26,8 @@ from sillage.llm.text import ALNUM, Block, blocks, ragged, word_hashes
 from sillage.session import stage
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+#: text of one index; its arrays take some forty times as much while it is made
+SHARD_BYTES = 2 << 20
 SAMPLE = 16
 #: words of the benchmark that are held at once, as a row of 13 symbols each
 QUERY_WORDS = 1_000_000
