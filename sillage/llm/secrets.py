@@ -4,16 +4,18 @@ The base kinds are what fixed patterns match from left to right without overlap.
 return texts, not places: each match is therefore taken with all that lies between it and the one before
 (the match begins where the last ended, so a text is read once), and running sums of lengths are the places.
 
-Further long strings are judged by two Markov chains over characters, one of random strings and one of
-ordinary identifiers: a string is reported where the mean log-likelihood ratio of its transitions passes a
-threshold and no base span overlaps it. The samples are labelled by the base patterns: all values they match
-are random strings; identifiers come from a bounded sample of ``SAMPLE_DOCS`` documents, drawn by hash.
+Further strings are judged by Markov chains over characters: three of random strings, one for the values of each
+base kind, besides the chain in which all letters and digits are as likely; and one of ordinary strings. A string is
+reported where the log-likelihood ratio of its best random chain to the ordinary one passes a threshold and no base
+span overlaps it. The samples are labelled by the base patterns: what they match in any row is random, all other
+strings of any row are ordinary.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +24,20 @@ KEYWORDS = "password|passwd|secret|token|api_?key"
 _ASSIGN = rf"""(?i:{KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ACCESS = r"(AKIA[A-Z0-9]{16,})"
 _HEX = r"([0-9a-f]{24,})"
-_LONG = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}+={0,2})"
-_IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{5,}"
+#: strings that the chains judge, and those that count as ordinary where no base span covers them
+_JUDGED = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{10,}+={0,2})"
+_ORDINARY = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{6,}+={0,2})"
 #: in the order in which spans of one start are listed; the shortest value that counts
 BASE = {"assign": (_ASSIGN, 6), "access": (_ACCESS, 20), "hex": (_HEX, 24)}
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=."
-SAMPLE_DOCS = 2_000
-THRESHOLD = 0.5
+#: log of how many ordinary strings there are to a random one, at least: a ratio below it is no evidence
+THRESHOLD = 14.0
+#: values of base kinds from this length on are samples of random strings
+SAMPLE_LENGTH = 16
+#: words are also spelled in capitals and joined to names, each by so many of its occurrences
+CAPITALS = JOINED = 0.01
+JOINTS = "_-/"
 _STATES = len(ALPHABET) + 1
 _CHUNK = 256
 _SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
@@ -89,61 +97,124 @@ def _state(character: Column) -> Column:
     return F.instr(F.lit(ALPHABET), character)
 
 
-def _transitions(strings: DataFrame) -> dict[tuple[int, int], int]:
-    """Counts of character pairs in the column ``s``, state 0 before the first; as many rows as pairs of states."""
-    chars = strings.select(F.split("s", "").alias("c")).select("c", F.explode(F.sequence(F.lit(1), F.size("c"))).alias("i"))
+def _transitions(strings: DataFrame, by: str) -> dict[int, dict[tuple[int, int], int]]:
+    """Counts of character pairs in the column ``s``, each string ``n`` times, by the number ``by``; state 0 before the first.
+
+    As many rows as values of ``by`` and pairs of states.
+    """
+    chars = strings.select(by, "n", F.split("s", "").alias("c")).select(by, "n", "c", F.explode(F.sequence(F.lit(1), F.size("c"))).alias("i"))
     before = F.when(F.col("i") == 1, 0).otherwise(F.instr(F.lit(ALPHABET), F.try_element_at("c", F.col("i") - 1)))
-    pairs = chars.where("c[i - 1] <> ''").select(F.coalesce(before, F.lit(0)).alias("a"), _state(F.element_at("c", F.col("i"))).alias("b"))
-    return {(r["a"], r["b"]): r["n"] for r in pairs.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+    pairs = chars.where("c[i - 1] <> ''").select(by, "n", F.coalesce(before, F.lit(0)).alias("a"), _state(F.element_at("c", F.col("i"))).alias("b"))
+    out: dict[int, dict[tuple[int, int], int]] = {}
+    for r in pairs.groupBy(by, "a", "b").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r[by], {})[r["a"], r["b"]] = r["n"]
+    return out
 
 
-def _log_chain(counts: dict[tuple[int, int], int]) -> list[float]:
+def _log_chain(counts: Mapping[tuple[int, int], float]) -> list[float]:
     rows = [1.0 * _STATES] * _STATES
     for (a, _), n in counts.items():
         rows[a] += n
     return [math.log((counts.get((a, b), 0) + 1) / rows[a]) for a in range(_STATES) for b in range(_STATES)]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
-    """Log-likelihood ratio of random strings to identifiers for every transition, row by row.
+def _with_names(counts: dict[tuple[int, int], int]) -> dict[tuple[int, int], float]:
+    """Counts of ordinary strings and of the names made of them: MAX_SIZE, max-size, maxSize, which a corpus may lack.
 
-    Without any labelled string both chains are uniform and nothing passes the threshold.
+    Each pair of small letters, or of one and what is no letter, also counts ``CAPITALS`` for the same pair in
+    capitals. After each letter or digit, ``JOINED`` of the strings go on with each joint or with the capital of a
+    first letter; after a joint, they go on as strings begin.
     """
-    text = F.col(text_col)
+    capital = {i: ALPHABET.find(c.upper()) + 1 for i, c in enumerate(ALPHABET, 1) if c.islower()}
+    capitals = set(capital.values())
+    joints = [ALPHABET.index(c) + 1 for c in JOINTS]
+    out: dict[tuple[int, int], float] = dict(counts)
+
+    def add(a: int, b: int, n: float) -> None:
+        out[a, b] = out.get((a, b), 0) + n
+
+    passed, begun = dict.fromkeys(range(_STATES), 0), {}
+    for (a, b), n in counts.items():
+        passed[a] += n
+        if a == 0:
+            begun[b] = n
+        if (a in capital or b in capital) and not {a, b} & capitals:
+            add(capital.get(a, a), capital.get(b, b), CAPITALS * n)
+    for joint in joints:
+        for a, c in enumerate(ALPHABET, 1):
+            if c.isalnum():
+                add(a, joint, JOINED * passed[a])
+        for b, n in begun.items():
+            add(joint, b, JOINED * n)
+            add(joint, capital.get(b, b), CAPITALS * JOINED * n)
+    for a in capital:
+        for b, n in begun.items():
+            if b in capital:
+                add(a, capital[b], JOINED * passed[a] * n / passed[0])
+    return out
+
+
+def _samples(text: Column) -> tuple[Column, Column]:
+    """Values of the base kinds, with the number of their kind, and the ordinary strings of the text around them."""
     values = F.concat(*(
-        F.when(text.rlike(pattern), F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.length(v) >= 16))
-        .otherwise(F.array().cast("array<string>")) for pattern, _ in BASE.values()
+        F.transform(
+            F.when(text.rlike(pattern), F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.length(v) >= SAMPLE_LENGTH))
+            .otherwise(F.array().cast("array<string>")), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("s"))
+        ) for kind, (pattern, _) in enumerate(BASE.values())
     ))
-    random = _transitions(docs.select(F.explode(values).alias("s")))
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    identifiers = drawn.select(F.explode(F.regexp_extract_all(text, F.lit(_IDENTIFIER), F.lit(0))).alias("s"))
-    ordinary = _transitions(identifiers.where(~F.col("s").rlike(f"{_HEX}|{_ACCESS}")))
-    return [a - b for a, b in zip(_log_chain(random), _log_chain(ordinary), strict=True)]
+    every = "|".join(pattern for pattern, _ in BASE.values())
+    rest = F.when(text.rlike(every), F.regexp_replace(text, every, " ")).otherwise(text)
+    return values, F.regexp_extract_all(rest, F.lit(_ORDINARY), F.lit(1))
+
 
+def train(docs: DataFrame, text_col: str = "text") -> list[list[float]]:
+    """For each random chain the log-likelihood ratio to the ordinary one of every transition, row by row.
 
-def mean_ratio(string: Column, model: list[float]) -> Column:
-    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    Both samples are taken from all rows; strings are counted before they are parted into characters. A repeated row
+    counts again. Null and empty texts have no strings. A kind without values has a uniform chain; without ordinary
+    strings all ratios are 0 and nothing is reported. Other columns are not read.
+    """
+    values, ordinary = _samples(F.col(text_col))
+    random = _transitions(docs.select(F.explode(values).alias("v")).select("v.kind", "v.s", F.lit(1).alias("n")), "kind")
+    counted = docs.select(F.explode(ordinary).alias("s")).groupBy("s").agg(F.count("*").alias("n")).withColumn("kind", F.lit(0))
+    pairs = _transitions(counted, "kind").get(0)
+    if not pairs:
+        return [[0.0] * _STATES * _STATES] * (len(BASE) + 1)
+    plain = _log_chain(_with_names(pairs))
+    chains = [_log_chain(random.get(kind, {})) for kind in range(len(BASE))]
+    alike = {c for c, name in enumerate(ALPHABET, 1) if name.isalnum()}
+    chains.append([math.log((0.99 if b in alike else 0.01) / (len(alike) if b in alike else _STATES - len(alike))) for _ in range(_STATES) for b in range(_STATES)])
+    return [[a - b for a, b in zip(chain, plain, strict=True)] for chain in chains]
+
+
+def ratio(string: Column, model: list[list[float]]) -> Column:
+    """Log-likelihood ratio of the random chain that makes the string likeliest to the ordinary chain."""
+    tables = [F.from_json(F.lit(json.dumps(chain)), "array<double>") for chain in model]
 
     def step(acc: Column, c: Column) -> Column:
         state = _state(c)
-        ratio = F.element_at(table, acc["before"] * _STATES + state + 1)
-        return F.struct(state.alias("before"), (acc["sum"] + ratio).alias("sum"))
+        at = acc["before"] * _STATES + state + 1
+        return F.struct(state.alias("before"), *((acc[f"r{k}"] + F.element_at(t, at)).alias(f"r{k}") for k, t in enumerate(tables)))
+
+    zero = F.struct(F.lit(0).alias("before"), *(F.lit(0.0).alias(f"r{k}") for k in range(len(model))))
+    return F.aggregate(F.split(string, ""), zero, step, lambda acc: F.greatest(*(acc[f"r{k}"] for k in range(len(model)))))
+
 
-    zero = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
-    return F.aggregate(F.split(string, ""), zero, step, lambda acc: acc["sum"]) / F.length(string)
+def random_strings(text: Column, model: list[list[float]], threshold: float = THRESHOLD) -> Column:
+    """Spans of all strings of a text that the chains call random, whether or not a base pattern matches them."""
+    return F.filter(_labelled(_matches(text, _JUDGED), len(BASE), "random"), lambda s: ratio(s["value"], model) > threshold)
 
 
-def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: list[list[float]], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: the id, ``base`` and ``spans``, all with kind, start, end and value, by start.
 
     Null and empty texts have no spans. Rows with equal ids or texts are scanned each for itself; other columns
     are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col), base_spans(text).alias("base"), _labelled(_matches(text, _LONG), len(BASE), "random").alias("_long"))
-    likely = F.filter(F.filter("_long", lambda s: mean_ratio(s["value"], model) > threshold), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.select(id_col, "base", F.when(F.size("_long") > 0, F.array_sort(F.concat("base", likely))).otherwise(F.col("base")).alias("spans"))
+    found = docs.select(F.col(id_col), base_spans(text).alias("base"), random_strings(text, model, threshold).alias("_random"))
+    added = F.filter("_random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return found.select(id_col, "base", F.when(F.size("_random") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
 
 
 def listed(spans: str) -> Column:
