@@ -2,9 +2,11 @@
 
 Every line with a word is good or bad; its evidence is its own features and those of the lines before and
 after, and neighbouring labels hold together by learned transitions. Forward and backward messages of two
-labels are one log-odds each, so a whole block of texts takes one step per line number. A text's quality is
+labels are one log-odds each, so a whole block of texts takes one step per line number; what ``SEGMENT`` lines do to
+a message is one 2 by 2 matrix, so a long text takes few steps more than a segment has lines. A text's quality is
 the mean of the marginals weighed by line length, calibrated on texts kept apart. Lines are trained with the
-label of their text, on at most ``SAMPLE_ROWS`` labelled texts of each class, weighed by the classes' sizes.
+label of their text, on at most ``SAMPLE_ROWS`` labelled texts of each class, weighed by the classes' sizes, and at
+most ``SAMPLE_LINES`` consecutive lines from the middle of each; scores are of whole texts.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from sillage.llm import logistic
 from sillage.llm.folds import bounded, fold, labelled, sizes, weights
-from sillage.llm.text import PLAIN, Block, blocks, mix, ngram_hashes, range_hashes
+from sillage.llm.text import PLAIN, Block, blocks, inside_texts, mix, ngram_hashes, ragged, range_hashes
 
 SAMPLE_ROWS = 3_000
+SAMPLE_LINES = 100
+SEGMENT = 256
 BATCH_TEXTS, EPOCHS, RATE = 128, 12, 0.05
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 4, 2
@@ -70,8 +74,8 @@ def lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same = np.concatenate(([False], (words[1:] == words[:-1]) & (of[1:] == of[:-1]))) if len(words) else np.zeros(0, bool)
     seen = _repeats(mix(words ^ mix(of)))
     triples = np.zeros(len(words), bool)
-    grams = ngram_hashes(words, 3)
-    triples[: len(grams)] = _repeats(mix(grams ^ mix(of[: len(grams)])))
+    inside = inside_texts(firsts, 3)
+    triples[inside] = _repeats(mix(ngram_hashes(words, 3)[inside] ^ mix(of[inside])))
     columns = [(_sums(c[block.data])[stop] - _sums(c[block.data])[begin]) / np.maximum(length, 1) for c in _CLASSES]
     line_keys = range_hashes(block.data, starts[low], ends[high - 1]) if len(low) else np.zeros(0, np.uint64)
     last = block.data[ends[high - 1] - 1] if len(low) else np.zeros(0, np.uint8)
@@ -111,20 +115,49 @@ def _grid(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _passed(odds: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log-odds of a line's label from those of the line before."""
+    return np.logaddexp(odds + t[1, 1], t[0, 1]) - np.logaddexp(odds + t[1, 0], t[0, 0])
+
+
+def _along(evidence: np.ndarray, counts: np.ndarray, t: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Log-odds that reach every line of runs of lines; ``begin`` is what reaches their first ones."""
+    out = np.zeros(len(evidence))
+    for step, (runs, at) in enumerate(_grid(counts)):
+        out[at] = _passed(out[at - 1] + evidence[at - 1], t) if step else begin[runs]
+    return out
+
+
+def _products(evidence: np.ndarray, counts: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Logarithms, up to a constant, of the matrix by which each run of lines changes what reaches it: to label, from label."""
+    product = np.full((len(counts), 2, 2), -np.inf)
+    product[:, 0, 0] = product[:, 1, 1] = 0
+    for runs, at in _grid(counts):
+        bad, good = product[runs, 0], product[runs, 1] + evidence[at][:, None]
+        new = np.stack([np.logaddexp(bad + t[0, label], good + t[1, label]) for label in (0, 1)], axis=1)
+        product[runs] = new - new.max(axis=(1, 2), keepdims=True)
+    return product
+
+
+def incoming(evidence: np.ndarray, counts: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log-odds that reach every line from those before it in its text. Segments of long texts go side by side."""
+    if counts.max(initial=0) <= SEGMENT:
+        return _along(evidence, counts, t, np.zeros(len(counts)))
+    parts = np.maximum(-(-counts // SEGMENT), 1)
+    first = np.cumsum(parts) - parts
+    sizes = np.full(parts.sum(), SEGMENT)
+    sizes[first + parts - 1] = counts - (parts - 1) * SEGMENT
+    products = _products(evidence, sizes, t)
+    begin = np.zeros(len(sizes))
+    for _, at in _grid(parts)[1:]:
+        p, odds = products[at - 1], begin[at - 1]
+        begin[at] = np.logaddexp(p[:, 1, 0], p[:, 1, 1] + odds) - np.logaddexp(p[:, 0, 0], p[:, 0, 1] + odds)
+    return _along(evidence, sizes, t, begin)
+
+
 def messages(evidence: np.ndarray, counts: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of good from the lines up to each, its own included, and from those after it. ``t`` is a 2 by 2 matrix."""
-    ahead, back = np.zeros(len(evidence)), np.zeros(len(evidence))
-    grid = _grid(counts)
-    for step, (texts, at) in enumerate(grid):
-        if step == 0:
-            ahead[at] = evidence[at]
-            continue
-        a = ahead[at - 1]
-        ahead[at] = np.logaddexp(a + t[1, 1], t[0, 1]) - np.logaddexp(a + t[1, 0], t[0, 0]) + evidence[at]
-    for _, at in reversed(grid[1:]):
-        b = back[at] + evidence[at]
-        back[at - 1] = np.logaddexp(b + t[1, 1], t[1, 0]) - np.logaddexp(b + t[0, 1], t[0, 0])
-    return ahead, back
+    return evidence + incoming(evidence, counts, t), incoming(evidence[::-1], counts[::-1], t.T)[::-1]
 
 
 @dataclass
@@ -197,20 +230,29 @@ def _line_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column(0)):
             x, owner, length = lines(block)
-            edges = pa.array(np.searchsorted(owner, np.arange(block.size + 1)), pa.int32())
-            wide = pa.array(np.searchsorted(owner, np.arange(block.size + 1)) * FEATURES, pa.int32())
+            edges = np.searchsorted(owner, np.arange(block.size + 1))
+            count = np.diff(edges)
+            kept = np.minimum(count, SAMPLE_LINES)
+            at = ragged(edges[:-1] + (count - kept) // 2, kept)
+            ends = np.concatenate(([0], np.cumsum(kept)))
             low, high = block.rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(1).slice(low, high - low), pa.ListArray.from_arrays(wide, pa.array(x.ravel())),
-                    pa.ListArray.from_arrays(edges, pa.array(length, pa.float64())),
+                    batch.column(1).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends * FEATURES, pa.int32()), pa.array(x[at].ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(length[at], pa.float64())),
                 ],
                 ["y", "x", "length"],
             )
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
-    """From labelled rows outside the held-out fold; every fifth of the sampled texts is for the calibration."""
+    """From labelled rows outside the held-out fold; every fifth of the sampled texts is for the calibration.
+
+    Null, empty and wordless texts have no line and only take part in the calibration. Repeated rows count each for
+    itself; of a very long text the lines in its middle are learned from. Of several labels of one id 1 wins. Without
+    rows, or with one label only, the chain stays at 0 and the score is the share of the labels. Columns other than
+    the named ones are not read.
+    """
     known = labelled(docs.select(id_col, text_col).where(fold(id_col, FOLDS) != HELD_OUT), labels, label, id_col)
     sizes_of = sizes(known, "_label")
     sample = bounded(known, "_label", SAMPLE_ROWS, id_col, counts=sizes_of)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections import Counter
 from dataclasses import replace
@@ -88,6 +89,92 @@ def test_messages_are_marginals_of_the_chain():
         at += n
 
 
+def test_messages_of_long_texts_are_those_of_one_step_a_line():
+    rng = np.random.default_rng(2)
+    counts = np.array([0, 1000, 3, 256, 0, 257, 512, 1, 0])
+    evidence, t = rng.normal(size=counts.sum()) * 3, rng.normal(size=(2, 2)) * 2
+    ahead, back = linecrf.messages(evidence, counts, t)
+    at = 0
+    for n in counts.tolist():
+        odds = 0.0
+        for i in range(at, at + n):
+            odds = (np.logaddexp(odds + t[1, 1], t[0, 1]) - np.logaddexp(odds + t[1, 0], t[0, 0]) if i > at else 0.0) + evidence[i]
+            assert abs(ahead[i] - odds) < 1e-9
+        odds = 0.0
+        for i in range(at + n - 1, at - 1, -1):
+            assert abs(back[i] - odds) < 1e-9
+            odds = np.logaddexp(odds + evidence[i] + t[1, 1], t[1, 0]) - np.logaddexp(odds + evidence[i] + t[0, 1], t[0, 0])
+        at += n
+
+
+SHARES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b"!?", b".,;:", b"()[]{}\"'", b"/\\@_=+~^", bytes(range(128, 256))]
+
+
+def brute_lines(text):
+    """Features and length of every line with a word, with lists and sets."""
+    data = (text or "").encode()
+    pieces = [p for p in re.findall(rb"[^\n]*\n|[^\n]+", data) if re.search(rb"[^ \t-\r]", p)]
+    words = [re.findall(rb"[^ \t-\r]+", p) for p in pieces]
+    flat = [w for ws in words for w in ws]
+    out, at, before = [], 0, set()
+    triples = [tuple(flat[i : i + 3]) for i in range(len(flat) - 2)]
+    first_triple = {}
+    for i, g in enumerate(triples):
+        first_triple.setdefault(g, i)
+    first_word = {}
+    for i, w in enumerate(flat):
+        first_word.setdefault(w, i)
+    for piece, ws in zip(pieces, words, strict=True):
+        size, n = sum(map(len, ws)), len(ws)
+        places = range(at, at + n)
+        whole = piece.strip(b" \t\n\x0b\x0c\r")
+        row = [sum(c in share for c in piece) / size for share in SHARES]
+        row += [
+            log(1 + size), log(1 + n), size / n, sum(i > 0 and flat[i] == flat[i - 1] for i in places) / n, sum(first_word[flat[i]] < i for i in places) / n,
+            sum(i < len(triples) and first_triple[triples[i]] < i for i in places) / n, whole in before, ws[-1][-1:] in b".!?:;\"')", ws[0][:1].isupper(),
+            (len(piece) - size) / size, log(1 + len(pieces)), sum(len(w) == 1 for w in ws) / n,
+        ]
+        out.append((np.array(row, float), size))
+        before.add(whole)
+        at += n
+    return out
+
+
+def brute_quality(text, model):
+    """Score of a text by the sums over all paths of labels, one line after the other."""
+    found = brute_lines(text)
+    zero = np.zeros(linecrf.FEATURES)
+    own = [(x - model.mean) / model.scale for x, _ in found]
+    evidence = []
+    for i, x in enumerate(own):
+        wide = np.concatenate((x, own[i - 1] if i else zero, own[i + 1] if i + 1 < len(own) else zero, [i == 0, i + 1 == len(own)]))
+        evidence.append(model.weights[0] + wide @ model.weights[1:])
+    t, n = model.transitions, len(own)
+    ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
+    for i in range(n):
+        ahead[i] = [(np.logaddexp(ahead[i - 1, 0] + t[0, y], ahead[i - 1, 1] + t[1, y]) if i else 0) + y * evidence[i] for y in (0, 1)]
+    for i in reversed(range(n - 1)):
+        back[i] = [np.logaddexp(t[y, 0] + back[i + 1, 0], t[y, 1] + evidence[i + 1] + back[i + 1, 1]) for y in (0, 1)]
+    odds = (ahead + back)[:, 1] - (ahead + back)[:, 0]
+    size = np.array([s for _, s in found], float)
+    means = [(size * logistic.sigmoid(odds)).sum() / size.sum(), (size * np.clip(odds, -10, 10)).sum() / size.sum()] if n else [0, 0]
+    return 1 / (1 + np.exp(-(model.calibration[0] + np.dot(model.calibration[1:], means))))
+
+
+def test_quality_is_that_of_features_and_paths_one_by_one(shipped):
+    docs = shipped.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = shipped.read.parquet(f"{SF}/labels.parquet")
+    model = linecrf.train(docs, labels)
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(["a", "b", "Cc", "9", " ", " ", "\n", "\n", ".", "#", "\r", "\x0b", "é"]) for _ in range(n)) for n in (3, 30, 300, 3000)]
+    texts += ["a b c x a b", "c d e", "".join(f"line {i % 7}\n" for i in range(900))] + [r["text"] for r in odd(shipped).select("text").collect()]
+    more = shipped.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = docs.unionByName(more).coalesce(2)
+    truth = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for r in linecrf.score(rows, model).collect():
+        assert r["score"] == pytest.approx(brute_quality(truth[r["doc_id"]], model), abs=1e-6)
+
+
 def brute_ratios(texts, scored, size):
     """By text of words: what each word and its pair add, from counts in dictionaries that tell all words and pairs apart; ``size``: bytes by class."""
     scale = [max(1.0, size[c] / min(size.values())) for c in (0, 1)]
