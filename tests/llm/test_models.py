@@ -268,3 +268,74 @@ def test_one_row_is_enough_to_name_a_language(shipped):
     assert zlib.crc32(b"4") % 4 != 2
     found = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in langid.predict(df, langid.train(df)).collect()}
     assert found == {0: ("xx", True), 1: ("und", False), 2: ("und", False), 3: ("und", False), 4: ("xx", True), 5: ("xx", True)}
+
+
+def brute_grams(text):
+    """Counts of the hashed n-grams of one to three letters of a text, all else a space and one more at the end."""
+    lowered = text.lower()
+    letters = langid.char_classes()
+    codes = [ord(c) if letters[ord(c)] == 1 else 32 for c in lowered] + [32]
+    codes = [*codes, *[32] * 2]
+    found = Counter()
+    for n, i in itertools.product((1, 2, 3), range(len(lowered) + 1)):
+        h = n + sum(c * f for c, f in zip(codes[i : i + n], langid._FACTORS, strict=False))
+        found[(h * langid._FACTORS[0] % (1 << 64)) >> (64 - langid.FEATURE_BITS)] += 1
+    return found, any(letters[ord(c)] == 1 for c in lowered)
+
+
+def brute_language(rows):
+    """By id the probabilities of the languages: document frequencies, steps of one row after the other, temperature, with dictionaries."""
+    learn = [(i, t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and x is not None]
+    in_rows = Counter(f for _, t, _ in learn for f in brute_grams(t)[0])
+    idf = {f: log((1 + len(learn)) / (1 + n)) + 1 for f, n in in_rows.items()}
+    nowhere = log(1 + len(learn)) + 1
+
+    def vector(text):
+        found, _ = brute_grams(text)
+        total = sum(found.values())
+        return {f: langid.SCALE * n * idf.get(f, nowhere) / total for f, n in sorted(found.items())}
+
+    names = sorted({x for _, _, x in learn})
+    samples = [(names.index(x), vector(t)) for _, t, x in learn if brute_grams(t)[1]]
+    samples.sort(key=lambda s: (s[0], list(s[1]), list(s[1].values())))
+    z, n = [Counter() for _ in names], [Counter() for _ in names]
+
+    def weight(c, f):
+        if abs(z[c][f]) <= langid.L1:
+            return 0.0
+        return -(z[c][f] - np.sign(z[c][f]) * langid.L1) / ((langid.BETA + n[c][f] ** 0.5) / langid.ALPHA + langid.L2)
+
+    def chances(v, temperature=1.0):
+        e = np.array([sum(weight(c, f) * x for f, x in [*v.items(), ("bias", 1.0)]) for c in range(len(names))]) / temperature
+        p = np.exp(e - e.max())
+        return p / p.sum()
+
+    apart, rest = samples[::5], [s for i, s in enumerate(samples) if i % 5]
+    for epoch in range(langid.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(rest)):
+            label, v = rest[i]
+            p = chances(v)
+            for c in range(len(names)):
+                for f, x in [*v.items(), ("bias", 1.0)]:
+                    g = (p[c] - (c == label)) * x
+                    sigma = ((n[c][f] + g * g) ** 0.5 - n[c][f] ** 0.5) / langid.ALPHA
+                    z[c][f] += g - sigma * weight(c, f)
+                    n[c][f] += g * g
+    grid = np.exp(np.linspace(-3, 3, 241))
+    at = int(np.argmin([-np.mean([log(chances(v, t)[label] + 1e-12) for label, v in apart]) for t in grid]))
+    return {i: (chances(vector(t), grid[at]) if t is not None and brute_grams(t)[1] else None) for i, t, _ in rows}, names
+
+
+def test_language_is_that_of_dictionaries(shipped):
+    rng = np.random.default_rng(9)
+    parts = {"aa": ["the", "and", "tion", "İx"], "bb": ["der", "und", "schön", "ß"], "cc": ["le", "où", "ment", "的"]}
+    rows = [(i, " ".join(rng.choice(parts[x], 6)) + ("." if i % 3 else " 12\n"), x) for i, x in enumerate(np.tile(list(parts), 14).tolist())]
+    rows += [(100, "", "aa"), (101, None, "bb"), (102, "12 .", "cc"), (103, "unseen wörds", None), (104, "de", None), (105, rows[4][1], "bb")]
+    df = shipped.createDataFrame(rows, "doc_id long, text string, lang string")
+    wanted, names = brute_language(rows)
+    for r in langid.predict(df, langid.train(df)).collect():
+        p = wanted[r["doc_id"]]
+        if p is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            assert r["score"] == pytest.approx(p.max(), abs=1e-3) and p[names.index(r["lang_pred"])] > p.max() - 1e-3
