@@ -6,7 +6,7 @@ scan answers all years, and several figures over the same fact share that scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -20,7 +20,7 @@ from sillage.operators.aggregates import sum_or_zero, weighted_mean_column
 from sillage.operators.filters import Roles, provenance_rule
 from sillage.operators.joins import period_days
 from sillage.operators.topk import top_k_per
-from sillage.plans.rankings import stay_distribution
+from sillage.plans.rankings import stay_distributions
 from sillage.plans.windows import Windows
 from sillage.session import stage
 
@@ -271,14 +271,14 @@ def indicator_table(figures: Sequence[DataFrame], windows: Windows, baseline: st
     return evolution(rows, windows, baseline)
 
 
-def _distribution_rows(stays: DataFrame, windows: Windows, block: str) -> DataFrame:
-    """Lengths of stay with their share and change, in the shape of the indicator table."""
-    lengths = stay_distribution(stays, windows)
+def _distribution_rows(stays: DataFrame, windows: Windows, blocks: Mapping[str, Column]) -> DataFrame:
+    """Lengths of stay with their share and change for the visitors of each block, in the shape of the indicator table."""
+    lengths = stay_distributions(stays, windows, blocks)
     values = {c: F.lit(None).cast("double") for c in value_columns(windows)}
     values |= {"n0": F.col("volume").cast("double"), "n1": F.col("volume_n1").cast("double")}
     changes = {f"evolution_{i}": F.lit(None).cast("double") for i in range(1, len(windows))} | {"evolution_1": F.col("delta_pct")}
     return lengths.select(
-        F.lit(block).alias("block"), F.lit(None).cast("int").alias("numero"), F.col("nb_nuits").cast("string").alias("indicateur"),
+        F.col("groupe").alias("block"), F.lit(None).cast("int").alias("numero"), F.col("nb_nuits").cast("string").alias("indicateur"),
         *[v.alias(c) for c, v in values.items()], F.lit("Nuitées").alias("unite"), F.lit("").alias("remarque"),
         F.lit(None).cast("date").alias("date"), *[v.alias(c) for c, v in changes.items()], "part_pct",
     )
@@ -316,10 +316,8 @@ def block_a(nights: DataFrame, day_visits: DataFrame, windows: Windows, roles: R
         ]), windows),
     ]
     indicators = indicator_table(figures, windows).withColumns({"block": F.lit("indicateurs"), "part_pct": F.lit(None).cast("double")})
-    out = indicators
-    for block, rule in (("durees", outside), ("durees_fr", national), ("durees_intl", foreign)):
-        out = out.unionByName(_distribution_rows(nights.where(rule), windows, block))
-    return out
+    blocks = {"durees": outside, "durees_fr": national, "durees_intl": foreign}
+    return indicators.unionByName(_distribution_rows(nights, windows, blocks))
 
 
 def block_d7(day_visits: DataFrame, windows: Windows, fixed_days: Sequence[tuple[int, int]] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ as one more row of those sums, so nothing behind them is computed twice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -143,7 +143,24 @@ def stay_distribution(stays: DataFrame, windows: Windows, by: Sequence[str] = ()
 
     Shares divide by the group's total over its lengths of stay, a short list.
     """
-    sums = two_windows(stays, windows, [*by, "nb_nuits"]).where(F.col("n0").isNotNull())
+    return _lengths(two_windows(stays, windows, [*by, "nb_nuits"]), by)
+
+
+def stay_distributions(stays: DataFrame, windows: Windows, groups: Mapping[str, Column], member: str = "provenance") -> DataFrame:
+    """``stay_distribution`` of several groups of visitors in one scan; ``groupe`` names the group.
+
+    A group is a condition on ``member``, and groups may overlap: sums per member and length, a short list,
+    are dealt to all groups they belong to.
+    """
+    sums = two_windows(stays, windows, [member, "nb_nuits"])
+    belongs = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in groups.items())))
+    dealt = sums.select(F.explode(belongs).alias("groupe"), "nb_nuits", "n0", "n1")
+    return _lengths(dealt.groupBy("groupe", "nb_nuits").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), ["groupe"])
+
+
+def _lengths(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Shares and changes of sums per length of stay."""
+    sums = sums.where(F.col("n0").isNotNull())
     total = F.sum("n0").over(W.partitionBy(*by))
     prev = F.coalesce("n1", F.lit(0).cast("long"))
     return sums.withColumn("_t", total).select(
@@ -210,6 +227,6 @@ def daily_average(fact: DataFrame, windows: Windows) -> DataFrame:
 
 __all__ = [
     "comparison_table", "compare_sums", "daily_average", "destinations", "load_profile", "origins",
-    "origins_all", "rank_csp", "rank_members", "rank_regions", "stay_combined", "stay_distribution",
+    "origins_all", "rank_csp", "rank_members", "rank_regions", "stay_combined", "stay_distribution", "stay_distributions",
     "top_destinations", "top_members", "two_windows",
 ]
