@@ -38,7 +38,9 @@ SAMPLE_LENGTH = 16
 #: words are also spelled in capitals and joined to names, each by so many of its occurrences
 CAPITALS = JOINED = 0.01
 JOINTS = "_-/"
-_STATES = len(ALPHABET) + 1
+#: states are places in ASCII from "+" to "z", 0 is the begin of a string and any other character
+_FIRST, _LAST = ord(min(ALPHABET)), ord(max(ALPHABET))
+_STATES = _LAST - _FIRST + 2
 _CHUNK = 256
 _SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
 
@@ -94,7 +96,12 @@ def base_spans(text: Column) -> Column:
 
 
 def _state(character: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), character)
+    code = F.ascii(character)
+    return F.when(code.between(_FIRST, _LAST), code - (_FIRST - 1)).otherwise(0)
+
+
+def _place(character: str) -> int:
+    return ord(character) - _FIRST + 1
 
 
 def _transitions(strings: DataFrame, by: str) -> dict[int, dict[tuple[int, int], int]]:
@@ -103,8 +110,8 @@ def _transitions(strings: DataFrame, by: str) -> dict[int, dict[tuple[int, int],
     As many rows as values of ``by`` and pairs of states.
     """
     chars = strings.select(by, "n", F.split("s", "").alias("c")).select(by, "n", "c", F.explode(F.sequence(F.lit(1), F.size("c"))).alias("i"))
-    before = F.when(F.col("i") == 1, 0).otherwise(F.instr(F.lit(ALPHABET), F.try_element_at("c", F.col("i") - 1)))
-    pairs = chars.where("c[i - 1] <> ''").select(by, "n", F.coalesce(before, F.lit(0)).alias("a"), _state(F.element_at("c", F.col("i"))).alias("b"))
+    before = F.when(F.col("i") == 1, 0).otherwise(_state(F.get("c", F.col("i") - 2)))
+    pairs = chars.where("c[i - 1] <> ''").select(by, "n", before.alias("a"), _state(F.element_at("c", F.col("i"))).alias("b"))
     out: dict[int, dict[tuple[int, int], int]] = {}
     for r in pairs.groupBy(by, "a", "b").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r[by], {})[r["a"], r["b"]] = r["n"]
@@ -112,7 +119,8 @@ def _transitions(strings: DataFrame, by: str) -> dict[int, dict[tuple[int, int],
 
 
 def _log_chain(counts: Mapping[tuple[int, int], float]) -> list[float]:
-    rows = [1.0 * _STATES] * _STATES
+    """Logarithms of the share of every pair among those of its first state, each seen once more than counted."""
+    rows = [len(ALPHABET) + 1.0] * _STATES
     for (a, _), n in counts.items():
         rows[a] += n
     return [math.log((counts.get((a, b), 0) + 1) / rows[a]) for a in range(_STATES) for b in range(_STATES)]
@@ -125,9 +133,9 @@ def _with_names(counts: dict[tuple[int, int], int]) -> dict[tuple[int, int], flo
     capitals. After each letter or digit, ``JOINED`` of the strings go on with each joint or with the capital of a
     first letter; after a joint, they go on as strings begin.
     """
-    capital = {i: ALPHABET.find(c.upper()) + 1 for i, c in enumerate(ALPHABET, 1) if c.islower()}
+    capital = {_place(c): _place(c.upper()) for c in ALPHABET if c.islower()}
     capitals = set(capital.values())
-    joints = [ALPHABET.index(c) + 1 for c in JOINTS]
+    joints = [_place(c) for c in JOINTS]
     out: dict[tuple[int, int], float] = dict(counts)
 
     def add(a: int, b: int, n: float) -> None:
@@ -141,9 +149,9 @@ def _with_names(counts: dict[tuple[int, int], int]) -> dict[tuple[int, int], flo
         if (a in capital or b in capital) and not {a, b} & capitals:
             add(capital.get(a, a), capital.get(b, b), CAPITALS * n)
     for joint in joints:
-        for a, c in enumerate(ALPHABET, 1):
+        for c in ALPHABET:
             if c.isalnum():
-                add(a, joint, JOINED * passed[a])
+                add(_place(c), joint, JOINED * passed[_place(c)])
         for b, n in begun.items():
             add(joint, b, JOINED * n)
             add(joint, capital.get(b, b), CAPITALS * JOINED * n)
@@ -156,12 +164,13 @@ def _with_names(counts: dict[tuple[int, int], int]) -> dict[tuple[int, int], flo
 
 def _samples(text: Column) -> tuple[Column, Column]:
     """Values of the base kinds, with the number of their kind, and the ordinary strings of the text around them."""
-    values = F.concat(*(
-        F.transform(
-            F.when(text.rlike(pattern), F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.length(v) >= SAMPLE_LENGTH))
-            .otherwise(F.array().cast("array<string>")), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("s"))
-        ) for kind, (pattern, _) in enumerate(BASE.values())
-    ))
+    none = F.array().cast("array<string>")
+
+    def of_kind(kind: int, pattern: str) -> Column:
+        found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.length(v) >= SAMPLE_LENGTH)
+        return F.transform(F.when(text.rlike(pattern), found).otherwise(none), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("s")))
+
+    values = F.concat(*(of_kind(kind, pattern) for kind, (pattern, _) in enumerate(BASE.values())))
     every = "|".join(pattern for pattern, _ in BASE.values())
     rest = F.when(text.rlike(every), F.regexp_replace(text, every, " ")).otherwise(text)
     return values, F.regexp_extract_all(rest, F.lit(_ORDINARY), F.lit(1))
@@ -182,27 +191,39 @@ def train(docs: DataFrame, text_col: str = "text") -> list[list[float]]:
         return [[0.0] * _STATES * _STATES] * (len(BASE) + 1)
     plain = _log_chain(_with_names(pairs))
     chains = [_log_chain(random.get(kind, {})) for kind in range(len(BASE))]
-    alike = {c for c, name in enumerate(ALPHABET, 1) if name.isalnum()}
-    chains.append([math.log((0.99 if b in alike else 0.01) / (len(alike) if b in alike else _STATES - len(alike))) for _ in range(_STATES) for b in range(_STATES)])
+    alike = {_place(c) for c in ALPHABET if c.isalnum()}
+    rest = len(ALPHABET) + 1 - len(alike)
+    chains.append([math.log(0.99 / len(alike) if b in alike else 0.01 / rest) for _ in range(_STATES) for b in range(_STATES)])
     return [[a - b for a, b in zip(chain, plain, strict=True)] for chain in chains]
 
 
-def ratio(string: Column, model: list[list[float]]) -> Column:
-    """Log-likelihood ratio of the random chain that makes the string likeliest to the ordinary chain."""
+def _judged(spans: Column, model: list[list[float]]) -> Column:
+    """Spans with the log-likelihood ratio of the random chain that makes their value likeliest to the ordinary chain.
+
+    Characters, pairs and sums are made one after the other, so that none is made again for every chain.
+    """
     tables = [F.from_json(F.lit(json.dumps(chain)), "array<double>") for chain in model]
 
-    def step(acc: Column, c: Column) -> Column:
-        state = _state(c)
-        at = acc["before"] * _STATES + state + 1
-        return F.struct(state.alias("before"), *((acc[f"r{k}"] + F.element_at(t, at)).alias(f"r{k}") for k, t in enumerate(tables)))
+    def pairs(c: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))), c, lambda a, b: a * _STATES + b + 1)
+
+    def total(at: Column, table: Column) -> Column:
+        return F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.element_at(table, i))
+
+    coded = F.transform(spans, lambda s: F.struct(s.alias("span"), F.transform(F.split(s["value"], ""), _state).alias("c")))
+    paired = F.transform(coded, lambda x: F.struct(x["span"].alias("span"), pairs(x["c"]).alias("at")))
+    return F.transform(paired, lambda x: F.struct(x["span"].alias("span"), F.greatest(*(total(x["at"], t) for t in tables)).alias("ratio")))
 
-    zero = F.struct(F.lit(0).alias("before"), *(F.lit(0.0).alias(f"r{k}") for k in range(len(model))))
-    return F.aggregate(F.split(string, ""), zero, step, lambda acc: F.greatest(*(acc[f"r{k}"] for k in range(len(model)))))
+
+def ratio(string: Column, model: list[list[float]]) -> Column:
+    """Log-likelihood ratio of the random chain that makes the string likeliest to the ordinary chain."""
+    return F.get(_judged(F.array(F.struct(string.alias("value"))), model), F.lit(0))["ratio"]
 
 
 def random_strings(text: Column, model: list[list[float]], threshold: float = THRESHOLD) -> Column:
     """Spans of all strings of a text that the chains call random, whether or not a base pattern matches them."""
-    return F.filter(_labelled(_matches(text, _JUDGED), len(BASE), "random"), lambda s: ratio(s["value"], model) > threshold)
+    found = _judged(_labelled(_matches(text, _JUDGED), len(BASE), "random"), model)
+    return F.transform(F.filter(found, lambda x: x["ratio"] > threshold), lambda x: x["span"])
 
 
 def scan(docs: DataFrame, model: list[list[float]], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
