@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ JOINTS = "_-/"
 #: states are places in ASCII from "+" to "z", 0 is the begin of a string and any other character
 _FIRST, _LAST = ord(min(ALPHABET)), ord(max(ALPHABET))
 _STATES = _LAST - _FIRST + 2
-_CHUNK = 256
+_CHUNK = 64
 _SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
 
 
@@ -57,23 +57,38 @@ def _running(steps: Column, begin: Column) -> Column:
     return F.aggregate(steps, zero, add, lambda acc: acc["out"])
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _matches(text: Column, pattern: str, whole: bool = False) -> Column:
     """All matches of a pattern with one group: start and end of the match in code points, and the group's text.
 
     Running sums are made in chunks, so that a text with many matches costs little more than their number.
+    ``whole`` tells that the group is the whole match.
     """
     chained = F.lit(rf"\G(?s:(.*?))((?:{pattern}))")
     before, match, value = (F.regexp_extract_all(text, chained, F.lit(i)) for i in (1, 2, 3))
-    sizes = F.zip_with(before, match, lambda p, m: F.struct(F.length(p).cast("long").alias("p"), F.length(m).cast("long").alias("m")))
-    steps = F.zip_with(sizes, value, lambda s, v: F.struct(s["p"].alias("p"), s["m"].alias("m"), v.alias("v")))
-    many = F.ceil(F.size(before) / F.lit(_CHUNK)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.slice(steps, k * _CHUNK + 1, F.lit(_CHUNK)))
-    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["p"] + s["m"]))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    begins = F.aggregate(
-        totals, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"]
-    )
-    found = F.flatten(F.zip_with(chunks, begins, _running))
+    if whole:
+        steps = F.zip_with(before, match, lambda p, m: F.struct(F.length(p).cast("long").alias("p"), F.length(m).cast("long").alias("m"), m.alias("v")))
+    else:
+        sizes = F.zip_with(before, match, lambda p, m: F.struct(F.length(p).cast("long").alias("p"), F.length(m).cast("long").alias("m")))
+        steps = F.zip_with(sizes, value, lambda s, v: F.struct(s["p"].alias("p"), s["m"].alias("m"), v.alias("v")))
+
+    def chunks(steps: Column) -> Column:
+        many = F.ceil(F.size(steps) / F.lit(_CHUNK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.slice(steps, k * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def spans(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["p"] + s["m"]))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        begins = F.aggregate(
+            totals, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"]
+        )
+        return F.flatten(F.zip_with(chunks, begins, _running))
+
+    found = _let(_let(steps, chunks), spans)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
 
 
@@ -91,7 +106,7 @@ def base_spans(text: Column) -> Column:
     """Spans of the base kinds, by start and kind."""
     parts = []
     for rank, (kind, (pattern, least)) in enumerate(BASE.items()):
-        parts.append(_labelled(F.filter(_matches(text, pattern), _no_shorter(least)), rank, kind))
+        parts.append(_labelled(F.filter(_matches(text, pattern, whole=kind != "assign"), _no_shorter(least)), rank, kind))
     return F.array_sort(F.concat(*parts))
 
 
@@ -222,7 +237,7 @@ def ratio(string: Column, model: list[list[float]]) -> Column:
 
 def random_strings(text: Column, model: list[list[float]], threshold: float = THRESHOLD) -> Column:
     """Spans of all strings of a text that the chains call random, whether or not a base pattern matches them."""
-    found = _judged(_labelled(_matches(text, _JUDGED), len(BASE), "random"), model)
+    found = _judged(_labelled(_matches(text, _JUDGED, whole=True), len(BASE), "random"), model)
     return F.transform(F.filter(found, lambda x: x["ratio"] > threshold), lambda x: x["span"])
 
 
