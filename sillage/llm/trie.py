@@ -136,6 +136,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             a = b
 
 
+def _in_order(segments: DataFrame, turns: DataFrame) -> DataFrame:
+    """Segments dealt to tasks by ranges of (segment, conv), ascending in each."""
+    return segments.repartitionByRange(partitions(turns), "segment", "conv").sortWithinPartitions("segment", "conv")
+
+
 def _nodes_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, a, b in _shards(batches):
         shard, out = Shard(batch, a, b), []
@@ -176,10 +181,9 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     ``convs`` (conv) lists the members, each once; ``turns`` has conv, at (0, 1, ... of a conversation, each once), digest and
     words. Members without turns end at the root. Without members there is no node.
     """
-    segments = stage(
-        _segments(convs, turns).repartitionByRange(partitions(turns), "segment", "conv").sortWithinPartitions("segment", "conv"), "segments"
-    )
-    parts = segments.mapInArrow(_nodes_task, _NODE)
+    segments = stage(_segments(convs, turns), "segments")
+    # dealt after the stage: files read back come in any sequence, and a shard's conversations must ascend
+    parts = _in_order(segments, turns).mapInArrow(_nodes_task, _NODE)
     # nodes that most shards have are added up in two steps
     ends = F.collect_list(F.when(F.col("first_end").isNotNull(), F.struct("first_end", "ends")))
     same = [F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.max("words").alias("words")]
@@ -204,8 +208,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     pieces = stage(pieces, "chains")
     of = pieces.groupBy(F.col("conv_id").alias("conv")).agg(F.first("saved").alias("saved"), F.first("leaf").alias("leaf"))
 
-    weighed = segments.join(of, "conv", "left").na.fill(0, ["saved", "leaf"])
-    weighed = weighed.repartitionByRange(partitions(turns), "segment", "conv").sortWithinPartitions("segment", "conv")
+    weighed = _in_order(segments.join(of, "conv", "left").na.fill(0, ["saved", "leaf"]), turns)
     sums = weighed.mapInArrow(_sums_task, "k1 long, k2 long, saved long, leaves long").groupBy("k1", "k2").agg(F.sum("saved").alias("_saved"), F.sum("leaves").alias("n_leaves"))
 
     below = Window.partitionBy("conv_id", "piece").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -78,6 +78,18 @@ def test_many_children_and_many_copies(shipped, tmp_path):
     assert found(shipped, rows, tmp_path) == brute(rows)
 
 
+def test_more_ranges_than_tasks_that_read(shipped, tmp_path):
+    """Ranges of very different sizes, so that their files are not read in the order of the ids."""
+    rows = [(c, t, "user", "hello there" if t == 0 else f"own {c % 30} {t}") for c in range(100) for t in range(2 + c * c // 80)]
+    rows += [(c, 1, "user", None) for c in range(0, 100, 7)]
+    key, kept = "spark.sql.shuffle.partitions", shipped.conf.get("spark.sql.shuffle.partitions")
+    shipped.conf.set(key, "16")
+    try:
+        assert found(shipped, rows, tmp_path) == brute(rows)
+    finally:
+        shipped.conf.set(key, kept)
+
+
 def test_empty_and_clashing_columns(shipped, tmp_path):
     assert found(shipped, [], tmp_path / "a") == []
     rows = shipped.createDataFrame([(1, 0, "u", "x", "k", 3)], "conv_id long, turn long, role string, text string, at string, words int")
