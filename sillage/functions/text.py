@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping
 from functools import cache
@@ -55,11 +54,20 @@ def _ranges(letters: Iterable[str]) -> str:
 def strip_accents(c: Column) -> Column:
     """Plain characters of any script: compatibility forms (ligatures, full-width letters) by what they stand for, letters
     without their marks, whether letter and mark are one character or two."""
+    # of a text's characters beyond ASCII only the distinct ones are looked up
+    letters = F.array_distinct(F.split(F.regexp_replace(c, r"[\x00-\x7F]+", ""), ""))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), _once(letters, lambda found: _plain(c, found))).otherwise(c)
+
+
+def _plain(c: Column, letters: Column) -> Column:
+    """``c`` in plain characters, where ``letters`` are its distinct characters beyond ASCII."""
     one, plain, many = _plain_letters()
-    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    told = F.when(c.rlike(_ranges(many)), spelled).otherwise(c)
-    return F.translate(F.regexp_replace(told, r"\p{Mn}+", ""), one, plain)
+    table = F.map_from_arrays(*(F.split(F.lit("\n".join(side)), "\n") for side in (many.keys(), many.values())))
+    # what stands for several characters or none is spelled in characters that stand for themselves
+    several = F.filter(letters, lambda ch: ch.rlike(_ranges(many)))
+    told = F.aggregate(several, c, lambda text, ch: F.replace(text, ch, F.try_element_at(table, ch)))
+    marked = F.exists(letters, lambda ch: ch.rlike(r"\p{Mn}"))
+    return F.translate(F.when(marked, F.regexp_replace(told, r"\p{Mn}+", "")).otherwise(told), one, plain)
 
 
 def transliterate(c: Column) -> Column:
