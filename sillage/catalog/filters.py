@@ -104,9 +104,9 @@ def _(spark, sf):
   GROUP BY cle""")
 def _(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("mot")).where(F.col("mot") != "")
-    return words.groupBy(collation_key(F.col("mot")).alias("cle")).agg(
-        F.count(F.lit(1)).alias("lignes"), F.min("mot").alias("exemple")
-    )
+    # each distinct word has its key made once, however often it comes
+    counted = words.groupBy("mot").agg(F.count(F.lit(1)).alias("lignes"))
+    return counted.groupBy(collation_key(F.col("mot")).alias("cle")).agg(F.sum("lignes").alias("lignes"), F.min("mot").alias("exemple"))
 
 
 def quoted(text: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rows import rows
 
 from sillage import schema
+from sillage.catalog import QUERIES
 from sillage.functions import text
 from sillage.operators import aggregates as agg
 from sillage.operators import conform, joins, merge, paging, topk
@@ -300,3 +301,11 @@ def test_labels_that_are_equal_have_one_key(spark):
     assert found.select("k", "id").distinct().count() == members.count() == len(same)
     pairs = df.alias("a").crossJoin(df.alias("b")).where((F.col("a.k") == F.col("b.k")) != text.equals_ci_ai(F.col("a.nom"), F.col("b.nom")))
     assert rows(pairs) == []
+
+
+def test_words_are_counted_before_their_keys_are_made(spark, tmp_path):
+    spark.createDataFrame([(1, "Été ete x été"), (2, "ETE  x"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    groups = QUERIES["F09_collation_groups"](spark, str(tmp_path))
+    assert rows(groups) == [("ETE", 4, "ETE"), ("X", 2, "x")]
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
