@@ -28,6 +28,8 @@ def assign_ids(labels: DataFrame, dims: Mapping[str, DataFrame | None]) -> DataF
     melted = labels.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("membre")) for n in dims
     ])).alias("m")).select("m.*").where(F.col("membre").isNotNull())
+    # each distinct label has its key made once; numbering reads them twice
+    melted = stage(melted.distinct(), "distinct")
     seen = melted.groupBy("dimension", collation_key(F.col("membre")).alias("cle")).agg(F.min("membre").alias("membre"))
     stored = None
     for name, dim in dims.items():

@@ -303,6 +303,14 @@ def test_labels_that_are_equal_have_one_key(spark):
     assert rows(pairs) == []
 
 
+def test_distinct_labels_are_numbered_apart_from_their_rows(spark):
+    """Numbering reads distinct labels that are staged, not all rows twice."""
+    labels = spark.createDataFrame([("Été",), ("ETE",), ("b",), (None,)] * 3, "zone string")
+    members = conform.assign_ids(labels, {"zone": None})
+    assert sorted((r["cle"], r["membre"]) for r in members.collect()) == [("B", "b"), ("ETE", "ETE")]
+    assert "Generate" not in members._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_words_are_counted_before_their_keys_are_made(spark, tmp_path):
     spark.createDataFrame([(1, "Été ete x été"), (2, "ETE  x"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     groups = QUERIES["F09_collation_groups"](spark, str(tmp_path))
