@@ -11,16 +11,16 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _CHUNK = 10_000
+_CHUNK_BYTES = 4 << 20
 _BLOCK = 1 << 20
 # what a damaged archive raises; a store that fails raises OSError, which fails the task
 _DAMAGED = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError, ValueError)
@@ -69,22 +69,31 @@ def _lines(name: str, blob: bytes) -> Iterator[tuple]:
             yield from _member_lines(name, archive, info)
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "membre", "numero", "ligne", "rejet"]
-    rows: list[tuple] = []
+def _batched(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``LINES`` in batches of ``_CHUNK`` rows or ``_CHUNK_BYTES`` and one line more at most."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    names = [c.split()[0] for c in LINES.split(", ")]
 
-    def frame() -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"numero": "Int64"})
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), kinds)], names)
 
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for row in _lines(path, bytes(content)):
-                rows.append(row)
-                if len(rows) >= _CHUNK:
-                    yield frame()
-                    rows.clear()
-    if rows:
-        yield frame()
+    kept: list[tuple] = []
+    room = _CHUNK_BYTES
+    for row in rows:
+        kept.append(row)
+        room -= len(row[3] or b"")
+        if len(kept) == _CHUNK or room <= 0:
+            yield batch()
+            kept, room = [], _CHUNK_BYTES
+    if kept:
+        yield batch()
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batched(
+        row for batch in batches for path, content in zip(batch.column("path"), batch.column("content"))
+        for row in _lines(path.as_py(), content.as_buffer() or b"")
+    )
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
@@ -93,7 +102,7 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     ``rejet`` is null for a line, ``archive`` or ``membre`` for what was skipped. An archive
     is one row, so one task reads it whole, up to Spark's 2 GB for a value.
     """
-    return archives.select("path", "content").mapInPandas(_expand, LINES)
+    return archives.select("path", "content").mapInArrow(_expand, LINES)
 
 
 def read_zip_tree(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +112,13 @@ def read_zip_tree(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-#: members are packed into a task up to so many compressed bytes; a larger member has a task of its own
+#: members are packed up to so many compressed bytes; a larger member is a pack of its own
 PACK_BYTES = 32 << 20
+#: packs have a task each, up to so many tasks for each core of the cluster; more packs share tasks
+_TASKS_PER_CORE = 32
+_TASKS = 1000
+# bytes that opening a pack counts for when packs are dealt
+_PACK_COST = 4096
 _LISTING_THREADS = 32
 
 
@@ -126,64 +140,69 @@ def _archives_below(store: fs.FileSystem, path: str) -> list[str]:
 
 
 class _Members(InputPartition):
-    """Members of one archive, by their place in its directory; none where the directory cannot be read."""
+    """Members of archives, by their places in the directory; no list where a directory cannot be read."""
 
-    def __init__(self, archive: str, places: list[int] | None):
-        self.archive, self.places = archive, places
+    def __init__(self, parts: list[tuple[str, list[int] | None]]):
+        self.parts = parts
 
 
 class _MemberReader(DataSourceReader):
-    def __init__(self, path: str, pack: int):
-        self.path, self.pack = path, pack
+    def __init__(self, path: str, pack: int, tasks: int):
+        self.path, self.pack, self.tasks = path, pack, tasks
 
-    def _packs(self, store: fs.FileSystem, archive: str) -> list[InputPartition]:
+    def _packs(self, store: fs.FileSystem, archive: str) -> list[tuple[str, list[int] | None, int]]:
+        """Archive, places and compressed bytes of each pack."""
         with _opened(store, archive) as source:
             try:
                 wanted = [(i, info.compress_size) for i, info in enumerate(zipfile.ZipFile(source).infolist()) if _is_read(info)]
             except _DAMAGED:
-                return [_Members(archive, None)]
+                return [(archive, None, 0)]
         packs: list[list[int]] = []
-        room = 0
+        sizes: list[int] = []
         for place, size in wanted:
-            if not packs or size > room:
+            if not packs or sizes[-1] + size > self.pack:
                 packs.append([])
-                room = self.pack
+                sizes.append(0)
             packs[-1].append(place)
-            room -= size
-        return [_Members(archive, places) for places in packs]
+            sizes[-1] += size
+        return [(archive, places, size) for places, size in zip(packs, sizes)]
 
     def partitions(self) -> Sequence[InputPartition]:
         store, path = open_store(self.path)
         with ThreadPoolExecutor(_LISTING_THREADS) as pool:
-            planned = pool.map(lambda archive: self._packs(store, archive), _archives_below(store, path))
+            packs = [p for found in pool.map(lambda archive: self._packs(store, archive), _archives_below(store, path)) for p in found]
+        if len(packs) <= self.tasks:
             # an empty plan is a plan of one task without work
-            return [p for packs in planned for p in packs] or [_Members("", [])]
+            return [_Members([(archive, places)]) for archive, places, _ in packs] or [_Members([])]
+        # more packs than tasks: packs that follow each other share a task, by running size
+        share, before = (sum(size + _PACK_COST for *_, size in packs) + 1) / self.tasks, 0
+        dealt: dict[int, list[tuple[str, list[int] | None]]] = {}
+        for archive, places, size in packs:
+            parts = dealt.setdefault(int(before // share), [])
+            if parts and places and parts[-1][0] == archive:
+                parts[-1][1].extend(places)
+            else:
+                parts.append((archive, places))
+            before += size + _PACK_COST
+        return [_Members(parts) for parts in dealt.values()]
 
     def _rows(self, partition: _Members) -> Iterator[tuple]:
-        if partition.places is None:
-            yield partition.archive, None, None, None, "archive"
-        elif partition.places:
-            store, _ = open_store(self.path)
-            with _opened(store, partition.archive) as source, zipfile.ZipFile(source) as archive:
+        store, _ = open_store(self.path)
+        for name, places in partition.parts:
+            if places is None:
+                yield name, None, None, None, "archive"
+                continue
+            with _opened(store, name) as source, zipfile.ZipFile(source) as archive:
                 infos = archive.infolist()
-                for place in partition.places:
-                    yield from _member_lines(partition.archive, archive, infos[place])
+                for place in places:
+                    yield from _member_lines(name, archive, infos[place])
 
     def read(self, partition: _Members) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-        names = ["archive", "membre", "numero", "ligne", "rejet"]
-        rows: list[tuple] = []
-        for row in self._rows(partition):
-            rows.append(row)
-            if len(rows) == _CHUNK:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        return _batched(self._rows(partition))
 
 
 class ZipMembers(DataSource):
-    """``spark.read.format("zip_members").load(folder)``; option ``packBytes`` as ``PACK_BYTES``."""
+    """``spark.read.format("zip_members").load(folder)``; options ``packBytes`` as ``PACK_BYTES`` and ``tasks``, the most there are."""
 
     @classmethod
     def name(cls) -> str:
@@ -193,7 +212,7 @@ class ZipMembers(DataSource):
         return LINES
 
     def reader(self, schema) -> DataSourceReader:
-        return _MemberReader(self.options["path"], int(self.options.get("packBytes", PACK_BYTES)))
+        return _MemberReader(self.options["path"], int(self.options.get("packBytes", PACK_BYTES)), int(self.options.get("tasks", _TASKS)))
 
 
 def read_zip_members(spark: SparkSession, path: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
@@ -204,4 +223,5 @@ def read_zip_members(spark: SparkSession, path: str, pack_bytes: int = PACK_BYTE
     opened and damaged members are one row each, with their ``rejet``.
     """
     spark.dataSource.register(ZipMembers)
-    return spark.read.format("zip_members").option("packBytes", pack_bytes).load(path)
+    tasks = spark.sparkContext.defaultParallelism * _TASKS_PER_CORE
+    return spark.read.format("zip_members").option("packBytes", pack_bytes).option("tasks", tasks).load(path)

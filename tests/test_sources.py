@@ -115,6 +115,27 @@ def test_members_of_one_archive_are_planned_apart(spark, tmp_path):
     assert archives.read_zip_members(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_many_packs_share_tasks(spark, tmp_path):
+    """Sixty archives of ten packs each, one of them broken, are read by no more tasks than are asked for."""
+    for number in range(60):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for member in range(10):
+                z.writestr(f"{member}.csv", f"{number};{member}\n" * (member + 1))
+        put(tmp_path, f"{number}.zip", b"broken" if number == 7 else out.getvalue())
+    every = archives.read_zip_members(spark, str(tmp_path), 1)
+    assert every.rdd.getNumPartitions() <= archives._TASKS_PER_CORE * spark.sparkContext.defaultParallelism < 600
+    lines = every.where("rejet is null").select(F.decode("ligne", "UTF-8").alias("l"), "numero").collect()
+    assert sorted((r["l"], r["numero"]) for r in lines) == sorted((f"{n};{m}", i) for n in range(60) if n != 7 for m in range(10) for i in range(m + 1))
+    assert every.where("rejet = 'archive'").count() == 1
+
+
+def test_batches_of_lines_are_bounded_by_bytes():
+    lines = [("a", "m", i, b"x" * (1 << 20), None) for i in range(20)] + [("a", None, None, None, "archive")]
+    batches = list(archives._batched(iter(lines)))
+    assert max(b.nbytes for b in batches) < (archives._CHUNK_BYTES + (2 << 20)) and sum(b.num_rows for b in batches) == 21
+
+
 @pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
 def test_a_damaged_member_leaves_no_lines(spark, tmp_path, method):
     out = io.BytesIO()
