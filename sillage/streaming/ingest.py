@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from sillage.session import stage, unstage
 
 LOT = "lot"
+#: rows of a merged fact that a task writes, about; a file each
+TASK_ROWS = 1_000_000
 
 
 def read_new_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int | None = None, **options: str) -> DataFrame:
@@ -90,10 +92,10 @@ def merge_into(path: str, checkpoint: str, combine: Callable[[DataFrame], DataFr
             hit = F.col(partition).isin([n for n in names if n is not None])
             rows = stored.where(hit | F.col(partition).isNull() if None in names else hit).select(*rows.columns).unionByName(rows)
         merged = stage(combine(rows).withColumn(partition, F.year(date)), "merge")
-        (
-            merged.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition).parquet(path)
-        )
+        # tasks of so many rows, whatever a partition holds: a writer sorts its rows by partition
+        tasks = merged.count() // TASK_ROWS + 1
+        even = merged.repartitionByRange(tasks, F.col(partition), F.xxhash64(*merged.columns))
+        even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         unstage(batch_rows, merged)
 
     return write

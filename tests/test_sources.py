@@ -10,6 +10,7 @@ import pytest
 from rows import rows
 from pyspark.sql import functions as F
 
+from sillage.catalog import base, scans
 from sillage.session import shared_dir
 from sillage.sources import archives, csvfiles, history, json_rows, manifest, records
 from sillage.sources.records import DELIMITERS
@@ -227,6 +228,33 @@ def test_a_repeated_batch_counts_once(spark, inbox):
     assert ingest.read_lots(spark, inbox[1], df.schema).count() == 2
 
 
+def test_a_merged_fact_is_written_by_tasks_of_so_many_rows(spark, inbox, monkeypatch):
+    monkeypatch.setattr(ingest, "TASK_ROWS", 100)
+    path = shared_dir(spark, "fact")
+    write = ingest.merge_into(path, "c", ingest.upsert(["date", "id"], "v"), lambda df: df)
+    days = spark.range(1000).select(F.make_date(F.lit(2024), F.lit(1), F.lit(1)).alias("date"), "id", F.lit(1).alias("v"), (F.col("id") % 7).alias("volume"))
+    write(days, 0)
+    write(days.where("id < 10").withColumn("v", F.lit(2)).withColumn("volume", F.lit(100).cast("long")), 1)
+    fact = spark.read.parquet(path)
+    assert fact.select(F.input_file_name()).distinct().count() > 5
+    assert sorted((r["id"], r["volume"]) for r in fact.collect()) == [(i, 100 if i < 10 else i % 7) for i in range(1000)]
+
+
+def test_files_of_split_digests_have_a_task_each(spark, tmp_path, monkeypatch):
+    orders = [(i, f"{i % 3 + 1}-P", "O") for i in range(3000)] + [(5000, None, "O"), (5001, "", "F"), (5002, None, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    folders = []
+    monkeypatch.setattr(scans, "shared_dir", lambda s, n: folders.append(shared_dir(s, n)) or folders[-1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = rows(base.QUERIES["S12_split_digests"](spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == [("1-P", True), ("2-P", True), ("3-P", False), ("__HIVE_DEFAULT_PARTITION__", False)]
+    files = spark.read.text(folders[0]).select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task"), "o_orderpriority").distinct().collect()
+    assert len(files) == 4 and len({r["task"] for r in files}) > 2
+
+
 def test_work_folder_is_the_one_the_session_names(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
